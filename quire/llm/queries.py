@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embedding_dedup, near_dedup, packing, quality_rules
+from quire.llm import bpe, embedding_dedup, licenses, near_dedup, packing, quality_rules
 from quire.llm.cluster import table
 
 
@@ -23,6 +23,22 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    places = F.transform("base", lambda x: x["first_word"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(places).alias("first_word"),
+        F.array_max(places).alias("last_word"),
+        joined(F.transform("base", lambda x: x["label"])).alias("base_labels"),
+        joined(F.concat(F.transform("base", lambda x: x["label"]), F.transform("spans", lambda x: x["label"]))).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda x: x["covered"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -33,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_cutoffs(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

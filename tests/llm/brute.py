@@ -36,3 +36,16 @@ def components(nodes, links):
         a, b = sorted((find(a), find(b)))
         root[b] = a
     return {n: find(n) for n in nodes}
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def license_base(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m.group().lower(), text or ""))
+    found = []
+    for phrase, label in PHRASES.items():
+        want = phrase.split()
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(want)] == want]
+    places = [i for i, _ in found]
+    return len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
