@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embedding_dedup, licenses, near_dedup, packing, quality_rules
+from quire.llm import bpe, embedding_dedup, licenses, near_dedup, packing, quality_rules, secrets
 from quire.llm.cluster import table
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    number = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select("doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -49,5 +58,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_cutoffs(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op9_packing, op10_quality_rules)}
 ORACLE: dict[str, str] = {}

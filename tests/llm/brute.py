@@ -49,3 +49,15 @@ def license_base(text):
         found += [(i, label) for i in range(len(words)) if words[i : i + len(want)] == want]
     places = [i for i, _ in found]
     return len(words), len(found), min(places, default=None), max(places, default=None), ",".join(sorted({x for _, x in found}))
+
+
+def secret_base(text):
+    """kind:start:end of the base patterns, and the number of each kind."""
+    text, found = text or "", []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    kinds = ("assign", "access", "hex")
+    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in sorted(found)), *(sum(k == j for _, k, _ in found) for j in range(3))
