@@ -32,3 +32,13 @@ def bounded_sample(df: DataFrame, key: str, rows: int, max_chars: int, text: str
     """At most `rows` rows for fitting, in the order of a hash of the key; longer texts than
     max_chars are passed over, so the sample has at most rows * max_chars characters."""
     return df.where(F.length(text) <= max_chars).orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, max_chars: int, parts: int, part: int) -> tuple[list[str], list[int]]:
+    """Texts and labels (0 or 1) for fitting, at most `rows` of each label and none that is held out.
+
+    Rows are taken in the order of a hash of the key; longer texts than max_chars are passed over."""
+    open_ = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key, parts, part)).groupBy(key).agg(F.max(label).alias("y"))
+    few = [open_.where(f"y = {y}").orderBy(F.xxhash64(key), key).limit(rows) for y in (0, 1)]
+    got = docs.select(key, text).where(F.length(text) <= max_chars).join(F.broadcast(few[0].union(few[1])), key).select(F.col(text).alias("text"), "y").toArrow()
+    return got.column("text").to_pylist(), got.column("y").to_pylist()

@@ -88,11 +88,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, docs: int = 2000) -> Iterator[Block]:
+    """Blocks of at most limit bytes (or one document) and at most `docs` documents."""
     data, offsets = utf8(column)
     at = 0
     while at < len(offsets) - 1:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = max(at + 1, min(at + docs, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1))
         yield Block(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
