@@ -113,7 +113,28 @@ def cut_between(value: np.ndarray, y: np.ndarray) -> float:
     return float((edges[middle] + edges[middle + 1]) / 2)
 
 
-def train(texts: list[str], y: np.ndarray, steps: int = 45, rate: float = 0.05) -> Model:
+def telling_grams(texts: list[str], y: np.ndarray, least_z: float) -> np.ndarray:
+    """Buckets whose share of texts differs between the labels by at least least_z standard errors.
+
+    Only these get embeddings; the many n-grams of a few texts would be learned by heart."""
+    found = np.zeros((2, 1 << BUCKET_BITS))
+    for i, text in enumerate(texts):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        own = list(grams(*block_words(tb.Block(0, raw, np.array([0, len(raw)])))))
+        if own:
+            found[y[i], np.unique(np.concatenate([bucket for bucket, _ in own]))] += 1
+    n = np.bincount(y, minlength=2)[:, None]
+    pooled = found.sum(0) / n.sum()
+    error = np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
+    return np.flatnonzero(np.abs(found[1] / n[1] - found[0] / n[0]) >= np.maximum(least_z * error, 1e-12))
+
+
+def sums(to: np.ndarray, rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Row i of the result is the sum of rows[of[j]] over all j with to[j] = i."""
+    return np.stack([np.bincount(to, rows[of, k], minlength=n) for k in range(rows.shape[1])], 1).astype(np.float32)
+
+
+def train(texts: list[str], y: np.ndarray, steps: int = 100, rate: float = 0.02, decay: float = 1e-5, gain: float = 30.0, least_z: float = 4.5) -> Model:
     """Adam on the cross-entropy of windows; embeddings and softmax weights move together."""
     nothing = Model(np.zeros(1 << BUCKET_BITS, np.float32), -60.0)
     if len(set(y.tolist())) < 2:
@@ -132,42 +153,47 @@ def train(texts: list[str], y: np.ndarray, steps: int = 45, rate: float = 0.05)
     some = tb.Spans(words.start[place], words.end[place], words.doc[place])
     parts = list(grams(np.where(mask, data, np.uint8(32)), some))
     bucket, word = np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([p[1] for p in parts]).astype(np.int32)
-    used, bucket = np.unique(bucket, return_inverse=True)
     share = (1 / np.maximum(np.bincount(word, minlength=len(h)), 1)).astype(np.float32)
+    telling = np.isin(bucket, telling_grams(texts, y, least_z))
+    used, bucket = np.unique(bucket[telling], return_inverse=True)
+    word = word[telling]
 
     counts = words.counts(block.n)
     in_doc = np.arange(len(kind)) - (np.cumsum(counts) - counts)[words.doc]
-    window, slot = np.unique(words.doc * (1 << 32) + in_doc // WINDOW, return_inverse=True)
-    of = window >> 32
-    size = (1 / np.maximum(np.bincount(slot, minlength=len(window)), LEAST_WORDS)).astype(np.float32)
-    target = y[of].astype(np.float32)
     rng = np.random.default_rng(0)
-    keep = np.ones(len(window), bool)
-    for _ in range(2):
-        e = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
-        w = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
-        b = np.zeros(2, np.float32)
-        moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
+    e = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
+    w = rng.normal(0, gain, (DIM, 2)).astype(np.float32)
+    b = np.zeros(2, np.float32)
+    for size in (1 << 31, WINDOW):
+        bag_id, slot = np.unique(words.doc * (1 << 32) + in_doc // size, return_inverse=True)
+        of = bag_id >> 32
+        share_of_bag = (1 / np.maximum(np.bincount(slot, minlength=len(bag_id)), LEAST_WORDS)).astype(np.float32)
+        target = y[of].astype(np.float32)
+
+        def bags() -> tuple[np.ndarray, np.ndarray]:
+            vec = sums(word, e, bucket, len(h)) * share[:, None]
+            bag = sums(slot, vec, kind, len(bag_id)) * share_of_bag[:, None]
+            z = bag @ w + b
+            return bag, sigmoid(z[:, 1] - z[:, 0])
+
+        keep = np.ones(len(bag_id), bool)
+        if size == WINDOW:
+            p = bags()[1]
+            top = np.full(block.n, -1.0)
+            np.maximum.at(top, of, p)
+            keep = (target == 0) | (p >= top[of])
         weight = np.where(target > 0, 0.5 / max(1, (target[keep] > 0).sum()), 0.5 / max(1, (target[keep] == 0).sum())).astype(np.float32) * keep
+        moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (e, w, b)]
         for step in range(1, steps + 1):
-            vec = np.stack([np.bincount(word, e[bucket, k], minlength=len(h)) for k in range(DIM)], 1).astype(np.float32) * share[:, None]
-            bag = np.stack([np.bincount(slot, vec[kind, k], minlength=len(window)) for k in range(DIM)], 1).astype(np.float32) * size[:, None]
-            z = bag @ w + b
-            p = sigmoid(z[:, 1] - z[:, 0])
+            bag, p = bags()
             g = ((p - target) * weight)[:, None] * np.array([[-1, 1]], np.float32)
             gw, gb = bag.T @ g, g.sum(0)
-            gbag = (g @ w.T) * size[:, None]
-            gvec = np.stack([np.bincount(kind, gbag[slot, k], minlength=len(h)) for k in range(DIM)], 1).astype(np.float32) * share[:, None]
-            ge = np.stack([np.bincount(bucket, gvec[word, k], minlength=len(used)) for k in range(DIM)], 1).astype(np.float32)
-            for x, gx, (m, v) in zip((e, w, b), (ge, gw, gb), moments, strict=True):
-                m *= 0.9
-                m += 0.1 * gx
-                v *= 0.99
-                v += 0.01 * gx * gx
-                x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-        top = np.full(block.n, -1.0)
-        np.maximum.at(top, of, p)
-        keep = (target == 0) | (p >= 0.5) | (p >= top[of])
+            gvec = sums(kind, (g @ w.T) * share_of_bag[:, None], slot, len(h)) * share[:, None]
+            ge = sums(bucket, gvec, word, len(used))
+            for x, gx, m in zip((e, w, b), (ge + decay * e, gw, gb), moments, strict=True):
+                m[0] = 0.9 * m[0] + 0.1 * gx
+                m[1] = 0.99 * m[1] + 0.01 * gx * gx
+                x -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
     value = np.zeros(1 << BUCKET_BITS, np.float32)
     value[used] = e @ (w[:, 1] - w[:, 0])
     model = Model(value, float(b[1] - b[0]))
