@@ -28,10 +28,24 @@ def held_out(key: str, parts: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def thinned(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """A share of the rows, by a hash of the key, that holds about twice `rows`; all of a small table.
+
+    It is cut out where rows are read, so a task that orders the rest gets a bounded number however
+    large the table is."""
+    n, whole = df.count(), 1 << 40
+    return df.where(F.pmod(F.xxhash64(key), F.lit(whole)) < int(2 * rows / n * whole)) if n > 2 * rows else df
+
+
+def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows in the order of a hash of the key, for fitting."""
+    return thinned(df, key, rows).orderBy(F.xxhash64(key), key).limit(rows)
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, max_chars: int, text: str = "text") -> DataFrame:
-    """At most `rows` rows for fitting, in the order of a hash of the key; longer texts than
-    max_chars are passed over, so the sample has at most rows * max_chars characters."""
-    return df.where(F.length(text) <= max_chars).orderBy(F.xxhash64(key), key).limit(rows)
+    """At most `rows` rows for fitting; longer texts than max_chars are passed over, so the sample has
+    at most rows * max_chars characters."""
+    return thinned(df, key, rows).where(F.length(text) <= max_chars).orderBy(F.xxhash64(key), key).limit(rows)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, max_chars: int, parts: int, part: int) -> tuple[list[str], list[int]]:
@@ -39,6 +53,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, te
 
     Rows are taken in the order of a hash of the key; longer texts than max_chars are passed over."""
     open_ = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key, parts, part)).groupBy(key).agg(F.max(label).alias("y"))
-    few = [open_.where(f"y = {y}").orderBy(F.xxhash64(key), key).limit(rows) for y in (0, 1)]
+    few = [first_by_hash(open_.where(f"y = {y}"), key, rows) for y in (0, 1)]
     got = docs.select(key, text).where(F.length(text) <= max_chars).join(F.broadcast(few[0].union(few[1])), key).select(F.col(text).alias("text"), "y").toArrow()
     return got.column("text").to_pylist(), got.column("y").to_pylist()

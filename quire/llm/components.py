@@ -20,14 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic number of rounds.  The number of links never grows, a node's minimum is
     aggregated before the shuffle, and only two numbers come to the driver each round.  Loops and
     nulls are passed over; an empty table gives an empty result."""
-    links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = durable(links)
+    links = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = durable(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())

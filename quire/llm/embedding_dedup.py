@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.cluster import durable
+from quire.llm.cluster import durable, first_by_hash
 from quire.llm.components import components
 from quire.llm.near_dedup import matrix
 
@@ -198,7 +198,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sample_rows bounds the sample, in the order of a hash of the id, that the rotations are learned from."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     named = rows.where("id is not null and vector is not null")
-    drawn = named.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").toArrow().column("vector").combine_chunks()
+    drawn = first_by_hash(named, "id", sample_rows).select("vector").toArrow().column("vector").combine_chunks()
     sizes = np.bincount(drawn.value_lengths().to_numpy().astype(int)) if len(drawn) else np.zeros(1, int)
     size = int(sizes.argmax())
     sample = unit_vectors(drawn, size)[1] if size else np.zeros((0, 1))

@@ -5,17 +5,18 @@
    classes, named by their smallest id, are joined from here on.
 2. In each of TREES independent trees a class walks from the root to child nodes chosen by a hash of the node
    and a minwise token, CHOSEN of them on average.  Two similar sets share tokens and so walk alike.
-3. In a node of at most SMALL classes all pairs are compared: first each class with its most
-   similar partner by minwise tokens, later all pairs that are not yet in one component.  What
-   passes is confirmed on the full shingle sets.  Nodes with equal members are compared once.
-4. In a larger node all classes are compared with one pivot.  If it is not one component then, it
-   branches into its children.  What is still large after DEPTH levels is compared in pairs of
-   blocks, so no node is ever capped.
+3. In a node of at most SMALL classes all pairs are compared: by a sketch of SKETCH one-byte
+   minwise values, and what may be similar on the full shingle sets, likeliest first, unless it is
+   connected by then.  Nodes with equal members are compared once.
+4. In a larger node all classes are compared with one pivot.  If all but SMALL of them are one
+   component then, those others are compared with all members, in blocks.  Else the node branches
+   into its children.  What is still mixed after DEPTH levels is compared in pairs of blocks, so no
+   node is ever capped.
 
 A pair of similarity 0.8 misses all common children in one tree with probability 0.2 at the first
-level and 0.36 at any depth, so eight trees find it with 0.99999 and 0.9997; the estimate by
-minwise tokens (0.6 or more of 64 equal) lets 0.99996 of such pairs through.  As components are wanted, a
-pair that is already connected needs no comparison and a group of copies never makes all its pairs.
+level and 0.36 at any depth, so eight trees find it with 0.99999 and 0.9997; the sketch (86 or more of
+128 equal) lets 0.9999 of such pairs through.  As components are wanted, a pair that is already
+connected needs no comparison and a group of copies never makes all its pairs.
 
 Defined results: ASCII letters are lower-cased; a text without words (or null) has an empty set
 and links with nothing; a text of fewer words than a shingle is one shingle; doc_id names a
@@ -36,10 +37,13 @@ from quire.llm import textblock as tb
 from quire.llm.cluster import durable
 from quire.llm.components import components
 
-MINS, TREES, CHOSEN, SMALL, DEPTH, SKETCH = 64, 8, 2, 100, 6, 0.6
+MINS, TREES, CHOSEN, SMALL, DEPTH = 64, 8, 2, 256, 4
+#: Bits of the filter that keeps texts without a part in any comparison out of step 3.
+FILTER_BITS = 23
+SKETCH, ALIKE = 128, 86
 _U = np.uint64
-_A = tb.mix(np.arange(1, MINS + 1, dtype=_U)) | _U(1)
-_B = tb.mix(np.arange(1001, MINS + 1001, dtype=_U))
+_A = tb.mix(np.arange(1, SKETCH + 1, dtype=_U)) | _U(1)
+_B = tb.mix(np.arange(1001, SKETCH + 1001, dtype=_U))
 _ROOTS = tb.mix(np.arange(2001, TREES + 2001, dtype=_U))
 _CUT = _U(int((1 << 64) * CHOSEN / MINS))
 
@@ -78,18 +82,21 @@ def _signatures(key: str, text: str, k: int):
                 for block in tb.blocks(batch.column(text)):
                     ids = batch.column(key).slice(block.first, block.n)
                     shingle, n = block_shingles(block, k)
-                    sets, mins = np.zeros((block.n, 2), _U), np.zeros((block.n, MINS), np.uint32)
+                    sets, mins, sketch = np.zeros((block.n, 2), _U), np.zeros((block.n, MINS), np.uint32), np.zeros((block.n, SKETCH), np.uint8)
                     full = n > 0
                     if full.any():
                         start = (np.cumsum(n) - n)[full]
                         sets[full, 0] = np.add.reduceat(tb.mix(shingle), start)
                         sets[full, 1] = np.add.reduceat(tb.mix(shingle ^ _B[0]), start)
-                        for i in range(MINS):
-                            mins[full, i] = np.minimum.reduceat(shingle * _A[i] + _B[i], start) >> _U(32)
+                        for i in range(SKETCH):
+                            least = np.minimum.reduceat(shingle * _A[i] + _B[i], start)
+                            sketch[full, i] = tb.mix(least) >> _U(56)
+                            if i < MINS:
+                                mins[full, i] = least >> _U(32)
                     if not full.all():
                         # empty sets are no class; keys of their own spread them over the tasks of later joins
                         sets[~full, 0] = tb.mix(ids.filter(pa.array(~full)).to_numpy().view(_U))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), binary(sets), binary(mins)], [key, "n_shingles", "set_key", "mins"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), binary(sets), binary(mins), binary(sketch)], [key, "n_shingles", "set_key", "mins", "sketch"])
 
     return run
 
@@ -117,43 +124,98 @@ def _children(roots: bool):
     return run
 
 
-def _candidates(best_only: bool, percent: int):
-    """Pairs (u, v), u < v, of a node's members from different components that look similar."""
+def _groups(batch: pa.RecordBatch):
+    """The members of each group of a batch by field, and the fields' columns for all groups."""
+    members = batch.column("members")
+    ends = members.offsets.to_numpy()
+    flat = members.flatten()
+    fields = {k.name: flat.field(i) for i, k in enumerate(flat.type)}
+    sketch = matrix(fields["sketch"], np.uint8)
+    numbers = {k: fields[k].to_numpy() for k in ("id", "part", "n")}
+    for i, (a, b) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
+        yield i, a, {k: x[a:b] for k, x in numbers.items()}, sketch[a:b], fields
+
+
+def _alike(own: dict[str, np.ndarray], sketch: np.ndarray, percent: int) -> np.ndarray:
+    """same[i, j]: equal sketch values of members of different components that may be similar, else 0."""
+    same = np.zeros((len(sketch), len(sketch)), np.int16)
+    for i in range(SKETCH):
+        same += sketch[:, i, None] == sketch[None, :, i]
+    part, n = own["part"], own["n"]
+    may = (part[:, None] != part[None]) & (same >= ALIKE)
+    may &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+    return np.where(may, same, np.int16(0))
+
+
+def _plausible(by: list[str], percent: int):
+    """Those members of each group that look similar to another one of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids = [], []
+            for i, _, own, sketch, _ in _groups(batch):
+                found = own["id"][_alike(own, sketch, percent).any(1)]
+                rows += [i] * len(found)
+                ids.append(found)
+            if rows:
+                keys = batch.select(by).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.concatenate(ids))], [*by, "id"])
+
+    return run
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _linked(percent: int):
+    """A forest of the links in each group, confirmed on full sets, likeliest first; a pair that is
+    connected by then needs no confirmation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            members = batch.column("members")
-            ends = members.offsets.to_numpy()
-            flat = members.flatten()
-            at0 = ends[0]
-            ids, part, n = (flat.field(k).to_numpy() for k in ("id", "part", "n"))
-            mins = matrix(flat.field("mins"), np.uint32)
-            for a, b in zip(ends[:-1] - at0, ends[1:] - at0, strict=True):
-                m = mins[a:b]
-                same = np.zeros((b - a, b - a), np.int16)
-                for i in range(MINS):
-                    same += m[:, i, None] == m[None, :, i]
-                size = n[a:b]
-                open_ = (part[a:b, None] != part[None, a:b]) & (same >= SKETCH * MINS)
-                open_ &= 100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None])
-                if best_only:
-                    x = np.flatnonzero(open_.any(1))
-                    y = np.where(open_, same, -1)[x].argmax(1)
-                else:
-                    x, y = np.nonzero(np.triu(open_))
-                us.append(np.minimum(ids[a:b][x], ids[a:b][y]))
-                vs.append(np.maximum(ids[a:b][x], ids[a:b][y]))
+            for _, a, own, sketch, fields in _groups(batch):
+                same = np.triu(_alike(own, sketch, percent))
+                x, y = np.nonzero(same)
+                order = np.argsort(-same[x, y], kind="stable")
+                sets = [np.frombuffer(fields["shingles"][int(a) + i].as_py(), _U) for i in range(len(sketch))]
+                root = own["part"].copy()
+                for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+                    if root[i] != root[j] and similar(sets[i], sets[j], percent):
+                        us.append(own["id"][i])
+                        vs.append(own["id"][j])
+                        root[root == root[j]] = root[i]
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(us)), pa.array(np.array(vs))], ["u", "v"])
 
     return run
 
 
-def _sets(key: str, text: str, k: int):
+def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bits of ids as words of 64 bits; equal words of other tasks are joined by OR."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_filter_place(batch.column("id").to_numpy())] = True
+    words = np.packbits(bits, bitorder="little").view(np.int64)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["place", "word"])
+
+
+def _filter_place(ids: np.ndarray) -> np.ndarray:
+    return (tb.mix(ids.view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _sets(key: str, text: str, k: int, wanted):
+    """id and full set of the rows whose id passes the filter; wanted is a broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little").view(bool)
         with np.errstate(over="ignore"):
             for batch in batches:
+                batch = batch.filter(batch.column(key).is_valid())
+                batch = batch.filter(pa.array(bits[_filter_place(batch.column(key).to_numpy())]))
                 for block in tb.blocks(batch.column(text)):
                     shingle, n = block_shingles(block, k)
                     ends = np.concatenate(([0], np.cumsum(n)))
@@ -167,109 +229,132 @@ def _confirmed(percent: int):
         for batch in batches:
             keep = np.zeros(len(batch), bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = (np.frombuffer(z.as_py(), _U) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), percent)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     return run
 
 
 class _Join:
-    """The state of one join: classes, full sets, confirmed links and components so far."""
+    """The state of one join: classes, full sets and components so far."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
         self.docs, self.key, self.text, self.k, self.percent = docs.select(F.col(key).cast("long").alias(key), text), key, text, k, percent
         named = self.docs.where(F.col(key).isNotNull())
-        self.signed = durable(named.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary"))
-        self.classes = durable(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.max("mins").alias("mins")))
-        self.links, self.parts, self.sets = None, None, None
+        self.signed = durable(named.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary, sketch binary"))
+        self.classes = durable(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.max("mins").alias("mins"), F.max("sketch").alias("sketch")))
+        self.parts, self.sets = None, None
 
-    def with_parts(self, rows: DataFrame) -> DataFrame:
-        """Adds part, the component of a row's id so far."""
+    def with_parts(self, rows: DataFrame, id_: str = "id", part: str = "part") -> DataFrame:
+        """Adds the component so far of a row's id."""
         if self.parts is None:
-            return rows.withColumn("part", F.col("id"))
-        return rows.join(self.parts, rows["id"] == self.parts["node"], "left").select(rows["*"], F.coalesce("component", "id").alias("part"))
-
-    def confirm(self, pairs: DataFrame, also: DataFrame | None = None) -> None:
-        """Adds the pairs whose full sets are similar to the links, and renews the components.
-
-        The full sets are made once, for the ids of the first pairs and of `also`; later pairs are among those."""
-        pairs = durable(pairs.distinct())
-        if self.sets is None:
-            needed = pairs.select(F.explode(F.array("u", "v")).alias(self.key))
-            needed = (needed.union(also.select("id")) if also is not None else needed).distinct()
-            self.sets = durable(self.docs.join(needed.hint("shuffle_hash"), self.key).mapInArrow(_sets(self.key, self.text, self.k), "id long, shingles binary"))
-        if pairs.isEmpty():
-            return
+            return rows.withColumn(part, F.col(id_))
+        own = self.parts.select(F.col("node").alias(id_), "component")
+        return rows.join(own, id_, "left").withColumn(part, F.coalesce("component", id_)).drop("component")
+
+    def make_sets(self, ids: DataFrame) -> None:
+        """The full sets of these ids; all that is confirmed later is among them.
+
+        A filter of fixed size (2**FILTER_BITS bits) drops other texts where they are read; those that
+        slip through do no harm."""
+        words = ids.select("id").mapInArrow(_filter_words, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toPandas()
+        wanted = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+        wanted[words["place"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
+        wanted = self.docs.sparkSession.sparkContext.broadcast(wanted)
+        self.sets = durable(self.docs.mapInArrow(_sets(self.key, self.text, self.k, wanted), "id long, shingles binary"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Renews the components by confirmed links."""
+        new = self.with_parts(self.with_parts(links, "u", "p"), "v", "q").select(F.col("p").alias("u"), F.col("q").alias("v")).where("u <> v")
+        merged = components(new)
+        if self.parts is not None:
+            old = self.parts.select(F.col("node").alias("id"), F.col("component").alias("node")).join(merged, "node", "left").select(F.col("id").alias("node"), F.coalesce("component", "node").alias("component"))
+            merged = old.union(merged.join(self.parts.select("node"), "node", "left_anti"))
+        self.parts = durable(merged)
+
+    def gathered(self, rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+        """members of each group of rows (by, id) with several components; groups are of bounded size."""
+        rows = self.with_parts(rows.join(self.classes.select("id", "n", "sketch"), "id"))
+        return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "part", "n", "sketch", *more)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*by, "members")
+
+    def plausible(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """The rows (by, id) that look similar to another one of their group in another component."""
+        return durable(self.gathered(rows, by).mapInArrow(_plausible(by, self.percent), ", ".join(f"{k} long" for k in [*by, "id"])))
+
+    def linked(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Links confirmed within each group of rows (by, id)."""
+        return self.gathered(rows.join(self.sets, "id"), by, "shingles").mapInArrow(_linked(self.percent), "u long, v long")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v) whose full sets are similar."""
         x = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
         y = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-        new = durable(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirmed(self.percent), "u long, v long"))
-        if new.isEmpty():
-            return
-        self.links = new if self.links is None else self.links.union(new)
-        self.parts = components(self.links)
-
-    def compare(self, rows: DataFrame, by: list[str], best_only: bool) -> DataFrame:
-        """Candidate pairs within each group of rows (by, id); groups are of bounded size."""
-        rows = self.with_parts(rows.join(self.classes.select("id", "n", "mins"), "id"))
-        groups = rows.groupBy(*by).agg(F.collect_list(F.struct("id", "part", "n", "mins")).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("members")
-        return groups.mapInArrow(_candidates(best_only, self.percent), "u long, v long")
+        return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirmed(self.percent), "u long, v long")
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """Nodes of several components: their size, a pivot and two hashes of their members."""
+        """Nodes of several components: size, a pivot, hashes of the members, and the largest component."""
         x = F.xxhash64("id")
-        return (
-            self.with_parts(rows)
-            .groupBy("node")
-            .agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("id", F.xxhash64("node", "id")).alias("pivot"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
-            .where("low < high")
-            .drop("low", "high")
-        )
+        parts = self.with_parts(rows).groupBy("node", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("node", "id")).alias("one"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
+        return parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"), F.max_by("one", F.struct("n", "part")).alias("pivot"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("most < size")
 
     def run(self) -> None:
-        rows = durable(self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long"))
+        rows = self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long")
         for level in range(1, DEPTH + 1):
+            shared = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+            rows = durable(rows.join(shared, "node"))
             nodes = durable(self.open_nodes(rows))
             once = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
             small = durable(rows.join(once.select("node"), "node"))
-            large = durable(rows.join(nodes.where(F.col("size") > SMALL).select("node", "pivot", "size"), "node"))
-            some_large = not large.isEmpty()
-            pairs = self.compare(small, ["node"], True)
-            if some_large:
-                pairs = pairs.union(self.star(large))
-            self.confirm(pairs, large if some_large and self.sets is None else None)
-            self.confirm(self.compare(small, ["node"], False))
-            if not some_large:
+            large = durable(rows.join(nodes.where(F.col("size") > SMALL).select("node", "pivot"), "node"))
+            near = self.plausible(small, ["node"])
+            if self.sets is None:
+                self.make_sets(near.select("id").union(large.select("id")))
+            if large.isEmpty():
+                self.merge(self.linked(near, ["node"]))
                 return
-            left = self.open_nodes(large.select("node", "id")).select("node")
-            large = durable(large.join(left, "node"))
+            self.merge(self.linked(near, ["node"]).union(self.confirmed(self.star(large))))
+            left = durable(self.open_nodes(large.select("node", "id")))
+            settled = left.where(F.col("size") - F.col("most") <= SMALL)
+            once = settled.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node")
+            self.settle(self.with_others(large, settled.join(once, "node")), ["node", "i"])
+            large = durable(large.select("node", "id").join(left.where(F.col("size") - F.col("most") > SMALL).select("node", "size"), "node"))
             if large.isEmpty():
                 return
             if level < DEPTH:
-                rows = durable(large.select("node", "id").join(self.classes.select("id", "mins"), "id").select("node", "id", "mins").mapInArrow(_children(False), "node long, id long"))
-        half = SMALL // 2
-        number = F.ceil(F.col("size") / half)
+                rows = large.select("node", "id").join(self.classes.select("id", "mins"), "id").select("node", "id", "mins").mapInArrow(_children(False), "node long, id long")
+        number = F.ceil(F.col("size") / SMALL)
         own = F.pmod(F.xxhash64("id", "node"), number)
-        blocks = large.select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), number - 1)).alias("other")).select("node", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        blocks = durable(blocks)
-        for best_only in (True, False):
-            self.confirm(self.compare(blocks, ["node", "i", "j"], best_only))
+        blocks = large.select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("other")).select("node", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        self.settle(blocks, ["node", "i", "j"])
+
+    def settle(self, rows: DataFrame, by: list[str]) -> None:
+        """Compares all pairs of different components within each group of rows (by, id)."""
+        near = self.plausible(rows, by)
+        if not near.isEmpty():
+            self.merge(self.linked(near, by))
+
+    def with_others(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The members of nodes dealt into blocks (node, i, id); members outside the node's main
+        component, at most SMALL of them, go to every block."""
+        number = F.ceil(F.col("size") / SMALL)
+        rows = self.with_parts(large.select("node", "id").join(nodes.select("node", "size", "main"), "node"))
+        own = F.array(F.pmod(F.xxhash64("id", "node"), number))
+        return rows.select("node", "id", F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), number - 1))).alias("i"))
 
     def star(self, large: DataFrame) -> DataFrame:
-        """Pairs of a member and its node's pivot that look similar by size and minwise tokens."""
-        own = self.classes.select("id", "n", "mins")
-        pivot = own.select(F.col("id").alias("pivot"), F.col("n").alias("n2"), F.col("mins").alias("mins2"))
+        """Pairs of a member and its node's pivot that look similar by size and sketch."""
+        own = self.classes.select("id", "n", "sketch")
+        pivot = own.select(F.col("id").alias("pivot"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
         percent = self.percent
 
         def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    same = (matrix(batch.column("mins"), np.uint32) == matrix(batch.column("mins2"), np.uint32)).sum(1)
-                    yield batch.select(["u", "v"]).filter(pa.array(same >= SKETCH * MINS))
+                    same = (matrix(batch.column("sketch"), np.uint8) == matrix(batch.column("sketch2"), np.uint8)).sum(1)
+                    yield batch.select(["u", "v"]).filter(pa.array(same >= ALIKE))
 
         near = large.where("id <> pivot").select("id", "pivot").distinct().join(own, "id").join(pivot, "pivot").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        return near.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), "mins", "mins2").mapInArrow(alike, "u long, v long")
+        return near.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), "sketch", "sketch2").mapInArrow(alike, "u long, v long")
 
     def result(self) -> DataFrame:
         named = self.classes.select("set_key", "id")

@@ -2,9 +2,10 @@
 
 import pytest
 
-from quire.plans.queries import ORACLE, QUERIES
+from quire.plans import more_queries, queries
 from tests.compare import connection, rows
 
+QUERIES, ORACLE = queries.QUERIES | more_queries.QUERIES, queries.ORACLE | more_queries.ORACLE
 SF = "/root/testdata/sf0.001"
 
 
