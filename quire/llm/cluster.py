@@ -23,6 +23,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A durable copy in as few partitions as hold about `rows` rows each, for rows of a few numbers."""
+    df = durable(df)
+    return df.coalesce(-(-df.count() // rows) or 1)
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """A durable copy dealt by a key; later joins on the key shuffle only their other side.
+
+    A checkpoint keeps the partitioning of its plan only if that plan is not adaptive."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return durable(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def held_out(key: str, parts: int, part: int) -> F.Column:
     """crc32 of the key as text, modulo parts, equals part; a null key is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -1,11 +1,40 @@
-"""Connected components by alternating stars."""
+"""Connected components by alternating stars over forests of each partition's links."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.cluster import durable
+from quire.llm.cluster import compact
+
+#: Links in a partition; a partition's forest takes some tens of MB.
+PART_LINKS = 250_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars around the smallest node of each component of a partition's own links."""
+    u, v = [], []
+    for batch in batches:
+        u.append(batch.column("u").to_numpy())
+        v.append(batch.column("v").to_numpy())
+    if not u:
+        return
+    nodes, place = np.unique(np.concatenate([*u, *v]), return_inverse=True)
+    u, v = np.split(place, 2)
+    root = np.arange(len(nodes))
+    while len(u):
+        x, y = root[u], root[v]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+        open_ = root[u] != root[v]
+        u, v = u[open_], v[open_]
+    own = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], ["u", "v"])
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -15,20 +44,24 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) for every node of the links (u, v).
 
-    Large stars link each node's larger neighbours to its smallest one, small stars its smaller
-    neighbours; both together end with stars around each component's smallest node after a
-    logarithmic number of rounds.  The number of links never grows, a node's minimum is
-    aggregated before the shuffle, and only two numbers come to the driver each round.  Loops and
-    nulls are passed over; an empty table gives an empty result."""
-    links = durable(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    Each round, every partition first reduces its own links to stars.  Then large stars link each
+    node's larger neighbours to its smallest one and small stars its smaller neighbours; this ends
+    with stars around each component's smallest node after a logarithmic number of rounds.
+    Partitions hold PART_LINKS links, so few links need no round.  The number of links never grows,
+    a node's minimum is aggregated before the shuffle, and only two numbers come to the driver each
+    round.  Loops and nulls are passed over; an empty table gives an empty result."""
+    links = compact(edges.where("u <> v").select("u", "v"), PART_LINKS)
+    several = links.count() > PART_LINKS
+    stars = links.mapInArrow(_forest, "u long, v long")
+    links = compact(stars.distinct() if several else stars, PART_LINKS)
     before = _state(links)
-    while before[0]:
+    while several and before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        links = compact(small.union(least.select("u", F.col("m").alias("v"))).mapInArrow(_forest, "u long, v long").distinct(), PART_LINKS)
         now = _state(links)
         if now == before:
             break

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textblock as tb
-from quire.llm.cluster import durable
+from quire.llm.cluster import compact, durable, placed
 from quire.llm.components import components
 
 MINS, TREES, CHOSEN, SMALL, DEPTH = 64, 8, 2, 256, 4
@@ -147,19 +147,19 @@ def _alike(own: dict[str, np.ndarray], sketch: np.ndarray, percent: int) -> np.n
     return np.where(may, same, np.int16(0))
 
 
-def _plausible(by: list[str], percent: int):
-    """Those members of each group that look similar to another one of it."""
+def _plausible(percent: int):
+    """Those members of each group that look similar to another one of it; equal lists of them get the same key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = [], []
-            for i, _, own, sketch, _ in _groups(batch):
+            keys, ids = [], []
+            for _, _, own, sketch, _ in _groups(batch):
                 found = own["id"][_alike(own, sketch, percent).any(1)]
-                rows += [i] * len(found)
-                ids.append(found)
-            if rows:
-                keys = batch.select(by).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.concatenate(ids))], [*by, "id"])
+                if len(found):
+                    ids.append(found)
+                    keys.append(np.full(len(found), np.bitwise_xor.reduce(tb.mix(found.view(_U)))))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
 
     return run
 
@@ -242,7 +242,7 @@ class _Join:
         self.docs, self.key, self.text, self.k, self.percent = docs.select(F.col(key).cast("long").alias(key), text), key, text, k, percent
         named = self.docs.where(F.col(key).isNotNull())
         self.signed = durable(named.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary, sketch binary"))
-        self.classes = durable(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.max("mins").alias("mins"), F.max("sketch").alias("sketch")))
+        self.classes = placed(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.max("mins").alias("mins"), F.max("sketch").alias("sketch")), "id")
         self.parts, self.sets = None, None
 
     def with_parts(self, rows: DataFrame, id_: str = "id", part: str = "part") -> DataFrame:
@@ -261,7 +261,7 @@ class _Join:
         wanted = np.zeros((1 << FILTER_BITS) // 64, np.int64)
         wanted[words["place"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
         wanted = self.docs.sparkSession.sparkContext.broadcast(wanted)
-        self.sets = durable(self.docs.mapInArrow(_sets(self.key, self.text, self.k, wanted), "id long, shingles binary"))
+        self.sets = placed(self.docs.mapInArrow(_sets(self.key, self.text, self.k, wanted), "id long, shingles binary"), "id")
 
     def merge(self, links: DataFrame) -> None:
         """Renews the components by confirmed links."""
@@ -270,7 +270,7 @@ class _Join:
         if self.parts is not None:
             old = self.parts.select(F.col("node").alias("id"), F.col("component").alias("node")).join(merged, "node", "left").select(F.col("id").alias("node"), F.coalesce("component", "node").alias("component"))
             merged = old.union(merged.join(self.parts.select("node"), "node", "left_anti"))
-        self.parts = durable(merged)
+        self.parts = compact(merged)
 
     def gathered(self, rows: DataFrame, by: list[str], *more: str) -> DataFrame:
         """members of each group of rows (by, id) with several components; groups are of bounded size."""
@@ -278,12 +278,14 @@ class _Join:
         return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "part", "n", "sketch", *more)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*by, "members")
 
     def plausible(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        """The rows (by, id) that look similar to another one of their group in another component."""
-        return durable(self.gathered(rows, by).mapInArrow(_plausible(by, self.percent), ", ".join(f"{k} long" for k in [*by, "id"])))
+        """Rows (key, id): those of each group that look similar to another one of it in another component.
 
-    def linked(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        """Links confirmed within each group of rows (by, id)."""
-        return self.gathered(rows.join(self.sets, "id"), by, "shingles").mapInArrow(_linked(self.percent), "u long, v long")
+        The key is made of the group's ids, so groups that several trees find alike come once."""
+        return compact(self.gathered(rows, by).mapInArrow(_plausible(self.percent), "key long, id long").distinct())
+
+    def linked(self, rows: DataFrame) -> DataFrame:
+        """Links confirmed within each group of rows (key, id)."""
+        return self.gathered(rows.join(self.sets, "id"), ["key"], "shingles").mapInArrow(_linked(self.percent), "u long, v long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (u, v) whose full sets are similar."""
@@ -301,23 +303,23 @@ class _Join:
         rows = self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long")
         for level in range(1, DEPTH + 1):
             shared = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-            rows = durable(rows.join(shared, "node"))
-            nodes = durable(self.open_nodes(rows))
+            rows = compact(rows.join(shared, "node"))
+            nodes = compact(self.open_nodes(rows))
             once = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
-            small = durable(rows.join(once.select("node"), "node"))
-            large = durable(rows.join(nodes.where(F.col("size") > SMALL).select("node", "pivot"), "node"))
+            small = compact(rows.join(once.select("node"), "node"))
+            large = compact(rows.join(nodes.where(F.col("size") > SMALL).select("node", "pivot"), "node"))
             near = self.plausible(small, ["node"])
             if self.sets is None:
                 self.make_sets(near.select("id").union(large.select("id")))
             if large.isEmpty():
-                self.merge(self.linked(near, ["node"]))
+                self.merge(self.linked(near))
                 return
-            self.merge(self.linked(near, ["node"]).union(self.confirmed(self.star(large))))
-            left = durable(self.open_nodes(large.select("node", "id")))
+            self.merge(self.linked(near).union(self.confirmed(self.star(large))))
+            left = compact(self.open_nodes(large.select("node", "id")))
             settled = left.where(F.col("size") - F.col("most") <= SMALL)
             once = settled.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node")
             self.settle(self.with_others(large, settled.join(once, "node")), ["node", "i"])
-            large = durable(large.select("node", "id").join(left.where(F.col("size") - F.col("most") > SMALL).select("node", "size"), "node"))
+            large = compact(large.select("node", "id").join(left.where(F.col("size") - F.col("most") > SMALL).select("node", "size"), "node"))
             if large.isEmpty():
                 return
             if level < DEPTH:
@@ -331,7 +333,7 @@ class _Join:
         """Compares all pairs of different components within each group of rows (by, id)."""
         near = self.plausible(rows, by)
         if not near.isEmpty():
-            self.merge(self.linked(near, by))
+            self.merge(self.linked(near))
 
     def with_others(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
         """The members of nodes dealt into blocks (node, i, id); members outside the node's main

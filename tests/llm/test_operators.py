@@ -154,11 +154,13 @@ def test_near_dedup_group_of_copies(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(50))
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
+@pytest.mark.parametrize("size", [10, 250_000])
+def test_components(spark, size, monkeypatch):
+    monkeypatch.setattr(components, "PART_LINKS", size)
+    links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
-    want = brute.components({x for e in links for x in e}, links)
-    assert got == {n: c for n, c in want.items()} 
+    want = brute.components({x for e in links[:-2] for x in e}, links[:-2])
+    assert got == want
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
