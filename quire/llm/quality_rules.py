@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textblock as tb
-from quire.llm.cluster import first_by_hash
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -98,25 +97,51 @@ def controlled_cutoffs(statistics: np.ndarray, words: np.ndarray, good: np.ndarr
     texts: H0 says that it rejects more than risk / statistics of them.  The walk ends at the first that
     is not refuted.  Of the cutoffs passed that one is taken which rejects most bad texts, a good one
     counting as five, and of equal ones that in the widest gap between values."""
-    strata, kinds = len(STRATA) + 1, statistics.shape[1]
+    return cutoffs_from_counts(histogram(statistics, words, good), statistics.shape[1], risk, delta, grid)
+
+
+def cells(values: np.ndarray) -> np.ndarray:
+    """The cells of values >= 0, in their order: 1024 to each power of two, so a cell is at most 0.1 % wide."""
+    return (np.asarray(values, float) + 0.0).view(np.int64) >> 42
+
+
+def histogram(statistics: np.ndarray, words: np.ndarray, good: np.ndarray, cell: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """For each stratum, statistic and cell the least and largest value and the numbers of good and bad texts.
+
+    Without cells each value has its own."""
+    n, kinds = statistics.shape
+    stratum = np.repeat(np.searchsorted(STRATA, words, "right"), kinds)
+    kind, value, ok = np.tile(np.arange(kinds), n), statistics.ravel().astype(float), np.repeat(good, kinds)
+    cell = np.unique(value, return_inverse=True)[1] if cell is None else cell.ravel()
+    order = np.lexsort((cell, kind, stratum))
+    stratum, kind, cell, value, ok = stratum[order], kind[order], cell[order], value[order], ok[order]
+    first = np.flatnonzero(np.diff(stratum, prepend=-1) | np.diff(kind, prepend=-1) | np.diff(cell, prepend=-1)) if len(value) else np.zeros(0, np.int64)
+    add = lambda x: np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    least, most = (f.reduceat(value, first) if len(first) else np.zeros(0) for f in (np.minimum, np.maximum))
+    return {"stratum": stratum[first], "kind": kind[first], "cell": cell[first], "least": least, "most": most, "good": add(ok), "bad": add(~ok)}
+
+
+def cutoffs_from_counts(counts: dict[str, np.ndarray], kinds: int, risk: float, delta: float, grid: int = 200) -> np.ndarray:
+    """controlled_cutoffs from a histogram; the candidates lie between its cells."""
+    strata = len(STRATA) + 1
     out = np.full((strata, kinds), np.inf)
     level, share = delta / (strata * kinds), risk / kinds
-    stratum = np.searchsorted(STRATA, words, "right")
     for s in range(strata):
-        own = stratum == s
         for j in range(kinds):
-            ok, bad = np.sort(statistics[own & good, j]), np.sort(statistics[own & ~good, j])
-            values = np.unique(np.concatenate((ok, bad)))[::-1]
-            if len(values) < 2 or not len(ok) or not len(bad):
+            own = np.flatnonzero((counts["stratum"] == s) & (counts["kind"] == j))
+            own = own[np.argsort(-counts["least"][own])]
+            least, most, good, bad = (counts[k][own] for k in ("least", "most", "good", "bad"))
+            ok = int(good.sum())
+            if len(own) < 2 or not ok or not bad.sum():
                 continue
-            middle, gap = (values[:-1] + values[1:]) / 2, values[:-1] - values[1:]
-            wrong, caught = len(ok) - np.searchsorted(ok, middle, "right"), len(bad) - np.searchsorted(bad, middle, "right")
-            few = np.searchsorted(wrong, int(share * len(ok)) + 2)
+            middle, gap = (least[:-1] + most[1:]) / 2, least[:-1] - most[1:]
+            wrong, caught = np.cumsum(good)[:-1], np.cumsum(bad)[:-1]
+            few = np.searchsorted(wrong, int(share * ok) + 2)
             # the widest gaps of the candidates, in the order of the walk
             steps = np.sort(np.argsort(-gap[:few], kind="stable")[:grid])
             passed = []
             for i in steps:
-                if binomial_tail(int(wrong[i]), len(ok), share) > level:
+                if binomial_tail(int(wrong[i]), ok, share) > level:
                     break
                 passed.append((caught[i] - 5 * wrong[i], gap[i], middle[i]))
             if passed and max(passed)[0] > 0:
@@ -133,7 +158,7 @@ def _measure(key: str, text: str, cutoffs: np.ndarray | None, mode: str):
             counts = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
             failed = base_failed(counts)
             if mode == "statistics":
-                yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(counts["n_words"]), pa.array(failed), *(pa.array(counts[k].astype(float)) for k in STATISTICS)], ["good", "n_words", "base_failed", *STATISTICS])
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(counts["n_words"]), pa.array(failed), *(pa.array(counts[k].astype(float)) for k in STATISTICS)], [key, "n_words", "base_failed", *STATISTICS])
                 continue
             values = np.stack([counts[k] for k in STATISTICS], 1)
             above = values > cutoffs[np.searchsorted(STRATA, counts["n_words"], "right")]
@@ -147,16 +172,24 @@ def _measure(key: str, text: str, cutoffs: np.ndarray | None, mode: str):
     return run
 
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", risk: float = 0.01, delta: float = 0.05, sample_rows: int = 20_000) -> np.ndarray:
-    """Cutoffs from at most sample_rows labelled rows (a documented bound, taken by hash of the key).
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        values = np.stack([batch.column(k).to_numpy() for k in STATISTICS], 1)
+        found = histogram(values, batch.column("n_words").to_numpy(), batch.column("good").to_numpy(zero_copy_only=False).astype(bool), cells(values))
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], list(found))
+
+
+def fit_cutoffs(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", risk: float = 0.01, delta: float = 0.05) -> np.ndarray:
+    """Cutoffs from all labelled rows.
 
-    Only numbers of those rows come to the driver.  Texts that fail the base rules take no part."""
-    few = first_by_hash(labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg((F.min("quality") == 1).alias("good")), key, sample_rows)
-    rows = docs.select(key, text).join(F.broadcast(few), key).select("good", text)
-    schema = "good boolean, n_words long, base_failed boolean, " + ", ".join(f"{k} double" for k in STATISTICS)
-    got = rows.mapInArrow(_measure(key, text, None, "statistics"), schema).where("not base_failed").toPandas()
-    values = got[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS))
-    return controlled_cutoffs(values, got["n_words"].to_numpy(np.int64), got["good"].to_numpy(bool), risk, delta)
+    Texts are measured where they stand and only the numbers are joined with the labels; a histogram comes
+    to the driver, whose size does not grow with the rows.  Texts that fail the base rules take no part."""
+    known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg((F.min("quality") == 1).alias("good"))
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, base_failed boolean, " + ", ".join(f"{k} double" for k in STATISTICS)
+    rows = docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(_measure(key, text, None, "statistics"), schema).where("not base_failed")
+    found = rows.join(known, key).select("good", "n_words", *STATISTICS).mapInArrow(_cell_counts, "stratum long, kind long, cell long, least double, most double, good long, bad long")
+    got = found.groupBy("stratum", "kind", "cell").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    return cutoffs_from_counts({k: got.column(k).to_numpy() for k in got.column_names}, len(STATISTICS), risk, delta)
 
 
 def judge(docs: DataFrame, cutoffs: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

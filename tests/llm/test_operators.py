@@ -72,6 +72,27 @@ def test_few_labels_prove_nothing():
     assert np.isinf(quality_rules.controlled_cutoffs(np.arange(20.0)[:, None], np.full(20, 50), np.arange(20) < 10, 0.01, 0.05)).all()
 
 
+def test_cutoffs_use_all_labels(spark, empty):
+    """A stratum's good labels suffice only if none is left out for the labels of other texts."""
+    line = "array_join(transform(sequence(1, 30), i -> concat('w', i)), ' ')"
+    text = f"CASE WHEN doc_id < 6000 THEN {line} WHEN doc_id < 6400 THEN concat({line}, repeat(' #', 8 + doc_id % 5)) ELSE 'short' END"
+    docs = spark.range(30000).selectExpr("id AS doc_id").selectExpr("doc_id", f"{text} AS text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id < 6000 OR doc_id >= 6400 AS int) AS quality")
+    cutoffs = quality_rules.fit_cutoffs(docs, labels)
+    assert 0 < cutoffs[1, quality_rules.STATISTICS.index("symbol_share")] < 0.1
+    assert np.isinf(cutoffs[[0, 2, 3]]).all()
+    assert np.isinf(quality_rules.fit_cutoffs(empty.select("doc_id", "text"), labels)).all()
+
+
+def test_cells_hold_every_count():
+    rng = np.random.default_rng(1)
+    values, words, good = rng.random((5000, 3)) ** 4, rng.integers(0, 900, 5000), rng.random(5000) < 0.7
+    exact, coarse = quality_rules.histogram(values, words, good), quality_rules.histogram(values, words, good, quality_rules.cells(values))
+    assert exact["good"].sum() == coarse["good"].sum() == 3 * good.sum()
+    assert exact["bad"].sum() == coarse["bad"].sum() == 3 * (~good).sum()
+    assert (coarse["most"] <= coarse["least"] * (1 + 2**-10)).all()
+
+
 def test_bpe(docs, empty, rows, oracle):
     got = [(r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in bpe.encode(docs, RANKS, PATTERN).collect()]
     same(got, [(i, np.array(oracle(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t in rows])
