@@ -1,19 +1,21 @@
 """Near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-1. On a bounded sample, iterative quantisation learns rotations whose signs are balanced binary
-   codes close to the (centred) vectors.  Every vector gets one code from all rotations together.
+1. On a bounded sample, iterative quantisation learns rotations whose signs are binary codes close to
+   the centred vectors.  Every vector gets one code from all rotations together: the signs of the vector
+   itself, as centring would widen the angles of vectors that share a component.
 2. Equal vectors form a class; only classes go on, with the number of their copies.
 3. The code is cut into substrings, one table each.  Two vectors meet where a substring differs in at
    most one bit.  Substrings have about log2(rows) bits, so that a bucket holds about one vector at
-   any size, and there are as many tables as find a pair at the threshold with probability `target`.
+   any size.  There are as many tables as find pairs at the threshold around sampled vectors, and near
+   pairs of the sample, with probability `target`; vectors with a large common component meet more often.
 4. Buckets that neighbour each other are compared in blocks of bounded size: first by codes, which keeps the few
    vectors that have a plausible partner, then those by their original vectors in double precision.  A pair is
    counted in the first table in which it meets.
 
 A block returns sums for each vector and a forest of its links, so no pairs of a group are emitted.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or are not of the
-most frequent length of the sample, and rows with a null id, link with nothing; repeated rows are
+Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a
+null id, link with nothing; each length is joined on its own; repeated rows are
 vectors of their own; an empty table gives an empty result.  Extra columns are not read.
 """
 
@@ -39,7 +41,6 @@ BLOCK = 512
 class Codes:
     """Projections to code bits, and how the code is cut into tables."""
 
-    mean: np.ndarray
     projection: np.ndarray
     bits: int
     tables: int
@@ -47,7 +48,7 @@ class Codes:
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """keys[vector, table]: substrings of the codes of unit vectors."""
-        signs = ((unit - self.mean) @ self.projection > 0)[:, : self.bits * self.tables]
+        signs = (unit @ self.projection > 0)[:, : self.bits * self.tables]
         return signs.reshape(len(unit), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
@@ -61,20 +62,51 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = 40) -> np.ndarray:
     return r
 
 
+def trial_pairs(sample: np.ndarray, cosine: float, some: int = 4000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs that must be found: at the threshold around sampled vectors, with partners in any
+    direction and towards other vectors; and near pairs of the sample, real and at the threshold around them."""
+    rng = np.random.default_rng(0)
+
+    def beside(x: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        way = way - (way * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(way, axis=1)
+        x, way = x[size > 1e-6], way[size > 1e-6] / size[size > 1e-6, None]
+        return x, cosine * x + math.sqrt(1 - cosine * cosine) * way
+
+    x = sample[rng.permutation(len(sample))[:some]]
+    out = [beside(x, rng.normal(size=x.shape)), beside(x, sample[rng.integers(0, len(sample), len(x))])]
+    alike = x[:2000] @ sample.T
+    i, j = np.nonzero((alike >= cosine) & (alike < 1 - 1e-9))
+    few = rng.permutation(len(i))[: 5 * some]
+    near, other = x[i[few]], sample[j[few]]
+    out += [(near, other), beside(near, other), beside(near, rng.normal(size=near.shape))]
+    return [pair for pair in out if len(pair[0])]
+
+
 def fit_codes(sample: np.ndarray, rows: int, cosine: float, target: float = 0.95) -> Codes:
-    """Codes for `rows` vectors from a sample of unit vectors."""
+    """Codes for `rows` vectors from a sample of unit vectors; tables are added until the sample's trial
+    pairs are found.  Rotations past those that theory asks for are random."""
     bits = min(32, max(8, math.ceil(math.log2(max(rows, 2)))))
     flip = math.acos(cosine) / math.pi
     meet = (1 - flip) ** bits + bits * flip * (1 - flip) ** (bits - 1)
     tables = math.ceil(math.log(1 - target) / math.log(1 - meet))
-    mean = sample.mean(0)
-    centred = sample - mean
+    centred = sample - sample.mean(0)
     axes = np.linalg.svd(centred.T @ centred)[0]
-    rotations = math.ceil(bits * tables / sample.shape[1])
-    projection = np.concatenate([axes @ learn_rotation(centred @ axes, i) for i in range(rotations)], 1)
+    learned = math.ceil(bits * tables / sample.shape[1])
+    rotations = [axes @ learn_rotation(centred @ axes, i) for i in range(learned)]
+    trials = trial_pairs(sample, cosine)
+    while True:
+        while len(rotations) * sample.shape[1] < bits * tables:
+            rotations.append(learn_rotation(centred, len(rotations), 0))
+        codes = Codes(np.concatenate(rotations, 1), bits, tables, 0)
+        apart = [np.bitwise_count(codes.keys(x) ^ codes.keys(y)) for x, y in trials]
+        if all((a <= 1).any(1).mean() >= target for a in apart):
+            break
+        tables += 1
     n = bits * tables
-    # four standard deviations over the mean number of flips at the threshold
-    return Codes(mean, projection, bits, tables, math.floor(n * flip + 4 * math.sqrt(n * flip * (1 - flip)) + 1))
+    # four standard deviations over the mean number of flips at the threshold, and no trial pair is beyond
+    codes.radius = max([math.floor(n * flip + 4 * math.sqrt(n * flip * (1 - flip)) + 1), *(int(a.sum(1, dtype=np.int64).max()) for a in apart)])
+    return codes
 
 
 def unit_vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,17 +227,22 @@ def _linked(radius: int, cosine: float):
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, sample_rows: int = 20_000) -> DataFrame:
     """key, n_links, component_id and kept of every row.
 
-    sample_rows bounds the sample, in the order of a hash of the id, that the rotations are learned from."""
+    sample_rows bounds the samples, in the order of a hash of the id, that the rotations are learned from."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    named = rows.where("id is not null and vector is not null")
+    lengths = rows.where("id is not null and size(vector) > 0").groupBy(F.size("vector").alias("size")).count().where("count > 1").collect()
+    joined = F.coalesce(F.col("id").isNotNull() & F.size("vector").isin([r["size"] for r in lengths]), F.lit(False))
+    out = rows.where(~joined).select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    for size, n in sorted(lengths):
+        out = out.union(_of_one_length(rows.where(joined & (F.size("vector") == size)), size, n, key, cosine, sample_rows))
+    return out
+
+
+def _of_one_length(named: DataFrame, size: int, n: int, key: str, cosine: float, sample_rows: int) -> DataFrame:
     drawn = first_by_hash(named, "id", sample_rows).select("vector").toArrow().column("vector").combine_chunks()
-    sizes = np.bincount(drawn.value_lengths().to_numpy().astype(int)) if len(drawn) else np.zeros(1, int)
-    size = int(sizes.argmax())
-    sample = unit_vectors(drawn, size)[1] if size else np.zeros((0, 1))
-    none = rows.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    sample = unit_vectors(drawn, size)[1]
     if not len(sample):
-        return none
-    codes = fit_codes(sample, named.count(), cosine)
+        sample = np.linalg.qr(np.random.default_rng(0).normal(size=(size, size)))[0]
+    codes = fit_codes(sample, n, cosine)
 
     encoded = durable(named.mapInArrow(_encoded(codes, size), "id long, unit binary, code binary"))
     classes = durable(encoded.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("code").alias("code")))
@@ -230,7 +267,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     parts = components(linked.select("u", "v"))
     named_classes = classes.join(counts, classes["id"] == counts["u"], "left").join(parts, classes["id"] == parts["node"], "left").select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     good = encoded.select("id", "unit").join(named_classes, "unit").select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    other = rows.mapInArrow(_unusable(size), "id long")
+    other = named.mapInArrow(_unusable(size), "id long")
     return good.union(other.select(F.col("id").alias(key), F.lit(0).cast("long"), F.col("id"), F.lit(True)))
 
 

@@ -1,6 +1,7 @@
 """The corpus operators on awkward tables, against plain versions."""
 
 import base64
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -207,6 +208,40 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def shared(rng, n, d, norm):
+    """Unit vectors with a common component of this norm, each followed by a partner of cosine 0.9 to 0.91 that shares it."""
+    common = np.eye(d)[0] * norm
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.normal(size=(2, n, d)) * (np.arange(d) > 0))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = (rng.uniform(0.9, 0.91, (n, 1)) - norm**2) / (1 - norm**2)
+    own = math.sqrt(1 - norm**2)
+    return np.stack((common + own * a, common + own * (c * a + np.sqrt(1 - c * c) * b)), 1).reshape(-1, d)
+
+
+@pytest.mark.parametrize("kind", ["common part", "dominant cluster"])
+def test_embedding_dedup_finds_pairs_that_share_a_part(spark, kind):
+    rng = np.random.default_rng(3)
+    x = shared(rng, 1000, 64, 0.8)
+    if kind == "dominant cluster":
+        x = np.concatenate((x, (y := rng.normal(size=(1000, 64))) / np.linalg.norm(y, axis=1, keepdims=True)))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    assert all(found[i] <= linked[i].sum() for i in found)
+    assert sum(found.values()) >= 0.9 * linked.sum() >= 1800
+
+
+def test_embedding_dedup_joins_each_length(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(60)]
+    rows += [(100 + i, ([1.0] * 7 + [1.0 + i / 100])) for i in range(5)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == 65
+    assert all(got[100 + i] == (4, 100) for i in range(5))
+
+
 def test_licenses(docs, empty, rows):
     def base(r):
         places = [x.first_word for x in r.base]
