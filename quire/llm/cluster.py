@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +13,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A copy in the folder that spark.checkpoint.dir names, which outlives executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which outlives executors.
+
+    Only on one machine (master local or local[n]) a temporary folder is taken where none is named."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or (context._jsc.sc().getCheckpointDir().get() if context._jsc.sc().getCheckpointDir().isDefined() else None)
+    if not named:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver share")
+        named = tempfile.mkdtemp(prefix="quire-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+class Shelf:
+    """Tables of one job in the shared folder; written and read again, they cut the lineage."""
 
-    Only where the session names none (a test on one machine) a temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quire-"))
-    return df.checkpoint(eager=True)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
 
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        out._on_shelf = self  # keeps the id taken as long as the table is known
+        return out
 
-def compact(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A durable copy in as few partitions as hold about `rows` rows each, for rows of a few numbers."""
-    df = durable(df)
-    return df.coalesce(-(-df.count() // rows) or 1)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in tables:
+            path = self.paths.pop(id(df), None)
+            if path:
+                jvm = self.spark.sparkContext._jvm
+                place = jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder."""
+    return Shelf(df.sparkSession).put(df)
 
 
-def placed(df: DataFrame, key: str) -> DataFrame:
-    """A durable copy dealt by a key; later joins on the key shuffle only their other side.
+def join_uneven(rows: DataFrame, side: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with one row of `side` for each key, where weight counts the rows that have the key.
 
-    A checkpoint keeps the partitioning of its plan only if that plan is not adaptive."""
-    conf = df.sparkSession.conf
-    adaptive = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return durable(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), key))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", adaptive)
+    Fewer than 1000 keys can have more than a thousandth of `total` rows each; their rows of `side` are
+    broadcast, so the rows of a hot key stay where they are.  All other keys are shuffled."""
+    hot = F.col(weight) > total / 1000
+    often = F.broadcast(side.where(hot))
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(side.where(~hot), key, how))
 
 
 def held_out(key: str, parts: int, part: int) -> F.Column:

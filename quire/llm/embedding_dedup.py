@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.cluster import durable, first_by_hash
+from quire.llm.cluster import Shelf, first_by_hash
 from quire.llm.components import components
 from quire.llm.near_dedup import matrix
 
@@ -244,6 +244,8 @@ def _of_one_length(named: DataFrame, size: int, n: int, key: str, cosine: float,
         sample = np.linalg.qr(np.random.default_rng(0).normal(size=(size, size)))[0]
     codes = fit_codes(sample, n, cosine)
 
+    shelf = Shelf(named.sparkSession)
+    durable = shelf.put
     encoded = durable(named.mapInArrow(_encoded(codes, size), "id long, unit binary, code binary"))
     classes = durable(encoded.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.max("code").alias("code")))
     entries = classes.select("id", "code").mapInArrow(_entries(codes.tables), "t long, key long, id long, code binary")
@@ -264,7 +266,7 @@ def _of_one_length(named: DataFrame, size: int, n: int, key: str, cosine: float,
     linked = durable(full.mapInArrow(_linked(codes.radius, cosine), "u long, n long, v long"))
 
     counts = linked.groupBy("u").agg(F.sum("n").alias("n"))
-    parts = components(linked.select("u", "v"))
+    parts = components(linked.select("u", "v"), shelf)
     named_classes = classes.join(counts, classes["id"] == counts["u"], "left").join(parts, classes["id"] == parts["node"], "left").select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     good = encoded.select("id", "unit").join(named_classes, "unit").select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     other = named.mapInArrow(_unusable(size), "id long")

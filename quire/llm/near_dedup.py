@@ -5,19 +5,24 @@
    classes, named by their smallest id, are joined from here on.
 2. In each of TREES independent trees a class walks from the root to child nodes chosen by a hash of the node
    and a minwise token, CHOSEN of them on average.  Two similar sets share tokens and so walk alike.
-3. In a node of at most SMALL classes all pairs are compared: by a sketch of SKETCH one-byte
-   minwise values, and what may be similar on the full shingle sets, likeliest first, unless it is
-   connected by then.  Nodes with equal members are compared once.
-4. In a larger node all classes are compared with one pivot.  If all but SMALL of them are one
-   component then, those others are compared with all members, in blocks.  Else the node branches
-   into its children.  What is still mixed after DEPTH levels is compared in pairs of blocks, so no
-   node is ever capped.
+3. In a node of at most SMALL classes all pairs are compared: by one byte of each minwise token, and what
+   may be similar on the full shingle sets, likeliest first, unless it is connected by then.  Nodes
+   with equal members are compared once.
+4. The members of a larger node are first dealt into blocks, each with the node's pivot, and a class joins
+   in no more than two such nodes; so a large group of copies becomes one component without
+   making its pairs.  If all but SMALL of a node's members are one component then, those others are compared with
+   all members, in blocks.  A node of at most MEDIUM members is compared by itself.  Every other
+   node branches until it is one of these: first by set size, in bands that overlap as far as similar
+   sets can differ, which loses nothing, then by tokens.
 
 A pair of similarity 0.8 misses all common children in one tree with probability 0.2 at the first
-level and 0.36 at any depth, so eight trees find it with 0.99999 and 0.9997; the sketch (86 or more of
-128 equal) lets 0.9999 of such pairs through.  As components are wanted, a pair that is already
+level and 0.36 at any depth, so eight trees find it with 0.99999 and 0.9997; the bytes (38 or more of
+64 equal) let 0.9999 of such pairs through.  As components are wanted, a pair that is already
 connected needs no comparison and a group of copies never makes all its pairs.
 
+Each round writes its tables to the shared folder (see cluster.Shelf) and deletes them when they are
+used up; those that the result reads stay there.
+
 Defined results: ASCII letters are lower-cased; a text without words (or null) has an empty set
 and links with nothing; a text of fewer words than a shingle is one shingle; doc_id names a
 document, so rows that repeat an id share its component, and rows with a null id link with
@@ -26,7 +31,8 @@ nothing, have a null component and are kept; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textblock as tb
-from quire.llm.cluster import compact, durable, placed
+from quire.llm.cluster import Shelf, durable, join_uneven
 from quire.llm.components import components
 
-MINS, TREES, CHOSEN, SMALL, DEPTH = 64, 8, 2, 256, 4
-#: Bits of the filter that keeps texts without a part in any comparison out of step 3.
-FILTER_BITS = 23
-SKETCH, ALIKE = 128, 86
+MINS, TREES, CHOSEN, SMALL, MEDIUM, ALIKE = 64, 8, 2, 256, 4096, 38
+#: Bits of the largest filter that is broadcast to keep texts out of the table of full sets.
+FILTER_BITS = 28
 _U = np.uint64
-_A = tb.mix(np.arange(1, SKETCH + 1, dtype=_U)) | _U(1)
-_B = tb.mix(np.arange(1001, SKETCH + 1001, dtype=_U))
+_A = tb.mix(np.arange(1, MINS + 1, dtype=_U)) | _U(1)
+_B = tb.mix(np.arange(1001, MINS + 1001, dtype=_U))
 _ROOTS = tb.mix(np.arange(2001, TREES + 2001, dtype=_U))
 _CUT = _U(int((1 << 64) * CHOSEN / MINS))
 
@@ -75,6 +80,16 @@ def binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def set_keys(shingle: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits that name each document's set; zero for an empty one."""
+    out = np.zeros((len(n), 2), _U)
+    if (n > 0).any():
+        start = (np.cumsum(n) - n)[n > 0]
+        out[n > 0, 0] = np.add.reduceat(tb.mix(shingle), start)
+        out[n > 0, 1] = np.add.reduceat(tb.mix(shingle ^ _B[0]), start)
+    return out
+
+
 def _signatures(key: str, text: str, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -82,21 +97,16 @@ def _signatures(key: str, text: str, k: int):
                 for block in tb.blocks(batch.column(text)):
                     ids = batch.column(key).slice(block.first, block.n)
                     shingle, n = block_shingles(block, k)
-                    sets, mins, sketch = np.zeros((block.n, 2), _U), np.zeros((block.n, MINS), np.uint32), np.zeros((block.n, SKETCH), np.uint8)
+                    sets, mins = set_keys(shingle, n), np.zeros((block.n, MINS), np.uint32)
                     full = n > 0
                     if full.any():
                         start = (np.cumsum(n) - n)[full]
-                        sets[full, 0] = np.add.reduceat(tb.mix(shingle), start)
-                        sets[full, 1] = np.add.reduceat(tb.mix(shingle ^ _B[0]), start)
-                        for i in range(SKETCH):
-                            least = np.minimum.reduceat(shingle * _A[i] + _B[i], start)
-                            sketch[full, i] = tb.mix(least) >> _U(56)
-                            if i < MINS:
-                                mins[full, i] = least >> _U(32)
+                        for i in range(MINS):
+                            mins[full, i] = np.minimum.reduceat(shingle * _A[i] + _B[i], start) >> _U(32)
                     if not full.all():
                         # empty sets are no class; keys of their own spread them over the tasks of later joins
                         sets[~full, 0] = tb.mix(ids.filter(pa.array(~full)).to_numpy().view(_U))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), binary(sets), binary(mins), binary(sketch)], [key, "n_shingles", "set_key", "mins", "sketch"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(n), binary(sets), binary(mins)], [key, "n_shingles", "set_key", "mins"])
 
     return run
 
@@ -106,6 +116,11 @@ def matrix(column: pa.Array, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def sketches(mins: np.ndarray) -> np.ndarray:
+    """One byte of each minwise token."""
+    return (mins * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
 def _children(roots: bool):
     """From (node, id, mins) or (id, mins) to the chosen children (node, id)."""
 
@@ -124,48 +139,104 @@ def _children(roots: bool):
     return run
 
 
-def _groups(batch: pa.RecordBatch):
-    """The members of each group of a batch by field, and the fields' columns for all groups."""
-    members = batch.column("members")
-    ends = members.offsets.to_numpy()
-    flat = members.flatten()
-    fields = {k.name: flat.field(i) for i, k in enumerate(flat.type)}
-    sketch = matrix(fields["sketch"], np.uint8)
-    numbers = {k: fields[k].to_numpy() for k in ("id", "part", "n")}
-    for i, (a, b) in enumerate(zip(ends[:-1] - ends[0], ends[1:] - ends[0], strict=True)):
-        yield i, a, {k: x[a:b] for k, x in numbers.items()}, sketch[a:b], fields
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that come sorted by `by`, with the bounds of the groups; what is held back is
+    one group and one batch."""
+    held: list[pa.RecordBatch] = []
 
+    def cut(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray]:
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=None)[0]
+        new = np.zeros(len(batch) - 1, bool)
+        for k in by:
+            x = batch.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        return batch, np.concatenate(([0], np.flatnonzero(new) + 1, [len(batch)]))
 
-def _alike(own: dict[str, np.ndarray], sketch: np.ndarray, percent: int) -> np.ndarray:
-    """same[i, j]: equal sketch values of members of different components that may be similar, else 0."""
-    same = np.zeros((len(sketch), len(sketch)), np.int16)
-    for i in range(SKETCH):
-        same += sketch[:, i, None] == sketch[None, :, i]
-    part, n = own["part"], own["n"]
-    may = (part[:, None] != part[None]) & (same >= ALIKE)
-    may &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
-    return np.where(may, same, np.int16(0))
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = len(batch) - 1
+        if held and all(held[0].column(k)[0].as_py() == batch.column(k)[last].as_py() for k in by):
+            held.append(batch)
+            continue
+        whole, bounds = cut([*held, batch])
+        held = [whole.slice(bounds[-2])]
+        if bounds[-2]:
+            yield whole.slice(0, bounds[-2]), bounds[:-1]
+    if held:
+        yield cut(held)
+
+
+def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of members of different components that may be similar, and their numbers of equal bytes."""
+    out = []
+    for at in range(0, len(n), SMALL):
+        a = slice(at, at + SMALL)
+        for to in range(at, len(n), SMALL):
+            b = slice(to, to + SMALL)
+            may = (part[a, None] != part[None, b]) & (100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b]))
+            if at == to:
+                may = np.triu(may, 1)
+            x, y = np.nonzero(may)
+            for some in range(0, len(x), 1 << 16):
+                i, j = x[some : some + (1 << 16)] + at, y[some : some + (1 << 16)] + to
+                same = (sketch[i] == sketch[j]).sum(1)
+                near = same >= ALIKE
+                out.append((i[near], j[near], same[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def _plausible(percent: int):
-    """Those members of each group that look similar to another one of it; equal lists of them get the same key."""
+    """Those members of each group that look similar to others of it, as groups (key, id) of at most SMALL.
+
+    Members that look alike, directly or through others, form a part; one of more than SMALL is
+    cut into blocks, which meet in pairs.  A key is made of a group's ids, so equal groups get the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ids = [], []
-            for _, _, own, sketch, _ in _groups(batch):
-                found = own["id"][_alike(own, sketch, percent).any(1)]
-                if len(found):
-                    ids.append(found)
-                    keys.append(np.full(len(found), np.bitwise_xor.reduce(tb.mix(found.view(_U)))))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+        for batch, bounds in runs(batches, ["g", "i"]):
+            ids, part, n = (batch.column(k).to_numpy() for k in ("id", "part", "n"))
+            sketch = matrix(batch.column("sketch"), np.uint8)
+            size = np.diff(bounds)
+            two = bounds[:-1][size == 2]
+            may = (part[two] != part[two + 1]) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
+            two = two[may]
+            two = two[(sketch[two] == sketch[two + 1]).sum(1) >= ALIKE]
+            pair = np.stack((ids[two], ids[two + 1]), 1)
+            keys, found = [np.repeat(_key(pair), 2)], [pair.ravel()]
+            for a, b in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
+                if (part[a:b] == part[a]).all():
+                    continue
+                i, j, _ = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                if not len(i):
+                    continue
+                root = np.arange(b - a)
+                while (root[i] != root[j]).any():
+                    x, y = root[i], root[j]
+                    np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                    while (root != root[root]).any():
+                        root = root[root]
+                some = np.unique(np.concatenate((i, j)))
+                some = some[np.argsort(root[some], kind="stable")]
+                for own in np.split(ids[a:b][some], np.flatnonzero(np.diff(root[some])) + 1):
+                    half = SMALL // 2
+                    blocks = [own] if len(own) <= SMALL else [own[at : at + half] for at in range(0, len(own), half)]
+                    for p in range(len(blocks)):
+                        for q in range(p + (len(blocks) > 1), len(blocks)):
+                            group = blocks[p] if p == q else np.concatenate((blocks[p], blocks[q]))
+                            keys.append(np.repeat(_key(group[None]), len(group)))
+                            found.append(group)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(found))], ["key", "id"])
 
     return run
 
 
+def _key(groups: np.ndarray) -> np.ndarray:
+    return tb.mix(np.bitwise_xor.reduce(tb.mix(groups.astype(np.int64).view(_U)), 1) + np.add.reduce(groups.astype(np.int64).view(_U), 1))
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    both = np.sort(np.concatenate((x, y)))
+    both = np.count_nonzero(both[1:] == both[:-1])
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
@@ -174,195 +245,196 @@ def _linked(percent: int):
     connected by then needs no confirmation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, bounds in runs(batches, ["key"]):
+            ids, part, n = (batch.column(k).to_numpy() for k in ("id", "part", "n"))
+            sketch, shingles = matrix(batch.column("sketch"), np.uint8), batch.column("shingles")
             us, vs = [], []
-            for _, a, own, sketch, fields in _groups(batch):
-                same = np.triu(_alike(own, sketch, percent))
-                x, y = np.nonzero(same)
-                order = np.argsort(-same[x, y], kind="stable")
-                sets = [np.frombuffer(fields["shingles"][int(a) + i].as_py(), _U) for i in range(len(sketch))]
-                root = own["part"].copy()
-                for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
-                    if root[i] != root[j] and similar(sets[i], sets[j], percent):
-                        us.append(own["id"][i])
-                        vs.append(own["id"][j])
-                        root[root == root[j]] = root[i]
-            if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(us)), pa.array(np.array(vs))], ["u", "v"])
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                i, j, same = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                if not len(i):
+                    continue
+                order = np.argsort(-same, kind="stable")
+                sets = [np.frombuffer(shingles[k].as_py(), _U) for k in range(a, b)]
+                root = part[a:b].copy()
+                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    if root[x] != root[y] and similar(sets[x], sets[y], percent):
+                        us.append(ids[a + x])
+                        vs.append(ids[a + y])
+                        root[root == root[y]] = root[x]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], ["u", "v"])
 
     return run
 
 
-def _filter_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bits of ids as words of 64 bits; equal words of other tasks are joined by OR."""
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for batch in batches:
-        bits[_filter_place(batch.column("id").to_numpy())] = True
-    words = np.packbits(bits, bitorder="little").view(np.int64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["place", "word"])
+def _filter_words(bits: int):
+    """The filter's bits of ids as words of 64 bits; equal words of other tasks are joined by OR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_filter_place(b.column("id").to_numpy(), bits) for b in batches)]))
+        place, first = np.unique(at >> 6, return_index=True)
+        word = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(word.view(np.int64))], ["place", "word"])
+
+    return run
 
 
-def _filter_place(ids: np.ndarray) -> np.ndarray:
-    return (tb.mix(ids.view(_U)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+def _filter_place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (tb.mix(ids.view(_U)) >> _U(64 - bits)).astype(np.int64)
 
 
-def _sets(key: str, text: str, k: int, wanted):
-    """id and full set of the rows whose id passes the filter; wanted is a broadcast."""
+def _sets(key: str, text: str, k: int, passes: Callable[[np.ndarray], np.ndarray]):
+    """set_key and full set of the rows whose id passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value.view(np.uint8), bitorder="little").view(bool)
         with np.errstate(over="ignore"):
             for batch in batches:
-                batch = batch.filter(batch.column(key).is_valid())
-                batch = batch.filter(pa.array(bits[_filter_place(batch.column(key).to_numpy())]))
+                batch = batch.filter(pa.array(passes(batch.column(key).to_numpy())))
                 for block in tb.blocks(batch.column(text)):
                     shingle, n = block_shingles(block, k)
                     ends = np.concatenate(([0], np.cumsum(n)))
-                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(block.first, block.n), pa.array([shingle[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([binary(set_keys(shingle, n)), pa.array([shingle[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["set_key", "shingles"])
 
     return run
 
 
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                keep[i] = similar(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U), percent)
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
-
-    return run
+def _add_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("sketch", binary(sketches(matrix(batch.column("mins"), np.uint32))) if len(batch) else pa.array([], pa.binary()))
 
 
 class _Join:
     """The state of one join: classes, full sets and components so far."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, k: int, percent: int):
-        self.docs, self.key, self.text, self.k, self.percent = docs.select(F.col(key).cast("long").alias(key), text), key, text, k, percent
-        named = self.docs.where(F.col(key).isNotNull())
-        self.signed = durable(named.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary, sketch binary"))
-        self.classes = placed(self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.max("mins").alias("mins"), F.max("sketch").alias("sketch")), "id")
-        self.parts, self.sets = None, None
+        self.docs, self.key, self.text, self.k, self.percent = docs.select(F.col(key).cast("long").alias(key), text).where(F.col(key).isNotNull()), key, text, k, percent
+        self.shelf = Shelf(docs.sparkSession)
+        self.signed = self.shelf.put(self.docs.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary"))
+        classes = self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.max("mins").alias("mins"))
+        self.classes = self.shelf.put(classes.mapInArrow(_add_sketch, "set_key binary, id long, n long, copies long, mins binary, sketch binary"))
+        self.parts: DataFrame | None = None
+        self.sets: DataFrame | None = None
 
     def with_parts(self, rows: DataFrame, id_: str = "id", part: str = "part") -> DataFrame:
         """Adds the component so far of a row's id."""
         if self.parts is None:
             return rows.withColumn(part, F.col(id_))
-        own = self.parts.select(F.col("node").alias(id_), "component")
-        return rows.join(own, id_, "left").withColumn(part, F.coalesce("component", id_)).drop("component")
-
-    def make_sets(self, ids: DataFrame) -> None:
-        """The full sets of these ids; all that is confirmed later is among them.
-
-        A filter of fixed size (2**FILTER_BITS bits) drops other texts where they are read; those that
-        slip through do no harm."""
-        words = ids.select("id").mapInArrow(_filter_words, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toPandas()
-        wanted = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-        wanted[words["place"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-        wanted = self.docs.sparkSession.sparkContext.broadcast(wanted)
-        self.sets = placed(self.docs.mapInArrow(_sets(self.key, self.text, self.k, wanted), "id long, shingles binary"), "id")
+        own = self.parts.select(F.col("node").alias(id_), F.col("component").alias(part))
+        return rows.join(own, id_, "left").withColumn(part, F.coalesce(part, id_))
+
+    def make_sets(self, ids: DataFrame) -> DataFrame:
+        """id, n, sketch and full set of these ids (and perhaps of others).
+
+        Other texts are dropped where they are read, by a filter of 16 bits for each id.  For more ids than
+        the largest filter serves the join with them does all the work."""
+        wanted = self.shelf.put(ids.select("id").distinct())
+        bits = max(10, math.ceil(math.log2(16 * wanted.count() + 1)))
+        passes: Callable[[np.ndarray], np.ndarray] = lambda x: np.ones(len(x), bool)
+        if bits <= FILTER_BITS:
+            words = wanted.mapInArrow(_filter_words(bits), "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
+            table = np.zeros(1 << (bits - 6), np.int64)
+            table[words.column("place").to_numpy()] = words.column("word").to_numpy()
+            known = self.docs.sparkSession.sparkContext.broadcast(table)
+
+            def passes(x: np.ndarray) -> np.ndarray:
+                at = _filter_place(x, bits)
+                return (known.value[at >> 6] >> (at & 63) & 1).astype(bool)
+
+        full = self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "set_key binary, shingles binary")
+        own = self.classes.select("set_key", "id", "n", "sketch").join(wanted, "id", "left_semi")
+        out = self.shelf.put(full.join(own, "set_key").dropDuplicates(["set_key"]).drop("set_key"))
+        self.shelf.drop(wanted)
+        return out
 
     def merge(self, links: DataFrame) -> None:
         """Renews the components by confirmed links."""
-        new = self.with_parts(self.with_parts(links, "u", "p"), "v", "q").select(F.col("p").alias("u"), F.col("q").alias("v")).where("u <> v")
-        merged = components(new)
-        if self.parts is not None:
-            old = self.parts.select(F.col("node").alias("id"), F.col("component").alias("node")).join(merged, "node", "left").select(F.col("id").alias("node"), F.coalesce("component", "node").alias("component"))
-            merged = old.union(merged.join(self.parts.select("node"), "node", "left_anti"))
-        self.parts = compact(merged)
-
-    def gathered(self, rows: DataFrame, by: list[str], *more: str) -> DataFrame:
-        """members of each group of rows (by, id) with several components; groups are of bounded size."""
-        rows = self.with_parts(rows.join(self.classes.select("id", "n", "sketch"), "id"))
-        return rows.groupBy(*by).agg(F.collect_list(F.struct("id", "part", "n", "sketch", *more)).alias("members"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select(*by, "members")
-
-    def plausible(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        """Rows (key, id): those of each group that look similar to another one of it in another component.
-
-        The key is made of the group's ids, so groups that several trees find alike come once."""
-        return compact(self.gathered(rows, by).mapInArrow(_plausible(self.percent), "key long, id long").distinct())
-
-    def linked(self, rows: DataFrame) -> DataFrame:
-        """Links confirmed within each group of rows (key, id)."""
-        return self.gathered(rows.join(self.sets, "id"), ["key"], "shingles").mapInArrow(_linked(self.percent), "u long, v long")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose full sets are similar."""
-        x = self.sets.select(F.col("id").alias("u"), F.col("shingles").alias("x"))
-        y = self.sets.select(F.col("id").alias("v"), F.col("shingles").alias("y"))
-        return pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(_confirmed(self.percent), "u long, v long")
+        new = self.with_parts(self.with_parts(links, "u", "p"), "v", "q").select(F.col("p").alias("u"), F.col("q").alias("v"))
+        merged = components(new, self.shelf)
+        if self.parts is None:
+            self.parts = self.shelf.put(merged)
+            return
+        merged = self.shelf.put(merged)
+        old, before = self.parts, self.parts.select(F.col("node").alias("id"), F.col("component").alias("node"))
+        moved = before.join(merged, "node", "left").select(F.col("id").alias("node"), F.coalesce("component", "node").alias("component"))
+        self.parts = self.shelf.put(moved.union(merged.join(old.select("node"), "node", "left_anti")))
+        self.shelf.drop(old, merged)
+
+    def in_order(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Rows with their components; those of a group follow each other in one partition."""
+        return self.with_parts(rows).repartition(*by).sortWithinPartitions(*by)
+
+    def compare(self, groups: DataFrame, also: DataFrame | None) -> None:
+        """Compares the members of each group of rows (g, i, id); `also` are ids to be compared later."""
+        own = groups.join(self.classes.select("id", "n", "sketch"), "id")
+        near = self.shelf.put(self.in_order(own, ["g", "i"]).mapInArrow(_plausible(self.percent), "key long, id long").distinct())
+        if self.sets is None:
+            self.sets = self.make_sets(near.select("id") if also is None else near.select("id").union(also))
+        self.merge(self.in_order(near.join(self.sets, "id"), ["key"]).mapInArrow(_linked(self.percent), "u long, v long"))
+        self.shelf.drop(near)
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
-        """Nodes of several components: size, a pivot, hashes of the members, and the largest component."""
+        """Nodes of several components: size, hashes of the members, and the largest component."""
         x = F.xxhash64("id")
-        parts = self.with_parts(rows).groupBy("node", "part").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("node", "id")).alias("one"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
-        return parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", F.struct("n", "part")).alias("main"), F.max_by("one", F.struct("n", "part")).alias("pivot"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("most < size")
+        if self.parts is None:
+            return rows.groupBy("node").agg(F.count("*").alias("size"), F.lit(1).cast("long").alias("most"), F.min("id").alias("main"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2")).where("size > 1")
+        parts = self.with_parts(rows).groupBy("node", "part").agg(F.count("*").alias("n"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
+        return parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", "n").alias("main"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("most < size")
 
     def run(self) -> None:
+        shelf, waiting, level = self.shelf, None, 1
         rows = self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long")
-        for level in range(1, DEPTH + 1):
-            shared = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-            rows = compact(rows.join(shared, "node"))
-            nodes = compact(self.open_nodes(rows))
-            once = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
-            small = compact(rows.join(once.select("node"), "node"))
-            large = compact(rows.join(nodes.where(F.col("size") > SMALL).select("node", "pivot"), "node"))
-            near = self.plausible(small, ["node"])
-            if self.sets is None:
-                self.make_sets(near.select("id").union(large.select("id")))
-            if large.isEmpty():
-                self.merge(self.linked(near))
+        while True:
+            nodes = shelf.put(self.open_nodes(rows))
+            small = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
+            groups = rows.join(small.select("node"), "node").select(F.col("node").alias("g"), F.lit(0).cast("long").alias("i"), "id")
+            large = None
+            if not nodes.where(F.col("size") > SMALL).isEmpty():
+                large = shelf.put(rows.join(nodes.where(F.col("size") > SMALL).select("node"), "node").select("node", "id"))
+                groups = groups.union(self.stars(large))
+            self.compare(groups if waiting is None else groups.union(waiting), large.select("id") if large is not None else None)
+            shelf.drop(nodes, waiting)
+            if large is None:
                 return
-            self.merge(self.linked(near).union(self.confirmed(self.star(large))))
-            left = compact(self.open_nodes(large.select("node", "id")))
-            settled = left.where(F.col("size") - F.col("most") <= SMALL)
-            once = settled.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node")
-            self.settle(self.with_others(large, settled.join(once, "node")), ["node", "i"])
-            large = compact(large.select("node", "id").join(left.where(F.col("size") - F.col("most") > SMALL).select("node", "size"), "node"))
-            if large.isEmpty():
+            left = shelf.put(self.open_nodes(large))
+            others = F.col("size") - F.col("most")
+            ready = (others <= SMALL) | (F.col("size") <= MEDIUM)
+            if left.isEmpty():
                 return
-            if level < DEPTH:
-                rows = large.select("node", "id").join(self.classes.select("id", "mins"), "id").select("node", "id", "mins").mapInArrow(_children(False), "node long, id long")
-        number = F.ceil(F.col("size") / SMALL)
-        own = F.pmod(F.xxhash64("id", "node"), number)
-        blocks = large.select("node", "id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("other")).select("node", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        self.settle(blocks, ["node", "i", "j"])
-
-    def settle(self, rows: DataFrame, by: list[str]) -> None:
-        """Compares all pairs of different components within each group of rows (by, id)."""
-        near = self.plausible(rows, by)
-        if not near.isEmpty():
-            self.merge(self.linked(near))
-
-    def with_others(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
-        """The members of nodes dealt into blocks (node, i, id); members outside the node's main
-        component, at most SMALL of them, go to every block."""
-        number = F.ceil(F.col("size") / SMALL)
-        rows = self.with_parts(large.select("node", "id").join(nodes.select("node", "size", "main"), "node"))
-        own = F.array(F.pmod(F.xxhash64("id", "node"), number))
-        return rows.select("node", "id", F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), number - 1))).alias("i"))
-
-    def star(self, large: DataFrame) -> DataFrame:
-        """Pairs of a member and its node's pivot that look similar by size and sketch."""
-        own = self.classes.select("id", "n", "sketch")
-        pivot = own.select(F.col("id").alias("pivot"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-        percent = self.percent
-
-        def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if len(batch):
-                    same = (matrix(batch.column("sketch"), np.uint8) == matrix(batch.column("sketch2"), np.uint8)).sum(1)
-                    yield batch.select(["u", "v"]).filter(pa.array(same >= ALIKE))
-
-        near = large.where("id <> pivot").select("id", "pivot").distinct().join(own, "id").join(pivot, "pivot").where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        return near.select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v"), "sketch", "sketch2").mapInArrow(alike, "u long, v long")
+            waiting = shelf.put(self.whole(large, left.where(ready)))
+            mixed = large.join(left.where(~ready).select("node"), "node")
+            if left.where(~ready).isEmpty():
+                self.compare(waiting, None)
+                return
+            last, rows = rows, shelf.put(self.bands(mixed) if level == 1 else mixed.join(self.classes.select("id", "mins"), "id").select("node", "id", "mins").mapInArrow(_children(False), "node long, id long"))
+            shelf.drop(last, large, left)
+            level += 1
+
+    def stars(self, large: DataFrame) -> DataFrame:
+        """Members of large nodes in blocks (g, i, id) with their node's pivot; each id in two nodes at most."""
+        few = large.groupBy("id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")).select("id", F.explode("nodes").alias("node"))
+        of = few.groupBy("node").agg(F.ceil(F.count("*") / (SMALL - 1)).alias("blocks"), F.min_by("id", F.xxhash64("id", "node")).alias("pivot"))
+        block = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "id"), "blocks")))
+        return few.join(of, "node").select(F.col("node").alias("g"), F.explode(block).alias("i"), "id")
+
+    def whole(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
+        """All comparisons that are open in these nodes, as groups (g, i, id).
+
+        A node of at most MEDIUM members is one group.  The members of others are dealt into blocks; those outside
+        the main component, at most SMALL of them, go to every block.  Equal nodes come once."""
+        once = nodes.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node").join(nodes.select("node", "size", "main"), "node")
+        number = F.when(F.col("size") <= MEDIUM, F.lit(1)).otherwise(F.ceil(F.col("size") / SMALL)).cast("long")
+        rows = self.with_parts(large.join(once, "node")).withColumn("number", number)
+        own = F.array(F.pmod(F.xxhash64("id", "node"), "number"))
+        return rows.select(F.col("node").alias("g"), F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("number") - 1))).alias("i"), "id")
+
+    def bands(self, rows: DataFrame) -> DataFrame:
+        """Children of nodes by set size: two bands for each member; sets that can be similar share one."""
+        band = F.floor(F.log(F.col("n")) / (math.log(100 / self.percent) * 1.0001)) if self.percent < 100 else F.col("n")
+        return rows.join(self.classes.select("id", "n"), "id").select("node", "id", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("node", "band").alias("node"), "id")
 
     def result(self) -> DataFrame:
-        named = self.classes.select("set_key", "id")
-        named = self.with_parts(named).select("set_key", "part")
-        out = self.signed.join(named, "set_key", "left").select(self.key, "n_shingles", F.coalesce("part", self.key).alias("component_id"))
-        return out.withColumn("kept", F.col(self.key) == F.col("component_id"))
+        named = self.with_parts(self.classes.select("set_key", "id", "copies")).where("copies > 1 or part <> id").select("set_key", "copies", F.col("part").alias("component_id"))
+        out = join_uneven(self.signed.select(self.key, "n_shingles", "set_key"), named, "set_key", "copies", self.signed.count(), "left")
+        return out.select(self.key, "n_shingles", F.coalesce("component_id", self.key).alias("component_id")).withColumn("kept", F.col(self.key) == F.col("component_id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -372,6 +444,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     join = _Join(docs, key, text, shingle, percent)
     join.run()
     unnamed = docs.where(F.col(key).isNull()).select(key, text).mapInArrow(_counts_only(key, text, shingle), f"{key} long, n_shingles long")
+    join.shelf.drop(join.sets)
     return join.result().union(unnamed.select(key, "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 
@@ -385,6 +458,12 @@ def _counts_only(key: str, text: str, k: int):
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, without those whose component has a smaller id."""
-    gone = near_duplicates(docs, key, text, shingle, percent).where("not kept").select(key)
-    return docs.join(gone.distinct().hint("shuffle_hash"), key, "left_anti").select(docs.columns)
+    """The rows of docs, without those whose component has a smaller id; of rows that repeat an id one stays.
+    Rows with a null id stay."""
+    found = near_duplicates(docs, key, text, shingle, percent)
+    gone = found.where("not kept").select(key)
+    again = durable(found.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
+    kept = docs.join(gone.distinct().hint("shuffle_hash"), key, "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return kept
+    return kept.join(again, key, "left_anti").select(docs.columns).union(kept.join(again, key).dropDuplicates([key]).select(docs.columns))
