@@ -6,8 +6,8 @@
 2. In each of TREES independent trees a class walks from the root to child nodes chosen by a hash of the node
    and a minwise token, CHOSEN of them on average.  Two similar sets share tokens and so walk alike.
 3. In a node of at most SMALL classes all pairs are compared: by one byte of each minwise token, and what
-   may be similar on the full shingle sets, likeliest first, unless it is connected by then.  Nodes
-   with equal members are compared once.
+   may be similar on the full shingle sets, unless it is connected by then.  Nodes with equal members
+   are compared once.
 4. The members of a larger node are first dealt into blocks, each with the node's pivot, and a class joins
    in no more than two such nodes; so a large group of copies becomes one component without
    making its pairs.  If all but SMALL of a node's members are one component then, those others are compared with
@@ -44,6 +44,8 @@ from quire.llm.cluster import Shelf, durable, join_uneven
 from quire.llm.components import components
 
 MINS, TREES, CHOSEN, SMALL, MEDIUM, ALIKE = 64, 8, 2, 256, 4096, 38
+#: Shingles of a group that is confirmed in one piece.
+HEAVY = 1 << 21
 #: Bits of the largest filter that is broadcast to keep texts out of the table of full sets.
 FILTER_BITS = 28
 _U = np.uint64
@@ -167,8 +169,8 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.
         yield cut(held)
 
 
-def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of members of different components that may be similar, and their numbers of equal bytes."""
+def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components that may be similar."""
     out = []
     for at in range(0, len(n), SMALL):
         a = slice(at, at + SMALL)
@@ -180,17 +182,17 @@ def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) ->
             x, y = np.nonzero(may)
             for some in range(0, len(x), 1 << 16):
                 i, j = x[some : some + (1 << 16)] + at, y[some : some + (1 << 16)] + to
-                same = (sketch[i] == sketch[j]).sum(1)
-                near = same >= ALIKE
-                out.append((i[near], j[near], same[near]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+                near = (sketch[i] == sketch[j]).sum(1) >= ALIKE
+                out.append((i[near], j[near]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def _plausible(percent: int):
-    """Those members of each group that look similar to others of it, as groups (key, id) of at most SMALL.
+    """Those members of each group that look similar to others of it, as groups (key, id).
 
-    Members that look alike, directly or through others, form a part; one of more than SMALL is
-    cut into blocks, which meet in pairs.  A key is made of a group's ids, so equal groups get the same."""
+    Members that look alike, directly or through others, form a part, and that is a group.  One of more than
+    SMALL members and HEAVY shingles, which takes much memory, is cut into blocks that meet in pairs.  A key
+    is made of a group's ids, so equal groups get the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in runs(batches, ["g", "i"]):
@@ -202,11 +204,11 @@ def _plausible(percent: int):
             two = two[may]
             two = two[(sketch[two] == sketch[two + 1]).sum(1) >= ALIKE]
             pair = np.stack((ids[two], ids[two + 1]), 1)
-            keys, found = [np.repeat(_key(pair), 2)], [pair.ravel()]
+            keys, found = [np.repeat(_key(pair), 2)], [np.stack((two, two + 1), 1).ravel()]
             for a, b in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
                 if (part[a:b] == part[a]).all():
                     continue
-                i, j, _ = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent)
                 if not len(i):
                     continue
                 root = np.arange(b - a)
@@ -217,15 +219,18 @@ def _plausible(percent: int):
                         root = root[root]
                 some = np.unique(np.concatenate((i, j)))
                 some = some[np.argsort(root[some], kind="stable")]
-                for own in np.split(ids[a:b][some], np.flatnonzero(np.diff(root[some])) + 1):
+                weight = n[a:b]
+                for own in np.split(some, np.flatnonzero(np.diff(root[some])) + 1):
                     half = SMALL // 2
-                    blocks = [own] if len(own) <= SMALL else [own[at : at + half] for at in range(0, len(own), half)]
+                    light = len(own) <= SMALL or weight[own].sum() <= HEAVY
+                    blocks = [own + a] if light else [own[at : at + half] + a for at in range(0, len(own), half)]
                     for p in range(len(blocks)):
                         for q in range(p + (len(blocks) > 1), len(blocks)):
                             group = blocks[p] if p == q else np.concatenate((blocks[p], blocks[q]))
-                            keys.append(np.repeat(_key(group[None]), len(group)))
+                            keys.append(np.repeat(_key(ids[group][None]), len(group)))
                             found.append(group)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(found))], ["key", "id"])
+            own = batch.select(["id", "set_key", "n", "sketch"]).take(pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *own.columns], ["key", *own.schema.names])
 
     return run
 
@@ -234,15 +239,53 @@ def _key(groups: np.ndarray) -> np.ndarray:
     return tb.mix(np.bitwise_xor.reduce(tb.mix(groups.astype(np.int64).view(_U)), 1) + np.add.reduce(groups.astype(np.int64).view(_U), 1))
 
 
+def packed(shingle: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column with each document's set: the upper 48 bits of its sorted hashes."""
+    data = np.ascontiguousarray(shingle.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(n * 6))).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(">u8")[:, 0].astype(_U)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     both = np.sort(np.concatenate((x, y)))
     both = np.count_nonzero(both[1:] == both[:-1])
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def forest(part: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs (i, j) of sets, each of which connects two components; part is changed.
+
+    The common shingles of one set and all others are counted at once."""
+    flat, n = np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(n) - n
+    _, flat = np.unique(flat, return_inverse=True)
+    own = np.zeros(int(flat.max()) + 1, bool)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    out = []
+    for x, y in zip(i[np.flatnonzero(np.diff(i, prepend=-1))].tolist(), np.split(j, np.flatnonzero(np.diff(i)) + 1), strict=True):
+        y = y[part[y] != part[x]]
+        if not len(y):
+            continue
+        mine = flat[start[x] : start[x] + n[x]]
+        own[mine] = True
+        both = np.add.reduceat(own[flat], start, dtype=np.int64)[y]
+        own[mine] = False
+        for z in y[100 * both >= percent * (n[x] + n[y] - both)].tolist():
+            if part[z] != part[x]:
+                out.append((x, z))
+                part[part == part[z]] = part[x]
+    return out
+
+
 def _linked(percent: int):
-    """A forest of the links in each group, confirmed on full sets, likeliest first; a pair that is
-    connected by then needs no confirmation."""
+    """A forest of the links in each group, confirmed on full sets; a pair that is connected by then needs
+    no confirmation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in runs(batches, ["key"]):
@@ -250,17 +293,16 @@ def _linked(percent: int):
             sketch, shingles = matrix(batch.column("sketch"), np.uint8), batch.column("shingles")
             us, vs = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                i, j, same = _alike(part[a:b], n[a:b], sketch[a:b], percent)
-                if not len(i):
+                if b - a == 2:
+                    if part[a] != part[a + 1] and similar(unpacked(shingles[a].as_py()), unpacked(shingles[a + 1].as_py()), percent):
+                        us.append(ids[a])
+                        vs.append(ids[a + 1])
                     continue
-                order = np.argsort(-same, kind="stable")
-                sets = [np.frombuffer(shingles[k].as_py(), _U) for k in range(a, b)]
-                root = part[a:b].copy()
-                for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                    if root[x] != root[y] and similar(sets[x], sets[y], percent):
+                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                if len(i):
+                    for x, y in forest(part[a:b].copy(), [unpacked(shingles[k].as_py()) for k in range(a, b)], i, j, percent):
                         us.append(ids[a + x])
                         vs.append(ids[a + y])
-                        root[root == root[y]] = root[x]
             yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], ["u", "v"])
 
     return run
@@ -283,7 +325,7 @@ def _filter_place(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _sets(key: str, text: str, k: int, passes: Callable[[np.ndarray], np.ndarray]):
-    """set_key and full set of the rows whose id passes."""
+    """id, set_key and full set of the rows whose id passes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -291,8 +333,7 @@ def _sets(key: str, text: str, k: int, passes: Callable[[np.ndarray], np.ndarray
                 batch = batch.filter(pa.array(passes(batch.column(key).to_numpy())))
                 for block in tb.blocks(batch.column(text)):
                     shingle, n = block_shingles(block, k)
-                    ends = np.concatenate(([0], np.cumsum(n)))
-                    yield pa.RecordBatch.from_arrays([binary(set_keys(shingle, n)), pa.array([shingle[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["set_key", "shingles"])
+                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(block.first, block.n), binary(set_keys(shingle, n)), packed(shingle, n)], ["id", "set_key", "shingles"])
 
     return run
 
@@ -322,10 +363,10 @@ class _Join:
         return rows.join(own, id_, "left").withColumn(part, F.coalesce(part, id_))
 
     def make_sets(self, ids: DataFrame) -> DataFrame:
-        """id, n, sketch and full set of these ids (and perhaps of others).
+        """id, set_key and full set of the texts with these ids (and perhaps of others).
 
         Other texts are dropped where they are read, by a filter of 16 bits for each id.  For more ids than
-        the largest filter serves the join with them does all the work."""
+        the largest filter serves, later joins alone drop them."""
         wanted = self.shelf.put(ids.select("id").distinct())
         bits = max(10, math.ceil(math.log2(16 * wanted.count() + 1)))
         passes: Callable[[np.ndarray], np.ndarray] = lambda x: np.ones(len(x), bool)
@@ -339,9 +380,10 @@ class _Join:
                 at = _filter_place(x, bits)
                 return (known.value[at >> 6] >> (at & 63) & 1).astype(bool)
 
-        full = self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "set_key binary, shingles binary")
-        own = self.classes.select("set_key", "id", "n", "sketch").join(wanted, "id", "left_semi")
-        out = self.shelf.put(full.join(own, "set_key").dropDuplicates(["set_key"]).drop("set_key"))
+        out = self.shelf.put(self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "id long, set_key binary, shingles binary"))
+        once = out.dropDuplicates(["id", "set_key"])
+        if out.select("id", "set_key").distinct().count() < out.count():  # rows are repeated
+            out = self.shelf.put(once)
         self.shelf.drop(wanted)
         return out
 
@@ -364,11 +406,11 @@ class _Join:
 
     def compare(self, groups: DataFrame, also: DataFrame | None) -> None:
         """Compares the members of each group of rows (g, i, id); `also` are ids to be compared later."""
-        own = groups.join(self.classes.select("id", "n", "sketch"), "id")
-        near = self.shelf.put(self.in_order(own, ["g", "i"]).mapInArrow(_plausible(self.percent), "key long, id long").distinct())
+        own = groups.join(self.classes.select("id", "set_key", "n", "sketch"), "id")
+        near = self.shelf.put(self.in_order(own, ["g", "i"]).mapInArrow(_plausible(self.percent), "key long, id long, set_key binary, n long, sketch binary").distinct())
         if self.sets is None:
             self.sets = self.make_sets(near.select("id") if also is None else near.select("id").union(also))
-        self.merge(self.in_order(near.join(self.sets, "id"), ["key"]).mapInArrow(_linked(self.percent), "u long, v long"))
+        self.merge(self.in_order(near.join(self.sets, ["id", "set_key"]), ["key"]).mapInArrow(_linked(self.percent), "u long, v long"))
         self.shelf.drop(near)
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
@@ -382,6 +424,8 @@ class _Join:
     def run(self) -> None:
         shelf, waiting, level = self.shelf, None, 1
         rows = self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long")
+        shared = rows.groupBy("node").count().where("count > 1").select("node")
+        rows = shelf.put(rows.join(shared, "node"))  # the rest of the job reads these few rows
         while True:
             nodes = shelf.put(self.open_nodes(rows))
             small = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
