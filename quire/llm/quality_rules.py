@@ -1,12 +1,19 @@
 """Quality rules with risk-controlled thresholds.
 
 Base rules count words, symbols, repeated lines and repeated 8-word windows.  On top of them each
-*statistic* of a text gets a cutoff per *stratum* (length class).  A cutoff is only used if an exact
-binomial test on labelled good texts shows, with Bonferroni's correction over all strata and
-statistics and fixed-sequence testing over the cutoffs, that it wrongly rejects at most
-``risk / number of statistics`` of the good texts of that stratum.  So with probability
-``1 - delta`` all strata together keep the promise: at most ``risk`` of good texts are rejected.
-A stratum with too few labelled texts proves nothing and gets no cutoff.
+*statistic* of a text gets a cutoff per *stratum* (length class), so that at most the share `risk` of the
+good texts of each stratum is rejected, in all strata together with probability ``1 - delta``:
+
+1. A quarter of the labelled texts, by a hash of their id, proposes for each stratum a chain of rules.  A rule is a
+   cutoff for each statistic; each rule of a chain rejects all that the one before rejects.  The chain begins
+   with the statistic that catches most bad texts without a good one.
+2. The other labelled texts, the holdout, test the chain: an exact binomial test at level ``delta`` / strata
+   (Bonferroni's correction) must refute that a rule rejects more than `risk` of the good texts.  The tests go along
+   the chain and end at the first rule that is not refuted (fixed-sequence testing).
+3. Of the rules passed that one is taken which rejects most bad texts, a good one counting as five.
+
+A stratum needs ln(delta / strata) / ln(1 - risk) good texts in the holdout, 436 by the standard values, to
+get a rule; with fewer it proves nothing and rejects nothing.
 
 Defined results: null text counts as empty, has no word and fails the base rule; repeated rows and
 null ids are judged row by row; an empty table gives an empty result; only the named key and
@@ -24,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textblock as tb
+from quire.llm.cluster import Shelf
 
 WINDOW = 8
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -31,6 +39,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATISTICS = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "digit_share", "same_word_share", "long_words")
 #: Strata by number of words: below 20, 100, 500, and the rest.
 STRATA = (20, 100, 500)
+#: Shares of the proposing good texts that the rules of a chain may reject.
+SHARES = (0, 0.0005, 0.001, 0.002, 0.005)
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
 MARKS = np.isin(np.arange(256), list(b"!?#*$%&|<>=+~^_{}[]\\@"))
@@ -89,15 +99,14 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def controlled_cutoffs(statistics: np.ndarray, words: np.ndarray, good: np.ndarray, risk: float, delta: float, grid: int = 200) -> np.ndarray:
-    """cutoffs[stratum, statistic]; values above a cutoff are rejected, inf rejects nothing.
-
-    For each stratum and statistic the candidates are midpoints between labelled values, from the largest
-    down, at most `grid` of them.  Each is tested at level delta / (strata * statistics) on the good
-    texts: H0 says that it rejects more than risk / statistics of them.  The walk ends at the first that
-    is not refuted.  Of the cutoffs passed that one is taken which rejects most bad texts, a good one
-    counting as five, and of equal ones that in the widest gap between values."""
-    return cutoffs_from_counts(histogram(statistics, words, good), statistics.shape[1], risk, delta, grid)
+def controlled_cutoffs(statistics: np.ndarray, words: np.ndarray, good: np.ndarray, proposing: np.ndarray, risk: float, delta: float) -> np.ndarray:
+    """cutoffs[stratum, statistic] of labelled texts held in arrays; values above a cutoff are rejected, inf
+    rejects nothing.  `proposing` marks the texts that propose rules; the others test them."""
+    chains = rule_chains(histogram(statistics[proposing], words[proposing], good[proposing]), statistics.shape[1])
+    rest = ~proposing
+    stratum = np.searchsorted(STRATA, words[rest], "right")
+    first = first_rules(statistics[rest], stratum, chains)
+    return tested(chains, stratum, first, good[rest].astype(int), (~good[rest]).astype(int), risk, delta)
 
 
 def cells(values: np.ndarray) -> np.ndarray:
@@ -121,31 +130,59 @@ def histogram(statistics: np.ndarray, words: np.ndarray, good: np.ndarray, cell:
     return {"stratum": stratum[first], "kind": kind[first], "cell": cell[first], "least": least, "most": most, "good": add(ok), "bad": add(~ok)}
 
 
-def cutoffs_from_counts(counts: dict[str, np.ndarray], kinds: int, risk: float, delta: float, grid: int = 200) -> np.ndarray:
-    """controlled_cutoffs from a histogram; the candidates lie between its cells."""
-    strata = len(STRATA) + 1
-    out = np.full((strata, kinds), np.inf)
-    level, share = delta / (strata * kinds), risk / kinds
-    for s in range(strata):
-        for j in range(kinds):
-            own = np.flatnonzero((counts["stratum"] == s) & (counts["kind"] == j))
-            own = own[np.argsort(-counts["least"][own])]
-            least, most, good, bad = (counts[k][own] for k in ("least", "most", "good", "bad"))
-            ok = int(good.sum())
-            if len(own) < 2 or not ok or not bad.sum():
-                continue
-            middle, gap = (least[:-1] + most[1:]) / 2, least[:-1] - most[1:]
-            wrong, caught = np.cumsum(good)[:-1], np.cumsum(bad)[:-1]
-            few = np.searchsorted(wrong, int(share * ok) + 2)
-            # the widest gaps of the candidates, in the order of the walk
-            steps = np.sort(np.argsort(-gap[:few], kind="stable")[:grid])
-            passed = []
-            for i in steps:
-                if binomial_tail(int(wrong[i]), ok, share) > level:
-                    break
-                passed.append((caught[i] - 5 * wrong[i], gap[i], middle[i]))
-            if passed and max(passed)[0] > 0:
-                out[s, j] = max(passed)[2]
+def rule_chains(counts: dict[str, np.ndarray], kinds: int) -> list[np.ndarray]:
+    """For each stratum a chain of rules, chain[rule, statistic], from the histogram of the proposing texts.
+
+    For each share of SHARES and each statistic the best cutoff that rejects at most that share of the good texts
+    joins the rule, if it catches more bad texts than five times the good ones."""
+    out = []
+    for s in range(len(STRATA) + 1):
+        now, chain = np.full(kinds, np.inf), []
+        for share in SHARES:
+            offers = []
+            for j in range(kinds):
+                own = np.flatnonzero((counts["stratum"] == s) & (counts["kind"] == j))
+                own = own[np.argsort(-counts["least"][own])]
+                least, most, good, bad = (counts[k][own] for k in ("least", "most", "good", "bad"))
+                wrong, caught = np.cumsum(good)[:-1], np.cumsum(bad)[:-1]
+                may = np.flatnonzero((wrong <= share * good.sum()) & (caught > 5 * wrong))
+                if len(may) and good.sum():
+                    middle, gap = (least[:-1] + most[1:]) / 2, least[:-1] - most[1:]
+                    i = max(may.tolist(), key=lambda i: (caught[i] - 5 * wrong[i], gap[i]))
+                    offers.append((-int(caught[i] - 5 * wrong[i]), j, middle[i]))
+            for _, j, cutoff in sorted(offers):
+                if cutoff < now[j]:
+                    now[j] = cutoff
+                    chain.append(now.copy())
+        out.append(np.array(chain).reshape(-1, kinds))
+    return out
+
+
+def first_rules(statistics: np.ndarray, stratum: np.ndarray, chains: list[np.ndarray]) -> np.ndarray:
+    """The place of the first rule of its stratum's chain that rejects each text; the chain's length if none does."""
+    out = np.zeros(len(stratum), np.int64)
+    for s, chain in enumerate(chains):
+        own = np.flatnonzero(stratum == s)
+        out[own] = len(chain)
+        for r in range(len(chain) - 1, -1, -1):
+            out[own[(statistics[own] > chain[r]).any(1)]] = r
+    return out
+
+
+def tested(chains: list[np.ndarray], stratum: np.ndarray, first: np.ndarray, good: np.ndarray, bad: np.ndarray, risk: float, delta: float) -> np.ndarray:
+    """cutoffs[stratum, statistic] from the numbers of good and bad holdout texts by stratum and first rule."""
+    out = np.full((len(chains), chains[0].shape[1]), np.inf)
+    for s, chain in enumerate(chains):
+        own = stratum == s
+        n = int(good[own].sum())
+        passed = []
+        for r in range(len(chain)):
+            wrong, caught = (int(x[own & (first <= r)].sum()) for x in (good, bad))
+            if not n or binomial_tail(wrong, n, risk) > delta / len(chains):
+                break
+            passed.append((caught - 5 * wrong, -r))
+        if passed and max(passed)[0] > 0:
+            out[s] = chain[-max(passed)[1]]
     return out
 
 
@@ -179,17 +216,34 @@ def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], list(found))
 
 
+def _rule_counts(chains: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stratum = np.searchsorted(STRATA, batch.column("n_words").to_numpy(), "right")
+            first = first_rules(np.stack([batch.column(k).to_numpy() for k in STATISTICS], 1), stratum, chains)
+            yield pa.RecordBatch.from_arrays([pa.array(stratum), pa.array(first), batch.column("good")], ["stratum", "first", "good"])
+
+    return run
+
+
 def fit_cutoffs(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", risk: float = 0.01, delta: float = 0.05) -> np.ndarray:
     """Cutoffs from all labelled rows.
 
-    Texts are measured where they stand and only the numbers are joined with the labels; a histogram comes
-    to the driver, whose size does not grow with the rows.  Texts that fail the base rules take no part."""
+    Texts are measured once, where they stand, and only the numbers are joined with the labels and kept for the
+    two steps; a histogram of fixed resolution and counts by rule come to the driver.  Texts that fail the
+    base rules take no part."""
     known = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg((F.min("quality") == 1).alias("good"))
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, base_failed boolean, " + ", ".join(f"{k} double" for k in STATISTICS)
     rows = docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(_measure(key, text, None, "statistics"), schema).where("not base_failed")
-    found = rows.join(known, key).select("good", "n_words", *STATISTICS).mapInArrow(_cell_counts, "stratum long, kind long, cell long, least double, most double, good long, bad long")
+    shelf = Shelf(docs.sparkSession)
+    rows = shelf.put(rows.join(known, key).select((F.pmod(F.xxhash64(key), F.lit(4)) == 0).alias("proposing"), "good", "n_words", *STATISTICS))
+    found = rows.where("proposing").drop("proposing").mapInArrow(_cell_counts, "stratum long, kind long, cell long, least double, most double, good long, bad long")
     got = found.groupBy("stratum", "kind", "cell").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
-    return cutoffs_from_counts({k: got.column(k).to_numpy() for k in got.column_names}, len(STATISTICS), risk, delta)
+    chains = rule_chains({k: got.column(k).to_numpy() for k in got.column_names}, len(STATISTICS))
+    held = rows.where("not proposing").drop("proposing").mapInArrow(_rule_counts(chains), "stratum long, first long, good boolean")
+    got = held.groupBy("stratum", "first").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).toArrow()
+    shelf.drop(rows)
+    return tested(chains, *(got.column(k).to_numpy() for k in ("stratum", "first", "good", "bad")), risk, delta)
 
 
 def judge(docs: DataFrame, cutoffs: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
