@@ -11,12 +11,16 @@ Work stays in the partition that read the texts: nothing is shuffled, and a lost
 partition is packed again alike, for the order of rows in a file split is fixed.  Sequence ids are
 the partition's number times 2**32 plus a counter.
 
+Ids are those of the tokenizer file without added special tokens at the ends; a special token's string within a
+text is that token, as the tokenizers library has it.
+
 Defined results: null text is empty, so its document is the end id alone; repeated rows and null
 ids are packed like any other row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -101,17 +105,23 @@ class Packer:
         return self.sequences - 1
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
+def special_tokens(json_path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file, by their strings."""
+    with open(json_path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], key: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """One row for each piece: key, start, length, ids (binary, little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
 
-    Sequences that are not full are to be padded to the capacity."""
+    Sequences that are not full are to be padded to the capacity.  `special` has the tokenizer's added tokens."""
     docs.sparkSession.sparkContext.addFile(ranks_path)
     name = ranks_path.rsplit("/", 1)[-1]
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=read_ranks(SparkFiles.get(name)), special_tokens={}).encode_ordinary
+        encode = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=read_ranks(SparkFiles.get(name)), special_tokens=special).encode
         first = TaskContext.get().partitionId() << 32
         packer = Packer(capacity)
         out: list[tuple] = []
@@ -137,7 +147,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", te
             kind = batch.column(key).type
             for doc, value in zip(batch.column(key), batch.column(text), strict=True):
                 doc = doc.as_py()
-                ids = np.array(encode(value.as_py() or ""), "<u4").tobytes() + end
+                ids = np.array(encode(value.as_py() or "", allowed_special="all"), "<u4").tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
