@@ -3,8 +3,11 @@
 A text is cut into tokens: runs of letters, digits and +/_.- or single other marks.  The field tags
 each token as secret begin (B), inside (I) or outside (O).  A token's features are its shape, the shapes of its
 neighbours, the key words before it, and its file (share of digits, number of assignments).  It
-is trained in numpy by the gradient of the exact log-likelihood on a bounded sample whose tags are
-the base patterns' secrets.  Decoding is exact Viterbi: where the score of O leads by more than any
+is trained in numpy by the gradient of the exact log-likelihood on a bounded sample.  The tags are
+the base patterns' secrets, which alone would only teach the field to repeat the patterns; so in some
+windows the marks and key words around a secret are hidden, and other windows get made-up keys of forms
+that the patterns don't know (see planted).  Numbers, dates, addresses and the like are made up as well and
+tagged as plain.  Decoding is exact Viterbi: where the score of O leads by more than any
 change of two transitions can give back, every best path passes through O, so the chain is cut there and
 only the runs between are decoded, many at a time.
 
@@ -208,29 +211,73 @@ def fit_field(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate
     return Field(weights.astype(np.float32), transitions.astype(np.float32))
 
 
-def training_rows(texts: list[str], width: int = 32, plain: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows of tokens with tags from the base patterns: all with a secret, and `plain` others of each text."""
+# Beginnings of keys, names that introduce them, and the characters of their bodies.
+KEY_STARTS = ("", "", "", "ghp_", "sk-", "xoxb-", "glpat-", "npm_", "pk_live_", "eyJ")
+INTRODUCTIONS = ("", "", "bearer ", "auth: ", "credential = '", 'pwd="', "key: ", "with ", "use ")
+BODIES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def planted(rng: np.random.Generator) -> tuple[str, int, int]:
+    """A made-up key with its introduction, and where the key is in it."""
+    lead = INTRODUCTIONS[rng.integers(len(INTRODUCTIONS))]
+    body = BODIES[rng.integers(len(BODIES))]
+    while True:
+        made = "".join(body[i] for i in rng.integers(0, len(body), int(rng.integers(20, 49))))
+        if sum(c.isdigit() for c in made) >= 3 and sum(c.isalpha() for c in made) >= 3:
+            break
+    key = KEY_STARTS[rng.integers(len(KEY_STARTS))] + made
+    return lead + key + ("'" if lead.endswith("'") else '"' if lead.endswith('"') else ""), len(lead), len(lead) + len(key)
+
+
+def plain(rng: np.random.Generator) -> str:
+    """A made-up string of digits and marks that is no secret."""
+    n = lambda a, b: str(rng.integers(a, b))
+    word = "".join(chr(i) for i in rng.integers(97, 123, int(rng.integers(4, 12))))
+    made = [f"{n(1900, 2100)}-{n(1, 13)}-{n(1, 29)}", f"{n(0, 256)}.{n(0, 256)}.{n(0, 256)}.{n(0, 256)}", f"+{n(1, 99)}-{n(100, 999)}-{n(1000, 9999)}", n(10**8, 10**16), f"{word}{n(1, 9999)}@{word}.org", f"https://{word}.com/{word}/{n(1, 10**6)}", f"{word}-{word}-{word}-{word}", f"{word}_{n(1, 99)}.{word}", word * 4, f"v{n(1, 9)}.{n(0, 99)}.{n(0, 999)}", f"{word.upper()}{n(10, 99)}"]
+    return made[rng.integers(len(made))]
+
+
+def training_rows(texts: list[str], width: int = 32, others: int = 2, made: float = 0.5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of tokens with tags: all around a secret, and `others` of each text.
+
+    The share `made` of the texts gets a made-up key, and the same share a string that is none."""
     rng, out = np.random.default_rng(1), []
     for text in texts:
+        keys = []
+        for kind in range(2):
+            if rng.random() < made:
+                spaces = [i for i, c in enumerate(text) if c == " "]
+                at = spaces[rng.integers(len(spaces))] + 1 if spaces else len(text)
+                new, a, b = planted(rng) if kind else (plain(rng), 0, 0)
+                text = f"{text[:at]}{new} {text[at:]}"
+                keys += [(len(text[: at + a].encode()), len(text[: at + b].encode()))] * kind
         raw = np.frombuffer(text.encode(), np.uint8)
         block = tb.Block(0, raw, np.array([0, len(raw)]))
         t = tokens(block)
         if len(t.start) < width:
             continue
         f, y = features(block, t), np.zeros(len(t.start), np.int64)
-        for _, _, end, secret in base_spans(block)[0]:
-            own = np.flatnonzero((t.start < end) & (t.end > secret))
+        for start, end in [*((secret, end) for _, _, end, secret in base_spans(block)[0]), *keys]:
+            own = np.flatnonzero((t.start < end) & (t.end > start))
             y[own] = 2
             y[own[:1]] = 1
         marked = np.flatnonzero(y == 1)
         starts = [min(max(0, int(i) - int(rng.integers(4, width - 4))), len(y) - width) for i in marked]
-        starts += rng.integers(0, len(y) - width + 1, plain).tolist()
-        out += [(f[s : s + width], y[s : s + width]) for s in starts]
+        starts += rng.integers(0, len(y) - width + 1, others).tolist()
+        for s in starts:
+            own, tags = f[s : s + width].copy(), y[s : s + width]
+            long_ = np.isin(np.arange(s, s + width), marked) & (t.end - t.start >= 16)[s : s + width]
+            if long_.any() and rng.random() < 0.5:  # the shape alone must do: no marks, no key words
+                own[:, 1:4] = OFFSETS[1:4] + 20
+                own[:, 6:9] = OFFSETS[6:9]
+            out.append((own, tags))
     return out
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 6000, max_chars: int = 8000) -> Field:
-    """A field from at most sample_rows texts of at most max_chars characters (a documented bound)."""
+    """A field from at most sample_rows texts of at most max_chars characters (a documented bound).
+
+    Spans of kind crf are what it adds to the base patterns."""
     few = bounded_sample(docs.select(key, text), key, sample_rows, max_chars).select(text).toArrow()
     return fit_field(training_rows(few.column(0).to_pylist()))
 
