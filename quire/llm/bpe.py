@@ -3,9 +3,9 @@
 Texts are split by the vocabulary's pattern.  The pieces that a worker has not met yet are put
 into padded matrices of similar length; in each round every row merges its leftmost pair of least
 rank, looked up in a hash table of pairs, and rows without a pair are taken out (compaction).
-Encoded pieces are kept in a memo of bounded size.  A piece of more than LONG bytes would make
-rounds times width grow with the square of its length, so it is merged with a heap instead; the
-merges are the same ones in the same order.
+Encoded pieces are kept in a memo of bounded size.  Rounds times width grow with the square of a piece's length,
+so a piece of more than `long_bytes` bytes (a parameter, 4096) is merged with a heap instead; the merges are
+the same ones in the same order.
 
 Defined results: null text is empty and gives no ids; special tokens' strings are ordinary text;
 repeated rows are encoded row by row; an empty table gives an empty result.
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,10 +25,10 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-LONG = 256
+LONG_BYTES = 4096
 MEMO_PIECES = 400_000
 NONE = np.int32(2**31 - 1)
-_WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
+_WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32)
 
 
 def rust_classes(pattern: str) -> str:
@@ -80,8 +81,9 @@ class PairTable:
 class Vocabulary:
     """Ranks of a byte-level BPE, its pattern, and the memo of encoded pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, long_bytes: int = LONG_BYTES):
+        self.ranks, self.long_bytes = ranks, long_bytes
+        self.widths = [*(w for w in _WIDTHS if w < long_bytes), *(min(long_bytes, 64 << i) for i in range(max(0, math.ceil(math.log2(long_bytes / 64))) + 1))]
         self.find = regex.compile(rust_classes(pattern)).findall
         self.token = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
@@ -161,19 +163,19 @@ class Vocabulary:
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes the pieces into the memo, in buckets of similar length."""
-        buckets: dict[int, tuple[list[str], list[bytes]]] = {w: ([], []) for w in _WIDTHS}
+        buckets: dict[int, tuple[list[str], list[bytes]]] = {w: ([], []) for w in self.widths}
         for piece in pieces:
             raw = piece.encode()
             if (i := self.ranks.get(raw)) is not None:
                 self.memo[piece] = i.to_bytes(4, "little")
-            elif len(raw) > LONG:
+            elif len(raw) > self.long_bytes:
                 self.memo[piece] = self.merge_long(raw)
             else:
-                names, rows = buckets[next(w for w in _WIDTHS if w >= len(raw))]
+                names, rows = buckets[next(w for w in self.widths if w >= len(raw))]
                 names.append(piece)
                 rows.append(raw)
         for width, (names, rows) in buckets.items():
-            step = max(256, (1 << 18) // width)
+            step = max(64, (1 << 18) // width)
             for at in range(0, len(rows), step):
                 self.memo.update(zip(names[at : at + step], self.merge_rows(rows[at : at + step], width), strict=True))
 
@@ -196,12 +198,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(2)
-def vocabulary(name: str, pattern: str) -> Vocabulary:
+def vocabulary(name: str, pattern: str, long_bytes: int) -> Vocabulary:
     """One vocabulary for each worker process."""
-    return Vocabulary(read_ranks(SparkFiles.get(name)), pattern)
+    return Vocabulary(read_ranks(SparkFiles.get(name)), pattern, long_bytes)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", long_bytes: int = LONG_BYTES) -> DataFrame:
     """key, ids (binary, little-endian unsigned 32-bit) and decoded (binary) of each row.
 
     The rank file is sent to the executors with Spark's addFile; it is of the size of a vocabulary."""
@@ -209,7 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     name = ranks_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(name, pattern)
+        words = vocabulary(name, pattern, long_bytes)
         for batch in batches:
             column, at = batch.column(text), 0
             while at < len(batch):
