@@ -96,8 +96,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int, max_chars: int, text: str
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, max_chars: int, parts: int, part: int) -> tuple[list[str], list[int]]:
     """Texts and labels (0 or 1) for fitting, at most `rows` of each label and none that is held out.
 
-    Rows are taken in the order of a hash of the key; longer texts than max_chars are passed over."""
+    Ids are taken in the order of a hash of the key, and of each one row; longer texts than max_chars are passed
+    over before ids are taken, so others take their place."""
     open_ = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key, parts, part)).groupBy(key).agg(F.max(label).alias("y"))
+    short = docs.where((F.length(text) <= max_chars) & F.col(key).isNotNull()).select(key)
+    open_ = open_.join(short, key, "left_semi")
     few = [first_by_hash(open_.where(f"y = {y}"), key, rows) for y in (0, 1)]
-    got = docs.select(key, text).where(F.length(text) <= max_chars).join(F.broadcast(few[0].union(few[1])), key).select(F.col(text).alias("text"), "y").toArrow()
+    got = docs.select(key, text).where(F.length(text) <= max_chars).join(F.broadcast(few[0].union(few[1])), key).groupBy(key, "y").agg(F.max(text).alias("text")).select("text", "y").toArrow()
     return got.column("text").to_pylist(), got.column("y").to_pylist()

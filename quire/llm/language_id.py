@@ -105,9 +105,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     open_ = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key, 4, 2))
     totals = open_.select(text).mapInArrow(_frequencies(text), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().set_index("bucket")["n"]
     idf = np.log((1 + totals.get(-1, 0)) / (1 + totals.reindex(range(BUCKETS), fill_value=0).to_numpy())).astype(np.float32) + 0.05
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    few = open_.where(F.length(text) <= max_chars).select(key, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_rows).select(key).distinct()
-    sample = open_.where(F.length(text) <= max_chars).select(key, text, lang).join(F.broadcast(few), key).select(text, lang).toArrow().combine_chunks()
+    short = open_.where(F.length(text) <= max_chars).select(key, text, lang, F.xxhash64(key).alias("place"))
+    # of each language the share that holds about twice the rows wanted, by the hash, so that no task gets a whole language
+    shares = short.groupBy(lang).count().collect()
+    share = F.coalesce(*(F.when(F.col(lang) == r[lang], F.lit(min(1.0, 2 * sample_rows / r["count"]))) for r in shares), F.lit(0.0))
+    thin = short.where(F.pmod("place", F.lit(1 << 40)) < (share * float(1 << 40)).cast("long")).drop("place")
+    number = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
+    sample = thin.withColumn("number", number).where(F.col("number") <= sample_rows).select(text, lang).toArrow().combine_chunks()
     names = np.array(sample.column(lang).to_pylist(), object)
     languages = sorted(set(names.tolist()))
     found: list[tuple[int, np.ndarray]] = []
