@@ -1,8 +1,14 @@
 """Corpus pipeline: quality rules, quality classifier, near-duplicates, secrets, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  Thresholds and
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes each stage's
+rows to the shared folder before the next one reads them, so no stage is computed twice.  Thresholds and
 models come from the labelled rows of the input tables, so they do not depend on what earlier
-stages left over.
+stages left over; only the secret scan's field is fitted on the documents it masks.
+
+Defined results, at every stage: a null text is an empty one (the base rules reject it, as they do every text of fewer
+than 20 words); rows with a null doc_id are judged like others and no near-duplicate of any row; of rows that
+repeat a doc_id one stays; extra columns pass through the filters unread, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import near_dedup, packing, quality_model, quality_rules, secrets
-from quire.llm.cluster import table
+from quire.llm.cluster import Shelf, table
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +44,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids and their places in the sequences."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "sequence_id", "offset", "start", "length", "doc_tokens", "ids")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.special_tokens(public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "sequence_id", "offset", "start", "length", "doc_tokens", "ids")
 
 
 STAGES = [
@@ -53,7 +59,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    shelf, docs = Shelf(spark), table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, shelf.put(stage(spark, docs, sf_dir))
+        shelf.drop(before)
     return docs
