@@ -29,10 +29,21 @@ def skip_reason(text: Column, least: int = 400) -> Column:
     return F.when(F.length(F.trim(text)) < least, "content_too_short")
 
 
-def http_status(reason: Column) -> Column:
-    """The status that a failure's reason names, else 502 for provider errors, 404 for missing things, 400."""
-    named = F.regexp_extract(reason, r"status=(\d{3})", 1)
-    return F.when(F.length(named) == 3, named.cast("int")).when(reason.contains("not_found"), 404).when(reason.startswith("provider"), 502).otherwise(400)
+def http_status(reason: Column, kind: str = "section_task") -> Column:
+    """The status of a failure by its reason, for section tasks, unit content and reparsing.
+
+    A section task or a reparse takes a named status from 400 to 599.  Then things not found are 404, and all else is
+    400; a reparse knows 400 for what the caller did wrong, else 500."""
+    lowered = F.lower(F.trim(reason))
+    named = F.regexp_extract(reason, r"status=(\d{3})", 1).try_cast("int")
+    named = F.when(named.between(400, 599), named)
+    missing = F.when(lowered.contains("not found"), 404).otherwise(400)
+    if kind == "unit_content":
+        return missing
+    if kind == "reparse":
+        wrong = lowered.contains("bad_request") | lowered.contains("cannot be empty") | lowered.contains("unsupported") | lowered.contains("unknown parser_mode")
+        return F.coalesce(named, F.when(wrong, 400).otherwise(500))
+    return F.coalesce(named, missing)
 
 
 def provider_reason(status: Column, message: Column) -> Column:

@@ -36,13 +36,24 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_chars(text: Column, chars: str) -> Column:
+    """Number of characters of a set."""
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def count_class(text: Column, pattern: str) -> Column:
+    """Number of characters of a class, taken out in runs, which is cheaper than matching them one by one."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
+
+
 def estimate_tokens(text: Column) -> Column:
-    """CJK, kana and hangul count one each, four ASCII characters count one, others one; at least 1 unless empty."""
+    """Four ASCII characters count one, all others one each, white space nothing; at least 1 unless empty.
+
+    CJK, kana and hangul are among the others, so one class is enough."""
     text = F.coalesce(text, F.lit(""))
-    cjk, hangul = matches(text, CJK_KANA), matches(text, HANGUL)
-    ascii_ = matches(text, r"[\x21-\x7e\x00-\x08\x0e-\x1b\x7f]")
-    solid = matches(text, r"(?U)\S")
-    total = cjk + hangul + F.floor((ascii_ + 3) / 4) + (solid - ascii_ - cjk - hangul)
+    rest = F.regexp_replace(text, r"[\x21-\x7e\x00-\x08\x0e-\x1b\x7f]+", "")
+    solid = F.length(F.regexp_replace(rest, r"(?U)[\s\x1c-\x1f]+", ""))
+    total = F.floor((F.length(text) - F.length(rest) + 3) / 4) + solid
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), total)).cast("long")
 
 
@@ -91,7 +102,15 @@ def budget(window: int, target: int, share: float) -> int:
     return max(1, min(target, int(window * share)))
 
 
-def near_chunk_threshold(score: Column, base: int = 2, low: int = 1, high: int = 4) -> Column:
-    """One more for a good score, one less for a poor one, within bounds."""
-    moved = F.when(score < 1.0, base + 1).when(score > 1.28, base - 1).otherwise(base)
-    return F.least(F.lit(high), F.greatest(F.lit(low), moved))
+def near_chunk_threshold(score: Column, mode: Column, base: int = 2, low: int = 1, high: int = 4) -> Column:
+    """How near a chunk must be to count as the same place, by the best score and the answer mode, within bounds.
+
+    A strict answer gets one more below 1.00 and one less over 1.08, a cautious one always one less; a rejected one, or
+    one without hits (score null), keeps the base."""
+    step = F.when((mode == "strict") & (score < 1.00), 1).when((mode == "strict") & (score > 1.08), -1).when((mode == "cautious") & score.isNotNull(), -1).otherwise(0)
+    return F.least(F.lit(high), F.greatest(F.lit(low), F.lit(base) + step))
+
+
+def context_budget(context_tokens: Column, prompt_tokens: Column, fixed_tokens: Column, reserved: Column) -> Column:
+    """Tokens left for context: its own limit, or what the prompt's limit leaves beside fixed parts and the answer."""
+    return F.greatest(F.lit(0), F.least(context_tokens, prompt_tokens - fixed_tokens - reserved))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,25 +46,33 @@ def unit_sections(units: DataFrame, sections: DataFrame) -> DataFrame:
     return ids.join(sections.select("doc_id", "section_id", "section_index"), ["doc_id", "section_id"])
 
 
-def task_mode(units: DataFrame) -> DataFrame:
-    """direct, split or merged: how the sections of a document became units."""
-    rows = units.groupBy("doc_id").agg(F.max(F.size("source_section_ids")).alias("most"), F.count("*").alias("n"))
-    return rows.select("doc_id", F.when(F.col("most") > 1, "merged").when(F.col("n") > 1, "split").otherwise("direct").alias("task_mode"))
-
-
-def validate(sections: DataFrame) -> DataFrame:
-    """doc_id, warning, n: what is wrong with a document's sections, one aggregation for all checks."""
-    order = Window.partitionBy("doc_id").orderBy("section_index")
-    rows = sections.withColumn("before", F.lag("char_end").over(order))
-    counts = rows.groupBy("doc_id").agg(
-        (F.count("*") - F.countDistinct("section_id")).alias("duplicate_section_ids"),
-        F.count_if(F.length(F.trim(F.coalesce("content", F.lit("")))) == 0).alias("empty_sections"),
-        F.count_if(F.col("before") > F.col("char_start")).alias("overlapping_sections"),
-        F.count_if(F.col("before") < F.col("char_start")).alias("gaps"),
-        F.count_if(F.col("chapter_seq").isNull()).alias("sections_without_chapter"),
-    )
-    names = [c for c in counts.columns if c != "doc_id"]
-    return counts.unpivot(["doc_id"], names, "warning", "n").where("n > 0")
+def task_mode(sections: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, section_id, task_mode of each section by the units (doc_id, unit_id, source_section_ids) that have it.
+
+    No unit: direct; a unit of several sections: merged; several units: split; one unit of this section alone: direct."""
+    own = units.select("doc_id", "unit_id", F.size("source_section_ids").alias("sources"), F.explode(F.array_distinct("source_section_ids")).alias("section_id"))
+    own = own.groupBy("doc_id", "section_id").agg(F.max("sources").alias("most"), F.count("*").alias("n"))
+    mode = F.when(F.col("n").isNull(), "direct").when(F.col("most") > 1, "merged").when(F.col("n") > 1, "split").otherwise("direct")
+    return sections.select("doc_id", "section_id").join(own, ["doc_id", "section_id"], "left").select("doc_id", "section_id", mode.alias("task_mode"))
+
+
+def validate(chapters: DataFrame, sections: DataFrame, units: DataFrame) -> DataFrame:
+    """doc_id, warning, subject, n: what is wrong with a document's hierarchy.
+
+    Chapters have chapter_id; sections stand in one (chapter_id) and name one (parent_chapter_id), or in none, which is
+    the old form; units stand in a section (section_id) and name one (parent_section_id) or none.  Each repeated id
+    warns once for every row after its first."""
+
+    def repeated(rows: DataFrame, key: str, warning: str) -> DataFrame:
+        return rows.groupBy("doc_id", F.col(key).alias("subject")).agg((F.count("*") - 1).alias("n")).where("n > 0").select("doc_id", F.lit(warning).alias("warning"), "subject", "n")
+
+    placed = sections.where("chapter_id is not null")
+    parent = placed.where(~F.col("parent_chapter_id").eqNullSafe(F.col("chapter_id"))).groupBy("doc_id", F.col("section_id").alias("subject")).agg(F.count("*").alias("n")).select("doc_id", F.lit("section_parent_mismatch").alias("warning"), "subject", "n")
+    strayed = units.where("parent_section_id is not null and parent_section_id <> section_id").groupBy("doc_id", F.col("unit_id").alias("subject")).agg(F.count("*").alias("n")).select("doc_id", F.lit("task_unit_parent_section_mismatch").alias("warning"), "subject", "n")
+    old = sections.groupBy("doc_id").agg(F.count_if(F.col("chapter_id").isNull()).alias("legacy")).where("legacy > 0")
+    old = old.join(chapters.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.lit("legacy_sections_present").alias("warning"), F.lit("").alias("subject"), F.lit(1).cast("long").alias("n"))
+    out = [repeated(chapters, "chapter_id", "duplicate_chapter_id"), repeated(placed, "section_id", "duplicate_hierarchy_section_id"), parent, strayed, repeated(units, "unit_id", "duplicate_task_unit_id"), old]
+    return reduce(DataFrame.union, out)
 
 
 def replace_sections(sections: DataFrame, changed: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from quire.functions.text import SENTENCE_END, line_key, matches, strip
 
 
-def explode_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, char_start and char_end (code points, end without the line break).
+def explode_lines(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more columns, line_no, line, char_start and char_end (code points, end without the line break).
 
     Offsets are a running sum over the lines of a document, so one shuffle by document."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
     return rows.withColumn("char_start", start.cast("long")).withColumn("char_end", (start + F.length("line")).cast("long"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import estimate_tokens, line_key, squared_distance
+from quire.functions.text import estimate_tokens, line_key
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1200, step: int = 1000) -> DataFrame:
@@ -38,11 +40,41 @@ def merge_windows(windows: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """The k nearest rows by squared distance to one query vector, ties by id; a top-k report."""
-    wanted = F.array(*[F.lit(float(x)) for x in query])
-    fits = F.col("embedding").isNotNull() & (F.size("embedding") == len(query))
-    return vectors.where(fits).select("vec_id", F.round(squared_distance(F.col("embedding"), wanted), 5).alias("score")).orderBy("score", "vec_id").limit(k)
+def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "distance", block: int = 4000) -> DataFrame:
+    """query_id, vec_id, score, place: the k nearest rows of each query, ties by id, without the query itself.
+
+    The measure is the squared distance or 1 - cosine.  Rows and queries are dealt into blocks of about `block`; each pair of
+    blocks is one task's group, which keeps k rows for each of its queries, and those are merged by query.
+    Rows or queries without a vector, or with another length than the other side's, match nothing."""
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    own = vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("d"))
+    asked = queries.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("d"))
+    rows, wanted = max(1, -(-own.count() // block)), max(1, -(-asked.count() // block))
+    left = own.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(rows)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1))))
+    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(wanted)).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+
+    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "vec_id": [], "score": []}
+        if len(x) and len(y):
+            ids, points = x.vec_id.to_numpy(), np.stack(x.embedding.to_numpy()).astype(float)
+            size = np.sqrt((points * points).sum(1))
+            for query, point in zip(y.query_id, y.embedding, strict=True):
+                point = np.asarray(point, float)
+                if measure == "distance":
+                    score = ((points - point) ** 2).sum(1)
+                else:
+                    both = size * np.sqrt((point * point).sum())
+                    score = 1 - np.clip(np.where(both > 0, points @ point / np.where(both > 0, both, 1), 0), -1, 1)
+                near = np.lexsort((ids, score))[: k + 1]
+                near = near[ids[near] != query][:k]
+                out["query_id"] += [query] * len(near)
+                out["vec_id"] += ids[near].tolist()
+                out["score"] += score[near].tolist()
+        return pd.DataFrame(out)
+
+    found = left.groupBy("r", "q", "d").cogroup(right.groupBy("r", "q", "d")).applyInPandas(nearest, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
 def coverage(hits: DataFrame, by: str, rank: str, place: str, gap: int = 2) -> DataFrame:
@@ -60,13 +92,33 @@ def answer_mode(best: Column) -> Column:
     return F.when(best < 1.10, "strict").when(best < 1.28, "cautious").otherwise("reject")
 
 
+def clip_to_tokens(text: Column, budget: Column) -> Column:
+    """The longest start of a text within a token budget, by bisection over its length, without white space at the end."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(text) + 2)).cast("int"))
+    bounds = F.struct(F.lit(0).alias("low"), F.length(text).alias("high"))
+
+    def halve(at, _):
+        middle = F.floor((at["low"] + at["high"] + 1) / 2).cast("int")
+        fits = estimate_tokens(F.substring(text, F.lit(1), middle)) <= budget
+        return F.struct(F.when(fits, middle).otherwise(at["low"]).alias("low"), F.when(fits, at["high"]).otherwise(F.greatest(at["low"], middle - 1)).alias("high"))
+
+    size = F.aggregate(steps, bounds, halve, lambda at: at["low"])
+    return F.when(budget <= 0, "").when(estimate_tokens(text) <= budget, text).otherwise(F.regexp_replace(F.substring(text, F.lit(1), size), r"(?U)\s+$", ""))
+
+
 def budget_prefix(chunks: DataFrame, budget: int) -> DataFrame:
-    """The chunks of each document, in order, whose tokens together stay within the budget.
+    """doc_id, chunk_index, tokens, running, text: the chunks of each document, in order, whose tokens together stay
+    within the budget.  A first chunk over the budget is clipped to it.
 
     A budget of 0 means the default of 1500, as an unset one does."""
-    order = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunks.withColumn("tokens", estimate_tokens(F.col("text"))).withColumn("running", F.sum("tokens").over(order))
-    return rows.where(F.col("running") <= (budget or 1500)).select("doc_id", "chunk_index", "tokens", "running")
+    most = budget or 1500
+    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    rows = chunks.withColumn("tokens", estimate_tokens(F.col("text"))).withColumn("place", F.row_number().over(order))
+    clipped = (F.col("place") == 1) & (F.col("tokens") > most)
+    rows = rows.withColumn("running", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("running") <= most) | clipped)
+    rows = rows.withColumn("text", F.when(clipped, clip_to_tokens(F.col("text"), F.lit(most))).otherwise(F.col("text")))
+    rows = rows.withColumn("tokens", F.when(clipped, estimate_tokens(F.col("text"))).otherwise(F.col("tokens"))).withColumn("running", F.when(clipped, F.col("tokens")).otherwise(F.col("running")))
+    return rows.where("length(text) > 0").select("doc_id", "chunk_index", "tokens", "running", "text")
 
 
 def context_mode(total_tokens: Column, budget: Column, scope: Column, distance: Column, threshold: Column, mode: Column) -> Column:

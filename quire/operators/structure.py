@@ -26,7 +26,7 @@ def headings(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, char_start, title, level and region of the heading lines.
 
     Level 1: a numbered part or a region word; level 2: a numbered chapter or `1.`; level 3: `1.1`."""
-    lines = explode_lines(docs).join(docs.select("doc_id", "lang"), "doc_id")
+    lines = explode_lines(docs, "lang")
     title = strip(F.col("line"))
     region = F.lit(None).cast("string")
     for role, words in REGIONS.items():
@@ -68,24 +68,36 @@ def chapters(parts: DataFrame) -> DataFrame:
 
 
 def structure_stats(parts: DataFrame) -> DataFrame:
-    """Counts, coverage and shape of each document's structure, aggregated before the shuffle."""
+    """Counts, coverage and shape of each document's structure.
+
+    A chapter's title is that of its first section; one that comes twice, whatever its case, is a sign of parts.  A
+    section is implicit if it is the only one of its chapter."""
     size = F.length("content")
-    rows = parts.groupBy("doc_id").agg(
-        F.count("*").alias("n_sections"),
-        F.countDistinct("chapter_seq").alias("n_chapters"),
-        F.count_if(F.col("section_role") == "main_body").alias("n_main"),
-        F.count_if(F.col("title").isNotNull()).alias("n_titled"),
-        F.max(size).cast("long").alias("max_chars"),
-        F.avg(size).alias("avg_chars"),
+    one = parts.groupBy("doc_id", "chapter_seq").agg(
+        F.count("*").alias("n"), F.lower(strip(F.min_by("title", "section_index"))).alias("title"), F.count_if(F.col("section_role") == "main_body").alias("main"),
+        F.count_if(F.col("title").isNotNull()).alias("titled"), F.max(size).alias("most"), F.sum(size).alias("chars"),
+    )
+    rows = one.groupBy("doc_id").agg(
+        F.sum("n").alias("n_sections"),
+        F.count("*").alias("n_chapters"),
+        F.sum("main").alias("n_main"),
+        F.count_if(F.col("main") > 0).alias("main_chapters"),
+        F.sum("titled").alias("n_titled"),
+        F.count_if(F.col("n") == 1).alias("n_implicit"),
+        (F.count_if(F.length("title") > 0) > F.count_distinct(F.when(F.length("title") > 0, F.col("title")))).alias("repeated"),
+        F.max("most").cast("long").alias("max_chars"),
+        (F.sum("chars") / F.sum("n")).alias("avg_chars"),
     )
+    # The numbers of the shape rules.
     shape = F.expr("""case when n_sections = 0 then 'unknown'
         when n_chapters <= 1 and n_sections <= 1 then case when max_chars >= 6000 then 'flat_long_text' else 'essay_sections' end
         when n_sections > 100 and avg_chars < 500 then 'over_fragmented'
-        when n_main >= 5 and n_sections / n_chapters <= 1.2 then 'chapter_only'
+        when repeated and n_chapters >= 6 and n_sections / n_chapters <= 1.2 then 'part_chapter'
+        when main_chapters >= 5 and n_sections / n_chapters <= 1.2 and n_implicit >= greatest(3, floor(n_sections * 0.6)) then 'chapter_only'
         when n_sections / n_chapters >= 2 then 'chapter_section'
         when n_chapters <= 5 and n_sections <= 8 and n_titled / n_sections >= 0.5 then 'essay_sections'
         else 'mixed' end""")
-    return rows.select("doc_id", "n_sections", "n_chapters", "n_main", "n_titled", "max_chars", F.round("avg_chars", 3).alias("avg_chars"), F.round(F.col("n_titled") / F.col("n_sections"), 4).alias("title_coverage"), shape.alias("structure_shape"))
+    return rows.select("doc_id", "n_sections", "n_chapters", "n_main", "n_titled", "n_implicit", "max_chars", F.round("avg_chars", 3).alias("avg_chars"), F.round(F.col("n_titled") / F.col("n_sections"), 4).alias("title_coverage"), shape.alias("structure_shape"))
 
 
 def duplicate_titles(parts: DataFrame) -> DataFrame:
@@ -94,10 +106,28 @@ def duplicate_titles(parts: DataFrame) -> DataFrame:
     return titled.groupBy("doc_id", F.lower("title").alias("key")).agg(F.count("*").alias("n"), F.min_by("title", "section_index").alias("title")).where("n > 1").select("doc_id", "title", "n")
 
 
-def enhanced_parse_score(stats: DataFrame, texts: DataFrame) -> DataFrame:
-    """Score of reasons to parse a text again; 4 or more recommends it."""
-    rows = stats.join(texts.select("doc_id", F.length("text").alias("size")), "doc_id")
-    score = F.expr("""case when n_sections <= 1 and n_titled = 0 and size >= 2000 then 5 else 0 end
-        + case when n_sections > 1 and title_coverage < 0.55 then 3 else 0 end
-        + case when n_sections > 220 or (n_sections < 3 and size >= 8000) or avg_chars < 180 or avg_chars > 8000 then 3 else 0 end""")
-    return rows.select("doc_id", score.cast("long").alias("score"), (score >= 4).alias("recommended"))
+def enhanced_parse_score(parts: DataFrame, texts: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+    """doc_id, score, reasons, recommended: signs that a text should be parsed again; a score of 4 recommends it.
+
+    `ratios` (doc_id, affected_ratio, fallback_ratio, n_units) adds the two signs of its ratios; numbers outside
+    0..1 are taken to the nearer end, missing ones as 0."""
+    whole = F.col("title").isNull() & (F.col("char_start") == 0)
+    stats = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.length(strip(F.col("title"))) > 0).alias("titled"), F.max(F.when(whole, F.col("char_end"))).alias("covered"))
+    rows = texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(stats, "doc_id", "left").na.fill(0, ["n", "titled"])
+    if ratios is None:
+        rows = rows.select("*", F.lit(0.0).alias("affected"), F.lit(0.0).alias("fallback"), F.lit(0).alias("units"))
+    else:
+        ratio = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c, F.lit(0.0))))
+        rows = rows.join(ratios.select("doc_id", ratio(F.col("affected_ratio")).alias("affected"), ratio(F.col("fallback_ratio")).alias("fallback"), F.col("n_units").alias("units")), "doc_id", "left").na.fill(0, ["affected", "fallback", "units"])
+    # Scores and thresholds of the signs.
+    signs = {
+        "single_fallback_section": ("n = 1 and covered = size", 5),
+        "low_title_coverage": ("n >= 3 and titled / n < 0.55", 3),
+        "abnormal_section_structure": ("n < 3 or n > 220 or (size >= 2000 and n >= 3 and (size / n < 180 or size / n > 8000))", 3),
+        "high_affected_section_ratio": ("n >= 8 and affected > 0.55", 1),
+        "high_fallback_task_unit_ratio": ("units >= 8 and fallback > 0.55", 1),
+    }
+    holds = {name: F.coalesce(F.expr(rule), F.lit(False)) for name, (rule, _) in signs.items()}
+    score = sum(F.when(holds[name], points).otherwise(0) for name, (_, points) in signs.items())
+    reasons = F.concat_ws(",", *(F.when(holds[name], name) for name in signs))
+    return rows.select("doc_id", score.cast("long").alias("score"), reasons.alias("reasons"), (score >= 4).alias("recommended"))

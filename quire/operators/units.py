@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,6 +53,34 @@ def cut_kind(text: str, at: int) -> int:
     return 3 if last and last in TERMINAL else 2 if last and last in STRONG else 1 if last and last in CLAUSE else 0
 
 
+MARK = re.compile("([" + re.escape(TERMINAL + STRONG + CLAUSE) + "])[ \\t\\n" + re.escape(CLOSERS) + "]{0,9}")
+KIND = {**dict.fromkeys(TERMINAL, 3), **dict.fromkeys(STRONG, 2), **dict.fromkeys(CLAUSE, 1)}
+
+
+def best_cut(text: str, low: int, high: int, ideal: int) -> int | None:
+    """The place of low..high of the best kind (see cut_kind) that is nearest to ideal, the earlier of two; None if
+    there is no boundary.  Only places behind a mark or near a blank line are looked at."""
+    best, n = None, len(text)
+
+    def offer(kind: int, i: int) -> None:
+        nonlocal best
+        if best is None or (kind, -abs(i - ideal), -i) > best:
+            best = (kind, -abs(i - ideal), -i)
+
+    at = text.find("\n\n", max(0, low - 6), min(n, high + 6))
+    while at >= 0:
+        for i in range(max(low, at - 4, 1), min(high, at + 6) + 1):
+            if text[i - 1].isspace():
+                offer(4, i)
+        at = text.find("\n\n", at + 1, min(n, high + 6))
+    if best is None:
+        for m in MARK.finditer(text, max(0, low - 10), min(n, high)):
+            for i in range(max(low, m.start() + 1), min(high, m.end(), m.start() + 10) + 1):
+                if i >= n or text[i] not in CLOSERS:
+                    offer(KIND[m[1]], i)
+    return -best[2] if best else None
+
+
 def progressive_cuts(text: str, least: int, most: int) -> list[int]:
     """Ends of the units of a text: near `most` characters, at the best boundary in a window around it."""
     ends, at, n = [], 0, len(text)
@@ -59,8 +88,8 @@ def progressive_cuts(text: str, least: int, most: int) -> list[int]:
     while n - at > most:
         ideal = at + most
         low, high = max(at + least, ideal - width), min(n, ideal + width)
-        best = max(range(low, high + 1), key=lambda i: (cut_kind(text, i), -abs(i - ideal)))
-        cut = best if cut_kind(text, best) else ideal
+        best = best_cut(text, low, high, ideal)
+        cut = ideal if best is None else best
         while cut < n and text[cut] in CLOSERS:
             cut += 1
         ends.append(cut)
@@ -89,16 +118,39 @@ def progressive_units(docs: DataFrame, least: int = 300, most: int = 1600) -> Da
 
 
 def merge_short(units: DataFrame, least: int = 300) -> DataFrame:
-    """Adds merged_no: a unit shorter than `least` joins the next one of its document, the last one the previous."""
-    order = Window.partitionBy("doc_id").orderBy("unit_no")
-    running = order.rowsBetween(Window.unboundedPreceding, -1)
-    closes = F.when((F.col("n_chars") >= least) & F.lead("unit_no").over(order).isNotNull(), 1).otherwise(0)
-    rows = units.withColumn("closes", closes)
-    rows = rows.withColumn("merged_no", F.coalesce(F.sum("closes").over(running), F.lit(0)))
-    last = Window.partitionBy("doc_id", "merged_no")
-    whole = Window.partitionBy("doc_id")
-    short_tail = (F.sum("n_chars").over(last) < least) & (F.col("merged_no") == F.max("merged_no").over(whole)) & (F.col("merged_no") > 0)
-    return rows.withColumn("merged_no", F.when(short_tail, F.col("merged_no") - 1).otherwise(F.col("merged_no")).cast("long")).drop("closes")
+    """Adds merged_no: units of a document with fewer than `least` characters join a neighbour.
+
+    A short unit joins the next one if both have the same container, else the one closed before if that has, else the
+    next one, else the one before.  What it becomes then is measured again, with the two characters that part
+    joined texts.  A column `container` is optional; null and blank are one container.  A fold over the units of
+    one document."""
+    rows = units if "container" in units.columns else units.withColumn("container", F.lit(None).cast("string"))
+    unit = F.struct("unit_no", F.col("n_chars").cast("long").alias("n"), F.coalesce(strip(F.col("container")), F.lit("")).alias("box"))
+    own = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("u"))
+    group = "struct<first:int,last:int,n:bigint,box:string>"
+    start = F.struct(F.expr(f"cast(array() as array<{group}>)").alias("done"), F.lit(None).cast(group).alias("open"))
+
+    def joined(a, b):
+        return F.struct(a["first"].alias("first"), b["last"].alias("last"), (a["n"] + 2 + b["n"]).alias("n"), F.when(a["box"] == "", b["box"]).otherwise(a["box"]).alias("box"))
+
+    def add(s, i):
+        unit, after = F.get("u", i), F.get("u", i + 1)
+        single = F.struct(i.alias("first"), i.alias("last"), unit["n"].alias("n"), unit["box"].alias("box"))
+        now = F.when(s["open"].isNull(), single).otherwise(joined(s["open"], single))
+        last = F.try_element_at(s["done"], F.lit(-1))
+        more, some = i + 1 < F.size("u"), F.size(s["done"]) > 0
+        closes = now["n"] >= least
+        onward = more & (now["box"] == after["box"])
+        back = F.coalesce(some & (now["box"] == last["box"]), F.lit(False))
+        act = F.when(closes, "close").when(onward, "carry").when(back, "back").when(more, "carry").when(some, "back").otherwise("close")
+        merged = F.concat(F.slice(s["done"], F.lit(1), F.greatest(F.lit(0), F.size(s["done"]) - 1)), F.array(joined(last, now)))
+        done = F.when(act == "close", F.array_append(s["done"], now)).when(act == "back", merged).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(act == "carry", now).alias("open"))
+
+    groups = own.select("doc_id", "u", F.aggregate(F.sequence(F.lit(0), F.size("u") - 1), start, add, lambda s: s["done"]).alias("g"))
+    placed = groups.select("doc_id", "u", F.posexplode("g").alias("merged_no", "g"))
+    placed = placed.select("doc_id", F.col("merged_no").cast("long").alias("merged_no"), F.explode(F.slice("u", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)).alias("x"))
+    return units.join(placed.select("doc_id", F.col("x.unit_no").alias("unit_no"), "merged_no"), ["doc_id", "unit_no"])
 
 
 def document_unit_ids(units: DataFrame) -> DataFrame:

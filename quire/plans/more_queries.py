@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 
 from quire.functions import parsing
 from quire.functions import text as T
-from quire.operators import artifacts, headings, hierarchy, questions, retrieval, structure, units
+from quire.operators import artifacts, headings, hierarchy, lines, questions, retrieval, structure, units
 from quire.plans import split_plans
-from quire.plans.queries import CHUNKS, LINES, TOKENS, chunks, documents, table
+from quire.plans.queries import CHUNKS, DISTANCE, HEADINGS, LINES, MERGED, MODE, TITLED, TITLED_SECTIONS, TOKENS, _pairs, _titled, boxed_units, chunks, documents, table, titled_sections
+from quire.plans.queries import _nearest as nearest
 
 
 def heading_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("  Chapter – "), F.substring("text", 1, 40)).alias("title"), "lang")
-    return rows.select("doc_id", headings.comparison_key(headings.normalize(F.regexp_replace("title", r"[^\x20-\x7E–]", ""), F.col("lang"))).alias("key"))
+    rows = lines.explode_lines(documents(spark, sf_dir), "lang")
+    key = headings.comparison_key(headings.normalize(F.col("line"), F.col("lang")))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5(key).alias("key"))
 
 
 def marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.array(F.lit("Contents:"), F.lit("Contents of the letter he wrote"), F.lit("contents IV"), F.concat(F.lit("Contents "), F.substring("text", 1, 30)))).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count_if(headings.marker_matches(F.col("line"), "contents")).alias("markers"))
+    """Lines of the titled texts that are a marker of their language."""
+    rows = lines.explode_lines(_titled(spark, sf_dir), "lang")
+    found = F.lit(None).cast("string")
+    for lang, markers in MARKERS.items():
+        for marker in markers:
+            found = F.when((F.col("lang") == lang) & headings.marker_matches(F.col("line"), marker), marker).otherwise(found)
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), found.alias("marker")).where("marker is not null")
+
+
+# Markers looked for, in the order of precedence from last to first.
+MARKERS = {"en": ["contents", "preface", "chapter", "appendix"], "fr": ["sommaire", "préface", "chapitre", "annexe"], "de": ["inhalt", "vorwort", "kapitel", "anhang"], "es": ["contenido", "prólogo", "capítulo", "apéndice"]}
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +43,13 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy.validate(_sections(spark, sf_dir))
+    """Warnings on the sections of titled texts under ids that clash and parents that are wrong here and there."""
+    rows = titled_sections(spark, sf_dir)
+    chapters = rows.select("doc_id", "chapter_seq").distinct().select("doc_id", F.concat(F.lit("c"), F.col("chapter_seq") % 4).alias("chapter_id"))
+    own = F.concat(F.lit("c"), F.col("chapter_seq") % 4)
+    sections = rows.select("doc_id", F.concat(F.lit("s"), F.col("section_index") % 5).alias("section_id"), F.when(F.col("section_index") % 7 != 6, own).alias("chapter_id"), F.when(F.col("section_index") % 3 == 1, "cx").when(F.col("section_index") % 3 == 0, own).alias("parent_chapter_id"))
+    units = rows.select("doc_id", F.concat(F.lit("u"), F.col("section_index") % 6).alias("unit_id"), F.concat(F.lit("s"), F.col("section_index") % 5).alias("section_id"), F.when(F.col("section_index") % 4 == 1, "s9").when(F.col("section_index") % 4 > 1, F.concat(F.lit("s"), F.col("section_index") % 5)).alias("parent_section_id"))
+    return hierarchy.validate(chapters, sections, units)
 
 
 def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +77,12 @@ def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    merged = units.merge_short(units.pack_lines(documents(spark, sf_dir), 400))
-    own = merged.groupBy("doc_id", "merged_no").agg(F.collect_list(F.col("unit_no").cast("string")).alias("source_section_ids"))
-    return hierarchy.task_mode(own)
+    merged = units.merge_short(boxed_units(spark, sf_dir))
+    sections = merged.select("doc_id", F.col("unit_no").cast("string").alias("section_id"))
+    # every fourth unit is told twice, as a unit that was split, and others are left out
+    own = merged.groupBy("doc_id", "merged_no").agg(F.collect_list(F.col("unit_no").cast("string")).alias("source_section_ids")).select("doc_id", F.col("merged_no").cast("string").alias("unit_id"), "source_section_ids")
+    twice = own.where("cast(unit_id as bigint) % 4 = 0").withColumn("unit_id", F.concat("unit_id", F.lit("b")))
+    return hierarchy.task_mode(sections, own.where("cast(unit_id as bigint) % 5 <> 3").union(twice))
 
 
 def document_unit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,9 +114,14 @@ def quiz_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.size(parsing.quiz_items(F.col("answer"))), F.lit(-1)).cast("long").alias("items"), F.coalesce(parsing.skip_reason(F.col("text")), F.lit("")).alias("skip_reason"))
 
 
+# Reasons of failures.
+REASONS = ["provider_error status=429 | slow down", "Section not found", "section_not_found", "provider_error status=299", "unsupported form", "title cannot be empty", "status=404 | Not Found", "odd"]
+
+
 def failure_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = F.expr("case doc_id % 4 when 0 then 'provider_error status=429 | slow down' when 1 then 'section_not_found' when 2 then 'provider_error' else 'bad_request' end")
-    return documents(spark, sf_dir).select("doc_id", parsing.http_status(reason).cast("long").alias("status"), parsing.provider_reason(F.when(F.col("doc_id") % 2 == 0, F.lit(500)), F.when(F.col("doc_id") % 3 == 0, F.lit("msg"))).alias("reason"))
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.col("doc_id") % len(REASONS) + 1).cast("int"))
+    kinds = (parsing.http_status(reason, kind).cast("long").alias(kind) for kind in ("section_task", "unit_content", "reparse"))
+    return documents(spark, sf_dir).select("doc_id", *kinds, parsing.provider_reason(F.when(F.col("doc_id") % 2 == 0, F.lit(500)), F.when(F.col("doc_id") % 3 == 0, F.lit("msg"))).alias("reason"))
 
 
 def artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,10 +130,9 @@ def artifact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boundary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir)
-    first = rows.where("chunk_index % 2 = 0").select("doc_id", "char_start", F.lit("plan").alias("title"))
-    second = rows.where("chunk_index % 3 = 0").select("doc_id", "char_start", F.lit("rule").alias("title"))
-    return split_plans.union_boundaries(first, second)
+    """Starts of headings and of chunks over the titled texts; where both start, the heading's title stays."""
+    rows = _titled(spark, sf_dir)
+    return split_plans.union_boundaries(structure.headings(rows).select("doc_id", "char_start", "title"), retrieval.fixed_chunks(rows).select("doc_id", "char_start", F.lit("chunk").alias("title")))
 
 
 def section_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,8 +151,9 @@ def full_text_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.min(2 - 2 * F.element_at("embedding", 1).cast("double")), 5).alias("best"))
-    return best.select("label", "best", retrieval.answer_mode(F.col("best")).alias("answer_mode"))
+    best = nearest(spark, sf_dir, 1).select("query_id", "score")
+    mode = retrieval.answer_mode(F.col("score"))
+    return best.select("query_id", F.round("score", 5).alias("best"), mode.alias("answer_mode"), T.near_chunk_threshold(F.col("score"), mode).cast("long").alias("threshold"))
 
 
 QUERIES = {
@@ -141,15 +166,33 @@ QUERIES = {
 
 SECTIONS = f"""(select doc_id, 'section-' || (chunk_index % 5) section_id, chunk_index section_index, ' Part ' || (chunk_index % 3) || '  ' title, char_start, char_end, text content,
     case when chunk_index % 7 = 6 then null else chunk_index // 2 end chapter_seq from {CHUNKS})"""
+LABEL = r"^( *([0-9]{1,4}|[ivxlcdm]{1,7}|\pL)[.:)]?){1,3} *$"
 GLOBAL = " or ".join(f"contains(lower(text), '{w}')" for w in questions.GLOBAL_WORDS)
 LOCAL = " or ".join(f"contains(lower(text), '{w}')" for w in questions.LOCAL_WORDS)
 
 ORACLE = {
-    "heading_normalization": r"""select doc_id, regexp_replace(lower(trim(regexp_replace('Chapter - ' || regexp_replace(left(text, 40), '[^\x20-\x7E–]', '', 'g'), '\s+', ' ', 'g'))), '[.:]+$', '') as key from documents""",
-    "hierarchy_warnings": f"""with s as (select *, lag(char_end) over (partition by doc_id order by section_index) before from {SECTIONS}),
-        c as (select doc_id, count(*) - count(distinct section_id) duplicate_section_ids, count(*) filter (trim(coalesce(content, '')) = '') empty_sections, count(*) filter (before > char_start) overlapping_sections,
-        count(*) filter (before < char_start) gaps, count(*) filter (chapter_seq is null) sections_without_chapter from s group by doc_id)
-        select doc_id, warning, n from (unpivot c on duplicate_section_ids, empty_sections, overlapping_sections, gaps, sections_without_chapter into name warning value n) where n > 0""",
+    "heading_normalization": r"""select doc_id, line_no, md5(regexp_replace(lower(trim(regexp_replace(translate(line, '‐‑‒–—―−－─', '---------'), '[\s\x{A0}\x{3000}]+', ' ', 'g'))), '[.:：;；]+$', '')) as key from """ + LINES,
+    "hierarchy_warnings": f"""with r as (select doc_id, section_index i, chapter_seq c from {TITLED_SECTIONS}),
+        c as (select distinct doc_id, c from r), ch as (select doc_id, 'c' || (c % 4) id from c),
+        s as (select doc_id, 's' || (i % 5) id, case when i % 7 <> 6 then 'c' || (c % 4) end own, case when i % 3 = 1 then 'cx' when i % 3 = 0 then 'c' || (c % 4) end parent from r),
+        u as (select doc_id, 'u' || (i % 6) id, 's' || (i % 5) own, case when i % 4 = 1 then 's9' when i % 4 > 1 then 's' || (i % 5) end parent from r)
+        select doc_id, 'duplicate_chapter_id' warning, id subject, count(*) - 1 n from ch group by all having count(*) > 1
+        union all select doc_id, 'duplicate_hierarchy_section_id', id, count(*) - 1 from s where own is not null group by all having count(*) > 1
+        union all select doc_id, 'section_parent_mismatch', id, count(*) from s where own is not null and parent is distinct from own group by all
+        union all select doc_id, 'task_unit_parent_section_mismatch', id, count(*) from u where parent is not null and parent <> own group by all
+        union all select doc_id, 'duplicate_task_unit_id', id, count(*) - 1 from u group by all having count(*) > 1
+        union all select distinct doc_id, 'legacy_sections_present', '', 1 from s where own is null""",
+    "marker_lines": f"""with l as (select doc_id, lang, regexp_replace(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), '[.:：;；]+$', '') k, line_no from (select doc_id, lang, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from {TITLED}))
+        select doc_id, line_no, case {" ".join(f"when lang = '{lang}' and (k = '{m}' or (starts_with(k, '{m} ') and length(k) - {len(m)} <= 20 and regexp_matches(substring(k, {len(m) + 1}), '{LABEL}', 'i'))) then '{m}'" for lang, ms in MARKERS.items() for m in reversed(ms))} end marker from l where marker is not null""",
+    "task_modes": f"""with m as {MERGED}, g as (select doc_id, merged_no::varchar unit_id, list(unit_no::varchar) ids from m group by doc_id, merged_no),
+        u as (select doc_id, unit_id, unnest(ids) section_id, len(ids) sources from g where unit_id::bigint % 5 <> 3 union all select doc_id, unit_id || 'b', unnest(ids), len(ids) from g where unit_id::bigint % 4 = 0),
+        o as (select doc_id, section_id, max(sources) most, count(*) n from u group by all)
+        select m.doc_id, m.unit_no::varchar section_id, case when o.n is null then 'direct' when most > 1 then 'merged' when n > 1 then 'split' else 'direct' end task_mode from m left join o on o.doc_id = m.doc_id and o.section_id = m.unit_no::varchar""",
+    "dynamic_windows": f"""with recursive c as (select doc_id, chunk_index, {TOKENS.format("text")}::bigint tokens from {CHUNKS}),
+        g(doc_id, hit_index, step, low, high, used, l, r) as (select c.doc_id, chunk_index, 0, chunk_index, chunk_index, tokens, true, true from c join documents d on d.doc_id = c.doc_id and d.doc_id % 3 = chunk_index
+            union all select doc_id, hit_index, step + 1, case when gl then low - 1 else low end, case when gr then high + 1 else high end, used + case when gl then lt else 0 end + case when gr then rt else 0 end, gl, gr
+            from (select *, r and rt is not null and used + case when gl then lt else 0 end + rt <= 900 gr from (select g.*, a.tokens lt, b.tokens rt, g.l and a.tokens is not null and g.used + a.tokens <= 900 gl from g left join c a on a.doc_id = g.doc_id and a.chunk_index = g.low - 1 left join c b on b.doc_id = g.doc_id and b.chunk_index = g.high + 1 where g.l or g.r)))
+        select doc_id, hit_index, arg_max(low, step) first_index, arg_max(high, step) last_index, max(used) tokens from g group by doc_id, hit_index""",
     "section_lookup": f"""with n as (select doc_id, section_id, count(*) n from {SECTIONS} group by all), w as (select doc_id, 'section-' || (doc_id % 6) section_id from documents)
         select doc_id, section_id, coalesce(n, 0) found, case when n is null then 'missing' when n > 1 then 'ambiguous' else 'found' end status from w left join n using (doc_id, section_id)""",
     "chapter_lookup": f"""with c as (select doc_id, 'chapter-' || section_index chapter_id, trim(title) title from {SECTIONS} where chapter_seq is not null),
@@ -165,16 +208,23 @@ ORACLE = {
         from (select doc_id, chunk_index // 3 section_index, 2 - chunk_index % 3 unit_no from {CHUNKS})""",
     "question_scope": f"""select conv_id, turn, case when {GLOBAL} then 'global' else 'local' end as scope, case when {GLOBAL} then 'words' when {LOCAL} then 'local_words' else 'default' end reason
         from conversations where role = 'user'""",
-    "quiz_validation": r"""select doc_id, case when doc_id % 6 >= 4 and doc_id % 3 <> 0 then doc_id % 6 else -1 end items, case when length(trim(text)) < 400 then 'content_too_short' else '' end skip_reason from documents""",
-    "failure_status": """select doc_id, case doc_id % 4 when 0 then 429 when 1 then 404 when 2 then 502 else 400 end::bigint status,
-        concat_ws(' | ', case when doc_id % 2 = 0 then 'status=500' end, case when doc_id % 3 = 0 then 'msg' end) reason from documents""",
-    "artifact_keys": "select doc_id, 'chapter:' || doc_id || ':summary' artifact_key, coalesce(quality, 0)::double ratio, case when toxic = 1 then 'high' else 'unknown' end as level from labels",
-    "boundary_union": f"select doc_id, char_start, case when chunk_index % 2 = 0 then 'plan' else 'rule' end title from {CHUNKS} where chunk_index % 2 = 0 or chunk_index % 3 = 0",
+    "quiz_validation": r"""with a as (select doc_id, text, 'Sure: [' || array_to_string(list_transform(range(0, doc_id % 6), lambda i: '{"question_id":"q","question_text":"what","answer_text":"' || case when doc_id % 3 <> 0 then 'that' else ' ' end || '"}'), ',') || ']' answer from documents),
+        j as (select doc_id, text, regexp_extract(answer, '[\[{].*[\]}]', 0)::json j from a)
+        select doc_id, case when json_array_length(j) >= 4 and len(list_filter(json_extract_string(j, '$[*].answer_text'), lambda x: trim(x) = '')) = 0 then json_array_length(j)::bigint else -1 end items, case when length(trim(text)) < 400 then 'content_too_short' else '' end skip_reason from j""",
+    "failure_status": f"""with r as (select doc_id, lower(trim({[*REASONS]}[doc_id % {len(REASONS)} + 1])) r from documents), n as (select doc_id, r, try_cast(regexp_extract(r, 'status=(\\d{{3}})', 1) as bigint) n from r),
+        k as (select doc_id, r, case when n between 400 and 599 then n end n, case when contains(r, 'not found') then 404 else 400 end::bigint missing from n)
+        select doc_id, coalesce(n, missing) section_task, missing unit_content, coalesce(n, case when contains(r, 'bad_request') or contains(r, 'cannot be empty') or contains(r, 'unsupported') or contains(r, 'unknown parser_mode') then 400 else 500 end)::bigint reparse,
+        concat_ws(' | ', case when doc_id % 2 = 0 then 'status=500' end, case when doc_id % 3 = 0 then 'msg' end) reason from k""",
+    "artifact_keys": """select doc_id, 'chapter:' || doc_id || ':summary' artifact_key, coalesce(least(1.0, greatest(0.0, try_cast(quality::varchar as double))), 0.0)::double ratio,
+        case when lower(trim(case when toxic = 1 then ' High ' else 'odd' end)) in ('low', 'high') then lower(trim(' High ')) else 'unknown' end as level from labels""",
+    "boundary_union": f"""with h as (select doc_id, char_start, title from {HEADINGS}),
+        c as (select doc_id, i * 1000 char_start from (select doc_id, unnest(range(0, cast(greatest(0, ceil((length(text) - 1200) / 1000.0)) as bigint) + 1)) i from {TITLED} where length(text) > 0))
+        select * from h union all select doc_id, char_start, 'chunk' from c where not exists (select 1 from h where h.doc_id = c.doc_id and h.char_start = c.char_start)""",
     "section_replacement": f"select doc_id, 'section-' || chunk_index section_id, case when doc_id % 2 = 0 then 'new' else md5(text) end as content from {CHUNKS}",
     "unique_artifacts": "select doc_id, max(quality) quality from labels group by doc_id",
     "full_text_in_order": f"""with a as (select doc_id, string_agg(text, chr(10) order by chunk_index) lines, string_agg(text, ' ' order by chunk_index) words from {CHUNKS} group by doc_id)
         select doc_id, md5(lines) text_md5, {TOKENS.format('words')}::bigint tokens from a""",
-    "answer_modes": "select label, best, case when best < 1.10 then 'strict' when best < 1.28 then 'cautious' else 'reject' end answer_mode from (select label, round(min(2 - 2 * embedding[1]::double), 5) best from embeddings group by label)",
+    "answer_modes": f"""select query_id, round(score, 5) best, {MODE.format('score')} answer_mode, case when score < 1.00 then 3 when score <= 1.08 then 2 when score < 1.28 then 1 else 2 end::bigint threshold from {_pairs(DISTANCE, 1)}""",
     "split_plan_sections": f"""with l as (select doc_id, line_no, line, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) k from {LINES}),
         s as (select doc_id, line_no, line, k, (select coalesce(sum(length(b.line) + 1), 0) from l b where b.doc_id = l.doc_id and b.line_no < l.line_no)::bigint char_start from l),
         p as (select doc_id, line_no place, k, 'S' || line_no title from l where line_no in (0, 2, 3) and k <> ''),

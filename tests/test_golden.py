@@ -1,7 +1,9 @@
 """Fixtures with known outcomes for operators that the query tables do not exercise."""
 
 import json
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,9 +60,65 @@ def test_cuts_end_at_sentences(spark):
 
 
 def test_short_units_merge(spark):
-    rows = spark.createDataFrame([(1, i, n) for i, n in enumerate((100, 400, 350, 50))] + [(2, 0, 10)], "doc_id long, unit_no long, n_chars long")
+    """Against the plain loop over a list of units."""
+    rng = random.Random(3)
+    cases = [[(100, ""), (400, ""), (350, ""), (50, "")], [(10, "")], [(200, "")] * 3, [(100, "a"), (400, "b")], [(400, "a"), (100, "a"), (400, "b")]]
+    cases += [[(rng.choice((20, 100, 200, 299, 300, 500)), rng.choice(("", "a", "b"))) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+
+    def plain(case):
+        pending, closed = [[n, box, [i]] for i, (n, box) in enumerate(case)], []
+        join = lambda x, y: [x[0] + 2 + y[0], x[1] or y[1], x[2] + y[2]]
+        for i, now in enumerate(pending):
+            now = pending[i]
+            after = pending[i + 1] if i + 1 < len(pending) else None
+            if now[0] >= 300 or (after is None and not closed):
+                closed.append(now)
+            elif after is not None and (after[1] == now[1] or not closed or closed[-1][1] != now[1]):
+                pending[i + 1] = join(now, after)
+            else:
+                closed[-1] = join(closed[-1], now)
+        return {i: k for k, x in enumerate(closed) for i in x[2]}
+
+    rows = spark.createDataFrame([(d, i, n, box) for d, case in enumerate(cases) for i, (n, box) in enumerate(case)], "doc_id long, unit_no long, n_chars long, container string")
     got = {(r.doc_id, r.unit_no): r.merged_no for r in units.merge_short(rows).collect()}
-    assert [got[1, i] for i in range(4)] == [0, 0, 1, 1] and got[2, 0] == 0
+    assert got == {(d, i): k for d, case in enumerate(cases) for i, k in plain(case).items()}
+    assert [got[2, i] for i in range(3)] == [0, 0, 0]
+
+
+def test_cuts_equal_a_search_of_every_place():
+    rng = random.Random(4)
+    for _ in range(150):
+        text = "".join(rng.choice(["ab", "c ", ". ", ", ", "; ", "\n\n", "\n", '."', "。", "）", "  "]) for _ in range(rng.randint(20, 300)))
+        n = len(text)
+        for _ in range(5):
+            ideal = rng.randint(1, n)
+            low, high = max(1, ideal - rng.randint(0, 60)), min(n, ideal + rng.randint(0, 60))
+            best = max(range(low, high + 1), key=lambda i: (units.cut_kind(text, i), -abs(i - ideal)))
+            assert units.best_cut(text, low, high, ideal) == (best if units.cut_kind(text, best) else None)
+
+
+def test_threshold_budget_and_clipping(spark):
+    rows = spark.createDataFrame([(0.9, "strict"), (1.05, "strict"), (1.09, "strict"), (1.15, "cautious"), (1.27, "cautious"), (1.5, "reject"), (None, "reject")], "s double, m string")
+    assert [r[0] for r in rows.select(T.near_chunk_threshold(F.col("s"), F.col("m"))).collect()] == [3, 2, 1, 1, 1, 2, 2]
+    budget = spark.range(1).select(T.context_budget(F.lit(1500), F.lit(4000), F.lit(900), F.lit(2000)), T.context_budget(F.lit(1500), F.lit(1000), F.lit(900), F.lit(500))).first()
+    assert tuple(budget) == (1100, 0)
+    chunks = spark.createDataFrame([(1, 0, "word " * 100), (1, 1, "more"), (2, 0, "one"), (2, 1, "x" * 400), (3, 0, "漢字" * 30)], "doc_id long, chunk_index long, text string")
+    got = {(r.doc_id, r.chunk_index): (r.tokens, r.text) for r in retrieval.budget_prefix(chunks, 20).collect()}
+    assert set(got) == {(1, 0), (2, 0), (3, 0)}
+    assert got[3, 0] == (20, "漢字" * 10) and got[1, 0][0] == 20 and got[1, 0][1] == ("word " * 20).strip()
+
+
+def test_search_is_exact_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    x[7] = x[8]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [1.0, 2.0]), (902, [float("nan")] * 8)], "vec_id long, embedding array<double>")
+    for measure in ("distance", "cosine"):
+        got = retrieval.search(rows, rows.where("vec_id % 7 = 0"), 5, measure, block=40).collect()
+        for q in range(0, 300, 7):
+            score = ((x - x[q]) ** 2).sum(1) if measure == "distance" else 1 - x @ x[q] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[q])
+            order = sorted((i for i in range(300) if i != q), key=lambda i: (score[i], i))[:5]
+            assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.place)] == order
 
 
 def test_coverage_keeps_distant_hits(spark):
@@ -88,7 +146,8 @@ def test_quiz_and_status(spark):
     rows = spark.createDataFrame([(f"```json\n{good}\n```",), (good.replace('"a"', '""'),), ("no json",), ("[]",), (None,)], "a string")
     assert [r[0] for r in rows.select(F.size(parsing.quiz_items(F.col("a")))).collect()] in ([4, -1, -1, -1, -1], [4, None, None, None, None])
     reasons = spark.createDataFrame([("status=503 | x",), ("chapter_not_found",), ("odd",)], "r string")
-    assert [r[0] for r in reasons.select(parsing.http_status(F.col("r"))).collect()] == [503, 404, 400]
+    assert [r[0] for r in reasons.select(parsing.http_status(F.col("r"))).collect()] == [503, 400, 400]
+    assert [r[0] for r in spark.createDataFrame([("status=299 x",), ("Unit not found",), ("bad_request",)], "r string").select(parsing.http_status(F.col("r"), "reparse")).collect()] == [500, 500, 400]
 
 
 def test_split_plan(spark):
@@ -100,12 +159,21 @@ def test_split_plan(spark):
 
 
 def test_validity_reasons(spark):
-    fields = ("source_hash", "language", "split_mode", "top_k", "prompt_version")
-    want = ("h", "en", "semantic_safe", 3, "v1")
-    schema = "doc_id long, source_hash string, language string, split_mode string, top_k int, prompt_version string"
-    stored = [(0, "ok", *want), (1, " ", *want)] + [(2 + i, "ok", *(want[j] if i != j else (5 if f == "top_k" else "x") for j, f in enumerate(fields))) for i in range(5)]
-    got = artifacts.summary_validity(spark.createDataFrame(stored, schema.replace("source_hash", "content string, source_hash", 1)), spark.createDataFrame([(i, *want) for i in range(8)], schema))
-    assert [r.reason for r in got.orderBy("doc_id").collect()] == ["valid", "empty_content", "source_hash_mismatch", "language_mismatch", "split_mode_mismatch", "semantic_top_k_mismatch", "prompt_version_mismatch", "empty_content"]
+    fields = ("source_hash", "language", "split_mode", "top_k", "prompt_version", "scope")
+    want = ("h", "en", "semantic_safe", 3, "v1", "chapter")
+    schema = "doc_id long, section_id string, source_hash string, language string, split_mode string, top_k int, prompt_version string, scope string, chapter_title string"
+    stored = [(0, "s", *want, "One", "s", "ok"), (1, "s", *want, "One", "s", " "), (9, "s", *want, "Two", "s", "ok"), (10, "s", *want, "One", "t", "ok")]
+    stored += [(2 + i, "s", *(want[j] if i != j else (5 if f == "top_k" else "x") for j, f in enumerate(fields)), "One", "s", "ok") for i in range(6)]
+    wanted = spark.createDataFrame([(i, "s", *want, "One") for i in range(11)], schema)
+    got = artifacts.summary_validity(spark.createDataFrame(stored, schema + ", source_section_id string, content string"), wanted).orderBy("doc_id").collect()
+    assert [r.reason for r in got] == [None, "empty_content", "source_hash_mismatch", "language_mismatch", "split_mode_mismatch", "semantic_top_k_mismatch", "prompt_version_mismatch", "scope_mismatch", None, "chapter_title_mismatch", "section_id_mismatch"]
+    assert [r.status for r in got][::8] == ["valid", "missing"]
+
+
+def test_chapter_keys(spark):
+    chapters = spark.createDataFrame([(1, "c0", None, "One"), (1, "c1", "chapter_id::c1", " "), (1, "c2", " old ", "Two")], "doc_id long, chapter_id string, legacy_key string, title string")
+    got = [(r.chapter_id, r.place, r.key) for r in artifacts.chapter_keys(chapters).orderBy("chapter_id", "place").collect()]
+    assert got == [("c0", 0, "chapter_id::c0"), ("c0", 1, "chapter::One"), ("c1", 0, "chapter_id::c1"), ("c2", 0, "chapter_id::c2"), ("c2", 1, "old"), ("c2", 2, "chapter::Two")]
 
 
 def test_upsert_and_uniqueness(spark):
@@ -118,8 +186,10 @@ def test_upsert_and_uniqueness(spark):
 
 
 def test_hierarchy_lookups(spark):
-    rows = spark.createDataFrame([(1, "s0", 0, 0, 5, "x", 0), (1, "s1", 1, 5, 9, " ", 0), (1, "s1", 2, 8, 12, "y", None)], "doc_id long, section_id string, section_index long, char_start long, char_end long, content string, chapter_seq long")
-    assert {r.warning: r.n for r in hierarchy.validate(rows).collect()} == {"duplicate_section_ids": 1, "empty_sections": 1, "overlapping_sections": 1, "sections_without_chapter": 1}
+    rows = spark.createDataFrame([(1, "s0", "c0", "c0"), (1, "s1", "c0", "c1"), (1, "s1", None, None)], "doc_id long, section_id string, chapter_id string, parent_chapter_id string")
+    chapters = spark.createDataFrame([(1, "c0"), (1, "c0"), (1, "c0")], "doc_id long, chapter_id string")
+    parts = spark.createDataFrame([(1, "u0", "s0", None), (1, "u0", "s1", "s0")], "doc_id long, unit_id string, section_id string, parent_section_id string")
+    assert sorted((r.warning, r.subject, r.n) for r in hierarchy.validate(chapters, rows, parts).collect()) == [("duplicate_chapter_id", "c0", 2), ("duplicate_task_unit_id", "u0", 1), ("legacy_sections_present", "", 1), ("section_parent_mismatch", "s1", 1), ("task_unit_parent_section_mismatch", "u0", 1)]
     found = hierarchy.section_by_id(rows, spark.createDataFrame([(1, "s0"), (1, "s1"), (1, "s9")], "doc_id long, section_id string"))
     assert {r.section_id: r.status for r in found.collect()} == {"s0": "found", "s1": "ambiguous", "s9": "missing"}
 
@@ -129,6 +199,12 @@ def test_profiles_of_odd_texts(spark):
     assert [r.dialogue_density for r in profile.dialogue_density(odd).orderBy("doc_id").collect()][2] == "high"
     assert [r.script_system for r in profile.script_system(odd).orderBy("doc_id").collect()][:4] == ["unknown", "unknown", "latin", "cjk"]
     assert profile.ocr_noise(odd).where("doc_id = 4").first().noise_level == "high"
+    for report, column in ((profile.ocr_noise, "noise_level"), (profile.line_break_quality, "line_break_quality"), (profile.dialogue_density, "dialogue_density")):
+        assert [r[column] for r in report(odd).orderBy("doc_id").collect()][:2] == ["unknown", "unknown"]
+    spoken = docs(spark, "\n".join(['"Yes," he said.', '"No," she said.', '"Go," he said.'] * 3 + ["Plain words."] * 5), "one\r\ntwo\u2028three\x0cfour\n", "word. " * 300 + "\n" + "...... 12\n..... 3\n")
+    assert profile.dialogue_density(spoken).where("doc_id = 0").first().dialogue_density == "high"
+    assert profile.line_break_quality(spoken).where("doc_id = 1").first().n_lines == 4
+    assert profile.region_likelihoods(spoken).where("doc_id = 2").first().toc_likelihood == "medium"
     assert profile.line_break_quality(odd).count() == profile.region_likelihoods(odd).count() == 5
     tokens = [r[0] for r in odd.select(T.estimate_tokens(F.col("text"))).collect()]
     assert tokens[:2] == [0, 0] and tokens[3] == 40
