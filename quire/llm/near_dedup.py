@@ -124,19 +124,19 @@ def sketches(mins: np.ndarray) -> np.ndarray:
 
 
 def _children(roots: bool):
-    """From (node, id, mins) or (id, mins) to the chosen children (node, id)."""
+    """From (node, id, part, mins) or (id, part, mins) to the chosen children (node, id, part)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.arange(MINS, dtype=_U) << _U(32)
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                ids = part.column("id").to_numpy()
+                ids, parts = part.column("id").to_numpy(), part.column("part").to_numpy()
                 tokens = tb.mix(matrix(part.column("mins"), np.uint32).astype(_U) | place)
                 for nodes in [np.full(len(ids), r) for r in _ROOTS] if roots else [part.column("node").to_numpy().view(_U)]:
                     code = tb.mix(nodes[:, None] ^ tokens)
                     row, column = np.nonzero(code < _CUT)
-                    yield pa.RecordBatch.from_arrays([pa.array(tb.mix(code[row, column]).view(np.int64)), pa.array(ids[row])], ["node", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tb.mix(code[row, column]).view(np.int64)), pa.array(ids[row]), pa.array(parts[row])], ["node", "id", "part"])
 
     return run
 
@@ -229,7 +229,7 @@ def _plausible(percent: int):
                             group = blocks[p] if p == q else np.concatenate((blocks[p], blocks[q]))
                             keys.append(np.repeat(_key(ids[group][None]), len(group)))
                             found.append(group)
-            own = batch.select(["id", "set_key", "n", "sketch"]).take(pa.array(np.concatenate(found)))
+            own = batch.select(["id", "part", "set_key", "n", "sketch"]).take(pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *own.columns], ["key", *own.schema.names])
 
     return run
@@ -284,26 +284,24 @@ def forest(part: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarra
 
 
 def _linked(percent: int):
-    """A forest of the links in each group, confirmed on full sets; a pair that is connected by then needs
-    no confirmation."""
+    """Links (u, v) of components: a forest of the links in each group, confirmed on full sets; a pair that is connected
+    by then needs no confirmation."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in runs(batches, ["key"]):
-            ids, part, n = (batch.column(k).to_numpy() for k in ("id", "part", "n"))
+            part, n = batch.column("part").to_numpy(), batch.column("n").to_numpy()
             sketch, shingles = matrix(batch.column("sketch"), np.uint8), batch.column("shingles")
-            us, vs = [], []
+            found = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a == 2:
                     if part[a] != part[a + 1] and similar(unpacked(shingles[a].as_py()), unpacked(shingles[a + 1].as_py()), percent):
-                        us.append(ids[a])
-                        vs.append(ids[a + 1])
+                        found.append((a, a + 1))
                     continue
                 i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent)
                 if len(i):
-                    for x, y in forest(part[a:b].copy(), [unpacked(shingles[k].as_py()) for k in range(a, b)], i, j, percent):
-                        us.append(ids[a + x])
-                        vs.append(ids[a + y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(us, np.int64)), pa.array(np.array(vs, np.int64))], ["u", "v"])
+                    found += [(a + x, a + y) for x, y in forest(part[a:b].copy(), [unpacked(shingles[k].as_py()) for k in range(a, b)], i, j, percent)]
+            pairs = part[np.array(found, np.int64).reshape(-1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
     return run
 
@@ -352,6 +350,8 @@ class _Join:
         self.signed = self.shelf.put(self.docs.mapInArrow(_signatures(key, text, k), f"{key} long, n_shingles long, set_key binary, mins binary"))
         classes = self.signed.where("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.max("mins").alias("mins"))
         self.classes = self.shelf.put(classes.mapInArrow(_add_sketch, "set_key binary, id long, n long, copies long, mins binary, sketch binary"))
+        signed, self.signed = self.signed, self.shelf.put(self.signed.select(key, "n_shingles", "set_key"))
+        self.shelf.drop(signed)
         self.parts: DataFrame | None = None
         self.sets: DataFrame | None = None
 
@@ -388,9 +388,8 @@ class _Join:
         return out
 
     def merge(self, links: DataFrame) -> None:
-        """Renews the components by confirmed links."""
-        new = self.with_parts(self.with_parts(links, "u", "p"), "v", "q").select(F.col("p").alias("u"), F.col("q").alias("v"))
-        merged = components(new, self.shelf)
+        """Renews the components by confirmed links of components."""
+        merged = components(links, self.shelf)
         if self.parts is None:
             self.parts = self.shelf.put(merged)
             return
@@ -400,17 +399,17 @@ class _Join:
         self.parts = self.shelf.put(moved.union(merged.join(old.select("node"), "node", "left_anti")))
         self.shelf.drop(old, merged)
 
-    def in_order(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        """Rows with their components; those of a group follow each other in one partition."""
-        return self.with_parts(rows).repartition(*by).sortWithinPartitions(*by)
-
     def compare(self, groups: DataFrame, also: DataFrame | None) -> None:
-        """Compares the members of each group of rows (g, i, id); `also` are ids to be compared later."""
+        """Compares the members of each group of rows (g, i, id, part); `also` are ids to be compared later.
+
+        Components change here alone, so the rows of all later steps bear their component until the next comparison."""
         own = groups.join(self.classes.select("id", "set_key", "n", "sketch"), "id")
-        near = self.shelf.put(self.in_order(own, ["g", "i"]).mapInArrow(_plausible(self.percent), "key long, id long, set_key binary, n long, sketch binary").distinct())
+        near = own.repartition("g", "i").sortWithinPartitions("g", "i").mapInArrow(_plausible(self.percent), "key long, id long, part long, set_key binary, n long, sketch binary")
+        near = self.shelf.put(near.distinct())
         if self.sets is None:
             self.sets = self.make_sets(near.select("id") if also is None else near.select("id").union(also))
-        self.merge(self.in_order(near.join(self.sets, ["id", "set_key"]), ["key"]).mapInArrow(_linked(self.percent), "u long, v long"))
+        full = near.join(self.sets, ["id", "set_key"]).drop("id", "set_key")
+        self.merge(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent), "u long, v long"))
         self.shelf.drop(near)
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
@@ -418,26 +417,28 @@ class _Join:
         x = F.xxhash64("id")
         if self.parts is None:
             return rows.groupBy("node").agg(F.count("*").alias("size"), F.lit(1).cast("long").alias("most"), F.min("id").alias("main"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2")).where("size > 1")
-        parts = self.with_parts(rows).groupBy("node", "part").agg(F.count("*").alias("n"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
+        parts = rows.groupBy("node", "part").agg(F.count("*").alias("n"), F.bit_xor(x).alias("h1"), F.bit_xor(F.xxhash64(x)).alias("h2"))
         return parts.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("most"), F.max_by("part", "n").alias("main"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where("most < size")
 
     def run(self) -> None:
         shelf, waiting, level = self.shelf, None, 1
-        rows = self.classes.select("id", "mins").mapInArrow(_children(True), "node long, id long")
+        rows = self.classes.select("id", F.col("id").alias("part"), "mins").mapInArrow(_children(True), "node long, id long, part long")
         shared = rows.groupBy("node").count().where("count > 1").select("node")
         rows = shelf.put(rows.join(shared, "node"))  # the rest of the job reads these few rows
         while True:
             nodes = shelf.put(self.open_nodes(rows))
             small = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))
-            groups = rows.join(small.select("node"), "node").select(F.col("node").alias("g"), F.lit(0).cast("long").alias("i"), "id")
+            groups = rows.join(small.select("node"), "node").select(F.col("node").alias("g"), F.lit(0).cast("long").alias("i"), "id", "part")
             large = None
             if not nodes.where(F.col("size") > SMALL).isEmpty():
-                large = shelf.put(rows.join(nodes.where(F.col("size") > SMALL).select("node"), "node").select("node", "id"))
+                large = rows.join(nodes.where(F.col("size") > SMALL).select("node"), "node").select("node", "id", "part")
                 groups = groups.union(self.stars(large))
             self.compare(groups if waiting is None else groups.union(waiting), large.select("id") if large is not None else None)
-            shelf.drop(nodes, waiting)
             if large is None:
+                shelf.drop(nodes, waiting, rows)
                 return
+            large = shelf.put(self.with_parts(large.drop("part")))
+            shelf.drop(nodes, waiting, rows)
             left = shelf.put(self.open_nodes(large))
             others = F.col("size") - F.col("most")
             ready = (others <= SMALL) | (F.col("size") <= MEDIUM)
@@ -446,34 +447,36 @@ class _Join:
             waiting = shelf.put(self.whole(large, left.where(ready)))
             mixed = large.join(left.where(~ready).select("node"), "node")
             if left.where(~ready).isEmpty():
+                shelf.drop(large, left)
                 self.compare(waiting, None)
+                shelf.drop(waiting)
                 return
-            last, rows = rows, shelf.put(self.bands(mixed) if level == 1 else mixed.join(self.classes.select("id", "mins"), "id").select("node", "id", "mins").mapInArrow(_children(False), "node long, id long"))
-            shelf.drop(last, large, left)
+            rows = shelf.put(self.bands(mixed) if level == 1 else mixed.join(self.classes.select("id", "mins"), "id").select("node", "id", "part", "mins").mapInArrow(_children(False), "node long, id long, part long"))
+            shelf.drop(large, left)
             level += 1
 
     def stars(self, large: DataFrame) -> DataFrame:
-        """Members of large nodes in blocks (g, i, id) with their node's pivot; each id in two nodes at most."""
-        few = large.groupBy("id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")).select("id", F.explode("nodes").alias("node"))
+        """Members of large nodes in blocks (g, i, id, part) with their node's pivot; each id in two nodes at most."""
+        few = large.groupBy("id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes"), F.min("part").alias("part")).select("id", "part", F.explode("nodes").alias("node"))
         of = few.groupBy("node").agg(F.ceil(F.count("*") / (SMALL - 1)).alias("blocks"), F.min_by("id", F.xxhash64("id", "node")).alias("pivot"))
         block = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "id"), "blocks")))
-        return few.join(of, "node").select(F.col("node").alias("g"), F.explode(block).alias("i"), "id")
+        return few.join(of, "node").select(F.col("node").alias("g"), F.explode(block).alias("i"), "id", "part")
 
     def whole(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
-        """All comparisons that are open in these nodes, as groups (g, i, id).
+        """All comparisons that are open in these nodes, as groups (g, i, id, part).
 
         A node of at most MEDIUM members is one group.  The members of others are dealt into blocks; those outside
         the main component, at most SMALL of them, go to every block.  Equal nodes come once."""
         once = nodes.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node").join(nodes.select("node", "size", "main"), "node")
         number = F.when(F.col("size") <= MEDIUM, F.lit(1)).otherwise(F.ceil(F.col("size") / SMALL)).cast("long")
-        rows = self.with_parts(large.join(once, "node")).withColumn("number", number)
+        rows = large.join(once, "node").withColumn("number", number)
         own = F.array(F.pmod(F.xxhash64("id", "node"), "number"))
-        return rows.select(F.col("node").alias("g"), F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("number") - 1))).alias("i"), "id")
+        return rows.select(F.col("node").alias("g"), F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("number") - 1))).alias("i"), "id", "part")
 
     def bands(self, rows: DataFrame) -> DataFrame:
         """Children of nodes by set size: two bands for each member; sets that can be similar share one."""
         band = F.floor(F.log(F.col("n")) / (math.log(100 / self.percent) * 1.0001)) if self.percent < 100 else F.col("n")
-        return rows.join(self.classes.select("id", "n"), "id").select("node", "id", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("node", "band").alias("node"), "id")
+        return rows.join(self.classes.select("id", "n"), "id").select("node", "id", "part", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("node", "band").alias("node"), "id", "part")
 
     def result(self) -> DataFrame:
         named = self.with_parts(self.classes.select("set_key", "id", "copies")).where("copies > 1 or part <> id").select("set_key", "copies", F.col("part").alias("component_id"))
