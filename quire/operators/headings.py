@@ -55,3 +55,10 @@ def marker_matches(line: Column, marker: str) -> Column:
     """A line is a marker, alone or with a label, whatever its case and closing colon."""
     key = comparison_key(line)
     return (key == marker) | (key.startswith(marker + " ") & label_suffix(F.substring(key, len(marker) + 1, 200)))
+
+
+def marker_in(key: Column, markers: list[str]) -> Column:
+    """The marker that a line's comparison key is, alone or with a label; null if none."""
+    pattern = "^(" + "|".join(sorted(markers, key=len, reverse=True)) + ")( .*)?$"
+    found, rest = F.regexp_extract(key, pattern, 1), F.regexp_extract(key, pattern, 2)
+    return F.when((found != "") & ((rest == "") | label_suffix(rest)), found)

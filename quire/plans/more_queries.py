@@ -21,15 +21,12 @@ def heading_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the titled texts that are a marker of their language."""
-    rows = lines.explode_lines(_titled(spark, sf_dir), "lang")
-    found = F.lit(None).cast("string")
-    for lang, markers in MARKERS.items():
-        for marker in markers:
-            found = F.when((F.col("lang") == lang) & headings.marker_matches(F.col("line"), marker), marker).otherwise(found)
+    rows = lines.explode_lines(_titled(spark, sf_dir), "lang").select("doc_id", "line_no", "lang", headings.comparison_key(F.col("line")).alias("key"))
+    found = F.coalesce(*(F.when(F.col("lang") == lang, headings.marker_in(F.col("key"), markers)) for lang, markers in MARKERS.items()))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), found.alias("marker")).where("marker is not null")
 
 
-# Markers looked for, in the order of precedence from last to first.
+# Markers looked for, by language.
 MARKERS = {"en": ["contents", "preface", "chapter", "appendix"], "fr": ["sommaire", "préface", "chapitre", "annexe"], "de": ["inhalt", "vorwort", "kapitel", "anhang"], "es": ["contenido", "prólogo", "capítulo", "apéndice"]}
 
 

@@ -425,6 +425,12 @@ ORACLE = {
     "paragraph_units": f"select doc_id, unit_no, length(open) n_chars, md5(open) text_md5 from {_packed(1600)}",
     "summary_validity": _validity("trim(a_content, ' ' || chr(10)) = '' then 'empty_content'"),
     "quiz_validity": _validity("trim(a_content, ' ' || chr(10)) = '' then 'malformed_quiz_items'", "when a_schema <> 'q1' then 'quiz_schema_version_mismatch'"),
+    "chapter_artifacts": f"""with c as (select doc_id, 'c' || chapter_seq chapter_id, case when chapter_seq % 4 = 1 then 'old-key' end legacy, arg_min_null(title, section_index) title from {TITLED_SECTIONS} group by doc_id, chapter_seq),
+        l as (select doc_id, chapter_id, list_distinct(list_filter(['chapter_id::' || chapter_id, legacy, 'chapter::' || nullif(trim(title), '')], lambda x: x is not null)) raw, ['chapter_id::' || chapter_id, legacy, 'chapter::' || nullif(trim(title), '')] ordered from c),
+        k as (select doc_id, chapter_id, unnest(list_filter(ordered, lambda x: x is not null)) as key, generate_subscripts(list_filter(ordered, lambda x: x is not null), 1) - 1 place from l),
+        s as (select distinct doc_id, key from k where place = doc_id % 3),
+        f as (select k.doc_id, k.chapter_id, arg_min(k.key, k.place) as key from k join s on s.doc_id = k.doc_id and s.key = k.key group by all)
+        select doc_id, chapter_id, key, md5(key) as content from f""",
     "merged_units": f"select * from {MERGED}",
     "heading_lines": f"select * from {HEADINGS}",
     "section_table": f"select doc_id, section_id, section_index, title, level, char_start, char_end, section_role, chapter_seq, sha256(content) as content from {TITLED_SECTIONS}",
