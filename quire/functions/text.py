@@ -9,8 +9,6 @@ WHITE = r"[ \t\n\r\f\x0B]"
 # Character classes of the token estimate.
 CJK_KANA = r"[㐀-䶿一-鿿豈-﫿぀-ヿ]"
 HANGUL = r"[가-힯]"
-# Closing part of a sentence.
-SENTENCE_END = r"[.!?。！？؛؟][\"'”’»›」』》)\]}）】〕〉》]*$"
 
 
 def strip(text: Column) -> Column:
@@ -90,11 +88,82 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), value))).otherwise(0.0)
 
 
-def language_alias(code: Column, aliases: dict[str, str]) -> Column:
-    """The base code of a language name or tag; unknown names are 'unknown'."""
-    base = F.lower(strip(F.split(F.regexp_replace(code, "_", "-"), "-")[0]))
+# Names and tags of languages, and their codes.
+LANGUAGES = {
+    "english": "en", "en-us": "en", "en-gb": "en", "chinese": "zh", "zh-cn": "zh", "zh-tw": "zh", "zh-hans": "zh", "zh-hant": "zh", "japanese": "ja", "french": "fr", "german": "de", "spanish": "es", "portuguese": "pt",
+    "italian": "it", "russian": "ru", "korean": "ko", "arabic": "ar", "hindi": "hi", "turkish": "tr", "dutch": "nl", "polish": "pl", "ukrainian": "uk", "indonesian": "id", "vietnamese": "vi", "thai": "th",
+    "en": "en", "zh": "zh", "ja": "ja", "fr": "fr", "de": "de", "es": "es", "pt": "pt", "it": "it", "ru": "ru", "ko": "ko", "ar": "ar", "hi": "hi", "tr": "tr", "nl": "nl", "pl": "pl", "uk": "uk", "id": "id", "vi": "vi", "th": "th",
+}
+# Scripts, and words of Latin-script languages, in the order in which they are looked for.
+SCRIPTS = {"zh": "[\u4e00-\u9fff]", "ja": "[\u3040-\u30ff]", "ko": "[\uac00-\ud7af]", "ar": "[\u0600-\u06ff]", "hi": "[\u0900-\u097f]", "th": "[\u0e00-\u0e7f]", "uk": "[іїєґ]", "ru": "[а-яё]"}
+HINTS = {
+    "es": (" cuáles", " qué ", " tema", " relaciones", " razones"), "pt": (" quais", " resumo", " temas", " relações"), "fr": (" quels", " résumé", " thèmes", " relations"), "de": (" welche", " zusammenfassung", " themen", " beziehungen"),
+    "it": (" quali", " riassunto", " temi", " relazioni"), "nl": (" welke", " samenvatting", " relaties", " thema"), "pl": (" które", " podsumowanie", " relacje", " tematy"), "id": (" yang ", " ringkasan", " hubungan", " tema"), "vi": (" những", " tóm tắt", " mối quan hệ", " chủ đề"),
+}
+
+
+def language_alias(code: Column, aliases: dict[str, str] = LANGUAGES) -> Column:
+    """The code of a language name or tag, else that of the tag's first part; unknown names are 'unknown'."""
+    tag = F.regexp_replace(F.translate(F.lower(strip(code)), "_", "-"), "[^a-z-]", "")
     known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
-    return F.coalesce(F.element_at(known, base), F.lit("unknown"))
+    return F.coalesce(F.element_at(known, tag), F.element_at(known, F.split(tag, "-")[0]), F.lit("unknown"))
+
+
+def detector_language(answer: Column) -> Column:
+    """The code in a detector's answer, which is its first word."""
+    return language_alias(F.split(F.translate(F.lower(strip(answer)), ".", ""), r"(?U)\s+")[0])
+
+
+def infer_language(text: Column) -> Column:
+    """A text's language by its script or, in Latin script, the first language one of whose words it holds, else English."""
+    lowered = F.lower(strip(text))
+    out = F.when(lowered.rlike("[a-z]"), F.coalesce(*(F.when(_holds(lowered, words), code) for code, words in HINTS.items()), F.lit("en"))).otherwise("unknown")
+    for code, pattern in reversed(SCRIPTS.items()):
+        out = F.when(lowered.rlike(pattern), code).otherwise(out)
+    return F.coalesce(out, F.lit("unknown"))
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    out = text.contains(words[0])
+    for word in words[1:]:
+        out = out | text.contains(word)
+    return out
+
+
+def preview(text: Column, size: int, share: float = 0.65, mark: str = "\n\n[... middle omitted ...]\n\n") -> Column:
+    """A text's head and tail around a mark, within `size` characters; the head gets its share of what the mark leaves."""
+    if size <= 0:
+        return F.when(text.isNotNull(), "")
+    if size <= len(mark) + 20:
+        return F.substring(text, 1, size)
+    head = max(20, int((size - len(mark)) * share))
+    tail = max(20, size - len(mark) - head)
+    return F.when(F.length(text) <= size, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(mark), F.substring(text, -tail, tail)))
+
+
+# Names of the ways to split a section.
+SPLIT_MODES = {"semantic_safe": "semantic_safe", "semantic": "semantic_safe", "safe": "semantic_safe", "progressive": "progressive", "window": "progressive", "llm_enhanced": "llm_enhanced", "enhanced": "llm_enhanced", "llm": "llm_enhanced"}
+
+
+def split_mode(name: Column, strict: bool = False) -> Column:
+    """The way to split that a name means; other names mean the safe one or, if strict, are null, as are short names."""
+    key = F.translate(F.lower(strip(name)), "-", "_")
+    if strict:
+        return F.when(key.isin(sorted(set(SPLIT_MODES.values()))), key)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in SPLIT_MODES.items() for x in pair]), key), F.lit("semantic_safe"))
+
+
+def candidates_wanted(asked: Column, mode: Column, most: int) -> Column:
+    """How many candidates a request's semantic split weighs: its number within 1..most; null in other modes or without one.
+
+    Reading a number beyond those bounds fails."""
+    wrong = asked.isNotNull() & ~asked.between(1, most)
+    return F.when(wrong, F.raise_error(F.lit(f"candidates must be within 1..{most}")).cast("long")).when(mode == "semantic_safe", asked.cast("long"))
+
+
+def effective_k(k: Column, scope: Column, least: int = 8) -> Column:
+    """Hits to fetch: as asked for a local question, at least `least` for others."""
+    return F.when(scope == "local", k).otherwise(F.greatest(k, F.lit(least)))
 
 
 def budget(window: int, target: int, share: float) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,12 @@ def _stored(artifacts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
     return wanted.join(own, keys, "left")
 
 
+def validity(artifacts: DataFrame, wanted: DataFrame, keys: list[str], first: Callable[[], tuple[Column, str]], fields: list[tuple[str, str]]) -> DataFrame:
+    """keys, status, reason: a first check, then fields that must be the same, nulls equal, in order."""
+    rows = _stored(artifacts, wanted, keys)
+    return _status(rows, keys, F.col("a_present").isNotNull(), first_reason(first(), *((differs(F.col(f"a_{k}"), F.col(k)), why) for k, why in fields)))
+
+
 def summary_validity(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, section_id, status (valid, invalid, missing) and reason: stored summaries against what is wanted of them
     now; checks in fixed order.

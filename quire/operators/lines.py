@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import SENTENCE_END, line_key, matches, strip
+from quire.functions.text import line_key, matches, strip
+
+# Chinese characters, what ends a prose line, and lines of decoration alone.
+CHINESE = r"[\u4e00-\u9fff]"
+TERMINAL = "[.!?。！？]$"
+DECORATION = r"^[-_=~*#\s]+$"
 
 
 def explode_lines(docs: DataFrame, *more: str) -> DataFrame:
@@ -19,9 +24,10 @@ def explode_lines(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def is_prose(line: Column) -> Column:
-    """Body prose in a Latin script: long, of ten words or more, and ended like a sentence."""
+    """Body prose: long and ended like a sentence; in Latin script 60 characters and ten words, with Chinese characters 25."""
     text = strip(line)
-    return (F.length(text) >= 60) & text.rlike(SENTENCE_END) & (matches(text, r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+") >= 10)
+    long = F.when(text.rlike(CHINESE), F.length(text) >= 25).otherwise((F.length(text) >= 60) & (matches(text, "[A-Za-z0-9]+") >= 10))
+    return text.rlike(TERMINAL) & long
 
 
 def is_heading_like(line: Column) -> Column:
@@ -31,9 +37,10 @@ def is_heading_like(line: Column) -> Column:
 
 
 def is_meaningful(line: Column) -> Column:
-    """Prose, or 40 characters, or eight words, and not only decoration."""
+    """Prose, or 40 characters (20 if Chinese) or eight words, and not decoration alone."""
     text = strip(line)
-    return text.rlike(r"(?U)[\p{L}\p{N}]") & (is_prose(line) | (F.length(text) >= 40) | (matches(text, r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+") >= 8))
+    long = F.when(text.rlike(CHINESE), F.length(text) >= 20).otherwise((F.length(text) >= 40) | (matches(text, "[A-Za-z0-9]+") >= 8))
+    return (F.length(text) > 0) & ~text.rlike(DECORATION) & (is_prose(line) | long)
 
 
 def prose_follows(lines: DataFrame, window: int = 3) -> DataFrame:

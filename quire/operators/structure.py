@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import strip
-from quire.operators.lines import explode_lines, is_prose
+from quire.operators.lines import explode_lines, is_meaningful, is_prose
 
 # Words that number a heading, by language.
 CHAPTER = {"en": "chapter|section|lesson|unit", "fr": "chapitre|section", "de": "kapitel|abschnitt", "es": "capítulo|sección"}
@@ -15,26 +15,34 @@ REGIONS = {"toc": "contents|table of contents|sommaire|table des matières|inhal
 NUMBER = "([0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten)"
 
 
-def _by_language(lang: Column, words: dict[str, str], line: Column) -> Column:
+def numbered(lang: Column, words: dict[str, str], line: Column) -> Column:
+    """A word of the language and its number, with or without a title."""
     out = F.lit(False)
     for code, alternatives in words.items():
         out = F.when(lang == code, line.rlike(f"(?iu)^({alternatives})[ ]+{NUMBER}([ .:].*)?$")).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, char_start, title, level and region of the heading lines.
+def heading_flags(docs: DataFrame, *more: str) -> DataFrame:
+    """Every line: doc_id, more columns, line_no, char_start, title, level (null if no heading), region, worded (a part, a
+    chapter or null, where words say so), prose and meaningful.
 
     Level 1: a numbered part or a region word; level 2: a numbered chapter or `1.`; level 3: `1.1`."""
-    lines = explode_lines(docs, "lang")
+    lines = explode_lines(docs, "lang", *more)
     title = strip(F.col("line"))
     region = F.lit(None).cast("string")
     for role, words in REGIONS.items():
         region = F.when(title.rlike(f"(?iu)^({words})[:.]?$"), role).otherwise(region)
-    chapter, part = _by_language(F.col("lang"), CHAPTER, title), _by_language(F.col("lang"), PART, title)
+    chapter, part = numbered(F.col("lang"), CHAPTER, title), numbered(F.col("lang"), PART, title)
     level = F.when(chapter, 2).when(part, 1).when(title.rlike(r"^[0-9]+(\.[0-9]+)+[ .].{1,80}$"), 3).when(title.rlike(r"^[0-9]{1,3}\.[ ]+\p{Lu}.{1,80}$"), 2).when(region.isNotNull(), 1)
-    rows = lines.select("doc_id", "line_no", "char_start", title.alias("title"), level.alias("level"), region.alias("region"), is_prose(F.col("line")).alias("prose"))
-    return rows.where("level is not null and not prose and length(title) <= 90").drop("prose")
+    fits = ~is_prose(F.col("line")) & (F.length(title) <= 90)
+    rows = lines.select("doc_id", *more, "lang", "line_no", "char_start", title.alias("title"), F.when(fits, level).alias("level"), region.alias("region"), F.when(chapter, "chapter").when(part, "part").alias("worded"), is_prose(F.col("line")).alias("prose"), is_meaningful(F.col("line")).alias("meaningful"))
+    return rows.withColumn("worded", F.when(F.col("level").isNotNull(), F.col("worded")))
+
+
+def headings(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, char_start, title, level and region of the heading lines."""
+    return heading_flags(docs).where("level is not null").select("doc_id", "line_no", "char_start", "title", "level", "region")
 
 
 def role(region: Column, place: Column) -> Column:

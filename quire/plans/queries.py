@@ -267,8 +267,8 @@ TOKENS = r"""(case when length(coalesce({0}, '')) = 0 then 0 else greatest(1,
     + cast(floor((len(regexp_extract_all({0}, '[\x21-\x7e]')) + 3) / 4.0) as bigint)) end)"""
 CHUNKS = """(select doc_id, i chunk_index, i * 1000 char_start, least(i * 1000 + 1200, length(text)) char_end, substring(text, i * 1000 + 1, 1200) text
     from (select doc_id, text, unnest(range(0, cast(greatest(0, ceil((length(text) - 1200) / 1000.0)) as bigint) + 1)) i from documents where length(text) > 0))"""
-PROSE = f"(length({STRIPPED.format('line')}) >= 60 and regexp_matches({STRIPPED.format('line')}, '{ENDED}') and len(regexp_extract_all({STRIPPED.format('line')}, '{WORDS}')) >= 10)"
 BARE = "[。！？.!?]$"
+PROSE = r"""(regexp_matches({0}, '[.!?。！？]$') and case when regexp_matches({0}, '[\x{{4e00}}-\x{{9fff}}]') then length({0}) >= 25 else length({0}) >= 60 and len(regexp_extract_all({0}, '[A-Za-z0-9]+')) >= 10 end)""".format(STRIPPED.format("line"))
 BREAKS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 

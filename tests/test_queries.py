@@ -2,10 +2,10 @@
 
 import pytest
 
-from quire.plans import more_queries, queries
+from quire.plans import layout_queries, more_queries, queries
 from tests.compare import connection, rows
 
-QUERIES, ORACLE = queries.QUERIES | more_queries.QUERIES, queries.ORACLE | more_queries.ORACLE
+QUERIES, ORACLE = queries.QUERIES | more_queries.QUERIES | layout_queries.QUERIES, queries.ORACLE | more_queries.ORACLE | layout_queries.ORACLE
 SF = "/root/testdata/sf0.001"
 
 
