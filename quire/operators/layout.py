@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import strip
+from quire.functions.text import blank_to_null, strip
 from quire.operators.artifacts import differs, validity
 
 # Fixed value: the share of sections with units from which statistics of units count.
@@ -130,3 +130,15 @@ def diagnostics(profile: DataFrame) -> DataFrame:
     )
     hint = F.when((post == "flat_long_text") & parser.isin("essay_sections", "chapter_section", "part_chapter"), "common_parser_may_undersegment").when((post == "part_chapter") & F.col("repeated_local"), "common_parser_may_have_flattened_parent_grouping")
     return profile.select("doc_id", requires.alias("requires_id"), mismatch.alias("shape_mismatch"), warnings.alias("warnings"), hint.alias("hint"))
+
+
+def task_context(parts: DataFrame, documents: DataFrame) -> DataFrame:
+    """doc_id, section_id, document_title, section_title, container_title, valid, reason of sections or units (doc_id, section_id,
+    title, container_title, content) and documents (doc_id, document_title).
+
+    A blank title is none.  Parts without an id or content cannot be a task: they are invalid as empty_id and
+    empty_content; others lack a document title (unknown_document) or their own (untitled_section)."""
+    rows = parts.join(documents.select("doc_id", blank_to_null(F.col("document_title")).alias("document_title")), "doc_id", "left")
+    rows = rows.select("doc_id", blank_to_null(F.col("section_id")).alias("section_id"), "document_title", blank_to_null(F.col("title")).alias("section_title"), blank_to_null(F.col("container_title")).alias("container_title"), blank_to_null(F.col("content")).isNull().alias("empty"))
+    reason = F.when(F.col("section_id").isNull(), "empty_id").when(F.col("empty"), "empty_content").when(F.col("document_title").isNull(), "unknown_document").when(F.col("section_title").isNull(), "untitled_section")
+    return rows.withColumn("valid", reason.isNull()).withColumn("reason", reason).drop("empty")

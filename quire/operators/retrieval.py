@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import estimate_tokens, line_key
+from quire.functions.text import cosine, doubles, estimate_tokens, line_key
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1200, step: int = 1000) -> DataFrame:
@@ -24,6 +24,31 @@ def link_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("prev_index", F.lag("chunk_index").over(order)).withColumn("next_index", F.lead("chunk_index").over(order))
 
 
+def neighbours(records: DataFrame) -> DataFrame:
+    """doc_id, node_id, side (prev or next), neighbour_id of records (doc_id, node_id, chunk_index, prev_id, next_id).
+
+    The node that a link names, or where the document has no such node the one at the next chunk index on that side; of
+    several nodes at an index the smallest id.  Sides without a neighbour have no row."""
+    side = lambda name, step: F.struct(F.lit(name).alias("side"), F.col(f"{name}_id").alias("link"), (F.col("chunk_index") + step).alias("at"))
+    wanted = records.select("doc_id", "node_id", F.explode(F.array(side("prev", -1), side("next", 1))).alias("s")).select("doc_id", "node_id", "s.*")
+    linked = records.select("doc_id", F.col("node_id").alias("link"), F.col("node_id").alias("linked")).distinct()
+    placed = records.groupBy("doc_id", F.col("chunk_index").alias("at")).agg(F.min("node_id").alias("placed"))
+    found = wanted.join(linked, ["doc_id", "link"], "left").join(placed, ["doc_id", "at"], "left")
+    return found.select("doc_id", "node_id", "side", F.coalesce("linked", "placed").alias("neighbour_id")).where("neighbour_id is not null")
+
+
+def best_label(vector: Column, labels: dict[str, list[float]]) -> Column:
+    """label and similarity of the label whose vector has the highest cosine, ties to the first; null for a vector that is
+    missing, zero or of another length than the labels'.
+
+    Labels are a short fixed list, so their vectors are literals and rows are not joined."""
+    own = doubles(vector)
+    usable = (F.size(own) == len(next(iter(labels.values())))) & F.exists(own, lambda x: x != 0)
+    options = F.array(*(F.struct(cosine(own, F.array(*map(F.lit, map(float, point)))).alias("similarity"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, point) in enumerate(labels.items())))
+    best = F.array_max(options)
+    return F.when(usable, F.struct(best["label"].alias("label"), best["similarity"].alias("similarity")))
+
+
 def local_window(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:
     """For each hit (doc_id, hit_index) the chunks within the radius: doc_id, hit_index, chunk_index, text.
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.parsing import json_text
-from quire.functions.text import line_key
+from quire.functions.text import blank_to_null, line_key
+from quire.operators import boundaries
 from quire.operators.lines import explode_lines
 
 PLAN = "struct<parser_mode:string,sections:array<struct<title:string,level:int,start_anchor_text:string,anchor_match_mode:string,anchor_occurrence:int>>>"
@@ -46,3 +47,27 @@ def apply(plan: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
 def union_boundaries(first: DataFrame, second: DataFrame) -> DataFrame:
     """Boundaries (doc_id, char_start, title) of both; of equal starts the first table's stays."""
     return first.unionByName(second.join(first.select("doc_id", "char_start"), ["doc_id", "char_start"], "left_anti"))
+
+
+def contiguous(starts: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, section_index, title, char_start, char_end: sections from each start to the next and to the text's end; what lies
+    before the first start is a section without a title.  Starts outside the text fall out."""
+    inner = starts.select("doc_id", "char_start", "title").join(docs.select("doc_id", F.length("text").alias("size")), "doc_id").where("char_start >= 0 and char_start < size")
+    first = inner.groupBy("doc_id", "size").agg(F.min("char_start").alias("first")).where("first > 0").select("doc_id", F.lit(0).cast("long").alias("char_start"), F.lit(None).cast("string").alias("title"), "size")
+    order = Window.partitionBy("doc_id").orderBy("char_start")
+    rows = first.unionByName(inner)
+    return rows.select("doc_id", (F.row_number().over(order) - 1).cast("long").alias("section_index"), "title", F.col("char_start").cast("long").alias("char_start"), F.coalesce(F.lead("char_start").over(order), "size").cast("long").alias("char_end"))
+
+
+def apply_or_keep(plan: DataFrame, docs: DataFrame, otherwise: DataFrame) -> DataFrame:
+    """The sections of each document's plan, or those of `otherwise` (doc_id, section_index, title, char_start, char_end) where
+    the plan is missing or its sections make no whole.
+
+    A plan of which only one start is found takes the titled starts of `otherwise` besides its own."""
+    starts = resolve(plan, docs).select("doc_id", "char_start", "title")
+    single = starts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    starts = union_boundaries(starts, otherwise.join(single, "doc_id", "left_semi").select("doc_id", "char_start", blank_to_null(F.col("title")).alias("title")).where("title is not null"))
+    many = starts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id")
+    made = contiguous(starts.join(many, "doc_id", "left_semi"), docs)
+    good = boundaries.whole(made, docs).where("accepted").select("doc_id")
+    return made.join(good, "doc_id", "left_semi").unionByName(otherwise.select(*made.columns).join(good, "doc_id", "left_anti"))
