@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embedding_dedup, language_id, licenses, near_dedup, packing, quality_model, quality_rules, secrets, toxicity
-from quire.llm.cluster import held_out, table
+from quire.llm import bpe, embedding_dedup, id_planes, language_id, licenses, near_dedup, packing, quality_model, quality_rules, secrets, toxicity
+from quire.llm.cluster import Shelf, held_out, table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,5 +75,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit_cutoffs(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scan, op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op8_quality_model, op9_packing, op10_quality_rules)}
+def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{Shelf(spark).folder}/ids"
+    id_planes.write(id_planes.encode(id_planes.ordered(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")), folder)
+    return id_planes.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scan, op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op8_quality_model, op9_packing, op10_quality_rules, op11_id_planes)}
 ORACLE: dict[str, str] = {}
