@@ -74,7 +74,8 @@ def ids_of(planes: list[bytes], kind: int, n: int) -> np.ndarray:
 class FileWriter:
     """One file, written block by block."""
 
-    def __init__(self, store: fs.FileSystem, path: str):
+    def __init__(self, store: fs.FileSystem, path: str, block: int = BLOCK):
+        self.block = block
         self.path, self.out, self.at = path, store.open_output_stream(path), len(MAGIC)
         self.out.write(MAGIC)
         self.rest = np.empty(0, "<u4")
@@ -88,10 +89,10 @@ class FileWriter:
         self.docs.append((doc, len(ids) // 4))
         self.ids += len(ids) // 4
         self.rest = np.concatenate((self.rest, np.frombuffer(ids, "<u4")))
-        if len(self.rest) >= BLOCK:
-            whole = len(self.rest) // BLOCK * BLOCK
-            for i in range(0, whole, BLOCK):
-                self._block(self.rest[i : i + BLOCK])
+        if len(self.rest) >= self.block:
+            whole = len(self.rest) // self.block * self.block
+            for i in range(0, whole, self.block):
+                self._block(self.rest[i : i + self.block])
             self.rest = self.rest[whole:]
 
     def _block(self, ids: np.ndarray) -> None:
@@ -162,8 +163,10 @@ def ids_between(path: str, start: int, n: int) -> np.ndarray:
         low, high = max(start - entry["start"], 0), min(start + n - entry["start"], entry["ids"])
         if low < high:
             file = FileReader(store, f"{folder}/{entry['name']}")
-            for k in range(low // BLOCK, (high - 1) // BLOCK + 1):
-                got.append(file.block(k)[max(low - k * BLOCK, 0) : high - k * BLOCK])
+            ends = np.cumsum(file.blocks[:, 1])
+            for k in range(int(np.searchsorted(ends, low, "right")), int(np.searchsorted(ends, high)) + 1):
+                first = int(ends[k - 1]) if k else 0
+                got.append(file.block(k)[max(low - first, 0) : high - first])
     return np.concatenate(got)
 
 
@@ -176,8 +179,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, block: int):
+        self.path, self.overwrite, self.block = path, overwrite, block
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = open_store(self.path)
@@ -193,7 +196,7 @@ class Writer(DataSourceArrowWriter):
                 if file and (file.ids >= FILE_IDS or len(file.docs) >= FILE_DOCS):
                     close()
                     file = None
-                file = file or FileWriter(store, f"{folder}/part-{part:07d}-{len(done):05d}-{tag}.ids")
+                file = file or FileWriter(store, f"{folder}/part-{part:07d}-{len(done):05d}-{tag}.ids", self.block)
                 file.add(doc, ids.as_buffer())
         if file:
             close()
@@ -276,7 +279,7 @@ class IdPlanes(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite)
+        return Writer(self.options["path"], overwrite, int(self.options.get("block", BLOCK)))
 
 
 #: What separates pieces that are encoded in one call; the tokenizer gives it an id of its own.
@@ -358,10 +361,10 @@ def encode(docs: DataFrame, json_path: str, end_id: int = 2) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(ids: DataFrame, path: str) -> None:
+def write(ids: DataFrame, path: str, block: int = BLOCK) -> None:
     """Writes rows (doc_id, ids), which lie in order, to a new folder."""
     ids.sparkSession.dataSource.register(IdPlanes)
-    ids.write.format("id_planes").option("path", path).mode("append").save()
+    ids.write.format("id_planes").option("path", path).option("block", block).mode("append").save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -61,12 +61,11 @@ def test_query_equals_the_library(spark, library):
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got) == expected(sorted((r.doc_id, r.text) for r in docs), library)
 
 
-def test_awkward_rows(spark, library, tmp_path, monkeypatch):
+def test_awkward_rows(spark, library, tmp_path):
     docs = fixtures.documents(spark, ODD)
     for block in (id_planes.BLOCK, 64):
-        monkeypatch.setattr(id_planes, "BLOCK", block)
         path = str(tmp_path / str(block))
-        id_planes.write(id_planes.encode(id_planes.ordered(docs), JSON), path)
+        id_planes.write(id_planes.encode(id_planes.ordered(docs), JSON), path, block)
         rows = sorted(id_planes.read(spark, path).collect(), key=lambda r: r.start)
         assert [r.doc_id for r in rows] == sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is not None, i or 0))
         at = 0
@@ -80,11 +79,9 @@ def test_awkward_rows(spark, library, tmp_path, monkeypatch):
             assert (id_planes.ids_between(path, start, n) == whole[start : start + n]).all()
 
 
-def test_blocks_span_documents_and_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(id_planes, "BLOCK", 8)
-    monkeypatch.setattr(id_planes, "FILE_DOCS", 3)
+def test_blocks_span_documents(tmp_path):
     store, _ = id_planes.open_store(str(tmp_path))
-    file = id_planes.FileWriter(store, str(tmp_path / "one"))
+    file = id_planes.FileWriter(store, str(tmp_path / "one"), 8)
     docs = [np.arange(n, dtype="<u4") * 999 for n in (1, 30, 0, 5, 8, 16)]
     for i, d in enumerate(docs):
         file.add(i, d.tobytes())
