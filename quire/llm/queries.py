@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embedding_dedup, id_planes, language_id, licenses, near_dedup, packing, quality_model, quality_rules, secrets, toxicity
+from quire.llm import bpe, centroids, embedding_dedup, id_planes, language_id, licenses, near_dedup, packing, quality_model, quality_rules, secrets, toxicity
 from quire.llm.cluster import Shelf, held_out, table
 
 
@@ -81,5 +81,36 @@ def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_planes.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scan, op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op8_quality_model, op9_packing, op10_quality_rules, op11_id_planes)}
-ORACLE: dict[str, str] = {}
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_secret_scan, op4_minhash_near_dedup, op5_byte_bpe, op6_embedding_near_dedup, op7_license_scan, op8_quality_model, op9_packing, op10_quality_rules, op11_id_planes, op12_centroids)}
+
+
+def _rounds(n: int) -> str:
+    """Centroids (c, k) after n rounds, as chained tables c0, c1, ...; a component is one row (c, j, x)."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""
+        d{r} AS MATERIALIZED (SELECT v.id, c.c, sum((v.x - c.x) * (v.x - c.x)) AS distance FROM comp v JOIN c{r} c USING (j) GROUP BY v.id, c.c),
+        a{r} AS MATERIALIZED (SELECT id, min({{'distance': distance, 'c': c}}) AS got FROM d{r} GROUP BY id)""")
+        if r < n:
+            steps.append(f"""
+        s{r} AS MATERIALIZED (SELECT a.got.c AS c, v.j, sum(v.x) AS s, count(*) AS n FROM comp v JOIN a{r} a USING (id) GROUP BY a.got.c, v.j),
+        c{r + 1} AS MATERIALIZED (SELECT c.c, c.j, coalesce((s.s - ((s.s % s.n) + s.n) % s.n) // s.n, c.x) AS x FROM c{r} c LEFT JOIN s{r} s ON s.c = c.c AND s.j = c.j)""")
+    return ",".join(steps)
+
+
+ORACLE: dict[str, str] = {
+    "op12_centroids": f"""
+        WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, embedding FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        comp AS MATERIALIZED (SELECT id, unnest(range(64)) AS j, CAST(floor(unnest(embedding)::DOUBLE * 1024) AS HUGEINT) AS x FROM kept),
+        c0 AS MATERIALIZED (SELECT s.c, v.j, v.x FROM comp v JOIN (SELECT id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY c < 8) s USING (id)),
+        {_rounds(10)},
+        named AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS centroid_sha256 FROM c10 GROUP BY c)
+        SELECT k.vec_id, CAST(a.got.c AS INTEGER) AS cluster, CAST(a.got.distance AS BIGINT) AS distance,
+            CAST(sum(a.got.distance) OVER (PARTITION BY a.got.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.got.distance) OVER () AS BIGINT) AS inertia, n.centroid_sha256
+        FROM kept k JOIN a10 a USING (id) JOIN named n ON n.c = a.got.c""",
+}
