@@ -46,6 +46,7 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 21
 BATCH_BYTES = 4 << 20
+TEXT_BYTES = 1 << 20
 MAGIC = b"IDPLANE1"
 FOOTER = struct.Struct("<QQQQQ")
 MANIFEST = "_manifest.json"
@@ -78,7 +79,8 @@ class FileWriter:
         self.block = block
         self.path, self.out, self.at = path, store.open_output_stream(path), len(MAGIC)
         self.out.write(MAGIC)
-        self.rest = np.empty(0, "<u4")
+        self.rest: list[np.ndarray] = []
+        self.waiting = 0
         self.blocks: list[tuple[int, ...]] = []
         self.lengths: list[int] = []
         self.docs: list[tuple[int | None, int]] = []
@@ -88,12 +90,14 @@ class FileWriter:
     def add(self, doc: int | None, ids: bytes) -> None:
         self.docs.append((doc, len(ids) // 4))
         self.ids += len(ids) // 4
-        self.rest = np.concatenate((self.rest, np.frombuffer(ids, "<u4")))
-        if len(self.rest) >= self.block:
-            whole = len(self.rest) // self.block * self.block
+        self.rest.append(np.frombuffer(ids, "<u4"))
+        self.waiting += len(ids) // 4
+        if self.waiting >= self.block:
+            rest = np.concatenate(self.rest)
+            whole = len(rest) // self.block * self.block
             for i in range(0, whole, self.block):
-                self._block(self.rest[i : i + self.block])
-            self.rest = self.rest[whole:]
+                self._block(rest[i : i + self.block])
+            self.rest, self.waiting = [rest[whole:]], len(rest) - whole
 
     def _block(self, ids: np.ndarray) -> None:
         kinds = [[self.pack.compress(p) for p in planes_of(ids, kind)] for kind in (BITS, BYTES)]
@@ -105,8 +109,8 @@ class FileWriter:
         self.at += len(body)
 
     def close(self) -> None:
-        if len(self.rest):
-            self._block(self.rest)
+        if self.waiting:
+            self._block(np.concatenate(self.rest))
         nulls = sum(d is None for d, _ in self.docs)
         parts = [np.array(self.blocks, "<i8").ravel(), np.array(self.lengths, "<i8"), np.array([0 if d is None else d for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<i8")]
         index = self.pack.compress(b"".join(p.tobytes() for p in parts))
@@ -179,8 +183,8 @@ class Written(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool, block: int):
-        self.path, self.overwrite, self.block = path, overwrite, block
+    def __init__(self, path: str, overwrite: bool, block: int, tokenizer: str, end_id: int):
+        self.path, self.overwrite, self.block, self.tokenizer, self.end_id = path, overwrite, block, tokenizer, end_id
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, folder = open_store(self.path)
@@ -191,13 +195,14 @@ class Writer(DataSourceArrowWriter):
             file.close()
             done.append((file.path.rsplit("/", 1)[-1], file.ids, len(file.docs)))
 
-        for batch in iterator:
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+        given = encoded(iterator, SparkFiles.get(self.tokenizer), self.end_id) if self.tokenizer else ((b.column("doc_id"), b.column("ids").to_pylist()) for b in iterator)
+        for keys, some in given:
+            for doc, ids in zip(keys.to_pylist(), some, strict=True):
                 if file and (file.ids >= FILE_IDS or len(file.docs) >= FILE_DOCS):
                     close()
                     file = None
                 file = file or FileWriter(store, f"{folder}/part-{part:07d}-{len(done):05d}-{tag}.ids", self.block)
-                file.add(doc, ids.as_buffer())
+                file.add(doc, ids)
         if file:
             close()
         return Written(part, done)
@@ -266,7 +271,8 @@ class Reader(DataSourceReader):
 
 
 class IdPlanes(DataSource):
-    """Format "id_planes": rows (doc_id long, ids binary) to write, with their starts and numbers of ids to read."""
+    """Format "id_planes": rows (doc_id long, ids binary; or text string, with a tokenizer) to write; to read, ids
+    with their starts and numbers."""
 
     @classmethod
     def name(cls) -> str:
@@ -279,7 +285,7 @@ class IdPlanes(DataSource):
         return Reader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> Writer:
-        return Writer(self.options["path"], overwrite, int(self.options.get("block", BLOCK)))
+        return Writer(self.options["path"], overwrite, int(self.options.get("block", BLOCK)), self.options.get("tokenizer", ""), int(self.options.get("end_id", 2)))
 
 
 #: What separates pieces that are encoded in one call; the tokenizer gives it an id of its own.
@@ -294,8 +300,8 @@ KNOWN = 400_000
 class PieceEncoder:
     """Ids of texts as the tokenizers library gives them, where each piece between white space is encoded once.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its pieces.  Pieces
-    are kept in a table of at most KNOWN, which starts again when full."""
+    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its pieces.  Pieces are kept in two tables of about KNOWN each: when the
+    younger is full, it takes the place of the older, from which pieces that come again are taken over."""
 
     def __init__(self, json_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task a core
@@ -305,34 +311,62 @@ class PieceEncoder:
         self.mark = self.encode([MARK], add_special_tokens=False)[0].ids
         assert len(self.mark) == 1
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if MARK not in p]
-        runs = [plain[i : i + PIECES] for i in range(0, len(plain), PIECES)]
+    def alone(self, pieces: list[str]) -> None:
+        for piece, got in zip(pieces, self.encode(pieces, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+
+    def together(self, pieces: list[str]) -> None:
+        runs = [pieces[i : i + PIECES] for i in range(0, len(pieces), PIECES)]
         for run, got in zip(runs, self.encode([f" {MARK} ".join([*r, ""]) for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark[0]).tolist()
+            ends = (4 * np.flatnonzero(ids == self.mark[0])).tolist()
             raw, at = ids.tobytes(), 0
-            if len(ends) == len(run):
-                for piece, end in zip(run, ends, strict=True):
-                    self.known[piece] = raw[4 * at : 4 * end]
-                    at = end + 1
-            else:
+            if len(ends) != len(run):
                 self.alone(run)
-        self.alone([p for p in pieces if MARK in p])
-
-    def alone(self, pieces: list[str]) -> None:
-        for piece, got in zip(pieces, self.encode(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, "<u4").tobytes()
+                continue
+            for piece, end in zip(run, ends, strict=True):
+                self.known[piece] = raw[at:end]
+                at = end + 4
+
+    def learn(self, pieces: set[str]) -> None:
+        again = pieces & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = pieces - again
+        self.together([p for p in new if MARK not in p])
+        self.alone([p for p in new if MARK in p])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [PLAIN.split(t) if ODD.search(t) else t.split() for t in texts]
         if len(self.known) > KNOWN:
-            self.known.clear()
-        self.learn(list(set().union(*pieces) - self.known.keys()))
+            self.known, self.older = {}, self.known
+        self.learn(set().union(*pieces).difference(self.known))
         return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(json_path: str) -> PieceEncoder:
+    """A worker's encoder, kept for its next task."""
+    if json_path not in _encoders:
+        _encoders[json_path] = PieceEncoder(json_path)
+    return _encoders[json_path]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], json_path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Keys and ids of batches (doc_id, text), some texts at a time."""
+    encoder, end = encoder_of(json_path), end_id.to_bytes(4, "little")
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // TEXT_BYTES
+        for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
+            if len(at):
+                some = batch.slice(at[0], len(at))
+                yield some.column("doc_id"), [x + end for x in encoder([t or "" for t in some.column("text").to_pylist()])]
+
+
 def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and text in ascending order of the key, dealt by ranges; ties by a hash of the text.
 
@@ -345,26 +379,24 @@ def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 def encode(docs: DataFrame, json_path: str, end_id: int = 2) -> DataFrame:
     """doc_id and ids (little-endian unsigned 32-bit) of each text, with the end id, in the order of the rows."""
     docs.sparkSession.sparkContext.addFile(json_path)
-    name, end = json_path.rsplit("/", 1)[-1], int(end_id).to_bytes(4, "little")
+    name = json_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(SparkFiles.get(name))
-        for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(size) // BATCH_BYTES
-            for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
-                if len(at):
-                    some = batch.slice(at[0], len(at))
-                    ids = [x + end for x in encoder([t or "" for t in some.column("text").to_pylist()])]
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for keys, ids in encoded(batches, SparkFiles.get(name), end_id):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(ids: DataFrame, path: str, block: int = BLOCK) -> None:
-    """Writes rows (doc_id, ids), which lie in order, to a new folder."""
-    ids.sparkSession.dataSource.register(IdPlanes)
-    ids.write.format("id_planes").option("path", path).option("block", block).mode("append").save()
+def write(rows: DataFrame, path: str, json_path: str = "", end_id: int = 2, block: int = BLOCK) -> None:
+    """Writes rows (doc_id, ids), or (doc_id, text) with a tokenizer's file, which lie in order, to a new folder.
+
+    With texts, the task that encodes them writes the files."""
+    if json_path:
+        rows.sparkSession.sparkContext.addFile(json_path)
+    rows.sparkSession.dataSource.register(IdPlanes)
+    options = {"path": path, "block": block, "tokenizer": json_path.rsplit("/", 1)[-1], "end_id": end_id}
+    rows.write.format("id_planes").options(**options).mode("append").save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -77,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{Shelf(spark).folder}/ids"
-    id_planes.write(id_planes.encode(id_planes.ordered(table(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json")), folder)
+    id_planes.write(id_planes.ordered(table(spark, sf_dir, "documents")), folder, public_tokenizers.path("word_bpe_49k.json"))
     return id_planes.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
