@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -46,7 +45,7 @@ BLOCK = 1 << 16
 FILE_IDS = 1 << 26
 FILE_DOCS = 1 << 21
 BATCH_BYTES = 4 << 20
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 8 << 20
 MAGIC = b"IDPLANE1"
 FOOTER = struct.Struct("<QQQQQ")
 MANIFEST = "_manifest.json"
@@ -83,15 +82,20 @@ class FileWriter:
         self.waiting = 0
         self.blocks: list[tuple[int, ...]] = []
         self.lengths: list[int] = []
-        self.docs: list[tuple[int | None, int]] = []
-        self.ids = 0
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.ids = self.docs = self.nulls = 0
         self.pack = zstandard.ZstdCompressor(level=3)
 
-    def add(self, doc: int | None, ids: bytes) -> None:
-        self.docs.append((doc, len(ids) // 4))
-        self.ids += len(ids) // 4
-        self.rest.append(np.frombuffer(ids, "<u4"))
-        self.waiting += len(ids) // 4
+    def add(self, keys: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        """Documents that follow one another, null keys first, and their ids."""
+        self.keys.append(pc.fill_null(keys, 0).to_numpy(zero_copy_only=False))
+        self.counts.append(counts)
+        self.nulls += keys.null_count
+        self.docs += len(keys)
+        self.ids += len(ids)
+        self.rest.append(ids.astype("<u4"))
+        self.waiting += len(ids)
         if self.waiting >= self.block:
             rest = np.concatenate(self.rest)
             whole = len(rest) // self.block * self.block
@@ -111,11 +115,10 @@ class FileWriter:
     def close(self) -> None:
         if self.waiting:
             self._block(np.concatenate(self.rest))
-        nulls = sum(d is None for d, _ in self.docs)
-        parts = [np.array(self.blocks, "<i8").ravel(), np.array(self.lengths, "<i8"), np.array([0 if d is None else d for d, _ in self.docs], "<i8"), np.array([n for _, n in self.docs], "<i8")]
+        parts = [np.array(self.blocks, "<i8").ravel(), np.array(self.lengths, "<i8"), *(np.concatenate(x).astype("<i8") for x in (self.keys, self.counts))]
         index = self.pack.compress(b"".join(p.tobytes() for p in parts))
         self.out.write(index)
-        self.out.write(FOOTER.pack(self.at, len(self.blocks), len(self.lengths), len(self.docs), nulls) + MAGIC)
+        self.out.write(FOOTER.pack(self.at, len(self.blocks), len(self.lengths), self.docs, self.nulls) + MAGIC)
         self.out.close()
 
 
@@ -182,6 +185,12 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, int, int]]
 
 
+def given(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Keys, numbers of ids and ids of a batch (doc_id, ids)."""
+    ids = batch.column("ids")
+    return batch.column("doc_id"), pc.binary_length(ids).to_numpy() // 4, np.frombuffer(b"".join(ids.to_pylist()), "<u4")
+
+
 class Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool, block: int, tokenizer: str, end_id: int):
         self.path, self.overwrite, self.block, self.tokenizer, self.end_id = path, overwrite, block, tokenizer, end_id
@@ -193,16 +202,15 @@ class Writer(DataSourceArrowWriter):
 
         def close() -> None:
             file.close()
-            done.append((file.path.rsplit("/", 1)[-1], file.ids, len(file.docs)))
-
-        given = encoded(iterator, SparkFiles.get(self.tokenizer), self.end_id) if self.tokenizer else ((b.column("doc_id"), b.column("ids").to_pylist()) for b in iterator)
-        for keys, some in given:
-            for doc, ids in zip(keys.to_pylist(), some, strict=True):
-                if file and (file.ids >= FILE_IDS or len(file.docs) >= FILE_DOCS):
-                    close()
-                    file = None
+            done.append((file.path.rsplit("/", 1)[-1], file.ids, file.docs))
+
+        for keys, counts, ids in encoded(iterator, SparkFiles.get(self.tokenizer), self.end_id) if self.tokenizer else map(given, iterator):
+            if file and (file.ids >= FILE_IDS or file.docs >= FILE_DOCS):
+                close()
+                file = None
+            if len(keys):
                 file = file or FileWriter(store, f"{folder}/part-{part:07d}-{len(done):05d}-{tag}.ids", self.block)
-                file.add(doc, ids)
+                file.add(keys, counts, ids)
         if file:
             close()
         return Written(part, done)
@@ -290,11 +298,8 @@ class IdPlanes(DataSource):
 
 #: What separates pieces that are encoded in one call; the tokenizer gives it an id of its own.
 MARK = "\0"
-#: White space to str.split, but text to the tokenizer.
-ODD = re.compile("[\x1c-\x1f]")
-PLAIN = re.compile("[ \t-\r]+")
 PIECES = 200
-KNOWN = 400_000
+KNOWN = 600_000
 
 
 class PieceEncoder:
@@ -337,12 +342,21 @@ class PieceEncoder:
         self.together([p for p in new if MARK not in p])
         self.alone([p for p in new if MARK in p])
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [PLAIN.split(t) if ODD.search(t) else t.split() for t in texts]
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and the last's end."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        pieces = lists.flatten().dictionary_encode()
+        words, place = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
         if len(self.known) > KNOWN:
             self.known, self.older = {}, self.known
-        self.learn(set().union(*pieces).difference(self.known))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+        self.learn(set(words).difference(self.known))
+        each = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        first, own = (np.cumsum(size) - size)[place], size[place]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(first - ends[:-1], own) + np.arange(ends[-1])]
+        offsets = lists.offsets.to_numpy()
+        return ids, ends[offsets - offsets[0]]
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -355,16 +369,17 @@ def encoder_of(json_path: str) -> PieceEncoder:
     return _encoders[json_path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], json_path: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Keys and ids of batches (doc_id, text), some texts at a time."""
-    encoder, end = encoder_of(json_path), end_id.to_bytes(4, "little")
+def encoded(batches: Iterator[pa.RecordBatch], json_path: str, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, numbers of ids and ids of batches (doc_id, text), some texts at a time; each text's ids end with end_id."""
+    encoder = encoder_of(json_path)
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size) // TEXT_BYTES
         for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(part)) + 1):
             if len(at):
                 some = batch.slice(at[0], len(at))
-                yield some.column("doc_id"), [x + end for x in encoder([t or "" for t in some.column("text").to_pylist()])]
+                ids, ends = encoder(some.column("text"))
+                yield some.column("doc_id"), np.diff(ends) + 1, np.insert(ids, ends[1:], end_id)
 
 
 def ordered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -382,8 +397,8 @@ def encode(docs: DataFrame, json_path: str, end_id: int = 2) -> DataFrame:
     name = json_path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in encoded(batches, SparkFiles.get(name), end_id):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        for keys, counts, ids in encoded(batches, SparkFiles.get(name), end_id):
+            yield pa.RecordBatch.from_arrays([keys, pa.array([x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])], pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, "doc_id long, ids binary")
 
