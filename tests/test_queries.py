@@ -2,10 +2,9 @@
 
 import pytest
 
-from quire.plans import boundary_queries, layout_queries, more_queries, queries
+from quire.plans.catalog import ORACLE, QUERIES
 from tests.compare import connection, rows
 
-QUERIES, ORACLE = queries.QUERIES | more_queries.QUERIES | layout_queries.QUERIES | boundary_queries.QUERIES, queries.ORACLE | more_queries.ORACLE | layout_queries.ORACLE | boundary_queries.ORACLE
 SF = "/root/testdata/sf0.001"
 
 
