@@ -1,4 +1,4 @@
-"""Queries of sentence chunks and cut sections, and their SQL where SQL can express them."""
+"""Queries of sentence chunks, cut sections and heading rules, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import chunks, cuts, structure
-from quire.plans.queries import documents
+from quire.functions.heading_words import rules
+from quire.operators import chunks, cuts, heading_rules, structure
+from quire.plans.queries import STRIPPED, TITLED, _titled, documents
 
 LETTERS = "etaoinsr"
 
@@ -40,7 +41,14 @@ def cut_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuts.cut_counters(_cut(spark, sf_dir, "semantic_safe"))
 
 
-QUERIES = {f.__name__: f for f in (sentence_chunks, semantic_units, windowed_units, cut_counters)}
+def ruled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the texts, with headings written into them, that meet a rule of their language."""
+    return heading_rules.marked_lines(_titled(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "char_start", "title", "strong", "region", "level")
+
+
+QUERIES = {f.__name__: f for f in (sentence_chunks, semantic_units, windowed_units, cut_counters, ruled_headings)}
+
+_RULES = ", ".join(f"""('{lang}', {[*heading_rules.STRONG, *heading_rules.REGIONS].index(rule)}, '{rule}', '(?i){pattern.replace("'", "''")}')""" for lang, rule, pattern in rules())
 
 _TOKENS = "((q[{1} + 1] - q[{0} + 1] + 3) // 4 + w[{1} + 1] - w[{0} + 1])"
 _QUARTER = r"length(regexp_replace({0}, '[^\x21-\x7e\x00-\x08\x0e-\x1b\x7f]+', '', 'g'))"
@@ -48,6 +56,10 @@ _WHOLE = r"length(regexp_replace({0}, '[\x00-\x7f\x{{85}}\x{{a0}}\x{{1680}}\x{{2
 _MOST, _OVERLAP = 300, 50
 _STOP = f"({{1}} + len(list_filter(range({{1}} + 1, n + 1), lambda j: {_TOKENS.format('{0}', 'j')} <= {_MOST})))"
 ORACLE = {
+    "ruled_headings": f"""with r(lang, k, rule, pattern) as (values {_RULES}),
+        l as (select doc_id, lang, line_no, sum(length(line) + 1) over (partition by doc_id order by line_no)::bigint - length(line) - 1 char_start, {STRIPPED.format('line')} title from (select doc_id, lang, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from {TITLED})),
+        m as (select doc_id, line_no, char_start, title, arg_min(rule, k) filter (k < 3) strong, arg_min(rule, k) filter (k >= 3) region from l join r using (lang) where length(title) between 1 and 200 and regexp_matches(title, pattern) group by all)
+        select *, case when strong = 'chapter' then 2 else 1 end as level from m""",
     "sentence_chunks": rf"""with recursive s as (select doc_id, unnest(string_split(regexp_replace(text, '{chunks.END.replace("'", "''")}', '\0' || chr(57344), 'g'), chr(57344))) s, generate_subscripts(string_split(regexp_replace(text, '{chunks.END.replace("'", "''")}', '\0' || chr(57344), 'g'), chr(57344)), 1) i from documents),
         o as (select doc_id, i, unnest(case when ({_QUARTER.format('s')} + 3) // 4 + {_WHOLE.format('s')} > {_MOST} then regexp_extract_all(s, '{chunks.WORD % _MOST}') else [s] end) x, generate_subscripts(case when ({_QUARTER.format('s')} + 3) // 4 + {_WHOLE.format('s')} > {_MOST} then regexp_extract_all(s, '{chunks.WORD % _MOST}') else [s] end, 1) k from s where s <> ''),
         c as (select doc_id, row_number() over own j, sum(length(x)) over own b, sum({_QUARTER.format('x')}) over own q, sum({_WHOLE.format('x')}) over own w from o window own as (partition by doc_id order by i, k)),
