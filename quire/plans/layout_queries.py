@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import artifacts, body, layout, structure, units
+from quire.operators import artifacts, body, layout, parse, structure, units
 from quire.plans.queries import MERGED, PROSE, STRIPPED, TITLED, TITLED_SECTIONS, TITLES, TOKENS, _numbered, _titled, _validity, _word, boxed_units, documents, table, titled_sections
 
 # The word for a part, by language, that texts get.
@@ -44,14 +44,17 @@ def body_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return body.body_start(listed(_titled(spark, sf_dir).join(own, "doc_id")))
 
 
-def weak_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weak_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of up to eleven words, some after a signal word, between blank lines."""
     words = lambda x, i: F.array_join(F.slice(F.split(x, " "), F.lit(1), (i % 12).cast("int")), " ")
-    docs = _between(spark, sf_dir, lambda x, i: F.concat(F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "Summary ").otherwise(""), words(x, i + F.col("doc_id") % 7), F.lit("\n\n")))
-    return body.weak_headings(docs, SIGNALS).withColumn("line_no", F.col("line_no").cast("long"))
+    return _between(spark, sf_dir, lambda x, i: F.concat(F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "Summary ").otherwise(""), words(x, i + F.col("doc_id") % 7), F.lit("\n\n")))
 
 
-def headings_without_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weak_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.weak_headings(_weak_texts(spark, sf_dir), SIGNALS).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def _part_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A part before every second chapter; before every fourth one something is said between them."""
     def said(x, i):
         n = F.floor(i / 6) + 1
@@ -59,7 +62,19 @@ def headings_without_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
         between = F.when(n % 4 == 3, F.concat(x, F.lit("\n"))).otherwise("")
         return F.concat(F.when(n % 2 == 1, F.concat(part, between)).otherwise(""), _named({c: w[2] for c, w in TITLES.items()}), F.lit(" "), n.cast("string"), F.lit("\n"))
 
-    return body.without_shells(_between(spark, sf_dir, said)).withColumn("line_no", F.col("line_no").cast("long"))
+    return _between(spark, sf_dir, said)
+
+
+def headings_without_shells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return body.without_shells(_part_texts(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def parsed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of texts with contents, with weak headings and with parts, in turn."""
+    own = documents(spark, sf_dir).select("doc_id", F.col("text").alias("plain"))
+    texts = listed(_titled(spark, sf_dir).join(own, "doc_id")).where("doc_id % 9 < 3")
+    texts = texts.unionByName(_weak_texts(spark, sf_dir).where("doc_id % 9 between 3 and 5")).unionByName(_part_texts(spark, sf_dir).where("doc_id % 9 > 5"))
+    return parse.sections(texts, SIGNALS).withColumn("content", F.sha2("content", 256))
 
 
 def keyword_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +204,7 @@ def context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        body_starts, weak_headings, headings_without_shells, keyword_lines, section_units, selected_units, containing_units, unit_coverage, unit_contents, layout_validity, unit_summary_validity,
+        body_starts, weak_headings, headings_without_shells, parsed_sections, keyword_lines, section_units, selected_units, containing_units, unit_coverage, unit_contents, layout_validity, unit_summary_validity,
         artifact_availability, title_uniqueness, structure_diagnostics, languages_inferred, languages_detected, request_options, previews, context_budgets,
     )
 }
@@ -222,6 +237,7 @@ def _said(what: str) -> str:
 
 WEAK = _said("chr(10) || case when doc_id % 2 = 0 then 'Summary ' else '' end || array_to_string(string_split(x, ' ')[1:(j - 1 + doc_id % 7) % 12], ' ') || chr(10) || chr(10)")
 SHELLS = _said(f"case when ((j - 1) // 6 + 1) % 2 = 1 then {PART_SQL} || ' ' || ((j - 1) // 6 + 1) || chr(10) || case when ((j - 1) // 6 + 1) % 4 = 3 then x || chr(10) else '' end else '' end || {CHAPTER_WORD} || ' ' || ((j - 1) // 6 + 1) || chr(10)")
+MIXED = f"""(select doc_id, lang, text from {LISTED} where doc_id % 9 < 3 union all select doc_id, lang, text from {WEAK} where doc_id % 9 between 3 and 5 union all select doc_id, lang, text from {SHELLS} where doc_id % 9 > 5)"""
 LAYOUT = f"""m as materialized {MERGED}, s as (select doc_id, unit_no::varchar section_id, unit_no i from m), g as (select doc_id, merged_no, list(unit_no::varchar) ids from m group by all having merged_no % 5 <> 3),
     u as (select doc_id, merged_no::varchar unit_id, merged_no * 2 unit_no, ids from g union all select doc_id, merged_no || 'b', merged_no * 2 + 1, ids from g where merged_no % 4 = 0),
     e as (select doc_id, unit_id, unit_no, unnest(ids) section_id from u), a as (select doc_id, section_id, unit_id, row_number() over (partition by doc_id, section_id order by unit_no) - 1 place from e)"""
@@ -239,8 +255,8 @@ def _picked(names: list, index: str) -> str:
     return "([" + ", ".join("null" if n is None else f"'{n}'" for n in names) + f"])[{index} % {len(names)} + 1]"
 
 
-ORACLE = {
-    "body_starts": f"""with l as materialized (select *, coalesce(bool_or(prose and not strong) over (partition by doc_id order by line_no rows between 1 following and 3 following), false) follows from {_lines(LISTED)}),
+def _body_starts(texts: str) -> str:
+    return f"""with l as materialized (select *, coalesce(bool_or(prose and not strong) over (partition by doc_id order by line_no rows between 1 following and 3 following), false) follows from {_lines(texts)}),
         t as (select doc_id, min(line_no) mark from l where {_is_marker('toc')} and char_start <= greatest(1500, floor(size * 0.35)) group by doc_id),
         e as (select l.doc_id, mark, least(mark + 181, min(line_no) filter (prose and line_no > mark)) stop from l join t using (doc_id) group by l.doc_id, mark),
         i as (select l.doc_id, l.key from l join e using (doc_id) where strong and line_no > mark and line_no < stop), n as (select doc_id from i group by doc_id having count(*) >= 3),
@@ -248,7 +264,24 @@ ORACLE = {
         b as (select o.doc_id, min(char_start) s from o join n using (doc_id) where seen > 1 and follows and (o.doc_id, o.key) in (select doc_id, key from i) group by all),
         f as (select doc_id, min(line_no) mark from l where {_is_marker('front_matter')} and char_start <= greatest(1500, floor(size * 0.45)) group by doc_id),
         c as (select l.doc_id, min(char_start) s from l join f using (doc_id) where strong and follows and line_no between mark + 1 and mark + 360 group by all)
-        select d.doc_id, coalesce(b.s, c.s, 0)::bigint char_start, case when b.s is not null then 'contents' when c.s is not null then 'front_matter' else 'none' end reason from (select distinct doc_id from l) d left join b using (doc_id) left join c using (doc_id)""",
+        select d.doc_id, coalesce(b.s, c.s, 0)::bigint char_start, case when b.s is not null then 'contents' when c.s is not null then 'front_matter' else 'none' end reason from (select distinct doc_id from l) d left join b using (doc_id) left join c using (doc_id)"""
+
+
+ORACLE = {
+    "body_starts": _body_starts(LISTED),
+    "parsed_sections": rf"""with s as materialized ({_body_starts(MIXED)}),
+        b as (select l.*, s.char_start as start, coalesce(lag(title = '') over w, true) and coalesce(lead(title = '') over w, true) alone, contains(lower(title), 'summary') or contains(lower(title), 'notes') signal, len(regexp_extract_all(title, '[A-Za-z0-9]+')) n from {_lines(MIXED)} l join s on s.doc_id = l.doc_id and l.char_start >= s.char_start window w as (partition by l.doc_id order by line_no)),
+        c as (select *, level is null and alone and title <> '' and length(title) <= case when signal then 60 else 40 end and not regexp_matches(title, '^[-_=~*#\s]+$') and not regexp_matches(title, '[。！？!?;；,.，:]$') and n between 1 and case when signal then 12 else 8 end weak,
+            sum((meaningful and level is null)::int) over w said, coalesce(sum((meaningful or prose)::int) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) earlier from b window w as (partition by doc_id order by line_no)),
+        m as (select *, coalesce(worded = 'part' and lead(worded) over w = 'chapter' and lead(said) over w = said, false) shell from (select *, count(level) over (partition by doc_id) strongs, count(*) filter (weak) over (partition by doc_id) weaks from c) where level is not null or (strongs = 0 and weaks >= 2 and weak) window w as (partition by doc_id order by line_no)),
+        k as (select *, last_value(held ignore nulls) over (partition by doc_id order by line_no) container from (select *, case when lag(shell) over (partition by doc_id order by line_no) then lag(title) over (partition by doc_id order by line_no) end held from m)),
+        h as (select doc_id, char_start, title, case when level is null then 1 when worded = 'chapter' then 2 when worded = 'part' then 1 when regexp_matches(title, '^[0-9]+(\.[0-9]+)+[ .].{{1,80}}$') then 3 when regexp_matches(title, '^[0-9]{{1,3}}\. +\p{{Lu}}.{{1,80}}$') then 2 else 1 end as level, container,
+            case {" ".join(f"when regexp_matches(title, '^({words})[:.]?$', 'i') then '{region}'" for region, words in structure.REGIONS.items())} end region, level is not null and earlier = 0 opens from k where not shell),
+        f as (select doc_id, min(char_start) first, arg_min(opens, char_start) opens from h group by doc_id),
+        a as (select doc_id, char_start, title, level, container, region from h union all select s.doc_id, s.char_start, null, 1, null, null from s left join f using (doc_id) where f.first is null or (f.first > s.char_start and not opens)),
+        r as (select a.*, text, row_number() over v - 1 section_index, coalesce(lead(char_start) over v, length(text)) char_end from a join {MIXED} using (doc_id) window v as (partition by doc_id order by char_start))
+        select doc_id, 'section-' || section_index section_id, section_index, title, level, container, case when region in ('toc', 'front_matter') and char_start / greatest(1, length(text)) <= 0.45 then region when region in ('appendix', 'back_matter') and char_start / greatest(1, length(text)) >= 0.60 then region else 'main_body' end section_role,
+        char_start, char_end, sha256(substring(text, char_start + 1, char_end - char_start)) as content from r""",
     "weak_headings": rf"""with l as (select *, coalesce(lag(title = '') over w, true) and coalesce(lead(title = '') over w, true) alone, contains(lower(title), 'summary') or contains(lower(title), 'notes') signal, len(regexp_extract_all(title, '[A-Za-z0-9]+')) n from {_lines(WEAK)} window w as (partition by doc_id order by line_no)),
         k as (select doc_id, line_no, char_start, title, count(*) over (partition by doc_id) c from l where level is null and alone and title <> '' and length(title) <= case when signal then 60 else 40 end and not regexp_matches(title, '^[-_=~*#\s]+$') and not regexp_matches(title, '[。！？!?;；,.，:]$') and n between 1 and case when signal then 12 else 8 end)
         select doc_id, line_no, char_start, title from k where c >= 2""",
