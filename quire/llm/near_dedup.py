@@ -12,8 +12,11 @@
    in no more than two such nodes; so a large group of copies becomes one component without
    making its pairs.  If all but SMALL of a node's members are one component then, those others are compared with
    all members, in blocks.  A node of at most MEDIUM members is compared by itself.  Every other
-   node branches until it is one of these: first by set size, in bands that overlap as far as similar
-   sets can differ, which loses nothing, then by tokens.
+   node branches: first by set size, in bands that overlap as far as similar sets can differ, which loses nothing,
+   then by tokens.  A node that is still large after LEVELS of this is a family of texts that share most of their tokens
+   and yet are no links; it is compared by itself, in blocks that meet in pairs.
+5. Members of these nodes bear the list of all such nodes that they are in, so a pair is compared only in the
+   first node in which it meets.
 
 A pair of similarity 0.8 misses all common children in one tree with probability 0.2 at the first
 level and 0.36 at any depth, so eight trees find it with 0.99999 and 0.9997; the bytes (38 or more of
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +47,9 @@ from quire.llm import textblock as tb
 from quire.llm.cluster import Shelf, durable, join_uneven
 from quire.llm.components import components
 
-MINS, TREES, CHOSEN, SMALL, MEDIUM, ALIKE = 64, 8, 2, 256, 4096, 38
+MINS, TREES, CHOSEN, SMALL, MEDIUM, LEVELS, ALIKE = 64, 8, 2, 256, 4096, 2, 38
+#: Members of a block of a family.
+BLOCK = MEDIUM // 2
 #: Shingles of a group that is confirmed in one piece.
 HEAVY = 1 << 21
 #: Bits of the largest filter that is broadcast to keep texts out of the table of full sets.
@@ -169,8 +175,23 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.
         yield cut(held)
 
 
-def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members of different components that may be similar."""
+def _incidence(node: int, met: pa.Array) -> np.ndarray | None:
+    """Which members of a node are in which nodes before it; nodes with one member there are left out."""
+    size = np.diff(met.offsets.to_numpy())
+    owner, nodes = np.repeat(np.arange(len(met)), size), met.flatten().to_numpy()
+    owner, nodes = owner[nodes < node], nodes[nodes < node]
+    kinds, column, count = np.unique(nodes, return_inverse=True, return_counts=True)
+    shared = count > 1
+    if not shared.any():
+        return None
+    out = np.zeros((len(met), int(shared.sum())), np.float32)
+    kept = shared[column]
+    out[owner[kept], (np.cumsum(shared) - 1)[column[kept]]] = 1
+    return out
+
+
+def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components that may be similar and have met in no earlier node."""
     out = []
     for at in range(0, len(n), SMALL):
         a = slice(at, at + SMALL)
@@ -179,6 +200,8 @@ def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) ->
             may = (part[a, None] != part[None, b]) & (100 * np.minimum(n[a, None], n[None, b]) >= percent * np.maximum(n[a, None], n[None, b]))
             if at == to:
                 may = np.triu(may, 1)
+            if earlier is not None:
+                may &= earlier[a] @ earlier[b].T == 0
             x, y = np.nonzero(may)
             for some in range(0, len(x), 1 << 16):
                 i, j = x[some : some + (1 << 16)] + at, y[some : some + (1 << 16)] + to
@@ -187,8 +210,9 @@ def _alike(part: np.ndarray, n: np.ndarray, sketch: np.ndarray, percent: int) ->
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
 
 
-def _plausible(percent: int):
-    """Those members of each group that look similar to others of it, as groups (key, id).
+def _plausible(percent: int, families: bool = False):
+    """Those members of each group that look similar to others of it, as groups (key, id); those of families bear their node
+    and the nodes that they are in.
 
     Members that look alike, directly or through others, form a part, and that is a group.  One of more than
     SMALL members and HEAVY shingles, which takes much memory, is cut into blocks that meet in pairs.  A key
@@ -199,16 +223,17 @@ def _plausible(percent: int):
             ids, part, n = (batch.column(k).to_numpy() for k in ("id", "part", "n"))
             sketch = matrix(batch.column("sketch"), np.uint8)
             size = np.diff(bounds)
-            two = bounds[:-1][size == 2]
+            two = bounds[:-1][(size == 2) & (not families)]
             may = (part[two] != part[two + 1]) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
             two = two[may]
             two = two[(sketch[two] == sketch[two + 1]).sum(1) >= ALIKE]
             pair = np.stack((ids[two], ids[two + 1]), 1)
             keys, found = [np.repeat(_key(pair), 2)], [np.stack((two, two + 1), 1).ravel()]
-            for a, b in zip(bounds[:-1][size > 2], bounds[1:][size > 2], strict=True):
+            several = size > (1 if families else 2)
+            for a, b in zip(bounds[:-1][several], bounds[1:][several], strict=True):
                 if (part[a:b] == part[a]).all():
                     continue
-                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent, _incidence(batch.column("g")[a].as_py(), batch.column("met").slice(a, b - a)) if families else None)
                 if not len(i):
                     continue
                 root = np.arange(b - a)
@@ -223,13 +248,14 @@ def _plausible(percent: int):
                 for own in np.split(some, np.flatnonzero(np.diff(root[some])) + 1):
                     half = SMALL // 2
                     light = len(own) <= SMALL or weight[own].sum() <= HEAVY
+                    salt = tb.mix(batch.column("g").to_numpy()[a : a + 1].view(_U)) if families else _U(0)
                     blocks = [own + a] if light else [own[at : at + half] + a for at in range(0, len(own), half)]
                     for p in range(len(blocks)):
                         for q in range(p + (len(blocks) > 1), len(blocks)):
                             group = blocks[p] if p == q else np.concatenate((blocks[p], blocks[q]))
-                            keys.append(np.repeat(_key(ids[group][None]), len(group)))
+                            keys.append(np.repeat(_key(ids[group][None]) ^ salt, len(group)))
                             found.append(group)
-            own = batch.select(["id", "part", "set_key", "n", "sketch"]).take(pa.array(np.concatenate(found)))
+            own = batch.select(["id", "part", "set_key", "n", "sketch", *(["g", "met"] if families else [])]).take(pa.array(np.concatenate(found)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *own.columns], ["key", *own.schema.names])
 
     return run
@@ -283,7 +309,36 @@ def forest(part: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarra
     return out
 
 
-def _linked(percent: int):
+def common(sets: list[np.ndarray]) -> np.ndarray | None:
+    """Which sets have which of the shingles that several of them have; None if that is too much to hold or to multiply."""
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count > 1
+    if len(sets) * int(shared.sum()) > min(1 << 26, 40 * len(flat)):
+        return None
+    out = np.zeros((len(sets), int(shared.sum())), np.float32)
+    kept = shared[column]
+    out[owner[kept], (np.cumsum(shared) - 1)[column[kept]]] = 1
+    return out
+
+
+def products(part: np.ndarray, n: np.ndarray, has: np.ndarray, percent: int, earlier: np.ndarray | None) -> list[tuple[int, int]]:
+    """Links of sets, each of which connects two components; the sizes of all intersections are a matrix product."""
+    out, root = [], part.copy()
+    for at in range(0, len(n), SMALL):
+        both = has[at : at + SMALL] @ has[at:].T
+        link = 100 * both >= percent * (n[at : at + SMALL, None] + n[None, at:] - both)
+        link &= part[at : at + SMALL, None] != part[None, at:]
+        if earlier is not None:
+            link &= earlier[at : at + SMALL] @ earlier[at:].T == 0
+        for x, y in zip(*(z.tolist() for z in np.nonzero(np.triu(link, 1))), strict=True):
+            if root[at + x] != root[at + y]:
+                out.append((at + x, at + y))
+                root[root == root[at + y]] = root[at + x]
+    return out
+
+
+def _linked(percent: int, families: bool = False):
     """Links (u, v) of components: a forest of the links in each group, confirmed on full sets; a pair that is connected
     by then needs no confirmation."""
 
@@ -293,11 +348,17 @@ def _linked(percent: int):
             sketch, shingles = matrix(batch.column("sketch"), np.uint8), batch.column("shingles")
             found = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a == 2:
+                if b - a == 2 and not families:
                     if part[a] != part[a + 1] and similar(unpacked(shingles[a].as_py()), unpacked(shingles[a + 1].as_py()), percent):
                         found.append((a, a + 1))
                     continue
-                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent)
+                earlier = _incidence(batch.column("g")[a].as_py(), batch.column("met").slice(a, b - a)) if families else None
+                sets = [unpacked(shingles[k].as_py()) for k in range(a, b)] if families else []
+                has = common(sets) if families else None
+                if has is not None:
+                    found += [(a + x, a + y) for x, y in products(part[a:b], n[a:b], has, percent, earlier)]
+                    continue
+                i, j = _alike(part[a:b], n[a:b], sketch[a:b], percent, earlier)
                 if len(i):
                     found += [(a + x, a + y) for x, y in forest(part[a:b].copy(), [unpacked(shingles[k].as_py()) for k in range(a, b)], i, j, percent)]
             pairs = part[np.array(found, np.int64).reshape(-1, 2)]
@@ -399,18 +460,26 @@ class _Join:
         self.parts = self.shelf.put(moved.union(merged.join(old.select("node"), "node", "left_anti")))
         self.shelf.drop(old, merged)
 
-    def compare(self, groups: DataFrame, also: DataFrame | None) -> None:
-        """Compares the members of each group of rows (g, i, id, part); `also` are ids to be compared later.
+    def compare(self, groups: DataFrame, also: DataFrame | None, whole: DataFrame | None = None) -> None:
+        """Compares the members of each group of rows (g, i, id, part), and of whole nodes (with `met`); `also` are ids to be
+        compared later.
 
         Components change here alone, so the rows of all later steps bear their component until the next comparison."""
-        own = groups.join(self.classes.select("id", "set_key", "n", "sketch"), "id")
-        near = own.repartition("g", "i").sortWithinPartitions("g", "i").mapInArrow(_plausible(self.percent), "key long, id long, part long, set_key binary, n long, sketch binary")
-        near = self.shelf.put(near.distinct())
+        def near(rows: DataFrame, families: bool) -> DataFrame:
+            own = rows.join(self.classes.select("id", "set_key", "n", "sketch"), "id")
+            schema = "key long, id long, part long, set_key binary, n long, sketch binary" + (", g long, met array<long>" if families else "")
+            return self.shelf.put(own.repartition("g", "i").sortWithinPartitions("g", "i").mapInArrow(_plausible(self.percent, families), schema).distinct())
+
+        tables = [(near(rows, families), families) for rows, families in ((groups, False), (whole, True)) if rows is not None]
         if self.sets is None:
-            self.sets = self.make_sets(near.select("id") if also is None else near.select("id").union(also))
-        full = near.join(self.sets, ["id", "set_key"]).drop("id", "set_key")
-        self.merge(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent), "u long, v long"))
-        self.shelf.drop(near)
+            wanted = [t.select("id") for t, _ in tables] + ([] if also is None else [also])
+            self.sets = self.make_sets(reduce(DataFrame.union, wanted))
+        links = []
+        for t, families in tables:
+            full = t.join(self.sets, ["id", "set_key"]).drop("id", "set_key")
+            links.append(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent, families), "u long, v long"))
+        self.merge(reduce(DataFrame.union, links))
+        self.shelf.drop(*(t for t, _ in tables))
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
         """Nodes of several components: size, hashes of the members, and the largest component."""
@@ -433,7 +502,7 @@ class _Join:
             if not nodes.where(F.col("size") > SMALL).isEmpty():
                 large = rows.join(nodes.where(F.col("size") > SMALL).select("node"), "node").select("node", "id", "part")
                 groups = groups.union(self.stars(large))
-            self.compare(groups if waiting is None else groups.union(waiting), large.select("id") if large is not None else None)
+            self.compare(groups, large.select("id") if large is not None else None, waiting)
             if large is None:
                 shelf.drop(nodes, waiting, rows)
                 return
@@ -441,14 +510,14 @@ class _Join:
             shelf.drop(nodes, waiting, rows)
             left = shelf.put(self.open_nodes(large))
             others = F.col("size") - F.col("most")
-            ready = (others <= SMALL) | (F.col("size") <= MEDIUM)
+            ready = (others <= SMALL) | (F.col("size") <= MEDIUM) | F.lit(level > LEVELS)
             if left.isEmpty():
                 return
             waiting = shelf.put(self.whole(large, left.where(ready)))
-            mixed = large.join(left.where(~ready).select("node"), "node")
+            mixed = large.join(left.where(~ready).groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node"), "node")
             if left.where(~ready).isEmpty():
                 shelf.drop(large, left)
-                self.compare(waiting, None)
+                self.compare(None, None, waiting)
                 shelf.drop(waiting)
                 return
             rows = shelf.put(self.bands(mixed) if level == 1 else mixed.join(self.classes.select("id", "mins"), "id").select("node", "id", "part", "mins").mapInArrow(_children(False), "node long, id long, part long"))
@@ -463,15 +532,23 @@ class _Join:
         return few.join(of, "node").select(F.col("node").alias("g"), F.explode(block).alias("i"), "id", "part")
 
     def whole(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
-        """All comparisons that are open in these nodes, as groups (g, i, id, part).
-
-        A node of at most MEDIUM members is one group.  The members of others are dealt into blocks; those outside
-        the main component, at most SMALL of them, go to every block.  Equal nodes come once."""
-        once = nodes.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node").join(nodes.select("node", "size", "main"), "node")
-        number = F.when(F.col("size") <= MEDIUM, F.lit(1)).otherwise(F.ceil(F.col("size") / SMALL)).cast("long")
-        rows = large.join(once, "node").withColumn("number", number)
-        own = F.array(F.pmod(F.xxhash64("id", "node"), "number"))
-        return rows.select(F.col("node").alias("g"), F.explode(F.when(F.col("part") == F.col("main"), own).otherwise(F.sequence(F.lit(0).cast("long"), F.col("number") - 1))).alias("i"), "id", "part")
+        """All comparisons that are open in these nodes, as groups (g, i, id, part) with all of these nodes that the id is in (met).
+
+        A node of at most MEDIUM members is one group.  Of others with a main component the members are dealt into blocks, and those
+        outside it, at most SMALL of them, go to every block.  The rest are families, whose blocks meet in pairs: members of one
+        block, which have a group of their own, bear a node for it in these.  Equal nodes come once."""
+        once = nodes.groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node").join(nodes.select("node", "size", "main", "most"), "node")
+        rows = self.shelf.put(large.join(once, "node"))
+        rows = rows.join(rows.groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("met")), "id")
+        one, main = F.col("size") <= MEDIUM, F.col("size") - F.col("most") <= SMALL
+        number = F.when(one, 1).when(main, F.ceil(F.col("size") / SMALL)).otherwise(F.ceil(F.col("size") / BLOCK)).cast("long")
+        rows = rows.withColumn("number", number).withColumn("block", F.pmod(F.xxhash64("id", "node"), "number"))
+        zero = F.lit(0).cast("long")
+        every = F.sequence(zero, F.col("number") - 1)
+        alone = F.transform(F.when(one | (F.col("part") == F.col("main")), F.array("block")).otherwise(every), lambda i: F.struct(i.alias("i"), F.col("met").alias("met")))
+        least = F.lit(-(1 << 63)).cast("long")
+        pairs = F.transform(every, lambda c: F.struct((F.least("block", c) * F.col("number") + F.greatest("block", c)).alias("i"), F.when(c == F.col("block"), F.col("met")).otherwise(F.concat(F.array(least + F.col("block")), F.col("met"))).alias("met")))
+        return rows.select(F.col("node").alias("g"), F.explode(F.when(one | main, alone).otherwise(pairs)).alias("x"), "id", "part").select("g", "x.i", "id", "part", "x.met")
 
     def bands(self, rows: DataFrame) -> DataFrame:
         """Children of nodes by set size: two bands for each member; sets that can be similar share one."""
