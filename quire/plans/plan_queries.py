@@ -1,4 +1,4 @@
-"""Queries of chapters and of split plans of sections, and their SQL."""
+"""Queries of chapters, of split plans of sections and of structured records, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quire.functions.text import strip
 from quire.operators import chapters, structure
 from quire.plans import unit_plans
-from quire.plans.queries import STRIPPED, TITLED_SECTIONS, _titled, documents
+from quire.plans.queries import STRIPPED, TITLED_SECTIONS, _titled, documents, titled_sections
+from quire.sources import store, structured
 
 
 def chapter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,47 @@ def unplanned_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_plans.planned_units(_plans(spark, sf_dir), _sections(spark, sf_dir))[1]
 
 
-QUERIES = {f.__name__: f for f in (chapter_table, plan_anchors, planned_units, unplanned_sections)}
+def _tables(spark: SparkSession, sf_dir: str) -> structured.Tables:
+    """The sections of titled texts in their chapters, with one unit for each 900 characters of a section."""
+    s = titled_sections(spark, sf_dir).withColumn("document_id", F.col("doc_id").cast("string")).withColumn("chapter_id", F.concat(F.lit("c"), "chapter_seq"))
+    text = F.col("content")
+    cuts = F.sequence(F.lit(0), F.expr("length(content) div 900"))
+    return structured.Tables(
+        _titled(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("D"), "doc_id").alias("title"), F.col("lang").alias("language"), F.col("text").alias("raw_text")),
+        s.groupBy("document_id", "chapter_id").agg(F.min("section_index").alias("place"), F.min_by("title", "section_index").alias("title"), F.min_by("level", "section_index").alias("level")),
+        s.select("document_id", "chapter_id", F.col("section_index").alias("place"), "section_id", "title", "level", "content", "char_start", "char_end", "section_role"),
+        s.select("document_id", "section_id", F.explode(cuts).alias("place"), text.alias("content")).select("document_id", "section_id", "place", F.concat("section_id", F.lit("-"), "place").alias("unit_id"), F.lit(None).cast("string").alias("title"), F.substring("content", F.col("place") * 900 + 1, F.lit(900)).alias("content")),
+    )
+
+
+def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shape: its chapters with their sections and these with the hash of their units' text; every tenth chapter is missing, so that its sections are orphans."""
+    t = _tables(spark, sf_dir)
+    t = t._replace(chapters=t.chapters.where("cast(substring(chapter_id, 2) as int) % 10 <> 9"))
+    units = lambda s: F.concat(s["section_id"], F.lit(":"), F.md5(F.array_join(F.transform(s["task_units"], lambda u: u["content"]), "|")))
+    shape = F.array_join(F.transform("chapters", lambda c: F.concat(c["chapter_id"], F.lit("["), F.array_join(F.transform(c["sections"], units), " "), F.lit("]"))), " ")
+    orphans = F.array_join(F.transform("orphans", lambda o: F.concat(o["kind"], F.lit(":"), o["id"])), " ")
+    return structured.assemble(t).select(F.col("document_id").cast("long").alias("doc_id"), "title", "language", F.md5(shape).alias("shape"), orphans.alias("orphans"))
+
+
+def records_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of six forms, written from the documents and read again: the sections of each, and how many could not be read for which reason."""
+    folder = store.scratch_folder(spark)
+    i = F.col("doc_id")
+    sections = titled_sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("section_index", "section_id", "title", "level", "content", "char_start", "char_end", "section_role"))).alias("s"))
+    docs = _titled(spark, sf_dir).join(sections, "doc_id")
+    head = [i.cast("string").alias("document_id"), F.concat(F.lit("D"), i).alias("title"), F.col("text").alias("raw_text")]
+    chapter = F.array(F.struct(F.lit("c0").alias("chapter_id"), F.lit("All").alias("title"), F.lit(1).alias("level"), F.col("s").alias("sections")))
+    forms = [F.to_json(F.struct(*head, chapter.alias("chapters"))), F.to_json(F.struct(*head, F.col("s").alias("sections"))), F.to_json(F.struct(*head, F.transform("s", lambda x: F.struct(x["section_id"].alias("node_id"), x["title"].alias("title"), x["level"].alias("level"), x["content"].alias("content"))).alias("structure_nodes"))), F.to_json(F.struct(*head)), F.substring(F.to_json(F.struct(*head)), 1, 40), F.to_json(F.struct(*head[1:], i.alias("id")))]
+    record = F.coalesce(*(F.when(i % 6 == k, form) for k, form in enumerate(forms)))
+    docs.select(record.alias("value")).write.text(f"{folder}/records")
+    tables, unread = structured.read_records(spark, f"{folder}/records")
+    read = structured.assemble(tables).select("document_id", F.aggregate("chapters", F.lit(0), lambda n, c: n + F.size(c["sections"])).alias("sections"))
+    lost = unread.groupBy("reason").agg(F.count("*").alias("sections")).select(F.col("reason").alias("document_id"), F.col("sections").cast("int").alias("sections"))
+    return read.unionByName(lost)
+
+
+QUERIES = {f.__name__: f for f in (chapter_table, plan_anchors, planned_units, unplanned_sections, assembled_documents, records_read)}
 
 _EDGE = r"([^\pL\pN_]|$)"
 _CHAPTER = rf"^(chapter|chap\.)\s+([0-9]+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten){_EDGE}|^第[一二三四五六七八九十百千万两兩〇零0-9]+章{_EDGE}"
@@ -61,6 +102,14 @@ _UNITS = f"""{_ANCHORS}, i as (select doc_id, char_start, arg_min(title, place)
     u as (select doc_id, char_start, b.title, x, {STRIPPED.format("substring(x, char_start + 1, coalesce(lead(char_start) over w, length(x)) - char_start)")} part from b join t using (doc_id) window w as (partition by doc_id order by char_start)),
     v as (select * from u where part <> ''), j as (select doc_id, count(*) n, sum(length(part)) >= greatest(1, floor(max(length(x)) * 0.7)) and max(length(part)) <= 3200 and count(*) filter (length(part) < 75) <= greatest(1, count(*) // 3) sound from v group by doc_id)"""
 ORACLE = {
+    "assembled_documents": f"""with s as (select *, 'c' || chapter_seq c from {TITLED_SECTIONS}), u as (select doc_id, section_index, c, section_id, string_agg(substring(content, i * 900 + 1, 900), '|' order by i) joined from (select *, unnest(range(0, length(content) // 900 + 1)) i from s) group by all),
+        k as (select doc_id, c, min(section_index) place, string_agg(section_id || ':' || md5(joined), ' ' order by section_index, section_id) told from u group by all),
+        d as (select doc_id, string_agg(c || '[' || told || ']', ' ' order by place, c) filter (substring(c, 2)::int % 10 <> 9) shape from k group by doc_id),
+        o as (select doc_id, string_agg('section:' || section_id, ' ' order by section_id) orphans from u where substring(c, 2)::int % 10 = 9 group by doc_id)
+        select doc_id, 'D' || doc_id title, lang as language, md5(coalesce(shape, '')) shape, coalesce(orphans, '') orphans from documents left join d using (doc_id) left join o using (doc_id) where text is not null""",
+    "records_read": f"""with s as (select doc_id, count(*) n from {TITLED_SECTIONS} group by doc_id)
+        select doc_id::varchar document_id, case when doc_id % 6 = 3 then 1 else n end::int sections from s where doc_id % 6 < 4 union all
+        select case doc_id % 6 when 4 then 'malformed' else 'missing_document_id' end, count(*)::int from documents where text is not null and doc_id % 6 > 3 group by 1""",
     "chapter_table": rf"""with recursive code as materialized (select list(list_reduce(list_prepend(i, range(8)), lambda c, b: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)),
         s as materialized (select doc_id, section_index i, title, level + ({_CRC.format("(doc_id || ':' || section_index)")} % 4 = 0)::int as level, section_role role from {TITLED_SECTIONS}, code),
         m as materialized (select *, role = 'main_body' main, coalesce(regexp_matches({STRIPPED.format('title')}, '(?i){_CHAPTER}'), false) headed, coalesce(regexp_matches({STRIPPED.format('title')}, '{_SUB}'), false) under from s),
