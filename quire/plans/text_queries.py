@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.heading_words import rules
-from quire.operators import chunks, cuts, heading_rules, structure
-from quire.plans.queries import STRIPPED, TITLED, _titled, documents
+from quire.operators import chunks, cuts, heading_rules, structure, terms
+from quire.operators.lines import explode_lines
+from quire.plans.boundary_queries import _COUNTS, _cosine, _letters
+from quire.plans.queries import LINES, STRIPPED, TITLED, _titled, documents
 
 LETTERS = "etaoinsr"
 
@@ -46,7 +48,26 @@ def ruled_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heading_rules.marked_lines(_titled(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "char_start", "title", "strong", "region", "level")
 
 
-QUERIES = {f.__name__: f for f in (sentence_chunks, semantic_units, windowed_units, cut_counters, ruled_headings)}
+#: Rules whose terms occur in the texts, the first of which counts.
+LINE_RULES = {"licence": ("license", "CC BY"), "secret": ("password", "token", "api_key", "secret"), "address": ("@", "http"), "number": ("0", "1", "2", "3"), "marks": ("!", "?", ";", "#")}
+
+
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule of every line that meets one."""
+    lines = explode_lines(documents(spark, sf_dir)).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+    return lines.select("doc_id", "line_no", terms.first_rule(F.col("line"), LINE_RULES).alias("rule")).where("rule is not null")
+
+
+def topic_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three words of each text as its topic, a word of a rule in every seventh."""
+    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    topic = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" Annual REPORT "), words)).otherwise(words)
+    vectors = {w: letter_counts([w])[0].tolist() for own in terms.TOPICS.values() for w in own}
+    rows = documents(spark, sf_dir).select("doc_id", topic.alias("topic")).withColumn("rule", terms.topic_rule(F.col("topic"), embed=_letters, vectors=vectors))
+    return rows.select("doc_id", "rule", terms.guidance(F.col("topic"), F.col("rule")).alias("guidance"))
+
+
+QUERIES = {f.__name__: f for f in (sentence_chunks, semantic_units, windowed_units, cut_counters, ruled_headings, line_rules, topic_guidance)}
 
 _RULES = ", ".join(f"""('{lang}', {[*heading_rules.STRONG, *heading_rules.REGIONS].index(rule)}, '{rule}', '(?i){pattern.replace("'", "''")}')""" for lang, rule, pattern in rules())
 
@@ -55,7 +76,16 @@ _QUARTER = r"length(regexp_replace({0}, '[^\x21-\x7e\x00-\x08\x0e-\x1b\x7f]+', '
 _WHOLE = r"length(regexp_replace({0}, '[\x00-\x7f\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', '', 'g'))"
 _MOST, _OVERLAP = 300, 50
 _STOP = f"({{1}} + len(list_filter(range({{1}} + 1, n + 1), lambda j: {_TOKENS.format('{0}', 'j')} <= {_MOST})))"
+_WORDS = ", ".join(f"({i}, '{rule}', '{w}')" for i, (rule, w) in enumerate((r, w) for r, own in terms.TOPICS.items() for w in own))
+_TOLD = "case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in terms.GUIDANCE.items()) + " end"
 ORACLE = {
+    "line_rules": f"""with l as (select doc_id, line_no, lower(line) x from {LINES}), r as (select *, case {" ".join("when " + " or ".join(f"contains(x, '{t.lower()}')" for t in own) + f" then '{rule}'" for rule, own in LINE_RULES.items())} end rule from l)
+        select doc_id, line_no, rule from r where rule is not null""",
+    "topic_guidance": f"""with w(k, rule, word) as (values {_WORDS}), t as (select doc_id, case when doc_id % 7 = 0 then ' Annual REPORT ' else '' end || array_to_string(string_split(text, ' ')[1:3], ' ') topic from documents),
+        n as (select *, lower({STRIPPED.format('topic')}) x from t), v as (select *, {_COUNTS.format('x')} a from n), k as (select k, rule, word, {_COUNTS.format('word')} b from w),
+        f as (select v.doc_id, topic, x, arg_min(rule, k) filter (contains(x, word)) found, arg_max(rule, ({_cosine('a', 'b')}, -k)) best, max({_cosine('a', 'b')}) similarity from v, k group by all),
+        r as (select *, coalesce(found, case when x <> '' and similarity >= 0.78 then best end) rule from f)
+        select doc_id, rule, case when coalesce(x, '') = '' then 'Topic Guidance: None' else coalesce({_TOLD}, 'Topic Guidance: align style with topic ' || chr(39) || topic || chr(39) || '.') end guidance from r""",
     "ruled_headings": f"""with r(lang, k, rule, pattern) as (values {_RULES}),
         l as (select doc_id, lang, line_no, sum(length(line) + 1) over (partition by doc_id order by line_no)::bigint - length(line) - 1 char_start, {STRIPPED.format('line')} title from (select doc_id, lang, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from {TITLED})),
         m as (select doc_id, line_no, char_start, title, arg_min(rule, k) filter (k < 3) strong, arg_min(rule, k) filter (k >= 3) region from l join r using (lang) where length(title) between 1 and 200 and regexp_matches(title, pattern) group by all)
