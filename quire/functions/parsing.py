@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import blank_to_null
+from quire.functions.text import blank_to_null, strip
 
 QUIZ = "array<struct<question_id:string,question_text:string,answer_text:string>>"
 
@@ -26,7 +26,7 @@ def quiz_items(answer: Column, least: int = 4) -> Column:
 
 def skip_reason(text: Column, least: int = 400) -> Column:
     """Why no quiz is made of a text; null if one is."""
-    return F.when(F.length(F.trim(text)) < least, "content_too_short")
+    return F.when(F.length(strip(text)) < least, "content_too_short")
 
 
 def http_status(reason: Column, kind: str = "section_task") -> Column:
@@ -34,7 +34,7 @@ def http_status(reason: Column, kind: str = "section_task") -> Column:
 
     A section task or a reparse takes a named status from 400 to 599.  Then things not found are 404, and all else is
     400; a reparse knows 400 for what the caller did wrong, else 500."""
-    lowered = F.lower(F.trim(reason))
+    lowered = F.lower(strip(reason))
     named = F.regexp_extract(reason, r"status=(\d{3})", 1).try_cast("int")
     named = F.when(named.between(400, 599), named)
     missing = F.when(lowered.contains("not found"), 404).otherwise(400)
@@ -58,7 +58,7 @@ def clean_ratio(value: Column) -> Column:
 
 
 def allowed(value: Column, names: list[str], default: str = "unknown") -> Column:
-    lowered = F.lower(F.trim(value))
+    lowered = F.lower(strip(value))
     return F.when(lowered.isin(names), lowered).otherwise(default)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import blank_to_null
+from quire.functions.text import blank_to_null, strip
 
 
 def first_reason(*checks: tuple[Column, str]) -> Column:
@@ -77,7 +77,7 @@ def quiz_validity(artifacts: DataFrame, wanted: DataFrame) -> DataFrame:
 def chapter_keys(chapters: DataFrame, by_id: str = "chapter_id::", by_title: str = "chapter::") -> DataFrame:
     """doc_id, chapter_id, place, key: the keys under which a chapter's artifact may be stored, best first, each once:
     by id, as it was stored earlier (legacy_key), and by title."""
-    keys = F.array(F.concat(F.lit(by_id), F.trim("chapter_id")), blank_to_null(F.col("legacy_key")), F.concat(F.lit(by_title), blank_to_null(F.col("title"))))
+    keys = F.array(F.concat(F.lit(by_id), strip(F.col("chapter_id"))), blank_to_null(F.col("legacy_key")), F.concat(F.lit(by_title), blank_to_null(F.col("title"))))
     return chapters.select("doc_id", "chapter_id", F.posexplode(F.array_distinct(F.array_compact(keys))).alias("place", "key")).withColumn("place", F.col("place").cast("long"))
 
 

@@ -31,9 +31,9 @@ def is_prose(line: Column) -> Column:
 
 
 def is_heading_like(line: Column) -> Column:
-    """No prose, at most twelve words and 90 characters."""
+    """No prose; at most twelve words and 90 characters or, with Chinese characters, at most 32 characters."""
     text, words = strip(line), matches(line, r"[A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
-    return ~is_prose(line) & words.between(1, 12) & (F.length(text) <= 90)
+    return ~is_prose(line) & F.when(text.rlike(CHINESE), F.length(text) <= 32).otherwise(words.between(1, 12) & (F.length(text) <= 90))
 
 
 def is_meaningful(line: Column) -> Column:

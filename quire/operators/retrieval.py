@@ -70,7 +70,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dista
 
     The measure is the squared distance or 1 - cosine.  Rows and queries are dealt into blocks of about `block`; each pair of
     blocks is one task's group, which keeps k rows for each of its queries, and those are merged by query.
-    Rows or queries without a vector, or with another length than the other side's, match nothing."""
+    Within a pair, a matrix product gives all measures nearly; rows that may be among the k nearest are then measured exactly.
+    All rows with the query's own id are left out, also where ids repeat.  Rows or queries without a vector, or with another
+    length than the other side's, match nothing."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
     own = vectors.where(usable & F.col("vec_id").isNotNull()).select("vec_id", "embedding", F.size("embedding").alias("d"))
     asked = queries.where(usable & F.col("vec_id").isNotNull()).select(F.col("vec_id").alias("query_id"), "embedding", F.size("embedding").alias("d"))
@@ -82,19 +84,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dista
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(x) and len(y):
             ids, points = x.vec_id.to_numpy(), np.stack(x.embedding.to_numpy()).astype(float)
+            asked_ids, asked_points = y.query_id.to_numpy(), np.stack(y.embedding.to_numpy()).astype(float)
             size = np.sqrt((points * points).sum(1))
-            for query, point in zip(y.query_id, y.embedding, strict=True):
-                point = np.asarray(point, float)
+            for at in range(0, len(asked_ids), 256):
+                some, own = asked_points[at : at + 256], asked_ids[at : at + 256]
+                length = np.sqrt((some * some).sum(1))
+                product = some @ points.T
                 if measure == "distance":
-                    score = ((points - point) ** 2).sum(1)
+                    rough = length[:, None] ** 2 + size[None] ** 2 - 2 * product
+                    slack = 1e-9 * (length.max() + size.max()) ** 2
                 else:
-                    both = size * np.sqrt((point * point).sum())
-                    score = 1 - np.clip(np.where(both > 0, points @ point / np.where(both > 0, both, 1), 0), -1, 1)
-                near = np.lexsort((ids, score))[: k + 1]
-                near = near[ids[near] != query][:k]
-                out["query_id"] += [query] * len(near)
-                out["vec_id"] += ids[near].tolist()
-                out["score"] += score[near].tolist()
+                    both = length[:, None] * size[None]
+                    rough, slack = -np.divide(product, both, out=np.zeros_like(product), where=both > 0), 1e-9
+                rough[own[:, None] == ids[None]] = np.inf
+                last = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                for i, query in enumerate(own.tolist()):
+                    may = np.flatnonzero((rough[i] <= last[i] + slack) & (rough[i] < np.inf))
+                    if measure == "distance":
+                        score = ((points[may] - some[i]) ** 2).sum(1)
+                    else:
+                        both = size[may] * length[i]
+                        score = 1 - np.clip(np.where(both > 0, points[may] @ some[i] / np.where(both > 0, both, 1), 0), -1, 1)
+                    near = np.lexsort((ids[may], score))[:k]
+                    out["query_id"] += [query] * len(near)
+                    out["vec_id"] += ids[may[near]].tolist()
+                    out["score"] += score[near].tolist()
         return pd.DataFrame(out)
 
     found = left.groupBy("r", "q", "d").cogroup(right.groupBy("r", "q", "d")).applyInPandas(nearest, "query_id long, vec_id long, score double")

@@ -239,8 +239,8 @@ WEAK = _said("chr(10) || case when doc_id % 2 = 0 then 'Summary ' else '' end ||
 SHELLS = _said(f"case when ((j - 1) // 6 + 1) % 2 = 1 then {PART_SQL} || ' ' || ((j - 1) // 6 + 1) || chr(10) || case when ((j - 1) // 6 + 1) % 4 = 3 then x || chr(10) else '' end else '' end || {CHAPTER_WORD} || ' ' || ((j - 1) // 6 + 1) || chr(10)")
 MIXED = f"""(select doc_id, lang, text from {LISTED} where doc_id % 9 < 3 union all select doc_id, lang, text from {WEAK} where doc_id % 9 between 3 and 5 union all select doc_id, lang, text from {SHELLS} where doc_id % 9 > 5)"""
 LAYOUT = f"""m as materialized {MERGED}, s as (select doc_id, unit_no::varchar section_id, unit_no i from m), g as (select doc_id, merged_no, list(unit_no::varchar) ids from m group by all having merged_no % 5 <> 3),
-    u as (select doc_id, merged_no::varchar unit_id, merged_no * 2 unit_no, ids from g union all select doc_id, merged_no || 'b', merged_no * 2 + 1, ids from g where merged_no % 4 = 0),
-    e as (select doc_id, unit_id, unit_no, unnest(ids) section_id from u), a as (select doc_id, section_id, unit_id, row_number() over (partition by doc_id, section_id order by unit_no) - 1 place from e)"""
+    u as materialized (select doc_id, merged_no::varchar unit_id, merged_no * 2 unit_no, ids from g union all select doc_id, merged_no || 'b', merged_no * 2 + 1, ids from g where merged_no % 4 = 0),
+    e as materialized (select doc_id, unit_id, unit_no, unnest(ids) section_id from u), a as materialized (select doc_id, section_id, unit_id, row_number() over (partition by doc_id, section_id order by unit_no) - 1 place from e)"""
 UNIT = """(select w.doc_id, 'u0' unit_id, s.doc_id is not null present, case when s.doc_id is null then null when doc_id % 7 = 6 then 'empty_content' when doc_id % 7 = 1 then 'source_hash_mismatch' when doc_id % 7 = 2 and lang is not null then 'language_mismatch' when doc_id % 7 = 3 then 'split_mode_mismatch'
     when doc_id % 7 = 4 then 'semantic_top_k_mismatch' when doc_id % 7 = 5 then 'prompt_version_mismatch' end reason from documents w left join (select doc_id from documents where doc_id % 5 <> 0) s using (doc_id))"""
 _HINTS = " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{code}'" for code, words in T.HINTS.items())

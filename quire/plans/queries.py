@@ -376,9 +376,9 @@ ORACLE = {
     "stale_documents": f"select doc_id, md5({STRIPPED.format('text')}) fingerprint from documents where doc_id % 3 <> 0",
     "line_offsets": f"""select doc_id, line_no, s char_start, s + length(line) char_end, md5(line) line_md5
         from (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint s from {LINES})""",
-    "line_flags": f"""select doc_id, line_no, prose, not prose and n between 1 and 12 and size <= 90 heading_like,
+    "line_flags": f"""select doc_id, line_no, prose, not prose and case when chinese then size <= 32 else n between 1 and 12 and size <= 90 end heading_like,
         coalesce(bool_or(prose) over (partition by doc_id order by line_no rows between 1 following and 3 following), false) prose_follows
-        from (select doc_id, line_no, {PROSE} prose, len(regexp_extract_all({STRIPPED.format('line')}, '{WORDS}')) n, length({STRIPPED.format('line')}) size from {LINES})""",
+        from (select doc_id, line_no, {PROSE} prose, len(regexp_extract_all({STRIPPED.format('line')}, '{WORDS}')) n, length({STRIPPED.format('line')}) size, regexp_matches(line, '[\\x{{4e00}}-\\x{{9fff}}]') chinese from {LINES})""",
     "evidence_lines": f"""with s as (select doc_id, line_no, {STRIPPED.format('line')} line from {LINES}),
         f as (select doc_id, min(line_no) line_no, arg_min(line, line_no) line from s where length(line) between 1 and 90 group by doc_id, lower(regexp_replace(line, '\\s+', ' ', 'g')))
         select * from (select doc_id, row_number() over (partition by doc_id order by line_no) place, line_no, line from f) where place <= 60""",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import strip
+
 SECTION = "struct<section_id:string,section_index:long,title:string,level:int,content:string,char_start:long,char_end:long,section_role:string>"
 STRUCTURED = f"document_id string, title string, language string, raw_text string, chapters array<struct<chapter_id:string,title:string,level:int,sections:array<{SECTION}>>>"
 
@@ -37,4 +39,4 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def storage_name(name: F.Column) -> F.Column:
     """A document's name without a known extension; `default` if nothing is left."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(name, r"(?i)\.(txt|pdf|json)$", "")), F.lit("")), F.lit("default"))
+    return F.coalesce(F.nullif(strip(F.regexp_replace(name, r"(?i)\.(txt|pdf|json)$", "")), F.lit("")), F.lit("default"))
