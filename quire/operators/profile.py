@@ -22,6 +22,8 @@ SPEECH = {
     "es": ["dijo", "preguntó", "respondió"],
 }
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029]"
+#: White space that holds a line break.
+LINE_GAP = r"(?U)[\s\x1C-\x1E]*[\n\r\x0B\f\x1C-\x1E\u0085\u2028\u2029][\s\x1C-\x1E]*"
 BARE_END = "[。！？.!?]$"
 NOISE_MARKS = "。！？；,.!?;:：，、"
 SAMPLE = 12_000
@@ -91,28 +93,26 @@ def script_system(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", *names, label.alias("script_system"))
 
 
-def _for_language(lang: Column, by_code: dict[str, Column], default: Column) -> Column:
-    out = default
-    for code, value in by_code.items():
-        if code:
-            out = F.when(lang == code, value).otherwise(out)
-    return out
+def _quoted(marks: str) -> str:
+    """Lines of up to 90 characters that open with a mark and have another, or of up to 60 with four."""
+    other = f"[^{marks}\\n]*[{marks}]"
+    return f"(?dm)^(?=.{{1,90}}$)([{marks}]{other}|(?=.{{1,60}}$)({other}){{4}}).*$"
 
 
 def dialogue_density(docs: DataFrame) -> DataFrame:
     """Lines of speech by dash, by short quotes and by words of speech in the first characters, the report's own
     window, and the level; quotes alone never make it high.  A null or empty text is unknown."""
     sample = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE)
-    lines = F.filter(F.transform(split_lines(sample), lambda x: strip(x)), lambda x: F.length(x) > 0)
-    quotes = _for_language(F.col("lang"), {k: F.lit(v) for k, v in QUOTES.items()}, F.lit(QUOTES[""]))
-    rows = docs.select("doc_id", "lang", lines.alias("lines"), F.length(sample).alias("size"), sample.alias("sample"), quotes.alias("marks"))
-    hits = lambda x: F.length(x) - F.length(F.call_function("translate", x, F.col("marks"), F.lit("")))
-    dash = F.size(F.filter("lines", lambda x: x.rlike("^[-–—]") & (F.length(x) <= 50) & x.rlike(BARE_END)))
-    opens = lambda x: F.contains(F.col("marks"), F.left(x, F.lit(1)))
-    quoted = F.size(F.filter("lines", lambda x: (F.length(x) <= 90) & ((opens(x) & (hits(x) >= 2)) | ((hits(x) >= 4) & (F.length(x) <= 60)))))
-    speaks = lambda x: _for_language(F.col("lang"), {k: F.lower(x).rlike("|".join(v)) for k, v in SPEECH.items()}, F.lit(False))
-    verbs = F.size(F.filter("lines", speaks))
-    rows = rows.select("doc_id", "size", hits(F.col("sample")).alias("quotes"), F.greatest(F.lit(1), F.size("lines")).alias("n"), dash.alias("dash"), quoted.alias("quoted"), verbs.alias("verbs"))
+    # one string of the lines that are not empty, without white space at their ends; rules count matches in it
+    flat = F.regexp_replace(F.regexp_replace(sample, LINE_GAP, "\n"), r"(?U)^[\s\x1C-\x1E]+|[\s\x1C-\x1E]+$", "")
+    flat = F.regexp_replace(flat, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
+    of = lambda by_code, default: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in by_code.items() if k for x in (k, v))), F.col("lang")), F.lit(default))
+    count = lambda text, pattern: F.regexp_count(text, pattern)
+    rows = docs.select("doc_id", F.length(sample).alias("size"), sample.alias("sample"), flat.alias("flat"), of(QUOTES, QUOTES[""]).alias("marks"), of({k: _quoted(v) for k, v in QUOTES.items()}, _quoted(QUOTES[""])).alias("quoted_by"), of({k: "(?dm)^.*(" + "|".join(v) + ").*$" for k, v in SPEECH.items()}, "(?!)").alias("said_by"))
+    quotes = F.length("sample") - F.length(F.call_function("translate", F.col("sample"), F.col("marks"), F.lit("")))
+    dash = count(F.col("flat"), F.lit(r"(?dm)^[-–—].{0,48}[。！？.!?]$"))
+    n = F.greatest(F.lit(1), F.length("flat") - F.length(F.translate("flat", "\n", "")) + 1)
+    rows = rows.select("doc_id", "size", quotes.alias("quotes"), n.alias("n"), dash.alias("dash"), count(F.col("flat"), F.col("quoted_by")).alias("quoted"), count(F.lower("flat"), F.col("said_by")).alias("verbs"))
     return rows.select("doc_id", F.col("dash").cast("long").alias("dash_lines"), F.col("quoted").cast("long").alias("quote_lines"), F.col("verbs").cast("long").alias("speech_lines"), F.expr("""case when size = 0 then 'unknown'
         when dash >= 4 or dash / n >= 0.18 or (quoted >= 8 and quoted / n >= 0.25 and verbs >= 3) or (dash >= 2 and quoted >= 3) then 'high'
         when dash >= 1 or quoted >= 3 or quoted / n >= 0.10 or verbs >= 2 or quotes / greatest(1, size) >= 0.012 then 'medium' else 'low' end""").alias("dialogue_density"))
