@@ -88,9 +88,11 @@ def first_by_hash(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, max_chars: int, text: str = "text") -> DataFrame:
-    """At most `rows` rows for fitting; longer texts than max_chars are passed over, so the sample has
-    at most rows * max_chars characters."""
-    return thinned(df, key, rows).where(F.length(text) <= max_chars).orderBy(F.xxhash64(key), key).limit(rows)
+    """At most `rows` rows for fitting, each with at most max_chars characters: of a longer text a window, whose place is dealt by a
+    hash of the key, so no text is passed over for its length."""
+    start = 1 + F.pmod(F.xxhash64(key, F.lit("window")), F.greatest(F.lit(1), F.length(text) - max_chars + 1)).cast("int")
+    cut = F.when(F.length(text) > max_chars, F.substring(F.col(text), start, F.lit(max_chars))).otherwise(F.col(text))
+    return thinned(df.where(F.col(text).isNotNull()), key, rows).withColumn(text, cut).orderBy(F.xxhash64(key), key).limit(rows)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, max_chars: int, parts: int, part: int) -> tuple[list[str], list[int]]:

@@ -47,3 +47,14 @@ def test_products_count_intersections_exactly():
     links = {(i, j) for i in range(30) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
     got = near_dedup.products(np.arange(30), n, near_dedup.common(sets), 80, None)
     assert brute.components(range(30), got) == brute.components(range(30), links)
+
+
+def test_sample_cuts_windows_out_of_long_texts(spark):
+    from quire.llm.cluster import bounded_sample
+
+    rows = [(i, "".join(chr(97 + (i + k) % 26) for k in range(500)) if i % 2 else None if i % 4 else "short") for i in range(400)]
+    got = bounded_sample(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", 150, 40).collect()
+    texts = dict(rows)
+    assert len(got) == 150 and all(r.text in texts[r.doc_id] and len(r.text) == min(40, len(texts[r.doc_id])) for r in got)
+    assert len({texts[r.doc_id].index(r.text) for r in got if r.doc_id % 2}) > 5
+    assert bounded_sample(spark.createDataFrame(rows, "doc_id long, text string").limit(0), "doc_id", 5, 5).count() == 0
