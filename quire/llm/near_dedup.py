@@ -480,7 +480,6 @@ class _Join:
             links.append(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent, families), "u long, v long"))
         self.merge(reduce(DataFrame.union, links))
         self.shelf.drop(*(t for t, _ in tables))
-        self.docs.sparkSession.sparkContext._jvm.System.gc()  # Spark then deletes the shuffle files of the steps that are done
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
         """Nodes of several components: size, hashes of the members, and the largest component."""
