@@ -241,8 +241,10 @@ MIXED = f"""(select doc_id, lang, text from {LISTED} where doc_id % 9 < 3 union
 LAYOUT = f"""m as materialized {MERGED}, s as (select doc_id, unit_no::varchar section_id, unit_no i from m), g as (select doc_id, merged_no, list(unit_no::varchar) ids from m group by all having merged_no % 5 <> 3),
     u as materialized (select doc_id, merged_no::varchar unit_id, merged_no * 2 unit_no, ids from g union all select doc_id, merged_no || 'b', merged_no * 2 + 1, ids from g where merged_no % 4 = 0),
     e as materialized (select doc_id, unit_id, unit_no, unnest(ids) section_id from u), a as materialized (select doc_id, section_id, unit_id, row_number() over (partition by doc_id, section_id order by unit_no) - 1 place from e)"""
-UNIT = """(select w.doc_id, 'u0' unit_id, s.doc_id is not null present, case when s.doc_id is null then null when doc_id % 7 = 6 then 'empty_content' when doc_id % 7 = 1 then 'source_hash_mismatch' when doc_id % 7 = 2 and lang is not null then 'language_mismatch' when doc_id % 7 = 3 then 'split_mode_mismatch'
-    when doc_id % 7 = 4 then 'semantic_top_k_mismatch' when doc_id % 7 = 5 then 'prompt_version_mismatch' end reason from documents w left join (select doc_id from documents where doc_id % 5 <> 0) s using (doc_id))"""
+UNIT = f"""(with w as (select doc_id, sha256(text) h, lang, 'semantic_safe' split, 3 top, 'v1' prompt from documents),
+    s as (select doc_id, case when doc_id % 7 = 6 then ' ' else 'that' end content, case when doc_id % 7 = 1 then 'old' else h end h, case when doc_id % 7 <> 2 then lang end lang, case when doc_id % 7 = 3 then 'progressive' else split end split, case when doc_id % 7 = 4 then 5 else top end top, case when doc_id % 7 = 5 then 'v0' else prompt end prompt from w where doc_id % 5 <> 0)
+    select w.doc_id, 'u0' unit_id, s.doc_id is not null present, case when s.doc_id is null then null when trim(content) = '' then 'empty_content' when s.h is distinct from w.h then 'source_hash_mismatch' when s.lang is distinct from w.lang then 'language_mismatch' when s.split <> w.split then 'split_mode_mismatch'
+    when s.top <> w.top then 'semantic_top_k_mismatch' when s.prompt <> w.prompt then 'prompt_version_mismatch' end reason from w left join s using (doc_id))"""
 _HINTS = " ".join("when " + " or ".join(f"contains(t, '{w}')" for w in words) + f" then '{code}'" for code, words in T.HINTS.items())
 _SCRIPTS = " ".join(f"when regexp_matches(t, '{pattern}') then '{code}'" for code, pattern in T.SCRIPTS.items())
 
