@@ -116,6 +116,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dista
     return found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
+def hit_records(hits: DataFrame, records: DataFrame) -> DataFrame:
+    """Hits (query_id, place, vec_id, score) with the columns of their records (vec_id, text, ...), and rank from 1.
+
+    Hits without a record fall out; of a query's hits whose texts are equal, but for white space, the first by place stays.  The
+    number of hits was limited before, so a query may have fewer.  Where records repeat an id, the one with the least text counts;
+    a null text equals no other."""
+    one = records.groupBy("vec_id").agg(F.min(F.struct(F.col("text").isNull(), "text", *(c for c in records.columns if c not in ("vec_id", "text")))).alias("r")).select("vec_id", *(F.col(f"r.{c}").alias(c) for c in records.columns if c != "vec_id"))
+    rows = hits.select("query_id", "place", "vec_id", "score").join(one, "vec_id").withColumn("_key", F.coalesce(F.md5(squeeze(F.col("text"))), F.concat(F.lit("null "), "vec_id")))
+    first = Window.partitionBy("query_id", "_key").orderBy("place")
+    kept = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_key")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).cast("long"))
+
+
 def coverage(hits: DataFrame, by: str, rank: str, place: str, gap: int = 2) -> DataFrame:
     """Hits in rank order, each kept if it is more than gap away from all kept ones.
 

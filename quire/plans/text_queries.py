@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.heading_words import rules
-from quire.operators import chunks, cuts, heading_rules, structure, terms
+from quire.operators import chunks, cuts, heading_rules, retrieval, structure, terms
 from quire.operators.lines import explode_lines
 from quire.plans.boundary_queries import _COUNTS, _cosine, _letters
-from quire.plans.queries import LINES, STRIPPED, TITLED, _titled, documents
+from quire.plans.queries import DISTANCE, LINES, STRIPPED, TITLED, _nearest, _pairs, _titled, documents
 
 LETTERS = "etaoinsr"
 
@@ -67,7 +67,14 @@ def topic_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "rule", terms.guidance(F.col("topic"), F.col("rule")).alias("guidance"))
 
 
-QUERIES = {f.__name__: f for f in (sentence_chunks, semantic_units, windowed_units, cut_counters, ruled_headings, line_rules, topic_guidance)}
+def retrieved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the twelve nearest vectors of each query; a document's language and source stand for its text."""
+    docs = documents(spark, sf_dir)
+    records = docs.select((F.col("doc_id") * 2).alias("vec_id"), F.concat(F.upper("lang"), F.lit("  "), "source").alias("text"), F.col("n_chars").alias("position"))
+    return retrieval.hit_records(_nearest(spark, sf_dir, 12), records).withColumn("score", F.round("score", 5))
+
+
+QUERIES = {f.__name__: f for f in (retrieved_records, sentence_chunks, semantic_units, windowed_units, cut_counters, ruled_headings, line_rules, topic_guidance)}
 
 _RULES = ", ".join(f"""('{lang}', {[*heading_rules.STRONG, *heading_rules.REGIONS].index(rule)}, '{rule}', '(?i){pattern.replace("'", "''")}')""" for lang, rule, pattern in rules())
 
@@ -79,6 +86,9 @@ _STOP = f"({{1}} + len(list_filter(range({{1}} + 1, n + 1), lambda j: {_TOKENS.f
 _WORDS = ", ".join(f"({i}, '{rule}', '{w}')" for i, (rule, w) in enumerate((r, w) for r, own in terms.TOPICS.items() for w in own))
 _TOLD = "case rule " + " ".join(f"when '{k}' then '{v}'" for k, v in terms.GUIDANCE.items()) + " end"
 ORACLE = {
+    "retrieved_records": f"""with h as (select query_id, place, vec_id, round(score, 5) score, upper(lang) || '  ' || source as text, n_chars as position from {_pairs(DISTANCE, 12)} p join documents d on d.doc_id * 2 = p.vec_id),
+        k as (select *, row_number() over (partition by query_id, coalesce(text, 'null ' || vec_id) order by place) n from h)
+        select query_id, place, vec_id, score, text, position, row_number() over (partition by query_id order by place) as rank from k where n = 1""",
     "line_rules": f"""with l as (select doc_id, line_no, lower(line) x from {LINES}), r as (select *, case {" ".join("when " + " or ".join(f"contains(x, '{t.lower()}')" for t in own) + f" then '{rule}'" for rule, own in LINE_RULES.items())} end rule from l)
         select doc_id, line_no, rule from r where rule is not null""",
     "topic_guidance": f"""with w(k, rule, word) as (values {_WORDS}), t as (select doc_id, case when doc_id % 7 = 0 then ' Annual REPORT ' else '' end || array_to_string(string_split(text, ' ')[1:3], ' ') topic from documents),

@@ -48,3 +48,11 @@ def test_small_rules(spark):
     frame = spark.createDataFrame(rows)
     assert [r[0] for r in frame.select(is_heading_like(frame.line)).collect()] == [True, False, True, False]
     assert [r[0] for r in spark.createDataFrame([("\t\n a.PDF",), (" \n ",)], "n string").select(storage_name(retrieval.F.col("n"))).collect()] == ["a", "default"]
+
+
+def test_hit_records(spark):
+    hits = spark.createDataFrame([(1, p, v, p / 10) for p, v in enumerate([5, 6, 7, 8, 9, 10], 1)] + [(2, 1, 99, 0.0)], "query_id long, place long, vec_id long, score double")
+    records = spark.createDataFrame([(5, "One text", "a"), (6, " One\ntext ", "b"), (8, None, "c"), (9, None, "d"), (10, "other", "e"), (10, "another", "f")], "vec_id long, text string, rank string")
+    got = retrieval.hit_records(hits, records.withColumnRenamed("rank", "source")).orderBy("rank").collect()
+    assert [(r.vec_id, r.rank, r.source) for r in got] == [(5, 1, "a"), (8, 2, "c"), (9, 3, "d"), (10, 4, "f")]
+    assert retrieval.hit_records(hits.limit(0), records.drop("rank")).count() == 0
