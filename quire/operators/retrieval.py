@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import cosine, doubles, estimate_tokens, line_key
+from quire.functions.text import cosine, doubles, estimate_tokens, line_key, squeeze
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1200, step: int = 1000) -> DataFrame:
