@@ -99,16 +99,17 @@ def _frequencies(text: str):
     return run
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", centroids: int = 4, sample_rows: int = 500, max_chars: int = 20_000) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", centroids: int = 4, sample_rows: int = 500, max_chars: int = 20_000, most_languages: int = 1000) -> Model:
     """Frequencies count all learnable rows; centroids come from at most sample_rows of each language
-    with at most max_chars characters (documented bounds)."""
+    with at most max_chars characters, and of the most_languages most frequent languages (documented bounds)."""
     open_ = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key, 4, 2))
     totals = open_.select(text).mapInArrow(_frequencies(text), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().set_index("bucket")["n"]
     idf = np.log((1 + totals.get(-1, 0)) / (1 + totals.reindex(range(BUCKETS), fill_value=0).to_numpy())).astype(np.float32) + 0.05
     short = open_.where(F.length(text) <= max_chars).select(key, text, lang, F.xxhash64(key).alias("place"))
     # of each language the share that holds about twice the rows wanted, by the hash, so that no task gets a whole language
-    shares = short.groupBy(lang).count().collect()
-    share = F.coalesce(*(F.when(F.col(lang) == r[lang], F.lit(min(1.0, 2 * sample_rows / r["count"]))) for r in shares), F.lit(0.0))
+    shares = short.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_languages).collect()
+    known = F.create_map(*(F.lit(x) for r in shares for x in (r[lang], min(1.0, 2 * sample_rows / r["count"])))) if shares else F.lit(None).cast("map<string,double>")
+    share = F.coalesce(F.element_at(known, F.col(lang)), F.lit(0.0))
     thin = short.where(F.pmod("place", F.lit(1 << 40)) < (share * float(1 << 40)).cast("long")).drop("place")
     number = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
     sample = thin.withColumn("number", number).where(F.col("number") <= sample_rows).select(text, lang).toArrow().combine_chunks()

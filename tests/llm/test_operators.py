@@ -11,6 +11,7 @@ import tiktoken
 import tokenizers
 
 from quire.llm import bpe, components, embedding_dedup, language_id, licenses, near_dedup, packing, quality_model, quality_rules, secrets, toxicity
+from quire.llm import textblock as tb
 from quire.llm.cluster import Shelf
 from tests.llm import brute, fixtures
 
@@ -368,6 +369,66 @@ def test_language_id(spark, empty):
     assert language_id.predict(table, language_id.fit(empty)).where("lang_pred = 'und'").count() == len(rows)
 
 
+def test_language_id_equals_a_plain_version(spark, docs, rows):
+    """Awkward rows (nulls, long texts, repeated rows, clashing columns), n-grams counted one by one."""
+    model = language_id.fit(docs)
+    letters = lambda b: b if language_id.LETTER[b] else 32
+
+    def vector(text):
+        data = [letters(b) for b in tb.LOWER[np.frombuffer((text or "").encode(), np.uint8)].tolist()]
+        n = np.zeros(language_id.BUCKETS)
+        for size in (2, 3):
+            for i in range(len(data) - size + 1):
+                gram = data[i : i + size]
+                if gram[0] == gram[-1] == 32:
+                    continue
+                h = 0
+                for b in gram:
+                    h = (h * 0x9E3779B97F4A7C15 + int(tb.BYTE_WORD[b])) % 2**64
+                n[int(tb.mix(np.array([h], np.uint64))[0] >> np.uint64(64 - language_id.BUCKET_BITS))] += 1
+        x = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * model.idf
+        return x / max(np.sqrt((x * x).sum()), 1e-12)
+
+    got = {}
+    for r in language_id.predict(docs, model).collect():
+        got.setdefault(r.doc_id, set()).add((r.lang_pred, round(r.score, 4)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i, text in texts.items():
+        if i is None or len(text or "") > 5000:
+            continue
+        if not any(map(str.isalpha, text or "")):
+            assert got[i] == {("und", 0.0)}
+            continue
+        cosine = model.centroids @ vector(text)
+        (name, score), = got[i]  # repeated rows are judged alike
+        assert abs(score - min(1, max(0, cosine.max()))) < 2e-3
+        assert name in {model.languages[k] for k in model.language[cosine >= cosine.max() - 1e-5]}
+    assert language_id.predict(docs, model).count() == len(rows)
+
+
+def test_language_id_of_texts_alike(spark):
+    """Texts that are the same in two languages: a tie goes to one of them, always the same; many values of lang are bounded."""
+    table = spark.createDataFrame([(i, "same words in both", ["aa", "bb"][i % 2]) for i in range(60)] + [(100 + i, f"word{chr(97 + i)}", f"free {i}") for i in range(20)], "doc_id long, text string, lang string")
+    model = language_id.fit(table, most_languages=2)
+    assert model.languages == ["aa", "bb"]
+    assert len({(r.lang_pred, r.score) for r in language_id.predict(table.where("doc_id < 100"), model).collect()}) == 1
+
+
+def test_embedding_dedup_with_clashing_columns_and_large_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 12)) * 10.0 ** rng.integers(-150, 150, (60, 1))
+    x[30:40] = x[:10] * 1e3
+    rows = [(i, v.tolist(), 1, 2, "n", 3, True) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, n long, node string, component_id long, kept boolean")
+    unit = x / np.abs(x).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.9
+    np.fill_diagonal(linked, False)
+    want = brute.components(range(60), np.argwhere(linked).tolist())
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(linked[i].sum()), want[i]) for i in range(60)}
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(0)
     rows = [(i, fixtures.prose(i, 60) + (f" {rng.choice(['grumpfel', 'grumpfix', 'grumpfo'])} " * 2 if i % 4 == 0 else " ") + fixtures.prose(i + 999, 40)) for i in range(400)]
