@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,23 +98,36 @@ def script_system(docs: DataFrame) -> DataFrame:
 def _quoted(marks: str) -> str:
     """Lines of up to 90 characters that open with a mark and have another, or of up to 60 with four."""
     other = f"[^{marks}\\n]*[{marks}]"
-    return f"(?dm)^(?=.{{1,90}}$)([{marks}]{other}|(?=.{{1,60}}$)({other}){{4}}).*$"
+    up_to = lambda n: f"(?=[^\\n]{{1,{n}}}(?:\\n|\\z))"
+    return f"\\n{up_to(90)}(?:[{marks}]{other}|{up_to(60)}(?:{other}){{4}})[^\\n]*"
 
 
 def dialogue_density(docs: DataFrame) -> DataFrame:
     """Lines of speech by dash, by short quotes and by words of speech in the first characters, the report's own
     window, and the level; quotes alone never make it high.  A null or empty text is unknown."""
     sample = F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE)
-    # one string of the lines that are not empty, without white space at their ends; rules count matches in it
+    # one string of the lines that are not empty, without white space at their ends, each after a line break; rules count
+    # matches in it, which begin with that break or, for words of speech, go on to the line's end
     flat = F.regexp_replace(F.regexp_replace(sample, LINE_GAP, "\n"), r"(?U)^[\s\x1C-\x1E]+|[\s\x1C-\x1E]+$", "")
-    flat = F.regexp_replace(flat, r"(?U)[^\S\n]*\n[^\S\n]*", "\n")
+    flat = F.concat(F.lit("\n"), F.regexp_replace(flat, r"(?U)[^\S\n]*\n[^\S\n]*", "\n"))
     of = lambda by_code, default: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k, v in by_code.items() if k for x in (k, v))), F.col("lang")), F.lit(default))
-    count = lambda text, pattern: F.regexp_count(text, pattern)
-    rows = docs.select("doc_id", F.length(sample).alias("size"), sample.alias("sample"), flat.alias("flat"), of(QUOTES, QUOTES[""]).alias("marks"), of({k: _quoted(v) for k, v in QUOTES.items()}, _quoted(QUOTES[""])).alias("quoted_by"), of({k: "(?dm)^.*(" + "|".join(v) + ").*$" for k, v in SPEECH.items()}, "(?!)").alias("said_by"))
-    quotes = F.length("sample") - F.length(F.call_function("translate", F.col("sample"), F.col("marks"), F.lit("")))
-    dash = count(F.col("flat"), F.lit(r"(?dm)^[-–—].{0,48}[。！？.!?]$"))
-    n = F.greatest(F.lit(1), F.length("flat") - F.length(F.translate("flat", "\n", "")) + 1)
-    rows = rows.select("doc_id", "size", quotes.alias("quotes"), n.alias("n"), dash.alias("dash"), count(F.col("flat"), F.col("quoted_by")).alias("quoted"), count(F.lower("flat"), F.col("said_by")).alias("verbs"))
+    said, quoted = of({k: "(?:" + "|".join(v) + r")[^\n]*" for k, v in SPEECH.items()}, "(?!)"), of({k: _quoted(v) for k, v in QUOTES.items()}, _quoted(QUOTES[""]))
+
+    def verbs(x: Column) -> Column:
+        """Most texts have no such word, which a plain search tells sooner than the pattern."""
+        held = F.lit(False)
+        for code, words in SPEECH.items():
+            held = F.when(F.col("lang") == code, reduce(Column.__or__, (F.contains(x, F.lit(w)) for w in words))).otherwise(held)
+        return F.when(held, F.regexp_count(x, said)).otherwise(0)
+
+    def counts(x: Column) -> Column:
+        dash = F.regexp_count(x, F.lit(r"\n[-–—][^\n]{0,48}[。！？.!?](?=\n|\z)"))
+        n = F.greatest(F.lit(1), F.regexp_count(x, F.lit("\n")))
+        return F.struct(n.alias("n"), dash.alias("dash"), F.regexp_count(x, quoted).alias("quoted"), F.transform(F.array(F.lower(x)), verbs)[0].alias("verbs"))
+
+    quotes = F.length(sample) - F.length(F.call_function("translate", sample, of(QUOTES, QUOTES[""]), F.lit("")))
+    # within a lambda, so that the string is made once and not for each count
+    rows = docs.select("doc_id", F.length(sample).alias("size"), quotes.alias("quotes"), F.transform(F.array(flat), counts)[0].alias("c")).select("doc_id", "size", "quotes", "c.*")
     return rows.select("doc_id", F.col("dash").cast("long").alias("dash_lines"), F.col("quoted").cast("long").alias("quote_lines"), F.col("verbs").cast("long").alias("speech_lines"), F.expr("""case when size = 0 then 'unknown'
         when dash >= 4 or dash / n >= 0.18 or (quoted >= 8 and quoted / n >= 0.25 and verbs >= 3) or (dash >= 2 and quoted >= 3) then 'high'
         when dash >= 1 or quoted >= 3 or quoted / n >= 0.10 or verbs >= 2 or quotes / greatest(1, size) >= 0.012 then 'medium' else 'low' end""").alias("dialogue_density"))
