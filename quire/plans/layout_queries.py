@@ -111,11 +111,12 @@ def unit_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every unit, and one for each document that is not there."""
     sections, own = _layout(spark, sf_dir)
     chapters = sections.where("section_index % 4 = 0 and section_index % 8 <> 4").select("doc_id", F.col("parent_chapter_id").alias("chapter_id"), F.concat(F.lit("Chapter "), "parent_chapter_id").alias("title"))
     own = own.withColumn("source_section_ids", F.when(F.expr("unit_no div 2 % 3 = 0"), F.col("source_section_ids")).otherwise(F.slice("source_section_ids", 1, 1)))
     content = own.withColumn("content", F.when(F.col("unit_no") % 6 == 4, " ").otherwise(F.col("unit_id")))
-    wanted = documents(spark, sf_dir).select("doc_id", F.explode(F.array(*(F.lit(str(i)) for i in range(6)))).alias("unit_id"))
+    wanted = own.select("doc_id", "unit_id").union(documents(spark, sf_dir).select("doc_id", F.lit("absent")))
     return layout.unit_content(wanted, layout.assign_units(sections, own), content, sections, chapters)
 
 
@@ -302,8 +303,8 @@ ORACLE = {
         select s.doc_id, s.section_id, f.unit_id, f.unit_index from s left join (select e.doc_id, e.section_id, arg_min(n.unit_id, unit_index) unit_id, min(unit_index) unit_index from e join n using (doc_id, unit_id) where not ends_with(unit_id, 'b') group by all) f using (doc_id, section_id)""",
     "unit_coverage": f"""with {LAYOUT}, c as (select doc_id, count(*) n, count(*) filter ((doc_id, section_id) in (select doc_id, section_id from a)) k from s group by doc_id)
         select doc_id, n n_sections, k with_units, round(k / n, 4) coverage, round(k / n, 4) >= 0.95 available from c""",
-    "unit_contents": f"""with {LAYOUT}, w as (select doc_id, unnest(range(6))::varchar unit_id from documents), k as (select doc_id, unit_id, case when unit_no // 2 % 3 = 0 then len(ids) else 1 end n, list_sort(ids)[1] section_id from u),
-        r as (select w.doc_id, w.unit_id, k.section_id, s.i, case when n is null then 'missing' when n > 1 then 'duplicate' when w.unit_id::int * 2 % 6 = 4 then 'empty' else 'found' end status from w left join k using (doc_id, unit_id) left join s on s.doc_id = w.doc_id and s.section_id = k.section_id),
+    "unit_contents": f"""with {LAYOUT}, w as (select doc_id, unit_id from u union all select doc_id, 'absent' from documents), k as (select doc_id, unit_id, unit_no, case when unit_no // 2 % 3 = 0 then len(ids) else 1 end n, list_sort(ids)[1] section_id from u),
+        r as (select w.doc_id, w.unit_id, k.section_id, s.i, case when n is null then 'missing' when n > 1 then 'duplicate' when k.unit_no % 6 = 4 then 'empty' else 'found' end status from w left join k using (doc_id, unit_id) left join s on s.doc_id = w.doc_id and s.section_id = k.section_id),
         h as (select *, case when status = 'found' and i // 4 % 2 = 0 then 'c' || (i // 4) end chapter_id from r)
         select doc_id, unit_id, status, case when status = 'found' then section_id end section_id, case when status = 'found' then 's' || i end section_title, chapter_id, 'Chapter ' || chapter_id chapter_title, case when status = 'found' then unit_id end as content from h""",
     "layout_validity": f"""with {LAYOUT}, b as (select distinct doc_id from s where doc_id % 3 = 0 and i % 6 <> 5 and (doc_id, section_id) not in (select doc_id, section_id from a))
