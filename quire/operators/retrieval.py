@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import cosine, doubles, estimate_tokens, line_key, squeeze
+from quire.functions.text import dot, doubles, estimate_tokens, line_key, squeeze
 
 
 def fixed_chunks(docs: DataFrame, size: int = 1200, step: int = 1000) -> DataFrame:
@@ -42,11 +42,21 @@ def best_label(vector: Column, labels: dict[str, list[float]]) -> Column:
     missing, zero or of another length than the labels'.
 
     Labels are a short fixed list, so their vectors are literals and rows are not joined."""
-    own = doubles(vector)
-    usable = (F.size(own) == len(next(iter(labels.values())))) & F.exists(own, lambda x: x != 0)
-    options = F.array(*(F.struct(cosine(own, F.array(*map(F.lit, map(float, point)))).alias("similarity"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, point) in enumerate(labels.items())))
-    best = F.array_max(options)
-    return F.when(usable, F.struct(best["label"].alias("label"), best["similarity"].alias("similarity")))
+    known = [(name, F.array(*map(F.lit, map(float, point))), sum(float(x) * float(x) for x in point)) for name, point in labels.items()]
+    width = len(next(iter(labels.values())))
+
+    def alike(own: Column, squared: Column, point: Column, size: float) -> Column:
+        both = squared * size
+        return F.when(both > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(own, point) / F.sqrt(both)))).otherwise(0.0)
+
+    def best(v: Column) -> Column:
+        options = F.array(*(F.struct(alike(v["own"], v["squared"], point, size).alias("similarity"), F.lit(-i).alias("order"), F.lit(name).alias("label")) for i, (name, point, size) in enumerate(known)))
+        return F.when((F.size(v["own"]) == width) & F.exists(v["own"], lambda x: x != 0), F.array_max(options))
+
+    # each step is bound by a lambda, so that the vector's expression stands once in the plan and is computed once for a row
+    measured = F.transform(F.array(doubles(vector)), lambda own: F.struct(own.alias("own"), dot(own, own).alias("squared")))
+    told = F.transform(F.transform(measured, best), lambda b: F.when(b.isNotNull(), F.struct(b["label"].alias("label"), b["similarity"].alias("similarity"))))
+    return F.get(told, F.lit(0))
 
 
 def local_window(hits: DataFrame, chunks: DataFrame, radius: int = 1) -> DataFrame:

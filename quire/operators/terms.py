@@ -95,8 +95,8 @@ def topic_rule(topic: Column, rules: dict[str, tuple[str, ...]] = TOPICS, embed:
     found = first_rule(name, rules)
     if embed is not None:
         of = F.create_map(*(F.lit(x) for rule, terms in rules.items() for term in reversed(terms) for x in (term, rule)))
-        best = best_label(embed(name), vectors)
-        found = F.coalesce(found, F.when((F.length(name) > 0) & (best["similarity"] >= alike), F.element_at(of, best["label"])))
+        near = F.transform(F.array(best_label(embed(name), vectors)), lambda best: F.when(best["similarity"] >= alike, F.element_at(of, best["label"])))
+        found = F.coalesce(found, F.when(F.length(name) > 0, F.get(near, F.lit(0))))
     return found
 
 

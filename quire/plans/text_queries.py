@@ -60,7 +60,7 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topic_guidance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three words of each text as its topic, a word of a rule in every seventh."""
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
+    words = F.array_join(F.slice(F.split("text", " ", 4), 1, 3), " ")
     topic = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit(" Annual REPORT "), words)).otherwise(words)
     vectors = {w: letter_counts([w])[0].tolist() for own in terms.TOPICS.values() for w in own}
     rows = documents(spark, sf_dir).select("doc_id", topic.alias("topic")).withColumn("rule", terms.topic_rule(F.col("topic"), embed=_letters, vectors=vectors))

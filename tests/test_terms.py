@@ -29,6 +29,13 @@ def test_topics(spark):
     assert got[4].said == "Topic Guidance: align style with topic 'other'." and got[5].said == got[6].said == "Topic Guidance: None"
 
 
+def test_a_topic_is_embedded_once(spark):
+    """The plan does not hold the embedding once more for each word to compare it with."""
+    embed = lambda name: F.array(F.levenshtein(name, F.lit("x")).cast("double"), F.lit(1.0))
+    rows = spark.createDataFrame([("tale",)], "topic string").select(terms.topic_rule(F.col("topic"), embed=embed, vectors={w: [1.0, float(i)] for i, w in enumerate(w for own in terms.TOPICS.values() for w in own)}))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("levenshtein(") <= 2
+
+
 def test_registries(spark):
     registry = spark.createDataFrame([("en", 0, "here"), ("en", 1, "This Part"), ("fr", 0, "ici"), ("fr", 1, "here"), ("xx", 0, "no")], "language string, place int, term string")
     weak = spark.createDataFrame([("en", "this part"), ("fr", "This part"), ("en", "ici")], "language string, term string")
