@@ -115,12 +115,17 @@ def detector_language(answer: Column) -> Column:
 
 
 def infer_language(text: Column) -> Column:
-    """A text's language by its script or, in Latin script, the first language one of whose words it holds, else English."""
-    lowered = F.lower(strip(text))
-    out = F.when(lowered.rlike("[a-z]"), F.coalesce(*(F.when(_holds(lowered, words), code) for code, words in HINTS.items()), F.lit("en"))).otherwise("unknown")
-    for code, pattern in reversed(SCRIPTS.items()):
-        out = F.when(lowered.rlike(pattern), code).otherwise(out)
-    return F.coalesce(out, F.lit("unknown"))
+    """A text's language by its script or, in Latin script, the first language one of whose words it holds, else English.
+
+    The lowered text is bound by a lambda: it is made once for a row, not once for each script and word."""
+
+    def told(lowered: Column) -> Column:
+        out = F.when(lowered.rlike("[a-z]"), F.coalesce(*(F.when(_holds(lowered, words), code) for code, words in HINTS.items()), F.lit("en"))).otherwise("unknown")
+        for code, pattern in reversed(SCRIPTS.items()):
+            out = F.when(lowered.rlike(pattern), code).otherwise(out)
+        return F.coalesce(out, F.lit("unknown"))
+
+    return F.get(F.transform(F.array(F.lower(strip(text))), told), F.lit(0))
 
 
 def _holds(text: Column, words: tuple[str, ...]) -> Column:

@@ -65,3 +65,9 @@ def test_layouts_of_nothing(spark):
     wanted = spark.createDataFrame([(1, "h", None)], "doc_id long, source_hash string, top_k int").withColumns({"split_mode": F.lit("s"), "resolver_version": F.lit("r")})
     assert not layout.layout_validity(wanted, wanted, sections, none).first().valid
     assert layout.layout_validity(wanted, wanted, sections.where("section_id = 'b'"), none).first().valid
+
+
+def test_a_text_is_lowered_once_to_infer_its_language(spark):
+    rows = spark.createDataFrame([(" Tema",)], "t string").select(T.infer_language(F.col("t")).alias("x"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert rows.collect()[0].x == "en"
