@@ -40,10 +40,16 @@ def whole(sections: DataFrame, docs: DataFrame, least: int = 2) -> DataFrame:
 
     Documents without sections or text are not accepted.  A document's sections are one array."""
     order = F.array_sort(F.collect_list(F.struct("section_index", "char_start", "char_end")))
-    rows = docs.select("doc_id", "text").join(sections.groupBy("doc_id").agg(order.alias("parts")), "doc_id", "left")
-    parts, size = F.col("parts"), F.length("text")
+    # few numbers a document, so these are hashed and the texts need no sort
+    rows = docs.select("doc_id", "text").join(sections.groupBy("doc_id").agg(order.alias("parts")).hint("shuffle_hash"), "doc_id", "left")
+    return rows.select("doc_id", makes_whole(F.col("parts"), F.col("text"), least).alias("accepted"))
+
+
+def makes_whole(parts: Column, text: Column, least: int = 2) -> Column:
+    """Whether an array of sections (char_start, char_end, ...) in their order makes a whole of a text; see `whole`."""
+    size = F.length(text)
     inside = F.forall(parts, lambda x: (x["char_start"] >= 0) & (x["char_end"] <= size) & (x["char_end"] > x["char_start"]))
     after = F.forall(F.arrays_zip(F.slice(parts, F.lit(2), F.size(parts)).alias("b"), F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))).alias("a")), lambda z: z["b"]["char_start"] >= z["a"]["char_end"])
-    said = F.filter(parts, lambda x: F.length(strip(F.substring("text", (x["char_start"] + 1).cast("int"), (x["char_end"] - x["char_start"]).cast("int")))) > 0)
+    said = F.filter(parts, lambda x: F.length(strip(F.substring(text, (x["char_start"] + 1).cast("int"), (x["char_end"] - x["char_start"]).cast("int")))) > 0)
     end = F.try_element_at(parts, F.lit(-1))["char_end"] == size
-    return rows.select("doc_id", F.coalesce((F.size(parts) >= least) & inside & after & (F.size(said) >= least) & end, F.lit(False)).alias("accepted"))
+    return F.coalesce((F.size(parts) >= least) & inside & after & (F.size(said) >= least) & end, F.lit(False))
