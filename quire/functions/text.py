@@ -6,19 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[ \t\n\r\f\x0B]"
+#: Unicode's white space, as `\\s` has it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Character classes of the token estimate.
 CJK_KANA = r"[㐀-䶿一-鿿豈-﫿぀-ヿ]"
 HANGUL = r"[가-힯]"
 
 
 def strip(text: Column) -> Column:
-    """Text without white space at both ends, Unicode's included."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Text without white space at both ends, Unicode's included; only the ends are looked at."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(text, r"(?U) *+[\s&&[^ ]]\s*+|  ++", " "))  # single spaces stay as they are
 
 
 def line_key(text: Column) -> Column:
@@ -119,11 +121,13 @@ def infer_language(text: Column) -> Column:
 
     The lowered text is bound by a lambda: it is made once for a row, not once for each script and word."""
 
+    anywhere = "[" + "".join(p[1:-1] for p in SCRIPTS.values()) + "]"  # most texts have none of them and are searched once
+
     def told(lowered: Column) -> Column:
-        out = F.when(lowered.rlike("[a-z]"), F.coalesce(*(F.when(_holds(lowered, words), code) for code, words in HINTS.items()), F.lit("en"))).otherwise("unknown")
+        out = latin = F.when(lowered.rlike("[a-z]"), F.coalesce(*(F.when(_holds(lowered, words), code) for code, words in HINTS.items()), F.lit("en"))).otherwise("unknown")
         for code, pattern in reversed(SCRIPTS.items()):
             out = F.when(lowered.rlike(pattern), code).otherwise(out)
-        return F.coalesce(out, F.lit("unknown"))
+        return F.coalesce(F.when(lowered.rlike(anywhere), out).otherwise(latin), F.lit("unknown"))
 
     return F.get(F.transform(F.array(F.lower(strip(text))), told), F.lit(0))
 

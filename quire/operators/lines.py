@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quire.functions.text import line_key, matches, strip
 
@@ -11,22 +17,45 @@ from quire.functions.text import line_key, matches, strip
 CHINESE = r"[\u4e00-\u9fff]"
 TERMINAL = "[.!?。！？]$"
 DECORATION = r"^[-_=~*#\s]+$"
+#: Ten words, found without counting the others; nothing is tried twice.
+TEN_WORDS = "(?<![A-Za-z0-9])(?:[A-Za-z0-9]++[^A-Za-z0-9]++){9}[A-Za-z0-9]"
+#: Lines that leave a task at once.
+LINES_AT_ONCE = 50_000
 
 
 def explode_lines(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, more columns, line_no, line, char_start and char_end (code points, end without the line break).
 
-    Offsets are a running sum over the lines of a document, so one shuffle by document."""
-    rows = docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    return rows.withColumn("char_start", start.cast("long")).withColumn("char_end", (start + F.length("line")).cast("long"))
+    A row is one text: its lines and offsets are made where it is, in Arrow batches, so texts are not shuffled."""
+    own = ["doc_id", *more]
+    schema = StructType([*(docs.schema[c] for c in own), *(StructField(*x) for x in (("line_no", IntegerType()), ("line", StringType()), ("char_start", LongType()), ("char_end", LongType())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, at = pc.split_pattern(batch.column(len(own)), "\n"), 0
+            counts = pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(counts)
+            while at < len(batch):  # a few texts at a time, so that batches stay small however many lines there are
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LINES_AT_ONCE, "right")))
+                some, n = parts.slice(at, to - at), counts[at:to]
+                line = some.flatten()
+                size = pc.utf8_length(line).to_numpy(zero_copy_only=False).astype(np.int64)
+                past = np.concatenate(([0], np.cumsum(size + 1)))
+                first = np.cumsum(n) - n  # of each text, among these lines
+                start = past[:-1] - np.repeat(past[first], n)
+                number = np.arange(len(line)) - np.repeat(first, n)
+                rows = pa.array(np.repeat(np.arange(at, to), n), pa.int64())
+                kept = [batch.column(i).take(rows) for i in range(len(own))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(number, pa.int32()), line, pa.array(start), pa.array(start + size)], schema.names)
+                at = to
+
+    return docs.select(*own, "text").mapInArrow(run, schema)
 
 
 def is_prose(line: Column) -> Column:
     """Body prose: long and ended like a sentence; in Latin script 60 characters and ten words, with Chinese characters 25."""
     text = strip(line)
-    long = F.when(text.rlike(CHINESE), F.length(text) >= 25).otherwise((F.length(text) >= 60) & (matches(text, "[A-Za-z0-9]+") >= 10))
+    long = F.when(text.rlike(CHINESE), F.length(text) >= 25).otherwise((F.length(text) >= 60) & text.rlike(TEN_WORDS))
     return text.rlike(TERMINAL) & long
 
 

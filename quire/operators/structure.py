@@ -35,7 +35,7 @@ def heading_flags(docs: DataFrame, *more: str) -> DataFrame:
         region = F.when(title.rlike(f"(?iu)^({words})[:.]?$"), role).otherwise(region)
     chapter, part = numbered(F.col("lang"), CHAPTER, title), numbered(F.col("lang"), PART, title)
     level = F.when(chapter, 2).when(part, 1).when(title.rlike(r"^[0-9]+(\.[0-9]+)+[ .].{1,80}$"), 3).when(title.rlike(r"^[0-9]{1,3}\.[ ]+\p{Lu}.{1,80}$"), 2).when(region.isNotNull(), 1)
-    fits = ~is_prose(F.col("line")) & (F.length(title) <= 90)
+    fits = (F.length(title) <= 90) & ~is_prose(F.col("line"))
     rows = lines.select("doc_id", *more, "lang", "line_no", "char_start", title.alias("title"), F.when(fits, level).alias("level"), region.alias("region"), F.when(chapter, "chapter").when(part, "part").alias("worded"), is_prose(F.col("line")).alias("prose"), is_meaningful(F.col("line")).alias("meaningful"))
     return rows.withColumn("worded", F.when(F.col("level").isNotNull(), F.col("worded")))
 
