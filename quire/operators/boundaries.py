@@ -2,27 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from quire.functions.text import cosine, strip
+from quire.functions.text import SPACES, cosine, strip
+
+#: Cuts that leave a task at once.
+CUTS_AT_ONCE = 5_000
 
 
 def snippets(docs: DataFrame, places: Column, near: int = 220, wide: int = 700, least: int = 12) -> DataFrame:
     """doc_id, char_start, tail, head, before, after: what stands next to and around each cut, without white space at its ends.
 
     Cuts at the start, at the end and outside fall out, as do those with a snippet of fewer than `least` characters;
-    null texts and null places have no rows.  Snippets are cut before rows multiply, so texts are not copied."""
-    text, near = F.col("text"), max(40, near)
+    null texts and null places have no rows.  Snippets are cut in Arrow batches, where a place costs the same wherever it is in a text."""
+    near = max(40, near)
     wide = max(near, wide)
-    left = lambda at, n: strip(F.substring(text, F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n))))
-    right = lambda at, n: strip(F.substring(text, at + 1, F.lit(n)))
-    inside = F.filter(places, lambda at: (at > 0) & (at < F.length(text)))
-    cut = F.transform(inside, lambda at: F.struct(at.cast("long").alias("char_start"), left(at, near).alias("tail"), right(at, near).alias("head"), left(at, wide).alias("before"), right(at, wide).alias("after")))
-    rows = docs.select("doc_id", F.explode(cut).alias("s")).select("doc_id", "s.*")
-    return rows.where(F.least(*(F.length(side) for side in ("tail", "head", "before", "after"))) >= least)
+    sides = ("tail", "head", "before", "after")
+    schema = StructType([docs.schema["doc_id"], StructField("char_start", LongType()), *(StructField(side, StringType()) for side in sides)])
+
+    def cut(text: str | None, places: list[int | None] | None) -> Iterator[tuple]:
+        for at in places or () if text is not None else ():
+            if at is not None and 0 < at < len(text):
+                own = [x.strip(SPACES) for x in (text[max(at - near, 0) : at], text[at : at + near], text[max(at - wide, 0) : at], text[at : at + wide])]
+                if min(map(len, own)) >= least:
+                    yield at, *own
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows = [], []
+            for i, (text, places) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                for one in cut(text.as_py(), places.as_py()):
+                    found.append(one)
+                    rows.append(i)
+                    if len(found) == CUTS_AT_ONCE:
+                        yield made(batch, rows, found)
+                        found, rows = [], []
+            if found:
+                yield made(batch, rows, found)
+
+    def made(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        start, *texts = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), *(pa.array(x, pa.string()) for x in texts)], schema.names)
+
+    return docs.select("doc_id", "text", places.alias("_places")).mapInArrow(run, schema)
 
 
 def semantic_scores(sides: DataFrame, embed: Callable[[Column], Column], weight: float = 1.0) -> DataFrame:

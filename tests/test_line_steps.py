@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import lines, structure
+from quire.operators import boundaries, lines, structure
 from quire.plans import split_plans
 
 DOCS = "doc_id long, text string, lang string"
@@ -51,3 +51,19 @@ def test_plans_are_resolved_once(spark):
     made = split_plans.apply_or_keep(plan, docs, other)
     assert sorted((r.doc_id, r.section_index, r.title, r.char_start, r.char_end) for r in made.collect()) == [(1, 0, "A", 0, 19), (1, 1, "B", 19, 32), (2, 0, "A", 0, 9), (2, 1, "Half", 9, 27), (3, 0, " ", 0, 1), (3, 1, "Half", 1, 3)]
     assert plan_of(made).count("MapInArrow") <= 2  # one for each way to match
+
+
+def test_snippets_of_many_cuts(spark, monkeypatch):
+    monkeypatch.setattr(boundaries, "CUTS_AT_ONCE", 2)
+    text = "é word\x1c " * 100
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "short"), (4, "")], "doc_id long, text string")
+    rows = boundaries.snippets(docs, F.array(F.lit(0), F.lit(100), F.lit(None).cast("int"), F.lit(333), F.lit(500), F.lit(5), F.lit(len(text))))
+    clean = lambda x: x.strip(T.SPACES)
+    want = [(1, i, clean(text[max(0, i - 220) : i]), clean(text[i : i + 220]), clean(text[max(0, i - 700) : i]), clean(text[i : i + 700])) for i in (100, 333, 500)]
+    assert sorted(map(tuple, rows.collect())) == want
+    assert "substring" not in plan_of(rows)
+
+
+def test_counted_characters(spark):
+    got = spark.createDataFrame([("eée😀ae",), ("",), (None,)], "t string").select(T.count_chars(F.col("t"), "e"), T.count_chars(F.col("t"), "ea"), T.count_chars(F.col("t"), "😀")).collect()
+    assert [tuple(r) for r in got] == [(3, 4, 1), (0, 0, 0), (None, None, None)]
