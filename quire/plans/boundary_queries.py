@@ -51,7 +51,7 @@ def _plans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     the sections that stand in for them: up to the middle of the text, and from there on."""
     docs = documents(spark, sf_dir)
     lines = F.when(F.col("doc_id") % 5 < 2, F.array(F.lit(2), F.lit(3))).when(F.col("doc_id") % 5 == 2, F.array(F.lit(0), F.lit(1))).when(F.col("doc_id") % 5 == 3, F.array(F.lit(1)))
-    rows = docs.select("doc_id", F.split("text", "\n").alias("l"), F.explode(lines).alias("place"))
+    rows = docs.select("doc_id", F.split("text", "\n", 5).alias("l"), F.explode(lines).alias("place"))
     plan = rows.select("doc_id", "place", F.concat(F.lit("S"), "place").alias("title"), F.lit(1).alias("level"), T.line_key(F.get("l", F.col("place"))).alias("anchor"), F.lit("exact").alias("match_mode"), F.lit(1).alias("occurrence")).where("anchor is not null")
     middle = F.expr("length(text) div 2")
     part = lambda i, title, low, high: F.struct(F.lit(i).cast("long").alias("section_index"), F.lit(title).alias("title"), low.cast("long").alias("char_start"), high.cast("long").alias("char_end"))
