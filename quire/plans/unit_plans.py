@@ -2,49 +2,103 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quire.functions.text import blank_to_null, line_key, strip
-from quire.operators.lines import explode_lines
+from quire.functions.text import SPACES, blank_to_null, line_key, strip
 
 #: Instructions that a plan may have; seconds that a pattern may take on one line.
 MOST_INSTRUCTIONS, SECONDS = 32, 0.2
 KEYS = ["doc_id", "section_index"]
 
 
-def matching(pairs: DataFrame, pattern: str = "pattern", line: str = "line", seconds: float = SECONDS) -> DataFrame:
-    """The rows whose line the pattern is found in.
+def finder(seconds: float = SECONDS) -> Callable[[str, str], bool]:
+    """What tells whether a pattern is found in a line.
 
-    Patterns come as data: a task compiles each one once, an invalid one matches nothing, and so does one on a line
+    Patterns come as data: each is compiled once, an invalid one matches nothing, and so does one on a line
     where it takes longer than `seconds`, so that no pattern holds up a task."""
+    known: dict[str, regex.Pattern | None] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, regex.Pattern | None] = {}
-
-        def found(text: str | None, source: str | None) -> bool:
-            if text is None or source is None:
-                return False
-            if source not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                try:
-                    known[source] = regex.compile(source)
-                except regex.error:
-                    known[source] = None
+    def found(source: str, line: str) -> bool:
+        if source not in known:
+            if len(known) > 10_000:
+                known.clear()
             try:
-                return known[source] is not None and known[source].search(text, timeout=seconds) is not None
-            except TimeoutError:
-                return False
+                known[source] = regex.compile(source)
+            except regex.error:
+                known[source] = None
+        try:
+            return known[source] is not None and known[source].search(line, timeout=seconds) is not None
+        except TimeoutError:
+            return False
+
+    return found
+
+
+def followed(plans: DataFrame, sections: DataFrame, cut: bool = False) -> DataFrame:
+    """sections (with texts that are stripped) with n_instructions (null without a plan), found (place, title, char_start: where its instructions begin)
+    and, if `cut`, the parts (title, text) that these make of the text (null if none begins within it).
+
+    A plan's instructions gather beside its section's text, so a text is shuffled once and its lines not at all."""
+    pattern = strip(F.col("anchor"))
+    told = F.struct("place", F.col("title").alias("title"), pattern.alias("pattern"), line_key(pattern).alias("key"), F.coalesce("match_mode", F.lit("exact")).alias("mode"), F.greatest(F.lit(1), F.coalesce("occurrence", F.lit(1))).alias("nth"))
+    own = plans.groupBy(*KEYS).agg(F.count("*").alias("n_instructions"), F.collect_list(F.when(pattern != "", told)).alias("wanted"))
+    rows = sections.join(own.hint("shuffle_hash"), KEYS, "left")
+    keys = F.when(F.size("wanted") > 0, F.transform(F.split("text", "\n"), line_key))
+    kept = [*sections.columns, "n_instructions"]
+    found = f"array<struct<place:{plans.schema['place'].dataType.simpleString()},title:string,char_start:bigint>>"
+    parts = "array<struct<title:string,text:string>>"
+    rows = rows.select(*kept, keys.alias("keys"), "wanted", F.lit(None).cast(found).alias("found"), F.lit(None).cast(parts).alias("parts"))
+    schema = StructType([rows.schema[c] for c in [*kept, "found", *(["parts"] if cut else [])]])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = finder()
         for batch in batches:
-            yield batch.filter(pa.array(list(map(found, batch.column(line).to_pylist(), batch.column(pattern).to_pylist())), pa.bool_()))
-
-    return pairs.mapInArrow(run, pairs.schema)
+            starts, pieces = [], []
+            for text, keys, wanted in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("text", "keys", "wanted")), strict=True):
+                text, wanted = text.as_py(), wanted.as_py()
+                starts.append(list(begun(text, keys.as_py(), wanted, has)) if text and wanted else [])
+                if cut:
+                    pieces.append(divided(text, starts[-1]))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            made = [pa.array(x, batch.schema.field(c).type) for c, x in (("found", starts), *([("parts", pieces)] if cut else []))]
+            yield pa.RecordBatch.from_arrays([*columns, *made], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def begun(text: str, keys: list[str], wanted: list[dict], has: Callable[[str, str], bool]) -> Iterator[dict]:
+    """Where each instruction begins: at the wanted line of those that match, or at the last of them if they are fewer."""
+    lines = [x.strip(SPACES) for x in text.split("\n")]
+    start = [0, *accumulate(len(x) + 1 for x in text.split("\n"))]
+    for w in wanted:
+        at, left = None, w["nth"]
+        for i, line in enumerate(lines):
+            if line and (has(w["pattern"], line) if w["mode"] == "regex" else w["key"] in keys[i] if w["mode"] == "contains" else w["key"] == keys[i]):
+                at, left = start[i], left - 1
+                if not left:
+                    break
+        if at is not None:
+            yield {"place": w["place"], "title": w["title"], "char_start": at}
+
+
+def divided(text: str | None, found: list[dict]) -> list[dict] | None:
+    """The parts between the places found within a text, of equal ones the first; blank parts fall out."""
+    inner: dict[int, dict] = {}
+    for x in found:
+        if 0 < x["char_start"] < len(text) and (x["char_start"] not in inner or x["place"] < inner[x["char_start"]]["place"]):
+            inner[x["char_start"]] = x
+    if not inner:
+        return None
+    starts = [0, *sorted(inner)]
+    parts = ((a, text[a:b].strip(SPACES)) for a, b in zip(starts, [*starts[1:], len(text)], strict=True))
+    return [{"title": inner[a]["title"] if a else None, "text": part} for a, part in parts if part]
 
 
 def anchors(plans: DataFrame, sections: DataFrame) -> DataFrame:
@@ -53,16 +107,7 @@ def anchors(plans: DataFrame, sections: DataFrame) -> DataFrame:
     `plans` has doc_id, section_index, place, title, anchor, match_mode (exact, contains, regex) and occurrence.  The lines
     that match are counted from 1, and a number beyond the last means the last; anchors without a line fall out.  Exact and contained
     anchors are compared in lower case with squeezed white space, patterns are searched for in the stripped line."""
-    texts = sections.select(F.struct(*KEYS).alias("doc_id"), strip(F.col("text")).alias("text"))
-    lines = explode_lines(texts).select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.section_index").alias("section_index"), "line_no", "char_start", strip(F.col("line")).alias("line")).where("line <> ''")
-    wanted = plans.select(*KEYS, "place", F.col("title").alias("unit_title"), strip(F.col("anchor")).alias("pattern"), F.coalesce("match_mode", F.lit("exact")).alias("match_mode"), F.greatest(F.lit(1), F.coalesce("occurrence", F.lit(1))).alias("occurrence")).where("pattern <> ''")
-    pairs = lines.join(wanted, KEYS)
-    key, anchor = line_key(F.col("line")), line_key(F.col("pattern"))
-    plain = pairs.where("match_mode <> 'regex'").where(F.when(F.col("match_mode") == "contains", key.contains(anchor)).otherwise(key == anchor))
-    found = plain.unionByName(matching(pairs.where("match_mode = 'regex'")))
-    own = Window.partitionBy(*KEYS, "place")
-    found = found.withColumn("k", F.row_number().over(own.orderBy("line_no"))).withColumn("n", F.count("*").over(own))
-    return found.where(F.col("k") == F.least("occurrence", "n")).select(*KEYS, "place", F.col("unit_title").alias("title"), "char_start")
+    return followed(plans, sections.select(*KEYS, strip(F.col("text")).alias("text"))).select(*KEYS, F.inline("found"))
 
 
 def planned_units(plans: DataFrame, sections: DataFrame, least: int = 300, most: int = 1600) -> tuple[DataFrame, DataFrame]:
@@ -72,33 +117,24 @@ def planned_units(plans: DataFrame, sections: DataFrame, least: int = 300, most:
     A plan has 1 to MOST_INSTRUCTIONS instructions; anchors at a text's start fall out, and of equal ones the first stays.  Its
     units, of which there must be two, must hold 70 % of the text, none may be much too long, and few much too short."""
     named = sections.select(*KEYS, blank_to_null(F.col("title")).alias("title"), blank_to_null(F.col("container_title")).alias("container_title"), strip(F.col("text")).alias("text"))
-    count = plans.groupBy(*KEYS).agg(F.count("*").alias("n_instructions"))
-    starts = anchors(plans, sections)
-    resolved = starts.groupBy(*KEYS).agg(F.count("*").alias("n_resolved"))
-    inner = starts.join(named.select(*KEYS, F.length("text").alias("size")), KEYS).where("char_start > 0 and char_start < size")
-    inner = inner.groupBy(*KEYS, "char_start").agg(F.min_by(F.struct(blank_to_null(F.col("title")).alias("t")), "place").alias("first")).select(*KEYS, "char_start", F.col("first.t").alias("unit_title"))
-    cut = inner.select(*KEYS).distinct()
-    begin = named.join(cut, KEYS, "left_semi").select(*KEYS, F.lit(0).cast("long").alias("char_start"), F.col("title").alias("unit_title"))
-    order = Window.partitionBy(*KEYS).orderBy("char_start")
-    spans = inner.unionByName(begin).withColumn("next", F.lead("char_start").over(order)).join(named, KEYS)
-    end = F.coalesce("next", F.length("text"))
-    parts = spans.withColumn("part", strip(F.substring("text", (F.col("char_start") + 1).cast("int"), (end - F.col("char_start")).cast("int")))).withColumn("size", F.length("text")).drop("text", "next").where("part <> ''")
+    size = F.transform("parts", lambda x: F.length(x["text"]))
+    all_ = followed(plans, named, cut=True).select(*KEYS, "title", "container_title", F.length("text").alias("size"), "n_instructions", F.size("found").alias("n_resolved"), "parts", size.alias("sizes"))
+    n = F.array_size("parts")
     short, long = max(32, int(least * 0.25)), max(2 * most, 2400)
-    judged = parts.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(F.length("part")).alias("held"), F.max("size").alias("size"), F.max(F.length("part")).alias("longest"), F.count_if(F.length("part") < short).alias("n_short"))
-    sound = (F.col("held") >= F.greatest(F.lit(1), F.floor(F.col("size") * 0.7))) & (F.col("longest") <= long) & (F.col("n_short") <= F.greatest(F.lit(1), F.floor(F.col("n") / 3)))
-    all_ = named.join(count, KEYS, "left").join(resolved, KEYS, "left").join(judged.select(*KEYS, "n", sound.alias("sound")), KEYS, "left")
+    held, n_short = F.aggregate("sizes", F.lit(0), lambda s, x: s + x), F.size(F.filter("sizes", lambda x: x < short))
+    sound = (held >= F.greatest(F.lit(1), F.floor(F.col("size") * 0.7))) & (F.array_max("sizes") <= long) & (n_short <= F.greatest(F.lit(1), F.floor(n / 3)))
     reason = (
-        F.when(F.coalesce(F.col("text"), F.lit("")) == "", "empty_section_content")
+        F.when(F.coalesce("size", F.lit(0)) == 0, "empty_section_content")
         .when(F.col("n_instructions").isNull(), "empty_or_invalid_llm_plan")
         .when(F.col("n_instructions") > MOST_INSTRUCTIONS, F.concat(F.lit("too_many_plan_instructions:"), F.col("n_instructions").cast("string")))
-        .when(F.col("n_resolved").isNull(), "no_resolved_boundaries")
-        .when(F.col("n").isNull(), "resolved_boundaries_too_few")
-        .when(F.col("n") < 2, "resolved_chunks_too_few")
-        .when(~F.col("sound"), "abnormal_units_output")
+        .when(F.col("n_resolved") == 0, "no_resolved_boundaries")
+        .when(n.isNull(), "resolved_boundaries_too_few")
+        .when(n < 2, "resolved_chunks_too_few")
+        .when(~sound, "abnormal_units_output")
     )
-    told = all_.select(*KEYS, reason.alias("reason"))
-    number = F.row_number().over(order) - 1
-    units = parts.join(told.where("reason is null").select(*KEYS), KEYS, "left_semi").withColumn("unit_no", number.cast("long"))
-    title = F.coalesce("unit_title", F.concat("title", F.lit(" (Part "), F.col("unit_no") + 1, F.lit(")")), F.concat(F.lit("Task Unit "), F.col("unit_no") + 1))
-    units = units.select(*KEYS, "unit_no", F.concat(F.lit("task-unit-"), "section_index", F.lit("-"), "unit_no").alias("unit_id"), title.alias("title"), "container_title", F.col("part").alias("text"))
-    return units, told.where("reason is not null")
+    told = all_.withColumn("reason", reason)
+    units = told.where("reason is null").select(*KEYS, F.col("title").alias("section_title"), "container_title", F.posexplode("parts").alias("unit_no", "part")).withColumn("unit_no", F.col("unit_no").cast("long"))
+    # the part at a text's start bears the section's title
+    title = F.coalesce(F.when(F.col("unit_no") == 0, F.col("section_title")), blank_to_null(F.col("part.title")), F.concat("section_title", F.lit(" (Part "), F.col("unit_no") + 1, F.lit(")")), F.concat(F.lit("Task Unit "), F.col("unit_no") + 1))
+    units = units.select(*KEYS, "unit_no", F.concat(F.lit("task-unit-"), "section_index", F.lit("-"), "unit_no").alias("unit_id"), title.alias("title"), "container_title", F.col("part.text").alias("text"))
+    return units, told.where("reason is not null").select(*KEYS, "reason")

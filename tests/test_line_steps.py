@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import boundaries, lines, structure
-from quire.plans import split_plans
+from quire.plans import split_plans, unit_plans
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -67,3 +67,18 @@ def test_snippets_of_many_cuts(spark, monkeypatch):
 def test_counted_characters(spark):
     got = spark.createDataFrame([("eée😀ae",), ("",), (None,)], "t string").select(T.count_chars(F.col("t"), "e"), T.count_chars(F.col("t"), "ea"), T.count_chars(F.col("t"), "😀")).collect()
     assert [tuple(r) for r in got] == [(3, 4, 1), (0, 0, 0), (None, None, None)]
+
+
+UNIT_PLANS = "doc_id long, section_index long, place int, title string, anchor string, match_mode string, occurrence int"
+UNIT_SECTIONS = "doc_id long, section_index long, title string, container_title string, text string"
+
+
+def test_instructions_meet_their_section_once(spark):
+    text = "Head\n" + "word " * 60 + "\n Next  One \n" + "more " * 60
+    sections = spark.createDataFrame([(1, 0, "T", None, text), (1, 1, "T", None, text), (2, 0, None, None, None)], UNIT_SECTIONS)
+    plans = spark.createDataFrame([(1, 0, 0, "A", "next one", None, 1), (1, 0, 1, "B", "^Next", "regex", 7), (1, 1, 0, "A", None, "exact", 1)], UNIT_PLANS)
+    units, others = unit_plans.planned_units(plans, sections)
+    assert [(r.unit_no, r.title, len(r.text)) for r in units.orderBy("unit_no").collect()] == [(0, "T", 304), (1, "A", 310)]
+    assert sorted(map(tuple, others.collect())) == [(1, 1, "no_resolved_boundaries"), (2, 0, "empty_section_content")]
+    for rows in (units, others):  # lines are not shuffled, and plans are followed once
+        assert plan_of(rows).count("MapInArrow") == 1 and "Window" not in plan_of(rows)
