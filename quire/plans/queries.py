@@ -18,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text and lang, dealt by id: a file is read by no more tasks than it has row groups, of which it may have one."""
+    return documents(spark, sf_dir).select("doc_id", "text", "lang").repartition("doc_id")
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fixed_chunks(documents(spark, sf_dir))
 
@@ -154,11 +159,11 @@ def titled(docs: DataFrame) -> DataFrame:
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return titled(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return titled(dealt_documents(spark, sf_dir))
 
 
-def titled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.chapters(structure.sections(_titled(spark, sf_dir)))
+def titled_sections(spark: SparkSession, sf_dir: str, content: bool = True) -> DataFrame:
+    return structure.chaptered_sections(_titled(spark, sf_dir), content)
 
 
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from quire.functions.heading_words import rules
 from quire.operators import chunks, cuts, heading_rules, retrieval, structure, terms
 from quire.operators.lines import explode_lines
 from quire.plans.boundary_queries import _COUNTS, _cosine, _letters
-from quire.plans.queries import DISTANCE, LINES, STRIPPED, TITLED, _nearest, _pairs, _titled, documents
+from quire.plans.queries import DISTANCE, LINES, STRIPPED, TITLED, _nearest, _pairs, _titled, dealt_documents, documents
 
 LETTERS = "etaoinsr"
 
@@ -26,7 +26,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cut(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    sections = structure.sections(documents(spark, sf_dir))
+    sections = structure.sections(dealt_documents(spark, sf_dir))
     sections = sections.select("doc_id", "section_index", "title", F.lit(None).cast("string").alias("container_title"), F.col("content").alias("text"))
     return cuts.split_sections(sections, mode, score=cuts.BySnippets(letter_counts))
 

@@ -82,3 +82,32 @@ def test_instructions_meet_their_section_once(spark):
     assert sorted(map(tuple, others.collect())) == [(1, 1, "no_resolved_boundaries"), (2, 0, "empty_section_content")]
     for rows in (units, others):  # lines are not shuffled, and plans are followed once
         assert plan_of(rows).count("MapInArrow") == 1 and "Window" not in plan_of(rows)
+
+
+BOOKS = ["Contents\nPart one\n\nChapter 1\n" + "word " * 30 + "end.\n1.1 Deep thing\nmore\nChapter 2: x\nAppendix\nafter\nAppendix B", "", None, "no heading\nat all", "Preface", "é😀\nContents:\nSection iv. Up\nx\nAfterword", "\n" * 5 + "2. Second\n" + "1.2.3 Third"]
+
+
+def test_sections_are_made_where_the_text_is(spark, monkeypatch):
+    monkeypatch.setattr(structure, "CHARS_AT_ONCE", 30)
+    docs = spark.createDataFrame([(i, t, ("en", "fr", None)[i % 3]) for i, t in enumerate(BOOKS * 3)] + [(None, "x", "en")], DOCS).repartition(2)
+    made = structure.chaptered_sections(docs)
+    rows = sorted(made.collect(), key=lambda r: (r.doc_id, r.section_index))
+    flagged = {(r.doc_id, r.char_start): (r.title, r.level) for r in structure.heading_flags(docs).where("level is not null").collect() if r.doc_id is not None}
+    assert {(r.doc_id, r.char_start): (r.title, r.level) for r in rows if r.title is not None} == flagged
+    texts = dict(enumerate(BOOKS * 3))
+    for i, text in texts.items():
+        own = [r for r in rows if r.doc_id == i]
+        assert [r.section_index for r in own] == list(range(len(own))) and own[0].char_start == 0
+        assert own[0].content is None if text is None else "".join(r.content for r in own) == text
+        assert all(text is None or text[r.char_start : r.char_end] == r.content for r in own)
+    key = lambda r: (r.doc_id, r.section_index)
+    assert sorted(structure.chapters(structure.sections(docs)).select(made.columns).collect(), key=key) == rows
+    assert sorted(map(tuple, structure.chaptered_sections(docs, content=False).collect())) == sorted(map(tuple, made.drop("content").collect()))
+    assert not any(x in plan_of(made) for x in ("Window", "Aggregate", "Join"))
+
+
+def test_sections_are_cut_once_a_query(spark):
+    from quire.plans.catalog import QUERIES
+
+    for name in ("chapter_quiz_validity", "chapter_summary_validity", "hierarchy_warnings", "artifact_updates"):
+        assert "MapInArrow" not in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")), name
