@@ -24,7 +24,7 @@ def chapter_validity(chapters: DataFrame, stored: DataFrame, sections: DataFrame
 
     `chapters` has doc_id, chapter_id, title, legacy_key and source_section_id; `stored` has doc_id, key, content (quizzes: items), source_hash, language,
     split_mode, top_k, prompt_version (quizzes: schema_version), scope, and what its maker noted: for_chapter_id, for_title, for_key,
-    for_section_id; `sections` has doc_id, section_id, content; `wanted` has for each document the fields that an artifact must have
+    for_section_id; `sections` has doc_id, section_id, content (or its source_hash); `wanted` has for each document the fields that an artifact must have
     now.  An artifact is looked up under a chapter's keys, best first.  It was made of the section that it names, which must be
     there, else of the chapter's own; what it notes must be the chapter's, where it notes anything (its title always counts).
     Checks are in a fixed order, nulls are equal."""
@@ -32,7 +32,8 @@ def chapter_validity(chapters: DataFrame, stored: DataFrame, sections: DataFrame
     found = keys.join(stored.withColumn("_a", F.struct(*[c for c in stored.columns if c != "doc_id"])).select("doc_id", "key", "_a"), ["doc_id", "key"])
     best = found.groupBy("doc_id", "chapter_id").agg(F.min_by("_a", "place").alias("a"))
     own = keys.groupBy("doc_id", "chapter_id").agg(F.collect_set("key").alias("keys"))
-    hashes = sections.select("doc_id", F.col("section_id").alias("resolved_id"), source_hash(F.coalesce("content", F.lit(""))).alias("now_hash"))
+    now_hash = F.coalesce("source_hash" if "source_hash" in sections.columns else source_hash(F.col("content")), source_hash(F.lit("")))
+    hashes = sections.select("doc_id", F.col("section_id").alias("resolved_id"), now_hash.alias("now_hash"))
     rows = chapters.select("doc_id", "chapter_id", "title", "source_section_id").join(own, ["doc_id", "chapter_id"]).join(best, ["doc_id", "chapter_id"], "left")
     named = blank_to_null(F.col("a.for_section_id"))
     rows = rows.withColumn("resolved_id", F.coalesce(named, "source_section_id")).join(hashes, ["doc_id", "resolved_id"], "left").join(wanted, "doc_id", "left")

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from quire.functions.text import source_hash
 from quire.operators import layout, validity
 from quire.plans.queries import STRIPPED, TITLED_SECTIONS, documents, titled_sections
+from quire.sources import store
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chapters of titled texts, their sections, and what artifacts must have now."""
-    sections = titled_sections(spark, sf_dir)
+    sections = titled_sections(spark, sf_dir).select("doc_id", "section_index", "section_id", "title", "chapter_seq", source_hash(F.col("content")).alias("source_hash"))
+    sections = store.parked(sections)  # texts are cut and hashed once, whatever reads their hashes
     first = lambda c: F.min_by(c, "section_index")
-    chapters = sections.groupBy("doc_id", "chapter_seq").agg(first("title").alias("title"), first("section_id").alias("source_section_id"), first("content").alias("content"), F.max("section_id").alias("last_section_id"))
+    chapters = sections.groupBy("doc_id", "chapter_seq").agg(first("title").alias("title"), first("section_id").alias("source_section_id"), first("source_hash").alias("source_hash"), F.max("section_id").alias("last_section_id"))
     chapters = chapters.withColumn("chapter_id", F.concat(F.lit("c"), "chapter_seq")).withColumn("legacy_key", F.lit(None).cast("string"))
     wanted = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("language"), F.lit("semantic_safe").alias("split_mode"), F.lit(3).alias("top_k"), F.lit("v1").alias("prompt_version"), F.lit("s1").alias("schema_version"))
-    return chapters, sections.select("doc_id", "section_id", "content"), wanted
+    return chapters, sections.select("doc_id", "section_id", "source_hash"), wanted
 
 
 def _stored(chapters: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -29,7 +31,7 @@ def _stored(chapters: DataFrame, wanted: DataFrame) -> DataFrame:
     unless = lambda m, r, other, column: F.when(n % m == r, other).otherwise(column)
     item = lambda text: F.array(F.struct(F.lit("q1").alias("question_id"), F.lit("What?").alias("question_text"), text.alias("answer_text")))
     return rows.select(
-        "doc_id", key.alias("key"), unless(13, 1, F.lit(" "), F.lit("Said")).alias("content"), item(unless(10, 3, F.lit(""), F.lit("That"))).alias("items"), unless(7, 2, F.lit("old"), source_hash(F.col("content"))).alias("source_hash"),
+        "doc_id", key.alias("key"), unless(13, 1, F.lit(" "), F.lit("Said")).alias("content"), item(unless(10, 3, F.lit(""), F.lit("That"))).alias("items"), unless(7, 2, F.lit("old"), F.col("source_hash")).alias("source_hash"),
         unless(17, 3, F.lit("xx"), F.col("language")).alias("language"), unless(19, 4, F.lit("progressive"), F.col("split_mode")).alias("split_mode"), unless(23, 5, F.lit(None).cast("int"), F.col("top_k")).alias("top_k"), unless(29, 6, F.lit("v0"), F.col("prompt_version")).alias("prompt_version"),
         unless(8, 7, F.lit("s0"), F.col("schema_version")).alias("schema_version"), unless(37, 8, F.lit("section"), F.lit("chapter")).alias("scope"), unless(6, 1, F.lit("c99"), unless(2, 0, F.lit(None).cast("string"), F.col("chapter_id"))).alias("for_chapter_id"), unless(43, 10, F.lit("Other"), F.col("title")).alias("for_title"),
         unless(9, 5, F.lit("zz"), unless(2, 1, key, F.lit(""))).alias("for_key"), unless(12, 11, F.lit("none"), unless(5, 0, F.col("last_section_id"), F.lit(None).cast("string"))).alias("for_section_id"),
@@ -47,7 +49,9 @@ def chapter_quiz_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chapter_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.availability(chapter_summary_validity(spark, sf_dir), chapter_quiz_validity(spark, sf_dir), ["doc_id", "chapter_id"])
+    chapters, sections, wanted = _tables(spark, sf_dir)
+    stored = _stored(chapters, wanted)
+    return layout.availability(*(validity.chapter_validity(chapters, stored, sections, wanted, quiz) for quiz in (False, True)), ["doc_id", "chapter_id"])
 
 
 def unit_quiz_validity(spark: SparkSession, sf_dir: str) -> DataFrame:

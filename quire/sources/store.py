@@ -43,6 +43,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def parked(rows: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder, for a job that reads them more than once."""
+    return Store(rows.sparkSession, scratch_folder(rows.sparkSession)).park(rows)
+
+
 @dataclass
 class Manifest:
     """A version: by table its schema and the folder of each bucket that has rows."""
