@@ -11,6 +11,7 @@ from quire.operators import artifacts, headings, hierarchy, lines, questions, re
 from quire.plans import split_plans
 from quire.plans.queries import CHUNKS, DISTANCE, HEADINGS, LINES, MERGED, MODE, TITLED, TITLED_SECTIONS, TOKENS, _pairs, _titled, boxed_units, chunks, documents, table, titled_sections
 from quire.plans.queries import _nearest as nearest
+from quire.sources import store
 
 
 def heading_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hierarchy_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Warnings on the sections of titled texts under ids that clash and parents that are wrong here and there."""
-    rows = titled_sections(spark, sf_dir)
+    rows = store.parked(titled_sections(spark, sf_dir, content=False).select("doc_id", "section_index", "chapter_seq"))
     chapters = rows.select("doc_id", "chapter_seq").distinct().select("doc_id", F.concat(F.lit("c"), F.col("chapter_seq") % 4).alias("chapter_id"))
     own = F.concat(F.lit("c"), F.col("chapter_seq") % 4)
     sections = rows.select("doc_id", F.concat(F.lit("s"), F.col("section_index") % 5).alias("section_id"), F.when(F.col("section_index") % 7 != 6, own).alias("chapter_id"), F.when(F.col("section_index") % 3 == 1, "cx").when(F.col("section_index") % 3 == 0, own).alias("parent_chapter_id"))
