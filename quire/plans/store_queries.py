@@ -15,7 +15,7 @@ BUCKETS = 16
 
 
 def _sections(docs: DataFrame) -> dict[str, DataFrame]:
-    return {"sections": structure.chapters(structure.sections(docs))}
+    return {"sections": structure.chaptered_sections(docs)}
 
 
 def _refreshed(spark: SparkSession, sf_dir: str, docs: DataFrame) -> store.Store:
@@ -47,7 +47,7 @@ def build_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of every second section, then quizzes of every third one, then new summaries of every fourth: each update keeps the other artifact."""
     tables = store.Store(spark, store.scratch_folder(spark), BUCKETS)
-    sections = titled_sections(spark, sf_dir).select("doc_id", "section_index")
+    sections = tables.park(titled_sections(spark, sf_dir, content=False).select("doc_id", "section_index"))
     made = lambda step, name: sections.where(F.col("section_index") % step == 0).select("doc_id", "section_index", F.concat(F.lit(name), "section_index").alias(name))
     keys = ["doc_id", "section_index"]
     tables.put("artifacts", made(2, "summary").withColumn("quiz", F.lit(None).cast("string")), keys)
