@@ -14,7 +14,7 @@ from quire.sources import store, structured
 
 def chapter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of the texts with headings written into them, a quarter of them deeper than they were."""
-    sections = structure.sections(_titled(spark, sf_dir)).drop("content")
+    sections = structure.sections(_titled(spark, sf_dir), content=False)
     level = F.col("level") + F.when(F.crc32(F.concat_ws(":", "doc_id", "section_index").cast("binary")) % 4 == 0, 1).otherwise(0)
     return chapters.chapter_table(sections.withColumn("level", level)).drop("char_start", "char_end", "section_id")
 
@@ -46,7 +46,7 @@ def unplanned_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tables(spark: SparkSession, sf_dir: str) -> structured.Tables:
     """The sections of titled texts in their chapters, with one unit for each 900 characters of a section."""
-    s = titled_sections(spark, sf_dir).withColumn("document_id", F.col("doc_id").cast("string")).withColumn("chapter_id", F.concat(F.lit("c"), "chapter_seq"))
+    s = store.parked(titled_sections(spark, sf_dir)).withColumn("document_id", F.col("doc_id").cast("string")).withColumn("chapter_id", F.concat(F.lit("c"), "chapter_seq"))
     text = F.col("content")
     cuts = F.sequence(F.lit(0), F.expr("length(content) div 900"))
     return structured.Tables(
