@@ -54,6 +54,8 @@ BLOCK = MEDIUM // 2
 HEAVY = 1 << 21
 #: Bits of the largest filter that is broadcast to keep texts out of the table of full sets.
 FILTER_BITS = 28
+#: Bits that an id sets there; with 16 bits or more for each id one of 400 others passes, with one bit set one of 16 would.
+PROBES = 4
 _U = np.uint64
 _A = tb.mix(np.arange(1, MINS + 1, dtype=_U)) | _U(1)
 _B = tb.mix(np.arange(1001, MINS + 1001, dtype=_U))
@@ -371,7 +373,7 @@ def _filter_words(bits: int):
     """The filter's bits of ids as words of 64 bits; equal words of other tasks are joined by OR."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_filter_place(b.column("id").to_numpy(), bits) for b in batches)]))
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(_filter_places(b.column("id").to_numpy(), bits).ravel() for b in batches)]))
         place, first = np.unique(at >> 6, return_index=True)
         word = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(word.view(np.int64))], ["place", "word"])
@@ -379,8 +381,10 @@ def _filter_words(bits: int):
     return run
 
 
-def _filter_place(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (tb.mix(ids.view(_U)) >> _U(64 - bits)).astype(np.int64)
+def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The places of each id's bits, a row each."""
+    x = tb.mix(ids.view(_U))
+    return np.stack([(tb.mix(x + _U(k)) >> _U(64 - bits)).astype(np.int64) for k in range(PROBES)], 1)
 
 
 def _sets(key: str, text: str, k: int, passes: Callable[[np.ndarray], np.ndarray]):
@@ -438,8 +442,8 @@ class _Join:
             known = self.docs.sparkSession.sparkContext.broadcast(table)
 
             def passes(x: np.ndarray) -> np.ndarray:
-                at = _filter_place(x, bits)
-                return (known.value[at >> 6] >> (at & 63) & 1).astype(bool)
+                at = _filter_places(x, bits)
+                return (known.value[at >> 6] >> (at & 63) & 1).astype(bool).all(1)
 
         out = self.shelf.put(self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "id long, set_key binary, shingles binary"))
         once = out.dropDuplicates(["id", "set_key"])
@@ -491,9 +495,9 @@ class _Join:
 
     def run(self) -> None:
         shelf, waiting, level = self.shelf, None, 1
-        rows = self.classes.select("id", F.col("id").alias("part"), "mins").mapInArrow(_children(True), "node long, id long, part long")
+        rows = self.classes.select("id", F.col("id").alias("part"), "mins").mapInArrow(_children(True), "node long, id long, part long").select("node", "id")
         shared = rows.groupBy("node").count().where("count > 1").select("node")
-        rows = shelf.put(rows.join(shared, "node"))  # the rest of the job reads these few rows
+        rows = shelf.put(rows.join(shared, "node").withColumn("part", F.col("id")))  # the rest of the job reads these few rows
         while True:
             nodes = shelf.put(self.open_nodes(rows))
             small = nodes.where(F.col("size") <= SMALL).groupBy("size", "h1", "h2").agg(F.min("node").alias("node"))

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
@@ -465,3 +466,14 @@ def test_machine_equals_all_pairs():
     for d, own in enumerate(([0, 1, 2], [3, 4])):
         want = model.bias + sum(model.weights[feature[i]] * value[i] for i in own) + sum(model.factors[feature[i]] @ model.factors[feature[j]] * value[i] * value[j] for i in own for j in own if i < j)
         assert z[d] == pytest.approx(want)
+
+
+def test_few_other_texts_pass_the_filter():
+    ids, others, bits = np.arange(0, 20_000, 2), np.arange(1, 20_001, 2), 18
+    words = [b for part in np.array_split(ids, 3) for b in near_dedup._filter_words(bits)(iter([pa.record_batch([pa.array(part)], ["id"])]))]
+    table = np.zeros(1 << (bits - 6), np.int64)
+    for b in words:
+        table[b.column("place").to_numpy()] |= b.column("word").to_numpy()
+    at = lambda x: near_dedup._filter_places(x, bits)
+    passes = lambda x: (table[at(x) >> 6] >> (at(x) & 63) & 1).astype(bool).all(1)
+    assert passes(ids).all() and passes(others).mean() < 0.01
