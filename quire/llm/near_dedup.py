@@ -418,7 +418,6 @@ class _Join:
         signed, self.signed = self.signed, self.shelf.put(self.signed.select(key, "n_shingles", "set_key"))
         self.shelf.drop(signed)
         self.parts: DataFrame | None = None
-        self.sets: DataFrame | None = None
 
     def with_parts(self, rows: DataFrame, id_: str = "id", part: str = "part") -> DataFrame:
         """Adds the component so far of a row's id."""
@@ -428,9 +427,9 @@ class _Join:
         return rows.join(own, id_, "left").withColumn(part, F.coalesce(part, id_))
 
     def make_sets(self, ids: DataFrame) -> DataFrame:
-        """id, set_key and full set of the texts with these ids (and perhaps of others).
+        """id, set_key and full set of the texts with these ids (and perhaps of others), made where texts are read.
 
-        Other texts are dropped where they are read, by a filter of 16 bits for each id.  For more ids than
+        Other texts are dropped there, by a filter of 16 bits for each id.  For more ids than
         the largest filter serves, later joins alone drop them."""
         wanted = self.shelf.put(ids.select("id").distinct())
         bits = max(10, math.ceil(math.log2(16 * wanted.count() + 1)))
@@ -445,12 +444,8 @@ class _Join:
                 at = _filter_places(x, bits)
                 return (known.value[at >> 6] >> (at & 63) & 1).astype(bool).all(1)
 
-        out = self.shelf.put(self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "id long, set_key binary, shingles binary"))
-        once = out.dropDuplicates(["id", "set_key"])
-        if out.select("id", "set_key").distinct().count() < out.count():  # rows are repeated
-            out = self.shelf.put(once)
         self.shelf.drop(wanted)
-        return out
+        return self.docs.mapInArrow(_sets(self.key, self.text, self.k, passes), "id long, set_key binary, shingles binary").dropDuplicates(["id", "set_key"])
 
     def merge(self, links: DataFrame) -> None:
         """Renews the components by confirmed links of components."""
@@ -464,25 +459,24 @@ class _Join:
         self.parts = self.shelf.put(moved.union(merged.join(old.select("node"), "node", "left_anti")))
         self.shelf.drop(old, merged)
 
-    def compare(self, groups: DataFrame, also: DataFrame | None, whole: DataFrame | None = None) -> None:
-        """Compares the members of each group of rows (g, i, id, part), and of whole nodes (with `met`); `also` are ids to be
-        compared later.
+    def compare(self, groups: DataFrame | None, whole: DataFrame | None = None) -> None:
+        """Compares the members of each group of rows (g, i, id, part), and of whole nodes (with `met`).
 
-        Components change here alone, so the rows of all later steps bear their component until the next comparison."""
+        Full sets are made anew for each comparison, and of those texts only that look similar to others in it: kept for later
+        ones they would be written once and shuffled each time.  Components change here alone, so the rows of all later steps bear their component until the next comparison."""
         def near(rows: DataFrame, families: bool) -> DataFrame:
             own = rows.join(self.classes.select("id", "set_key", "n", "sketch"), "id")
             schema = "key long, id long, part long, set_key binary, n long, sketch binary" + (", g long, met array<long>" if families else "")
             return self.shelf.put(own.repartition("g", "i").sortWithinPartitions("g", "i").mapInArrow(_plausible(self.percent, families), schema).distinct())
 
         tables = [(near(rows, families), families) for rows, families in ((groups, False), (whole, True)) if rows is not None]
-        if self.sets is None:
-            wanted = [t.select("id") for t, _ in tables] + ([] if also is None else [also])
-            self.sets = self.make_sets(reduce(DataFrame.union, wanted))
         links = []
         for t, families in tables:
-            full = t.join(self.sets, ["id", "set_key"]).drop("id", "set_key")
-            links.append(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent, families), "u long, v long"))
-        self.merge(reduce(DataFrame.union, links))
+            if not t.isEmpty():
+                full = t.join(self.make_sets(t), ["id", "set_key"]).drop("id", "set_key")
+                links.append(full.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(self.percent, families), "u long, v long"))
+        if links:
+            self.merge(reduce(DataFrame.union, links))
         self.shelf.drop(*(t for t, _ in tables))
 
     def open_nodes(self, rows: DataFrame) -> DataFrame:
@@ -506,7 +500,7 @@ class _Join:
             if not nodes.where(F.col("size") > SMALL).isEmpty():
                 large = rows.join(nodes.where(F.col("size") > SMALL).select("node"), "node").select("node", "id", "part")
                 groups = groups.union(self.stars(large))
-            self.compare(groups, large.select("id") if large is not None else None, waiting)
+            self.compare(groups, waiting)
             if large is None:
                 shelf.drop(nodes, waiting, rows)
                 return
@@ -521,7 +515,7 @@ class _Join:
             mixed = large.join(left.where(~ready).groupBy("size", "h1", "h2").agg(F.min("node").alias("node")).select("node"), "node")
             if left.where(~ready).isEmpty():
                 shelf.drop(large, left)
-                self.compare(None, None, waiting)
+                self.compare(None, waiting)
                 shelf.drop(waiting)
                 return
             rows = shelf.put(self.bands(mixed) if level == 1 else mixed.join(self.classes.select("id", "mins"), "id").select("node", "id", "part", "mins").mapInArrow(_children(False), "node long, id long, part long"))
@@ -572,7 +566,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     join = _Join(docs, key, text, shingle, percent)
     join.run()
     unnamed = docs.where(F.col(key).isNull()).select(key, text).mapInArrow(_counts_only(key, text, shingle), f"{key} long, n_shingles long")
-    join.shelf.drop(join.sets)
     return join.result().union(unnamed.select(key, "n_shingles", F.lit(None).cast("long"), F.lit(True)))
 
 

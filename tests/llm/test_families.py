@@ -31,6 +31,16 @@ def test_equals_brute_force_whatever_the_limits(spark, monkeypatch, small, mediu
     assert {r.doc_id: r.component_id for r in got} == want and len(links) >= 7
 
 
+def test_full_sets_are_made_only_of_texts_that_look_similar_to_others(spark, monkeypatch):
+    """Members of large nodes share words and are no links; sets of theirs would be written and shuffled for nothing."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    asked, make = set(), near_dedup._Join.make_sets
+    monkeypatch.setattr(near_dedup._Join, "make_sets", lambda self, ids: asked.update(r.id for r in ids.select("id").collect()) or make(self, ids))
+    rows = [r for r in family(40, 30, 2) if r[0] < 40] + [(100, " ".join(f"x{i}" for i in range(60))), (101, " ".join(f"x{i}" for i in range(58)))] * 2
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=4).collect()
+    assert asked == {100, 101} and sorted(r.doc_id for r in got if not r.kept) == [101, 101] and len(got) == 44
+
+
 def test_pairs_are_compared_in_the_first_node_in_which_they_meet():
     met = pa.array([[1, 5, 9], [5, 9], [1, 9], [9], [-7, 9], [-7, 9]], pa.list_(pa.int64()))
     pairs = lambda node: None if (e := near_dedup._incidence(node, met)) is None else {(i, j) for i, j in zip(*np.nonzero(np.triu(e @ e.T, 1)), strict=True)}
