@@ -29,6 +29,8 @@ WORDS = 1 << WORD_BITS
 SHARES = np.array([0.001, 0.005, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7])
 LOGS = np.arange(1, 16)
 BINS = 16
+#: Documents whose words are looked up at a time when the machine is trained.
+PART = 256
 FEATURES = WORDS + BINS * (len(STATISTICS) + 2)
 
 
@@ -66,6 +68,14 @@ def logits(model: Model, n: int, doc: np.ndarray, feature: np.ndarray, value: np
     return model.bias + np.add.reduceat(model.weights[feature] * value, start) + 0.5 * ((total * total).sum(1) - squares), total
 
 
+def logits_by_parts(model: Model, n: int, doc: np.ndarray, feature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of PART documents at a time, so that the rows of factors of all their words are never held at once."""
+    first = range(0, n, PART)
+    bounds = np.searchsorted(doc, [*first, n])
+    parts = [logits(model, min(PART, n - at), doc[a:b] - at, feature[a:b], value[a:b]) for at, a, b in zip(first, bounds[:-1], bounds[1:], strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def train(texts: list[str], y: np.ndarray, steps: int = 60, rate: float = 0.05, decay: float = 1e-5) -> Model:
     """Adam on the cross-entropy of all texts, each label weighing the same."""
     rng = np.random.default_rng(0)
@@ -85,7 +95,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 60, rate: float = 0.05,
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (model.weights, model.factors)]
     z = np.zeros(n)
     for step in range(1, steps + 1):
-        z, total = logits(model, n, doc, feature, value)
+        z, total = logits_by_parts(model, n, doc, feature, value)
         g = ((sigmoid(z) - y) * weight).astype(np.float32)
         gx = g[doc] * value
         gw = np.bincount(feature, gx, minlength=FEATURES) + decay * model.weights
@@ -98,7 +108,7 @@ def train(texts: list[str], y: np.ndarray, steps: int = 60, rate: float = 0.05,
             v *= 0.99
             v += 0.01 * (gx_ * gx_).astype(np.float32)
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
-    model.bias -= cut_between(logits(model, n, doc, feature, value)[0], y)
+    model.bias -= cut_between(logits_by_parts(model, n, doc, feature, value)[0], y)
     return model
 
 

@@ -19,7 +19,7 @@ gives an empty result.  Places are code points, ends are exclusive.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,7 +186,7 @@ def fit_field(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate
     moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(transitions), np.zeros_like(transitions)]
     for step in range(1, rounds + 1):
         pick = rng.permutation(n)[:1500]
-        fx, yx = f[pick], y[pick]
+        fx, yx = f[pick].astype(np.int64), y[pick].astype(np.int64)
         e = weights[fx].sum(2)
         alpha, beta = np.zeros((width, len(pick), 3)), np.zeros((width, len(pick), 3))
         alpha[0] = e[:, 0]
@@ -237,8 +237,8 @@ def plain(rng: np.random.Generator) -> str:
     return made[rng.integers(len(made))]
 
 
-def training_rows(texts: list[str], width: int = 32, others: int = 2, made: float = 0.5) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows of tokens with tags: all around a secret, and `others` of each text.
+def training_rows(texts: Iterable[str], width: int = 32, others: int = 2, made: float = 0.5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Windows of tokens with tags: all around a secret, and `others` of each text; in small integers, and without the rest of the text.
 
     The share `made` of the texts gets a made-up key, and the same share a string that is none."""
     rng, out = np.random.default_rng(1), []
@@ -265,7 +265,7 @@ def training_rows(texts: list[str], width: int = 32, others: int = 2, made: floa
         starts = [min(max(0, int(i) - int(rng.integers(4, width - 4))), len(y) - width) for i in marked]
         starts += rng.integers(0, len(y) - width + 1, others).tolist()
         for s in starts:
-            own, tags = f[s : s + width].copy(), y[s : s + width]
+            own, tags = f[s : s + width].astype(np.int16), y[s : s + width].astype(np.int8)
             long_ = np.isin(np.arange(s, s + width), marked) & (t.end - t.start >= 16)[s : s + width]
             if long_.any() and rng.random() < 0.5:  # the shape alone must do: no marks, no key words
                 own[:, 1:4] = OFFSETS[1:4] + 20
@@ -279,7 +279,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: i
 
     Spans of kind crf are what it adds to the base patterns."""
     few = bounded_sample(docs.select(key, text), key, sample_rows, max_chars).select(text).toArrow()
-    return fit_field(training_rows(few.column(0).to_pylist()))
+    rows = training_rows(x.as_py() for x in few.column(0))  # one text at a time, as the driver's memory is small
+    del few
+    return fit_field(rows)
 
 
 def block_spans(block: tb.Block, field: Field) -> list[list[tuple[int, int, int]]]:

@@ -477,3 +477,18 @@ def test_few_other_texts_pass_the_filter():
     at = lambda x: near_dedup._filter_places(x, bits)
     passes = lambda x: (table[at(x) >> 6] >> (at(x) & 63) & 1).astype(bool).all(1)
     assert passes(ids).all() and passes(others).mean() < 0.01
+
+
+def test_machine_is_trained_in_parts_with_the_same_sums(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = quality_model.Model(0.3, rng.normal(size=20).astype(np.float32), rng.normal(size=(20, 4)).astype(np.float32))
+    doc, feature, value = np.repeat(np.arange(7), [1, 4, 2, 30, 1, 3, 2]), rng.integers(0, 20, 43), rng.normal(size=43).astype(np.float32)
+    want = quality_model.logits(model, 7, doc, feature, value)
+    for part in (1, 3, 7, 100):
+        monkeypatch.setattr(quality_model, "PART", part)
+        assert all(np.array_equal(a, b) for a, b in zip(quality_model.logits_by_parts(model, 7, doc, feature, value), want, strict=True))
+
+
+def test_windows_to_train_on_do_not_hold_the_whole_text():
+    rows = secrets.training_rows(fixtures.prose(i, 300) + " api_key = 4f7a9c3d1e8b2q9" for i in range(3))
+    assert rows and all(x.base is None and x.nbytes <= 32 * len(secrets.SIZES) * 2 for row in rows for x in row)
