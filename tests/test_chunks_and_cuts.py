@@ -273,3 +273,9 @@ def test_awkward_sections(spark):
     assert {r.title for r in got if r.is_split} == {"Task Unit 1", "Task Unit 2"} and len(got) == 6
     assert cuts.split_sections(frame.limit(0)).count() == 0
     assert [r.sections_split for r in cuts.cut_counters(cuts.split_sections(frame)).collect()] == [2]
+
+
+def test_sorts_of_characters_are_looked_up_in_one_table():
+    for bit, has in ((cuts.BLANK, str.isspace), (cuts.CLOSING, cuts.CLOSERS.__contains__), (cuts.ENDS, cuts.TERMINAL.__contains__), (cuts.ENDS_STRONG, cuts.STRONG.__contains__), (cuts.ENDS_CLAUSE, cuts.CLAUSE.__contains__)):
+        assert [bool(x) for x in cuts.SORTS & bit] == [has(chr(i)) for i in range(len(cuts.SORTS))]
+    assert not any(chr(i).isspace() for i in range(len(cuts.SORTS), 0x110000)) and not cuts.SORTS[-1]  # which stands for all beyond
