@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -16,6 +17,8 @@ from quire.functions.text import SPACES, blank_to_null, line_key, strip
 #: Instructions that a plan may have; seconds that a pattern may take on one line.
 MOST_INSTRUCTIONS, SECONDS = 32, 0.2
 KEYS = ["doc_id", "section_index"]
+#: White space within lines: runs of it, and what says that there are others than single spaces.
+_WIDE, _ODD = re.compile(f"[{SPACES.replace('\n', '')}]+"), re.compile(f"  |[{SPACES.replace('\n', '').replace(' ', '')}]")
 
 
 def finder(seconds: float = SECONDS) -> Callable[[str, str], bool]:
@@ -41,21 +44,20 @@ def finder(seconds: float = SECONDS) -> Callable[[str, str], bool]:
     return found
 
 
-def followed(plans: DataFrame, sections: DataFrame, cut: bool = False) -> DataFrame:
+def followed(plans: DataFrame, sections: DataFrame, cut: str = "") -> DataFrame:
     """sections (with texts that are stripped) with n_instructions (null without a plan), found (place, title, char_start: where its instructions begin)
-    and, if `cut`, the parts (title, text) that these make of the text (null if none begins within it).
+    and, as `cut` says, the parts (title, text) that these make of the text or only their sizes (null if none begins within it).
 
     A plan's instructions gather beside its section's text, so a text is shuffled once and its lines not at all."""
     pattern = strip(F.col("anchor"))
     told = F.struct("place", F.col("title").alias("title"), pattern.alias("pattern"), line_key(pattern).alias("key"), F.coalesce("match_mode", F.lit("exact")).alias("mode"), F.greatest(F.lit(1), F.coalesce("occurrence", F.lit(1))).alias("nth"))
     own = plans.groupBy(*KEYS).agg(F.count("*").alias("n_instructions"), F.collect_list(F.when(pattern != "", told)).alias("wanted"))
     rows = sections.join(own.hint("shuffle_hash"), KEYS, "left")
-    keys = F.when(F.size("wanted") > 0, F.transform(F.split("text", "\n"), line_key))
+    keys = F.when(F.size("wanted") > 0, F.lower("text"))  # Spark's lower case, as that of the anchors
     kept = [*sections.columns, "n_instructions"]
     found = f"array<struct<place:{plans.schema['place'].dataType.simpleString()},title:string,char_start:bigint>>"
-    parts = "array<struct<title:string,text:string>>"
-    rows = rows.select(*kept, keys.alias("keys"), "wanted", F.lit(None).cast(found).alias("found"), F.lit(None).cast(parts).alias("parts"))
-    schema = StructType([rows.schema[c] for c in [*kept, "found", *(["parts"] if cut else [])]])
+    rows = rows.select(*kept, keys.alias("keys"), "wanted", F.lit(None).cast(found).alias("found"), *([F.lit(None).cast({"parts": "array<struct<title:string,text:string>>", "sizes": "array<int>"}[cut]).alias(cut)] if cut else []))
+    schema = StructType([rows.schema[c] for c in [*kept, "found", *([cut] if cut else [])]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         has = finder()
@@ -63,16 +65,22 @@ def followed(plans: DataFrame, sections: DataFrame, cut: bool = False) -> DataFr
             starts, pieces = [], []
             for text, keys, wanted in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("text", "keys", "wanted")), strict=True):
                 text, wanted = text.as_py(), wanted.as_py()
-                starts.append(list(begun(text, keys.as_py(), wanted, has)) if text and wanted else [])
+                starts.append(list(begun(text, line_keys(keys.as_py()), wanted, has)) if text and wanted else [])
                 if cut:
-                    pieces.append(divided(text, starts[-1]))
+                    own = divided(text, starts[-1])
+                    pieces.append([len(x["text"]) for x in own] if own is not None and cut == "sizes" else own)
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            made = [pa.array(x, batch.schema.field(c).type) for c, x in (("found", starts), *([("parts", pieces)] if cut else []))]
+            made = [pa.array(x, batch.schema.field(c).type) for c, x in (("found", starts), *([(cut, pieces)] if cut else []))]
             yield pa.RecordBatch.from_arrays([*columns, *made], schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def line_keys(lower: str) -> list[str]:
+    """The keys of a text's lines, as functions.text.line_key makes them, from the text in lower case."""
+    return [x.strip(SPACES) for x in (_WIDE.sub(" ", lower) if _ODD.search(lower) else lower).split("\n")]
+
+
 def begun(text: str, keys: list[str], wanted: list[dict], has: Callable[[str, str], bool]) -> Iterator[dict]:
     """Where each instruction begins: at the wanted line of those that match, or at the last of them if they are fewer."""
     lines = [x.strip(SPACES) for x in text.split("\n")]
@@ -117,24 +125,25 @@ def planned_units(plans: DataFrame, sections: DataFrame, least: int = 300, most:
     A plan has 1 to MOST_INSTRUCTIONS instructions; anchors at a text's start fall out, and of equal ones the first stays.  Its
     units, of which there must be two, must hold 70 % of the text, none may be much too long, and few much too short."""
     named = sections.select(*KEYS, blank_to_null(F.col("title")).alias("title"), blank_to_null(F.col("container_title")).alias("container_title"), strip(F.col("text")).alias("text"))
-    size = F.transform("parts", lambda x: F.length(x["text"]))
-    all_ = followed(plans, named, cut=True).select(*KEYS, "title", "container_title", F.length("text").alias("size"), "n_instructions", F.size("found").alias("n_resolved"), "parts", size.alias("sizes"))
-    n = F.array_size("parts")
+    # who only asks for reasons gets no texts of parts
+    whole = followed(plans, named, cut="parts").withColumn("sizes", F.transform("parts", lambda x: F.length(x["text"])))
+    sized = followed(plans, named, cut="sizes")
+    n = F.array_size("sizes")
+    size = F.length("text")
     short, long = max(32, int(least * 0.25)), max(2 * most, 2400)
     held, n_short = F.aggregate("sizes", F.lit(0), lambda s, x: s + x), F.size(F.filter("sizes", lambda x: x < short))
-    sound = (held >= F.greatest(F.lit(1), F.floor(F.col("size") * 0.7))) & (F.array_max("sizes") <= long) & (n_short <= F.greatest(F.lit(1), F.floor(n / 3)))
+    sound = (held >= F.greatest(F.lit(1), F.floor(size * 0.7))) & (F.array_max("sizes") <= long) & (n_short <= F.greatest(F.lit(1), F.floor(n / 3)))
     reason = (
-        F.when(F.coalesce("size", F.lit(0)) == 0, "empty_section_content")
+        F.when(F.coalesce(size, F.lit(0)) == 0, "empty_section_content")
         .when(F.col("n_instructions").isNull(), "empty_or_invalid_llm_plan")
         .when(F.col("n_instructions") > MOST_INSTRUCTIONS, F.concat(F.lit("too_many_plan_instructions:"), F.col("n_instructions").cast("string")))
-        .when(F.col("n_resolved") == 0, "no_resolved_boundaries")
+        .when(F.size("found") == 0, "no_resolved_boundaries")
         .when(n.isNull(), "resolved_boundaries_too_few")
         .when(n < 2, "resolved_chunks_too_few")
         .when(~sound, "abnormal_units_output")
     )
-    told = all_.withColumn("reason", reason)
-    units = told.where("reason is null").select(*KEYS, F.col("title").alias("section_title"), "container_title", F.posexplode("parts").alias("unit_no", "part")).withColumn("unit_no", F.col("unit_no").cast("long"))
+    units = whole.where(reason.isNull()).select(*KEYS, F.col("title").alias("section_title"), "container_title", F.posexplode("parts").alias("unit_no", "part")).withColumn("unit_no", F.col("unit_no").cast("long"))
     # the part at a text's start bears the section's title
     title = F.coalesce(F.when(F.col("unit_no") == 0, F.col("section_title")), blank_to_null(F.col("part.title")), F.concat("section_title", F.lit(" (Part "), F.col("unit_no") + 1, F.lit(")")), F.concat(F.lit("Task Unit "), F.col("unit_no") + 1))
     units = units.select(*KEYS, "unit_no", F.concat(F.lit("task-unit-"), "section_index", F.lit("-"), "unit_no").alias("unit_id"), title.alias("title"), "container_title", F.col("part.text").alias("text"))
-    return units, told.where("reason is not null").select(*KEYS, "reason")
+    return units, sized.select(*KEYS, reason.alias("reason")).where("reason is not null")

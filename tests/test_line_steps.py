@@ -111,3 +111,13 @@ def test_sections_are_cut_once_a_query(spark):
 
     for name in ("chapter_quiz_validity", "chapter_summary_validity", "hierarchy_warnings", "artifact_updates"):
         assert "MapInArrow" not in plan_of(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_reasons_come_without_the_texts_of_parts_and_keys_of_lines_are_those_of_columns(spark):
+    text = "A  b\tC \n ÄÖ  x y\n\nΟΔΟΣ ΣΑΣ\nİ one"
+    want = spark.createDataFrame([(text,)], "t string").select(F.transform(F.split("t", "\n"), T.line_key).alias("k"), F.lower("t").alias("l")).first()
+    assert unit_plans.line_keys(want.l) == want.k
+    plans = spark.createDataFrame([(1, 0, 0, "T", "b", "contains", 1)], "doc_id long, section_index long, place int, title string, anchor string, match_mode string, occurrence int")
+    sections = spark.createDataFrame([(1, 0, None, None, "a\nb\nc")], "doc_id long, section_index long, title string, container_title string, text string")
+    reasons = unit_plans.planned_units(plans, sections, 300, 1600)[1]
+    assert [tuple(r) for r in reasons.collect()] == [(1, 0, "abnormal_units_output")] and "parts" not in reasons._jdf.queryExecution().optimizedPlan().toString()
